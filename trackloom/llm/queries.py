@@ -1,11 +1,14 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import substring_dedup
+from . import language_id, ngram_join, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
+    "op9_language_id": language_id.op9_language_id,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op4_ngram_jaccard_join": ngram_join.SQL,
 }
