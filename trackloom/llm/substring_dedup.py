@@ -176,8 +176,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, rounds: int = 5) -> Data
     rows = docs.select("doc_id", "text").withColumn("rk", row_key())
     symbols = rows.select("rk", "text").mapInArrow(_symbols(window, rounds), "name long, rk long, span long, n long")
     proofs = _singles(symbols, ["name"], "span").select("rk", F.col("span").alias("v")).groupBy("rk").agg(F.collect_list("v").alias("spans"))
-    marked = rows.join(proofs, "rk", "left")
-    windows = marked.select("rk", "text", "spans").mapInArrow(_windows(window), "one long, two long, rk long, place long, n long")
+    marked = rows.join(proofs, "rk", "left")  # read twice, with the same columns, so that its shuffles are written once
+    windows = marked.select("doc_id", "rk", "text", "spans").mapInArrow(_windows(window), "one long, two long, rk long, place long, n long")
     single = _singles(windows, ["one", "two"], "place").groupBy("rk").agg(F.collect_list("place").alias("single"))
     return marked.join(single, "rk", "left").select("doc_id", "text", "spans", "single").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
 
