@@ -56,7 +56,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[ord(c) for c in BLANKS]] = False
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, 256, dtype=np.uint64)
-_BYTE[~_IN_WORD] = 0
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -88,7 +87,7 @@ class Words:
     entry that closes the final row.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, token_bytes=lambda data: _IN_WORD[data]):
         column = pc.fill_null(column, "").cast(pa.large_string())
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
@@ -97,7 +96,7 @@ class Words:
         data = np.frombuffer(held, dtype=np.uint8) if held is not None else np.zeros(0, dtype=np.uint8)
         self.data = data[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        inside = _IN_WORD[self.data]
+        inside = token_bytes(self.data)
         before = np.zeros(len(inside) + 1, dtype=bool)
         before[1:] = inside
         after = before[1:].copy()
@@ -122,6 +121,7 @@ class Words:
         place = np.arange(self.start[0], len(self.data)) - np.repeat(self.start, upto - self.start)
         weight = powers(0x9E3779B97F4A7C15 | 1, int(place.max()) + 1)
         terms = _BYTE[self.data[self.start[0] :]] * weight[place]
+        terms[np.repeat(self.end, upto - self.start) <= np.arange(self.start[0], len(self.data))] = 0
         sums = np.add.reduceat(terms, self.start - self.start[0])
         return mix(sums ^ (self.end - self.start).astype(np.uint64))
 

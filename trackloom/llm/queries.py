@@ -1,10 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import language_id, ngram_join, substring_dedup
+from . import decontamination, language_id, ngram_join, substring_dedup, token_output
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
+    "op7_token_id_output": token_output.op7_token_id_output,
     "op9_language_id": language_id.op9_language_id,
 }
 
