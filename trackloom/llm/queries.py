@@ -1,16 +1,23 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontamination, language_id, ngram_join, substring_dedup, token_output
+import corpus_pipeline
+
+from . import decontamination, language_id, line_dedup, mixing, ngram_join, substring_dedup, token_output
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
+    "op6_source_mixing": mixing.op6_source_mixing,
     "op7_token_id_output": token_output.op7_token_id_output,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op4_ngram_jaccard_join": ngram_join.SQL,
+    "op6_source_mixing": mixing.SQL,
+    "op8_line_dedup": line_dedup.SQL,
 }
