@@ -2,16 +2,19 @@
 
 import corpus_pipeline
 
-from . import decontamination, language_id, line_dedup, mixing, ngram_join, substring_dedup, token_output
+from . import decontamination, fingerprints, html_extraction, language_id, line_dedup, mixing, ngram_join, pseudonyms, substring_dedup, token_output
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
+    "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
+    "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_token_id_output": token_output.op7_token_id_output,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
+    "op10_pii_pseudonyms": pseudonyms.op10_pii_pseudonyms,
     "pipeline": corpus_pipeline.run,
 }
 
