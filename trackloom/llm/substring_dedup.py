@@ -163,7 +163,7 @@ def _kept(window: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = 35, rounds: int = 5) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 35, rounds: int = 6) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): texts without the words of any repeated window of so many words.
 
     docs: doc_id, text and any other columns (left out). A null or empty text has no words and keeps ''. Repeated rows
