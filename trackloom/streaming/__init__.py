@@ -1,0 +1 @@
+"""All inputs are complete tables, so there are no streaming operators; the package keeps the place for them."""
