@@ -11,8 +11,10 @@ pyarrow's file systems write and read the files: file:// and, where libhdfs is i
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,38 +31,74 @@ from .common import cut, shared_dir, table
 CACHE_PIECES = 400_000
 
 
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = "".join(map(chr, [*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+_LETTERS = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+_PROBES = ["Word", "word,", "ÉTÉ!!", "straße.", "ñandú***", "çà|", "---", "LoweR?"]
+
+
 class Encoder:
-    """Encodes whole texts; equal to the tokenizer's own encode() for those that never join pieces across a blank.
+    """Encodes whole texts to what the tokenizer's own encode() gives for them.
 
-    Pieces between blanks or line feeds are encoded by the library once and looked up after that.
+    Where the tokenizer never joins pieces across a blank or line feed, and probes show it, pieces are encoded once and
+    looked up after that; where letters and punctuation are split and probes show that too, pieces of Latin letters with
+    punctuation behind them go to the tokenizer's model without its regular expressions. Other tokenizers encode whole
+    texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.code = "H" if self.dtype is np.uint16 else "I"
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 20_000):
-            part = pieces[lo : lo + 20_000]
-            whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(whole.ids, dtype=self.dtype)
-            starts = np.array([o[0] for o in whole.offsets], dtype=np.int64)
-            begins = np.cumsum([0] + [len(p) + 1 for p in part])
-            cuts = np.searchsorted(starts, begins)
-            for p, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.known[p] = ids[a:b].tobytes()
+        self.words: dict[str, bytes] = {}
+        bare = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): bare.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+        whole = [self._whole(a + b + c) for a in _PROBES for b in (" ", "\n", "  ") for c in _PROBES]
+        self.by_piece = whole == [self._whole(a) + self._whole(c) for a in _PROBES for _ in range(3) for c in _PROBES]
+        self.plain = self.by_piece and all(self._plain(p) == self._whole(p) for p in _PROBES)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            tokens = self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.letters)) if word else []
+            got = self.words[word] = array(self.code, [t.id for t in tokens]).tobytes()
+        return got
+
+    def _plain(self, piece: str) -> bytes | None:
+        """The ids of Latin letters with punctuation behind them; None for other pieces."""
+        word = piece.rstrip(_MARKS)
+        if not word or (word.isalpha() and (word.isascii() or _LATIN.fullmatch(word))):
+            return self._word(word.lower()) + self._word(piece[len(word) :])
+        return None
+
+    def _learn(self, pieces: set[str]) -> None:
+        rest = []
+        for p in pieces:
+            got = self._plain(p) if self.plain else None
+            if got is None:
+                rest.append(p)
+            else:
+                self.known[p] = got
+        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.known[p] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of dtype; a null text has none."""
+        if not self.by_piece:
+            return [self._whole(t or "") for t in texts]
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_PIECES:
-            self.known = {}
+            self.known, self.words = {}, {}
         known = self.known
-        new = [p for p in dict.fromkeys(p for own in split for p in own) if p not in known]
+        new = set().union(*split).difference(known)
         if new:
             self._learn(new)
         return [b"".join([known[p] for p in own]) for own in split]
@@ -191,7 +229,7 @@ def _reader(folder: str):
 
 def read_ids(files: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files of write_ids(), one file a task."""
-    work = files.select("file", "start").repartition("file")
+    work = files.select("file", "start").repartition(max(1, files.count()), "file")
     return work.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
