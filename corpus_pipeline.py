@@ -8,15 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm import decontamination, language_id, mixing, ngram_join, token_output
-from trackloom.llm.common import shared_dir, table
+from trackloom.llm.common import fresh, shared_dir, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells; null texts, texts without letters and ties go."""
-    told = language_id.predict(docs, language_id.learn(docs), into="_language")
-    return told.where("NOT _language.rejected").select(docs.columns)
+    into = fresh(docs, "_language")
+    told = language_id.predict(docs, language_id.learn(docs), into=into)
+    return told.where(f"NOT {into}.rejected").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't use yet."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

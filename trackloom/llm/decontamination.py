@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, row_key, signed, slices, table, window_hashes
+from .common import Words, fresh, mix, row_key, signed, slices, table, window_hashes
 
 _BASE = 0x94D049BB133111EB
 _NUMBER, _UNIT, _NAME = (mix(np.array([k], dtype=np.uint64))[0] for k in (11, 12, 13))
@@ -173,15 +173,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, literals: i
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_set("places")), lambda p: F.sequence(p, p + size - 1)))))
     held = aligned.groupBy("rk", "item_id").agg(F.max("n_tokens").alias("n_tokens"), covered.cast("long").alias("n_covered"), F.sum(F.size(F.filter("rules", lambda r: r["was"] != r["now"]))).alias("n_changed"))
     held = held.where(F.col("n_covered") >= F.ceil(F.col("n_tokens") * share))
-    ids = docs.select("doc_id", "text").withColumn("rk", row_key()).select("rk", "doc_id")
+    ids = docs.select(row_key().alias("rk"), "doc_id")
     return ids.join(held, "rk").select("rk", "doc_id", "item_id", "n_tokens", "n_covered", "n_changed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs, all columns, without the rows that hold a benchmark item."""
-    keyed = docs.withColumn("_row_key", row_key())
-    bad = find_leaks(docs, benchmark, **options).select(F.col("rk").alias("_row_key")).distinct()
-    return keyed.join(bad, "_row_key", "left_anti").select(docs.columns)
+    key = fresh(docs, "_row_key")
+    bad = find_leaks(docs, benchmark, **options).select(F.col("rk").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(docs.columns)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

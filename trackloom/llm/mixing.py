@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_PATTERN, cut, table
+from .common import WORD_PATTERN, cut, fresh, table
 
 
 def _let(x: Column, use: Callable[[Column], Column]) -> Column:
@@ -167,9 +167,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it, dealt to shards and shuffled within each."""
     seed = options.get("seed", "mix")
-    taken = mix(docs, **options).where("passes > 0").select(F.col("key").alias("_key"), F.posexplode("shards").alias("_pass", "_shard"))
-    rows = docs.withColumn("_key", unit_key()).join(taken, "_key").withColumn("_place", F.xxhash64(F.lit(seed), "_key", "_pass"))
-    return rows.repartition("_shard").sortWithinPartitions("_shard", "_place").select(docs.columns)
+    key, turn, shard, place = (fresh(docs, n) for n in ("_key", "_pass", "_shard", "_place"))
+    taken = mix(docs, **options).where("passes > 0").select(F.col("key").alias(key), F.posexplode("shards").alias(turn, shard))
+    rows = docs.withColumn(key, unit_key()).join(taken, key).withColumn(place, F.xxhash64(F.lit(seed), key, turn))
+    return rows.repartition(shard).sortWithinPartitions(shard, place).select(docs.columns)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

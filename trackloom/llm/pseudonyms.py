@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 ROUNDS = 10
 #: Days of the 400 years from 1700 on, the Gregorian cycle: 189 * 773 of them, the two ranges of the dates' network.
@@ -248,13 +248,14 @@ def pseudonymise(docs: DataFrame, key: str, count: str = "n_private") -> DataFra
     A null text stays null and counts 0. Everything outside the matches stays byte for byte.
     """
     found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    rows = docs.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
+    old, new = fresh(docs, "_found"), fresh(docs, "_new")
+    rows = docs.withColumn(old, found).withColumn(new, F.transform(old, lambda m: pseudonym(m, key)))
     parts = F.split("text", ANY, -1)
-    joined = F.array_join(F.zip_with(parts, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    n = F.aggregate(F.arrays_zip("_found", "_new"), F.lit(0).cast("long"), lambda a, z: a + (z["_found"] != z["_new"]).cast("long"))
+    joined = F.array_join(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    n = F.aggregate(F.arrays_zip(F.col(old).alias("was"), F.col(new).alias("now")), F.lit(0).cast("long"), lambda a, z: a + (z["was"] != z["now"]).cast("long"))
     rows = rows.withColumn(count, F.coalesce(n, F.lit(0).cast("long")))
-    rows = rows.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text")))
-    return rows.drop("_found", "_new")
+    rows = rows.withColumn("text", F.when(F.size(old) > 0, joined).otherwise(F.col("text")))
+    return rows.drop(old, new)
 
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
