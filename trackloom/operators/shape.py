@@ -10,7 +10,7 @@ from ..functions.scalar import attack_angle, straightness
 
 
 def resample(df: DataFrame, keys: list[str], points: int = 50) -> DataFrame:
-    """(keys, k, rx, ry): at most so many points at equal steps of arc length; a path without length stays as it is."""
+    """(keys, point, rx, ry): at most so many points at equal steps of arc length; a path without length stays as it is."""
     w = Window.partitionBy(*keys).orderBy("frame")
     dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
     df = df.select(*keys, "frame", "x", "y", F.coalesce(F.sqrt((dx * dx + dy * dy).cast("double")), F.lit(0.0)).alias("_d"))
@@ -23,9 +23,9 @@ def resample(df: DataFrame, keys: list[str], points: int = 50) -> DataFrame:
     lo = F.ceil(F.col("_arc") / step - 1e-9)
     hi = F.when(F.col("_last"), F.col("_m") - 1).otherwise(F.ceil(F.col("_arc2") / step - 1e-9) - 1)
     ks = F.when(F.col("_total") < 1e-6, F.array(F.col("_i").cast("long"))).when(lo <= hi, F.sequence(lo.cast("long"), hi.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    out = df.withColumn("k", F.explode(ks))
-    part = F.when((F.col("_total") < 1e-6) | F.col("_last") | (F.col("_arc2") <= F.col("_arc")), 0.0).otherwise((F.col("k") * step - F.col("_arc")) / (F.col("_arc2") - F.col("_arc")))
-    return out.select(*keys, "k", (F.col("x") + part * F.coalesce(F.col("_x2") - F.col("x"), F.lit(0))).alias("rx"), (F.col("y") + part * F.coalesce(F.col("_y2") - F.col("y"), F.lit(0))).alias("ry"))
+    out = df.withColumn("point", F.explode(ks))
+    part = F.when((F.col("_total") < 1e-6) | F.col("_last") | (F.col("_arc2") <= F.col("_arc")), 0.0).otherwise((F.col("point") * step - F.col("_arc")) / (F.col("_arc2") - F.col("_arc")))
+    return out.select(*keys, "point", (F.col("x") + part * F.coalesce(F.col("_x2") - F.col("x"), F.lit(0))).alias("rx"), (F.col("y") + part * F.coalesce(F.col("_y2") - F.col("y"), F.lit(0))).alias("ry"))
 
 
 def _rms(s: Column) -> Column:
@@ -56,7 +56,7 @@ def classify(df: DataFrame, keys: list[str], sign: Column | None = None, thresho
         F.count(F.lit(1)).alias("n"), (F.max_by("x", "frame") - F.min_by("x", "frame")).alias("dx"), (F.max_by("y", "frame") - F.min_by("y", "frame")).alias("dy")
     )
     path = resample(df, keys, points).groupBy(*keys).agg(
-        straightness("rx", "ry").alias("rms"), F.array_sort(F.collect_list(F.struct("k", F.col("rx").alias("x"), F.col("ry").alias("y")))).alias("path")
+        straightness("rx", "ry").alias("rms"), F.array_sort(F.collect_list(F.struct("point", F.col("rx").alias("x"), F.col("ry").alias("y")))).alias("path")
     )
     out = ends.join(path, keys).withColumn("angle", attack_angle(F.col("dx"), F.col("dy")))
     known, line = F.col("n") >= shortest, F.col("rms") <= threshold

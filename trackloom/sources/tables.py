@@ -29,7 +29,7 @@ def read_annotations(spark: SparkSession, path: str, required: list[str] = REQUI
     kinds = {x.split()[0]: x.split()[1] for x in ANNOTATION.split(", ")}
     df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
     validate_columns(df, required)
-    df = df.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns], F.col("_metadata.file_name").alias("_file"))
+    df = df.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns], F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("_file"))
     parts = F.split(F.regexp_replace("_file", r"\.csv$", ""), "_")
     df = df.where(F.size(parts) >= 3).withColumns({
         "match_id": F.regexp_replace(F.get(parts, F.lit(0)), "^DFL-MAT-", ""), "half_key": F.get(parts, F.lit(1)), "annotator": F.array_join(F.slice(parts, 3, 100), "_"),
