@@ -86,9 +86,9 @@ def annotator_pairs(annotations: DataFrame, by: list[str]) -> DataFrame:
 
 def directed_matches(annotations: DataFrame, by: list[str], tolerance: int = 0) -> DataFrame:
     """overlap_match() of all ordered pairs of annotators: (by, jid, annotator_a, annotator_b, a_id, b_id, iou, d_start, d_end)."""
-    names = annotations.select("annotator").distinct()
-    others = names.select(F.col("annotator").alias("other"))
-    a = annotations.join(F.broadcast(others), F.col("annotator") != F.col("other"))
+    names = annotations.select(*by, "annotator").distinct()
+    pairs = names.join(names.withColumnRenamed("annotator", "other"), by).where("annotator <> other")
+    a = annotations.join(pairs, [*by, "annotator"])
     left = a.withColumns({"annotator_a": F.col("annotator"), "annotator_b": F.col("other")})
     right = a.withColumns({"annotator_a": F.col("other"), "annotator_b": F.col("annotator")})
     keys = [*by, "jid", "annotator_a", "annotator_b"]

@@ -129,14 +129,19 @@ def attack_type(phases: DataFrame, keys: list[str], counter_seconds: float = 5.0
 
 
 def valley_candidates(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
-    """is_valley: local minima; a flat one counts at its middle row, and a series' ends never do. NULL counts as 0."""
-    df = islands(df.withColumn("_v", F.coalesce(v, F.lit(0.0))), keys, "_v", into="_flat")
-    flats = df.groupBy(*keys, "_flat").agg(F.first("_v").alias("_v"), F.min("frame").alias("_a"), F.max("frame").alias("_b"))
-    w = over(keys, "_flat")
-    low = (F.lag("_v").over(w) > F.col("_v")) & (F.lead("_v").over(w) > F.col("_v"))
-    middle = flats.select(*keys, F.floor((F.col("_a") + F.col("_b")) / 2).alias("frame"), F.coalesce(low, F.lit(False)).alias("is_valley"))
-    out = df.drop("_flat", "_v").join(middle.where("is_valley"), [*keys, "frame"], "left")
-    return out.withColumn("is_valley", F.coalesce("is_valley", F.lit(False)))
+    """is_valley: local minima; a flat one counts at its middle row, and a series' ends never do. NULL counts as 0.
+
+    A flat stretch's ends, and the speeds beyond them, are carried along by windows on keys, so nothing is joined.
+    """
+    w = over(keys)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    df = df.withColumn("_v", F.coalesce(v, F.lit(0.0)))
+    first = ~F.coalesce(F.lag("_v").over(w) == F.col("_v"), F.lit(False))
+    last = ~F.coalesce(F.lead("_v").over(w) == F.col("_v"), F.lit(False))
+    df = df.withColumns({"_a": F.when(first, F.struct("frame", F.lag("_v").over(w).alias("v"))), "_b": F.when(last, F.struct("frame", F.lead("_v").over(w).alias("v")))})
+    df = df.withColumns({"_a": F.last("_a", ignorenulls=True).over(back), "_b": F.first("_b", ignorenulls=True).over(ahead)})
+    low = (F.col("_a.v") > F.col("_v")) & (F.col("_b.v") > F.col("_v")) & (F.col("frame") == F.floor((F.col("_a.frame") + F.col("_b.frame")) / 2))
+    return df.withColumn("is_valley", F.coalesce(low, F.lit(False))).drop("_v", "_a", "_b")
 
 
 def suppress_near(valleys: DataFrame, keys: list[str], distance: int, v: str = "v") -> DataFrame:
