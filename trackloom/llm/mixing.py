@@ -131,12 +131,13 @@ def unit_key() -> Column:
     return F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("source"), F.col("text"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_docs: int = 4096, levels: int = 6, seed: str = "mix") -> DataFrame:
-    """(key, doc_id, source, rows, size, source_size, target, passes, shards): a row for each group of equal rows.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_docs: int = 4096, levels: int = 6, part_words: int = 20_000_000, seed: str = "mix") -> DataFrame:
+    """(key, doc_id, source, rows, size, source_size, target, passes, shards, parts): a row for each group of equal rows.
 
     docs: doc_id, source, text; other columns are left out. size is the number of words (cut at ASCII white space; a null
     text has 0) of one row, rows the number of equal rows (doc_id, source and text), which are taken together or not.
-    passes is how often they are taken, shards lists the shard of each time. Null is a source of its own; a source
+    passes is how often they are taken, shards lists the shard of each time, and parts in how many parts of about
+    part_words words a shard is written. Null is a source of its own; a source
     without words has target 0. Each source's taken words differ from its target by half of one group at most.
     """
     base = docs.select("doc_id", "source", unit_key().alias("key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"))
@@ -144,6 +145,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     sources = base.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units"))
     plan = plan_targets(sources, weights, share, most)
     plan = plan.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    parts = F.greatest(F.ceil(F.sum("target").over(Window.partitionBy()) / (part_words << levels)), F.lit(1)).cast("long")
+    plan = plan.withColumn("parts", parts)
     plan = cut(plan.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).withColumn("n_blocks", F.ceil(F.col("units") / block_docs).cast("long")))
 
     place = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -161,16 +164,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: p * F.col("n_blocks") + F.col("block"))
     shards = F.transform(draws, lambda d: F.size(F.filter("ends", lambda e: e <= d)))
     units = units.withColumn("passes", passes).withColumn("shards", F.when(F.col("passes") > 0, shards).otherwise(F.array().cast("array<int>")))
-    return units.select("key", "doc_id", "source", "rows", "size", "source_size", "target", "passes", "shards")
+    return units.select("key", "doc_id", "source", "rows", "size", "source_size", "target", "passes", "shards", "parts")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, each row as often as the mix takes it, dealt to shards and shuffled within each."""
+    """docs, all columns, each row as often as the mix takes it, dealt to shards and shuffled within each.
+
+    A shard grows with the corpus; its parts, of a bounded size, are what a task shuffles.
+    """
     seed = options.get("seed", "mix")
-    key, turn, shard, place = (fresh(docs, n) for n in ("_key", "_pass", "_shard", "_place"))
-    taken = mix(docs, **options).where("passes > 0").select(F.col("key").alias(key), F.posexplode("shards").alias(turn, shard))
+    key, turn, shard, place, part = (fresh(docs, n) for n in ("_key", "_pass", "_shard", "_place", "_part"))
+    taken = mix(docs, **options).where("passes > 0").select(F.col("key").alias(key), F.col("parts").alias(part), F.posexplode("shards").alias(turn, shard))
     rows = docs.withColumn(key, unit_key()).join(taken, key).withColumn(place, F.xxhash64(F.lit(seed), key, turn))
-    return rows.repartition(shard).sortWithinPartitions(shard, place).select(docs.columns)
+    rows = rows.withColumn(part, F.pmod(place, part))
+    return rows.repartition(shard, part).sortWithinPartitions(shard, part, place).select(docs.columns)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
