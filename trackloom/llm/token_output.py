@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import cut, shared_dir, table
 
 #: Pieces of text whose ids a worker keeps; past it, it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 
 
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
