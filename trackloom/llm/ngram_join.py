@@ -172,10 +172,11 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     base = docs.select("doc_id", "text")
     signed = cut(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, key binary, bands array<long>"))
     copies = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("rep IS NOT NULL")
-    members = cut(signed.join(copies, "key", "left"))
+    members = cut(signed.join(cut(copies), "key", "left"))  # both sides stored, so that a text of many copies is split
     nodes = members.where("doc_id = rep").select("rep", "key", "n", "bands")
     banded = nodes.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead")
+    buckets = cut(buckets)
     near = components(banded.join(buckets, "band").where("rep <> lead").select("rep", "lead"), "rep", "lead")
 
     sizes = near.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
