@@ -106,7 +106,7 @@ def _unit_keys() -> np.ndarray:
     return _UNIT_KEYS[0]
 
 
-def _windows(id_name: str, size: int, literals: int, bitmap: bytes | None, short: bool):
+def _windows(id_name: str, size: int, literals: int, bitmap: bytes | None):
     """(id, at, n, window, slots) of the windows of a text column; with a bitmap, only of those that it holds."""
     bits = None if bitmap is None else np.frombuffer(bitmap, dtype=np.uint8)
 
@@ -159,10 +159,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, literals: i
     fewer tokens than size match nothing. Repeated rows each give their rows; rk is the key of a document row.
     """
     form = "long, at long, n long, window long, slots array<string>"
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").mapInArrow(_windows("item_id", size, literals, None, True), f"item_id {form}")
+    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").mapInArrow(_windows("item_id", size, literals, None), f"item_id {form}")
     bitmap = _bitmap(items)
     own = docs.select("doc_id", "text").withColumn("rk", row_key()).select("rk", "text")
-    found = own.mapInArrow(_windows("rk", size, literals, bitmap, False), f"rk {form}")
+    found = own.mapInArrow(_windows("rk", size, literals, bitmap), f"rk {form}")
     there = items.select("item_id", F.col("at").alias("item_at"), F.col("n").alias("n_tokens"), "window", F.col("slots").alias("item_slots"))
     met = found.select("rk", "at", "window", "slots").join(there, "window")
     rule = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(F.substring_index(z["item_slots"], "\x1f", -1).alias("was"), F.substring_index(z["slots"], "\x1f", -1).alias("now")))
