@@ -52,15 +52,24 @@ def digests(column: pa.Array) -> np.ndarray:
     return out
 
 
-def encode(digest: np.ndarray) -> list[str]:
-    """Lowercase hex: the length code, then four buckets a byte."""
+def pack(digest: np.ndarray) -> list[bytes]:
+    """The length code, then four buckets a byte."""
     four = digest[:, 1:].reshape(len(digest), -1, 4)
     packed = np.concatenate([digest[:, :1], four[..., 0] | (four[..., 1] << 2) | (four[..., 2] << 4) | (four[..., 3] << 6)], axis=1)
-    return [x.tobytes().hex() for x in packed]
+    return [x.tobytes() for x in packed]
+
+
+def encode(digest: np.ndarray) -> list[str]:
+    """pack() in lowercase hex."""
+    return [x.hex() for x in pack(digest)]
 
 
 def decode(fingerprints: list[str]) -> np.ndarray:
-    packed = np.frombuffer(bytes.fromhex("".join(fingerprints)), dtype=np.uint8).reshape(len(fingerprints), -1)
+    return unpack([bytes.fromhex(x) for x in fingerprints])
+
+
+def unpack(held: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(len(held), -1)
     four = np.stack([(packed[:, 1:] >> s) & 3 for s in (0, 2, 4, 6)], axis=2)
     return np.concatenate([packed[:, :1], four.reshape(len(packed), -1)], axis=1)
 
@@ -111,7 +120,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "rk": batch.column("before").slice(a, b - a),
                 "next_id": batch.column("doc_id").slice(a, b - a),
                 "head": pa.array(heads, pa.string()),
-                "next_print": pa.array(encode(digests(part)), pa.string()).cast(pa.string()),
+                "next_print": pa.array(pack(digests(part)), pa.binary()),
             })
 
 
@@ -120,7 +129,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = batch.column("text")
         for a, b in slices(text):
             part = batch.slice(a, b - a)
-            own, edited, next_ = digests(part.column("text")), digests(part.column("edited")), decode(part.column("next_print").to_pylist())
+            own, edited, next_ = digests(part.column("text")), digests(part.column("edited")), unpack(part.column("next_print").to_pylist())
             cols = {c: part.column(c) for c in ("doc_id", "n_chars", "edited_sha256")}
             cols |= {"fingerprint": pa.array(encode(own), pa.string()), "edited_fingerprint": pa.array(encode(edited), pa.string())}
             yield pa.record_batch(cols | {"near_edited": pa.array(likeness(own, edited)), "near_next": pa.array(likeness(own, next_))})
@@ -137,7 +146,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     order = following(docs)
     before = order.select(F.col("next_rk").alias("rk"), F.col("rk").alias("before"), F.floor(F.col("n_chars") / 4).alias("quarter"))
     once = rows.join(before, "rk").select("before", "quarter", "doc_id", "text")
-    heads = once.mapInArrow(_heads, "rk long, next_id long, head string, next_print string").dropDuplicates(["rk"])
+    heads = once.mapInArrow(_heads, "rk long, next_id long, head string, next_print binary").dropDuplicates(["rk"])
     both = rows.join(heads, "rk").withColumn("n_chars", F.length("text").cast("long"))
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept), "head")).withColumn("edited_sha256", F.sha2("edited", 256))
