@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, row_key, signed, slices, table, window_hashes
+from .common import Words, mix, signed, slices, table, window_hashes
 
 _FAR = np.int64(1) << 40
 _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -117,9 +117,23 @@ def _lists(column: pa.Array) -> list:
     return [None if x is None else np.asarray(x, dtype=np.int64) for x in (column[i].values for i in range(len(column)))]
 
 
+def _without_copies(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The batch without rows that repeat the text before them, and 2 for each row that stands for such ones, else 1.
+
+    Rows come sorted by key where they were joined by it, so copies stand together; where they don't, none is left out.
+    """
+    text = batch.column("text")
+    again = np.append(False, np.diff(np.asarray(batch.column("rk"))) == 0)[: batch.num_rows]
+    for i in np.flatnonzero(again).tolist():
+        again[i] = text[i] == text[i - 1]  # null texts have no windows
+    times = np.where(np.append(again[1:], False), 2, 1)[~again]
+    return batch.filter(pa.array(~again)), times
+
+
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch, times = _without_copies(batch)
             text, key, spans = batch.column("text"), np.asarray(batch.column("rk")), batch.column("spans")
             for a, b in slices(text):
                 words = Words(text.slice(a, b - a))
@@ -130,7 +144,7 @@ def _windows(window: int):
                 at, one, two = at[first], one[first], two[first]
                 row = words.row[at]
                 place = (at - words.first[row]).astype(np.int64)
-                yield pa.record_batch({"one": signed(one), "two": signed(two), "rk": pa.array(key[a:b][row]), "place": pa.array(place), "n": pa.array(n)})
+                yield pa.record_batch({"one": signed(one), "two": signed(two), "rk": pa.array(key[a:b][row]), "place": pa.array(place), "n": pa.array(n * times[a:b][row])})
 
     return run
 
@@ -173,7 +187,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, rounds: int = 6) -> Data
     """
     if not 1 <= window <= 4000:
         raise ValueError("window must be 1 to 4000 words")
-    rows = docs.select("doc_id", "text").withColumn("rk", row_key())
+    rows = docs.select("doc_id", "text").withColumn("rk", F.xxhash64(F.lit("text"), "text"))  # copies share it, and no proof is theirs
     symbols = rows.select("rk", "text").mapInArrow(_symbols(window, rounds), "name long, rk long, span long, n long")
     proofs = _singles(symbols, ["name"], "span").select("rk", F.col("span").alias("v")).groupBy("rk").agg(F.collect_list("v").alias("spans"))
     marked = rows.join(proofs, "rk", "left")  # read twice, with the same columns, so that its shuffles are written once
