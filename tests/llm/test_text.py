@@ -187,6 +187,21 @@ def test_language_edges(spark):
     assert language_id.predict(ask.where("false"), known).count() == 0 and language_id.learn(ask.where("false")) == {}
 
 
+def test_languages_made_of_copies_are_learned_from_distinct_texts(spark):
+    """Few texts in many copies, one text in most rows, and texts whose letters come late."""
+    from pyspark.sql import functions as F
+
+    few = spark.range(40_000).select(F.concat(F.lit("the cat number "), F.translate((F.col("id") % 5).cast("string"), "01234", "abcde")).alias("text"), F.lit("en").alias("lang"))
+    hot = spark.range(3000).select(F.lit("der hund ist in dem haus").alias("text"), F.lit("de").alias("lang"))
+    rest = spark.createDataFrame([(f"{w} die katze", "de") for w in prose(300, 6).replace("w", "").translate(str.maketrans("0123456789", "abcdefghij")).split()], "text string, lang string")
+    late = spark.createDataFrame([("7 " * 3000 + "le chat", "fr"), ("12 34", "xx")], "text string, lang string")
+    table = few.unionByName(hot).unionByName(rest).unionByName(late)
+    known = language_id.learn(table)
+    assert set(known) == {"en", "de", "fr"} and known["fr"] == b" le chat"
+    assert sorted(re.findall(r"number (\w)", known["en"].decode())) == list("abcde")
+    assert known["de"].count(b"der hund") == 1 and known["de"].count(b"die katze") == rest.distinct().count()
+
+
 def plain_noise(key, kind, i, x):
     return int(hashlib.sha256(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()[:15], 16)
 

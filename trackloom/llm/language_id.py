@@ -29,26 +29,29 @@ def letters(text: str | None) -> str:
 
 
 def learn(labelled: DataFrame, texts_per_language: int = 400, dictionary_bytes: int = 32_768) -> dict[str, bytes]:
-    """A dictionary for each language of (text, lang); rows with a null in either are left out.
+    """A dictionary for each language of (text, lang); rows with a null in either or without a letter are left out.
 
-    The sample is bounded: the texts_per_language texts of smallest hash, and dictionary_bytes of them. The counts that
-    set how much of the table is looked at cover all rows. At most MOST_LANGUAGES languages.
+    The sample is bounded: the texts_per_language distinct texts of smallest hash, and dictionary_bytes of them; copies of
+    a text count once. The counts that set how much of the table is looked at cover all distinct texts. Each language
+    with a letter in its texts gets a dictionary. At most MOST_LANGUAGES languages.
     """
-    known = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    known = labelled.select("text", "lang", F.xxhash64("text").alias("place")).where(r"lang IS NOT NULL AND text RLIKE '\\p{L}'")
+    counts = known.select("lang", "place").distinct().groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return {}
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4.0 * texts_per_language / r["count"]))]), F.col("lang"))
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     first = Window.partitionBy("lang").orderBy("place", "text")
-    part = F.substring("text", 1, max(1000, 8 * dictionary_bytes // texts_per_language))
-    few = known.withColumn("place", place).where(F.col("place") <= share * (1 << 40)).withColumn("rank", F.row_number().over(first))
+    part = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max(1000, 8 * dictionary_bytes // texts_per_language) - 1}}}", 0)
+    few = known.where(F.shiftrightunsigned("place", 24) <= share * (1 << 40)).distinct().withColumn("rank", F.row_number().over(first))
     few = few.where(F.col("rank") <= texts_per_language).select("lang", "rank", part.alias("part")).collect()
     found: dict[str, bytes] = {}
     for r in sorted(few, key=lambda r: (r["lang"], r["rank"])):
         found[r["lang"]] = (found.get(r["lang"], b"") + b" " + letters(r["part"]).encode())[:dictionary_bytes]
+    missing = sorted({r["lang"] for r in counts} - set(found))
+    if missing:
+        raise RuntimeError(f"no dictionary for {missing}")
     return found
 
 
