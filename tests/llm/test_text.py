@@ -27,6 +27,18 @@ def test_leaks_and_other_parameters(spark):
     assert [r["doc_id"] for r in found] == [2]  # one value of the item can't be five of the document
 
 
+def test_equal_values_of_an_item_may_change_apart(spark):
+    """One of two equal numbers changed in an otherwise verbatim item; windows against the majority alone are dropped."""
+    head, tail = ("every day before the long winter began a farmer went down to the old market near the river and bought", "for the children of the village school so that each of them could take some home after the lesson")
+    item = f"{head} 2 red and 2 blue balls {tail}"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = {1: item, 2: item.replace("2 blue", "3 blue"), 3: item.replace("2", "7"), 4: item.replace("2 red", "8 red").replace("2 blue", "9 blue")}
+    got = {r["doc_id"]: (r["n_covered"], r["n_changed"]) for r in decontamination.find_leaks(docs(spark, rows), bench).collect()}
+    n, red, blue = len(item.split()), item.split().index("red") - 1, item.split().index("blue") - 1
+    assert got == {1: (n, 0), 2: (n - 1, 1), 3: (n, 1), 4: (n - (blue - red + 1), 2)}
+    assert [r["doc_id"] for r in decontamination.decontaminate(docs(spark, {**rows, 5: "clean"}), bench).collect()] == [5]
+
+
 def test_decontaminate_keeps_columns_and_clean_rows(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     table = docs(spark, [(1, ITEM), (2, "clean"), (2, "clean"), (3, None)]).withColumnRenamed("_key", "_row_key")

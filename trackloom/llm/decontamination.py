@@ -3,8 +3,9 @@
 Texts become template tokens: case and punctuation go, and numbers, units behind a number and names inside a sentence
 become typed placeholders whose own text is kept as a slot. Windows of template tokens are hash-joined with the windows
 of all benchmark items. The matches of one document with one item on one alignment must fill the item's slots by a rule:
-equal values of the item always with one value of the document. So a question with other numbers, names or units is
-found, and a chance match of a frame is not.
+equal values of the item change to one value of the document, the one that most of their places read. Windows with a
+slot that changes otherwise are dropped; those of literals and unchanged slots alone match word for word and stay. So a
+question with other numbers, names or units is found, and a chance match of a frame is not.
 
 A bitmap of fixed size over the benchmark's window hashes lets tasks drop windows that can't match before the shuffle;
 the join itself is exact and takes benchmarks of any size.
@@ -12,6 +13,7 @@ the join itself is exact and takes benchmarks of any size.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,12 +152,42 @@ def _bitmap(windows: DataFrame) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
+def _reading(windows: list[dict]) -> tuple[list[int], int]:
+    """Of an alignment's windows: the places in the item of those that keep the rule, and how many slot values differ.
+
+    A value of the item is read as most of its places read it; where no reading leads, only unchanged slots keep the rule.
+    """
+    slots = [[(w["item_at"] + int(x.split("\x1f", 1)[0]), *(y.split("\x1f", 1)[1] for y in (x, z))) for x, z in zip(w["item_slots"], w["slots"], strict=True)] for w in windows]
+    votes: dict[str, Counter] = {}
+    for _, was, now in {x for own in slots for x in own}:
+        votes.setdefault(was, Counter())[now] += 1
+    read = {}
+    for was, own in votes.items():
+        most = max(own.values())
+        first = [now for now, n in own.items() if n == most]
+        read[was] = first[0] if len(first) == 1 else was
+    kept = sorted({w["item_at"] for w, own in zip(windows, slots, strict=True) if all(now in (was, read[was]) for _, was, now in own)})
+    return kept, sum(was != now for was, own in votes.items() for now in own)
+
+
+def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rk, item_id, n_tokens, places, n_changed) of alignments; those without a window that keeps the rule go."""
+    for batch in batches:
+        got = [_reading(w) for w in batch.column("windows").to_pylist()]
+        out = pa.record_batch({
+            **{c: batch.column(c) for c in ("rk", "item_id", "n_tokens")},
+            "places": pa.array([kept for kept, _ in got], pa.list_(pa.int64())),
+            "n_changed": pa.array([n for _, n in got], pa.int64()),
+        })
+        yield out.filter(pa.array([bool(kept) for kept, _ in got], pa.bool_()))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, literals: int = 3, share: float = 0.5) -> DataFrame:
     """(rk, doc_id, item_id, n_tokens, n_covered, n_changed) of each document and benchmark item that it holds.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are left out. A document holds an item if windows on
-    consistent alignments cover share of the item's template tokens or more; n_changed is the number of slot values
-    that differ. Windows have size tokens, of which literals are no placeholders. Null or empty texts and items of
+    alignments, without those against the alignment's rule, cover share of the item's template tokens or more; n_changed
+    is the number of slot values that differ on these alignments. Windows have size tokens, of which literals are no placeholders. Null or empty texts and items of
     fewer tokens than size match nothing. Repeated rows each give their rows; rk is the key of a document row.
     """
     form = "long, at long, n long, window long, slots array<string>"
@@ -165,13 +197,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, literals: i
     found = own.mapInArrow(_windows("rk", size, literals, bitmap), f"rk {form}")
     there = items.select("item_id", F.col("at").alias("item_at"), F.col("n").alias("n_tokens"), "window", F.col("slots").alias("item_slots"))
     met = found.select("rk", "at", "window", "slots").join(there, "window")
-    rule = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(F.substring_index(z["item_slots"], "\x1f", -1).alias("was"), F.substring_index(z["slots"], "\x1f", -1).alias("now")))
-    aligned = met.groupBy("rk", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.max("n_tokens").alias("n_tokens"), F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(rule))).alias("rules")
-    )
-    aligned = aligned.where(F.size("rules") == F.size(F.array_distinct(F.transform("rules", lambda r: r["was"]))))
+    window = F.struct("item_at", "item_slots", "slots")
+    aligned = met.groupBy("rk", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.max("n_tokens").alias("n_tokens"), F.collect_set(window).alias("windows"))
+    aligned = aligned.drop("shift").mapInArrow(_readings, "rk long, item_id long, n_tokens long, places array<long>, n_changed long")
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_set("places")), lambda p: F.sequence(p, p + size - 1)))))
-    held = aligned.groupBy("rk", "item_id").agg(F.max("n_tokens").alias("n_tokens"), covered.cast("long").alias("n_covered"), F.sum(F.size(F.filter("rules", lambda r: r["was"] != r["now"]))).alias("n_changed"))
+    held = aligned.groupBy("rk", "item_id").agg(F.max("n_tokens").alias("n_tokens"), covered.cast("long").alias("n_covered"), F.sum("n_changed").alias("n_changed"))
     held = held.where(F.col("n_covered") >= F.ceil(F.col("n_tokens") * share))
     ids = docs.select(row_key().alias("rk"), "doc_id")
     return ids.join(held, "rk").select("rk", "doc_id", "item_id", "n_tokens", "n_covered", "n_changed")
