@@ -79,6 +79,27 @@ def test_pages():
     assert html_extraction.main_text(None) == html_extraction.main_text("") == ""
 
 
+RUNNING = "This is the text of a page that is marked by mistake, and it is long enough to stand on its own as it is here. " * 3
+OPENINGS = ['<div class="has-sidebar">', '<div class="with-comments">', '<section id="no-banner">', '<div class="share-enabled">', '<div role="banner">', "<form>", '<form class="nav"><div id="pageWidget">']
+
+
+@pytest.mark.parametrize("opening", OPENINGS)
+def test_wrappers_marked_by_mistake_keep_their_text(opening):
+    text, closing = RUNNING.strip(), "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opening)))
+    side = f'<div class="sidebar"><p>{"Read more of what we have for you in all of the other parts of the site. " * 3}</p></div><footer>{text}</footer>'
+    for inner in (f"<p>{text}</p><p>{text}</p>", f"<article><p>{text}</p><p>{text}</p></article>", f"<main><p>{text}</p><p>{text}</p></main>"):
+        assert html_extraction.main_text(f"<body>{opening}{inner}{side}{closing}</body>").split("\n") == [text, text]
+
+
+def test_marked_parts_beside_the_text_stay_out():
+    text = RUNNING.strip()
+    comments = f'<div id="comments"><article class="comment-body"><p>{text}</p></article><article><p>{text * 4}</p></article></div>'
+    for page in (f"<div><p>{text}</p></div>{comments}", f"<article><p>{text}</p></article>{comments}", f'<div class="has-sidebar"><p>{text}</p>{comments}</div>'):
+        assert html_extraction.main_text(page) == text
+    assert html_extraction.main_text(comments).split("\n") == [text, text * 4]  # a page of comments alone
+    assert html_extraction.main_text("".join(f'<div class="widget"><p>{text}</p></div>' for _ in range(5))).split("\n") == [text] * 5
+
+
 def test_pages_of_the_table(spark, data):
     """Against the article cut out by its own tags."""
     import html

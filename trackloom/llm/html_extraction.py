@@ -5,6 +5,10 @@ stop words, and by where it stands (a menu, footer or form is never text). Short
 open. The second pass lets each open block inherit from its nearest decided neighbours: between two good ones it is good,
 between two bad ones bad, and between a good and a bad one it goes with the nearer.
 
+Marks of page furniture by kind of element are certain. Those by class, id, role or form are presumed: they don't reach
+into a nested article or main, and are taken back from an element that holds most of the page's text. Sections of
+comments and teasers, which may be longer than the text, keep theirs as long as there is text outside of them.
+
 Parsing is forgiving: unclosed and stray tags are passed over, and a page without any tag is one block.
 """
 
@@ -13,6 +17,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +39,7 @@ _STOPS = {k: frozenset(v) for k, v in STOP_WORDS.items()}
 #: Elements whose content is no text, to their end tag.
 _OPAQUE = frozenset("script style noscript template textarea select option button svg math iframe object canvas audio video head title".split())
 #: Elements that hold page furniture.
-_FURNITURE = frozenset("nav footer aside form menu dialog".split())
+_FURNITURE = frozenset("nav footer aside menu dialog".split())
 _ARTICLE = frozenset("article main".split())
 #: Elements that begin and end blocks.
 _BLOCK = frozenset(
@@ -47,6 +52,9 @@ _NOTES = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices notification paywall popup privacy promo promoted promotion related reply replies share sharing "
     "sidebar signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split()
 )
+#: A class or id that begins with one of _APART, and doesn't end with one of _STATES, names a section of other texts.
+_APART = frozenset("comment comments commentlist disqus reply replies related teaser promo promoted sponsored".split())
+_STATES = frozenset("enabled disabled open closed on off active allowed".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.DOTALL)
 _NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -71,22 +79,27 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     furniture: bool = False
+    marks: tuple[tuple[int, bool], ...] = ()  # presumed ones: (number, apart)
     article: bool = False
     heading: bool = False
     text: str = ""
     label: str = ""
 
 
-def _marks(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds page furniture by its kind, role, class or id."""
-    if tag in _FURNITURE or (tag == "header" and not in_article) or (attributes and _HIDDEN.search(attributes)):
-        return True
+def _certain(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element holds page furniture by its kind, or is hidden."""
+    return tag in _FURNITURE or (tag == "header" and not in_article) or bool(attributes and _HIDDEN.search(attributes))
+
+
+def _presumed(tag: str, attributes: str) -> bool | None:
+    """Whether an element that is marked by role, class or id, or as a form, is a section of other texts; None without a mark."""
     if tag in _ARTICLE | {"body", "html"}:
-        return bool(attributes) and tag == "article" and any(w in ("comment", "reply", "teaser", "ad") for w in _words(attributes))
-    if not attributes:
-        return False
-    role = _ROLE.search(attributes)
-    return bool(role and role[1].lower() in _ROLES) or any(w in _NOTES for w in _words(attributes))
+        return True if attributes and tag == "article" and any(w in ("comment", "reply", "teaser", "ad") for w in _words(attributes)) else None
+    role = _ROLE.search(attributes) if attributes else None
+    if tag != "form" and not (role and role[1].lower() in _ROLES) and not any(w in _NOTES for w in _words(attributes)):
+        return None
+    names = [_words(f'class="{n}"') for a, b, c in _NAMED.findall(attributes) for n in (a or b or c).split()]
+    return any(n[0] in _APART and n[-1] not in _STATES for n in names)
 
 
 def _words(attributes: str) -> list[str]:
@@ -97,8 +110,8 @@ def _words(attributes: str) -> list[str]:
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page, in order, with their text and where they stand."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # (tag, furniture, article), each with what its ancestors say
-    now, links, at, breaks = Block(), 0, 0, 0
+    stack: list[tuple[str, bool, bool, tuple]] = []  # (tag, furniture, article, marks), each with what its ancestors say
+    now, links, at, breaks, marked = Block(), 0, 0, 0, 0
 
     def close(heading: bool = False) -> None:
         nonlocal now
@@ -107,8 +120,8 @@ def blocks(page: str) -> list[Block]:
             if text:
                 now.text = text
                 found.append(now)
-        state = stack[-1] if stack else ("", False, False)
-        now = Block(furniture=state[1], article=state[2], heading=heading)
+        state = stack[-1] if stack else ("", False, False, ())
+        now = Block(furniture=state[1], article=state[2], marks=state[3], heading=heading)
 
     def add(text: str) -> None:
         if text:
@@ -154,12 +167,18 @@ def blocks(page: str) -> list[Block]:
             elif tag not in _VOID and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or attributes:
                 if tag == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
-                furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                furniture, article, marks = stack[-1][1:] if stack else (False, False, ())
                 if tag not in _VOID and not attributes.endswith("/"):
                     if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and stack and stack[-1][0] == tag:
-                        furniture, article = (stack[-2][1], stack[-2][2]) if len(stack) > 1 else (False, False)
+                        furniture, article, marks = stack[-2][1:] if len(stack) > 1 else (False, False, ())
                         stack.pop()
-                    stack.append((tag, furniture or _marks(tag, attributes, article), article or tag in _ARTICLE))
+                    if tag in _ARTICLE:
+                        marks = tuple(m for m in marks if m[1])
+                    apart = _presumed(tag, attributes)
+                    if apart is not None:
+                        marked += 1
+                        marks = (*marks, (marked, apart))
+                    stack.append((tag, furniture or _certain(tag, attributes, article), article or tag in _ARTICLE, marks))
             elif tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
             close(not closing and tag[0] == "h" and tag[1:].isdigit())
@@ -173,39 +192,66 @@ def stop_density(text: str) -> float:
     return max(sum(w in s for w in words) for s in _STOPS.values()) / len(words) if words else 0.0
 
 
-def judge(found: list[Block], rules: Rules) -> None:
-    """Labels blocks good or bad in two passes; '' between them is open."""
-    for b in found:
-        density = b.linked / len(b.text)
-        if b.furniture or density > rules.most_links or (not b.article and re.match(r"\W*(©|\(c\)|copyright)", b.text, re.IGNORECASE)):
-            b.label = "bad"
-        elif len(b.text) < rules.short:
-            b.label = "bad" if b.linked and not b.article else ""
-        else:
-            stops = stop_density(b.text)
-            if stops >= rules.high_stops:
-                b.label = "good" if len(b.text) >= rules.long or b.article else ""
-            elif stops < rules.low_stops and not b.article:
-                b.label = "bad"
-    held = any(b.article and not b.furniture for b in found)
-    decided = [i for i, b in enumerate(found) if b.label]
+def _first(b: Block, rules: Rules) -> str:
+    """A block's label by itself, without presumed marks."""
+    density = b.linked / len(b.text)
+    if b.furniture or density > rules.most_links or (not b.article and re.match(r"\W*(©|\(c\)|copyright)", b.text, re.IGNORECASE)):
+        return "bad"
+    if len(b.text) < rules.short:
+        return "bad" if b.linked and not b.article else ""
+    stops = stop_density(b.text)
+    if stops >= rules.high_stops:
+        return "good" if len(b.text) >= rules.long or b.article else ""
+    return "bad" if stops < rules.low_stops and not b.article else ""
+
+
+def _second(found: list[Block], first: list[str], shut: list[bool], rules: Rules) -> list[str]:
+    """All labels, from those of the first pass; shut has the blocks that are page furniture."""
+    first = ["bad" if s else label for s, label in zip(shut, first, strict=True)]
+    held = any(b.article and not s for b, s in zip(found, shut, strict=True))
+    decided = [i for i, label in enumerate(first) if label]
     labels = []
     for i, b in enumerate(found):
-        if b.label:
-            labels.append(b.label)
+        if first[i]:
+            labels.append(first[i])
             continue
         k = bisect.bisect(decided, i)
         near = [n for n in (*decided[max(0, k - 1) : k], *decided[k : k + 1]) if found[n].article == b.article]
-        if b.article and not any(found[k].label == "good" for k in near):
+        if b.article and not any(first[k] == "good" for k in near):
             labels.append("good")  # an article's open blocks are text unless its own neighbours say otherwise
         elif held and not b.article:
             labels.append("bad")
         elif not near:
             labels.append("good" if not decided and stop_density(b.text) >= rules.low_stops else "bad")
         else:
-            nearest = min(near, key=lambda k: (sum(len(x.text) for x in found[min(k, i) + 1 : max(k, i)]), found[k].label == "bad"))
-            labels.append("good" if b.article else found[nearest].label)
-    for b, label in zip(found, labels, strict=True):
+            nearest = min(near, key=lambda k: (sum(len(x.text) for x in found[min(k, i) + 1 : max(k, i)]), first[k] == "bad"))
+            labels.append("good" if b.article else first[nearest])
+    return labels
+
+
+def _taken_back(found: list[Block], labels: list[str]) -> set[tuple[int, bool]]:
+    """The presumed marks that don't hold, by the labels that blocks have without such marks."""
+    text = [(len(b.text), b.marks) for b, label in zip(found, labels, strict=True) if label == "good"]
+    own = [(n, marks) for n, marks in text if not any(apart for _, apart in marks)]
+    back = {m for _, marks in text for m in marks if m[1]} if not own else set()
+    share = Counter()
+    for n, marks in own or text:
+        share.update({m: n for m in marks if not m[1]})
+    total = sum(n for n, _ in own or text)
+    back |= {m for m, n in share.items() if 2 * n > total}
+    if own and all(set(marks) - back for _, marks in own):
+        back |= set(share)  # many small elements hold all of the text
+    return back
+
+
+def judge(found: list[Block], rules: Rules) -> None:
+    """Labels blocks good or bad in two passes; '' between them is open."""
+    first = [_first(b, rules) for b in found]
+    shut = [b.furniture for b in found]
+    if any(b.marks for b in found):
+        back = _taken_back(found, _second(found, first, shut, rules))
+        shut = [b.furniture or any(m not in back for m in b.marks) for b in found]
+    for b, label in zip(found, _second(found, first, shut, rules), strict=True):
         b.label = label
 
 
