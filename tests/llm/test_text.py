@@ -170,6 +170,23 @@ def test_ids_equal_the_library(name):
         assert np.frombuffer(got, dtype=own.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_ids_of_random_texts_with_a_small_cache(monkeypatch):
+    """Pieces that leave the cache and come back, of letters, marks and digits in any order."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_output, "CACHE_PIECES", 60)
+    own, library, draw = token_output.Encoder(path), Tokenizer.from_file(path), random.Random(9)
+    parts = ["the", "The", "Éa", "ß", "straße", "ñu", "x" * 40, "don't", "'s", "...", "!?", "***", "12", "3.5", "日本", "é", "_a", "co-op", "e\u0301", "\u00a0", "\t", "<|endoftext|>"]
+    for _ in range(60):
+        texts = ["".join(draw.choice(parts) + draw.choice(["", "", " ", "\n", "  "]) for _ in range(draw.randrange(12))) for _ in range(20)]
+        for text, got in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(got, dtype=own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(own.known) + len(own.older) < 600
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, shared_dir, table
+from .common import cut, shared_dir, slices, table
 
-#: Pieces of text whose ids a worker keeps; past it, it starts anew.
-CACHE_PIECES = 100_000
+#: Pieces of text and words whose ids a worker keeps at most, in two generations.
+CACHE_PIECES = 200_000
 
 
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -55,7 +55,7 @@ class Encoder:
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.code = "H" if self.dtype is np.uint16 else "I"
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         bare = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): bare.pre_tokenize_str(c)[0][0] for c in _LETTERS}
         whole = [self._whole(a + b + c) for a in _PROBES for b in (" ", "\n", "  ") for c in _PROBES]
@@ -66,41 +66,52 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            tokens = self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.letters)) if word else []
-            got = self.words[word] = array(self.code, [t.id for t in tokens]).tobytes()
-        return got
+        """The model's ids of a word in lower case, or of a run of punctuation."""
+        tokens = self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.letters)) if word else []
+        return array(self.code, [t.id for t in tokens]).tobytes()
 
     def _plain(self, piece: str) -> bytes | None:
         """The ids of Latin letters with punctuation behind them; None for other pieces."""
         word = piece.rstrip(_MARKS)
-        if not word or (word.isalpha() and (word.isascii() or _LATIN.fullmatch(word))):
-            return self._word(word.lower()) + self._word(piece[len(word) :])
-        return None
+        if word and not (word.isalpha() if word.isascii() else _LATIN.fullmatch(word)):
+            return None
+        known, older, found = self.known, self.older, b""
+        for part in (word.lower(), piece[len(word) :]):
+            if part:
+                got = known.get(part)
+                if got is None:
+                    got = known[part] = older.get(part) or self._word(part)
+                found += got
+        return found
 
     def _learn(self, pieces: set[str]) -> None:
-        rest = []
+        """Puts pieces into the newer generation: from the older one, or encoded."""
+        known, older, rest = self.known, self.older, []
         for p in pieces:
-            got = self._plain(p) if self.plain else None
+            got = older.get(p)
+            if got is None and self.plain:
+                got = self._plain(p)
             if got is None:
                 rest.append(p)
             else:
-                self.known[p] = got
+                known[p] = got
         for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[p] = array(self.code, e.ids).tobytes()
+            known[p] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as bytes of dtype; a null text has none."""
+        """The ids of each text, as bytes of dtype; a null text has none.
+
+        When the newer generation of known pieces is full it becomes the older one, so that pieces in use stay known.
+        """
         if not self.by_piece:
             return [self._whole(t or "") for t in texts]
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.words = {}, {}
-        known = self.known
-        new = set().union(*split).difference(known)
+        if len(self.known) > CACHE_PIECES // 2:
+            self.known, self.older = {}, self.known
+        new = set().union(*split).difference(self.known)
         if new:
             self._learn(new)
+        known = self.known
         return [b"".join([known[p] for p in own]) for own in split]
 
 
@@ -172,8 +183,8 @@ def _writer(path: str, folder: str, end_id: int, length: int, rows: int):
         with system.open_output_stream(draft) as sink:
             packer = _Packer(sink, own.dtype, length, rows)
             for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    some = batch.slice(lo, 256)
+                for a, b in slices(batch.column("text")):
+                    some = batch.slice(a, b - a)
                     for doc_id, got in zip(some.column("doc_id").to_pylist(), own.encode(some.column("text").to_pylist()), strict=True):
                         held = np.concatenate([np.frombuffer(got, dtype=own.dtype), end])
                         packer.add(doc_id, held)
