@@ -11,6 +11,7 @@ pyarrow's file systems write and read the files: file:// and, where libhdfs is i
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -28,22 +29,29 @@ from pyspark.sql.window import Window
 from .common import cut, shared_dir, slices, table
 
 #: Pieces of text and words whose ids a worker keeps at most, in two generations.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 
 
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_MARKS = "".join(map(chr, [*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+#: How the pre-tokenizer of a vocabulary of words with ends cuts a text in lower case.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts of ASCII and Latin-1 letters, and the same cut for them, in lower case.
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*+")
+_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
 _LETTERS = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
-_PROBES = ["Word", "word,", "ÉTÉ!!", "straße.", "ñandú***", "çà|", "---", "LoweR?"]
+_PROBES = ["Word", "word,", "ÉTÉ!!", "straße.", "ñandú***", "çà|", "---", "LoweR?", "it's", "A1b'LL22", "x--'s"]
+
+
+def _is_plain(text: str) -> bool:
+    """Whether _WORDS cuts a text as the tokenizer does: none of its special tokens can be in it."""
+    return _PLAIN.fullmatch(text) is not None and "<|" not in text
 
 
 class Encoder:
     """Encodes whole texts to what the tokenizer's own encode() gives for them.
 
     Where the tokenizer never joins pieces across a blank or line feed, and probes show it, pieces are encoded once and
-    looked up after that; where letters and punctuation are split and probes show that too, pieces of Latin letters with
-    punctuation behind them go to the tokenizer's model without its regular expressions. Other tokenizers encode whole
-    texts.
+    looked up after that. Where it cuts texts as _SPLIT says, and probes show that too, texts of ASCII and Latin-1
+    letters are cut here and their words go to the tokenizer's model, once each. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -60,37 +68,31 @@ class Encoder:
         self.letters = {ord(c): bare.pre_tokenize_str(c)[0][0] for c in _LETTERS}
         whole = [self._whole(a + b + c) for a in _PROBES for b in (" ", "\n", "  ") for c in _PROBES]
         self.by_piece = whole == [self._whole(a) + self._whole(c) for a in _PROBES for _ in range(3) for c in _PROBES]
-        self.plain = self.by_piece and all(self._plain(p) == self._whole(p) for p in _PROBES)
+        steps = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+        cut_so = any(x.get("pattern") == {"Regex": _SPLIT} for x in steps)
+        self.plain = self.by_piece and cut_so and all(self._joined(p) == self._whole(p) for p in _PROBES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """The model's ids of a word in lower case, or of a run of punctuation."""
-        tokens = self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.letters)) if word else []
+        """The model's ids of one of the pieces that _WORDS cuts."""
+        tokens = self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.letters))
         return array(self.code, [t.id for t in tokens]).tobytes()
 
-    def _plain(self, piece: str) -> bytes | None:
-        """The ids of Latin letters with punctuation behind them; None for other pieces."""
-        word = piece.rstrip(_MARKS)
-        if word and not (word.isalpha() if word.isascii() else _LATIN.fullmatch(word)):
-            return None
-        known, older, found = self.known, self.older, b""
-        for part in (word.lower(), piece[len(word) :]):
-            if part:
-                got = known.get(part)
-                if got is None:
-                    got = known[part] = older.get(part) or self._word(part)
-                found += got
-        return found
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Puts pieces into the newer generation: from the older one, or encoded."""
-        known, older, rest = self.known, self.older, []
+    def _joined(self, text: str) -> bytes:
+        return b"".join([self._word(w) for w in _WORDS.findall(text.lower())])
+
+    def _learn(self, words: set[str], pieces: set[str]) -> None:
+        """Puts what is new into the newer generation: from the older one, or encoded."""
+        known, older, rest, word = self.known, self.older, [], self._word
+        for w in words:
+            got = older.get(w)
+            known[w] = word(w) if got is None else got
         for p in pieces:
             got = older.get(p)
-            if got is None and self.plain:
-                got = self._plain(p)
+            if got is None and self.plain and _is_plain(p):
+                got = self._joined(p)
             if got is None:
                 rest.append(p)
             else:
@@ -105,14 +107,15 @@ class Encoder:
         """
         if not self.by_piece:
             return [self._whole(t or "") for t in texts]
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_PIECES // 2:
             self.known, self.older = {}, self.known
-        new = set().union(*split).difference(self.known)
-        if new:
-            self._learn(new)
+        cut_here = [self.plain and _is_plain(t or "") for t in texts]
+        split = [_WORDS.findall((t or "").lower()) if c else (t or "").replace("\n", " ").split(" ") for t, c in zip(texts, cut_here, strict=True)]
+        words, pieces = (set().union(*[own for own, c in zip(split, cut_here, strict=True) if c is kind]).difference(self.known) for kind in (True, False))
+        if words or pieces:
+            self._learn(words, pieces)
         known = self.known
-        return [b"".join([known[p] for p in own]) for own in split]
+        return [b"".join(map(known.__getitem__, own)) for own in split]
 
 
 _ENCODERS: dict[str, Encoder] = {}
