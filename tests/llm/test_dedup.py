@@ -170,3 +170,45 @@ def test_kept_text_hash(spark, data):
     got = substring_dedup.op1_substring_dedup(spark, data).where("n_removed = 0").limit(1).collect()[0]
     text = spark.read.parquet(f"{data}/documents.parquet").where(f"doc_id = {got['doc_id']}").collect()[0]["text"]
     assert got["kept_sha256"] == hashlib.sha256(" ".join(words(text)).encode()).hexdigest()
+
+
+def test_join_of_rows_without_own_ids(spark):
+    """Rows that repeat, share an id or have none, against brute force by row."""
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "x y z"), (3, "p q r s t u"), (4, "x y z"), (5, "p q r s t u"), (None, "g h i j k"), (6, "g h i j k"), (7, None), (None, None), (8, "lone words here")]
+    rows += [(None if i % 3 == 0 else i // 2, t) for i, t in near_copies(3, 8)]
+    ids = [(i is None, i, t or "") for i, t in rows]
+    near = plain_join([(k, t) for k, (_, t) in enumerate(rows)])
+    group = {}
+    for k, c, _ in near:
+        group.setdefault(c, []).append(k)
+    low = {k: min(ids[j] for j in own)[1] for own in group.values() for k in own}
+    got = Counter(map(tuple, ngram_join.ngram_join(docs(spark, rows)).collect()))
+    assert got == Counter((rows[k][0], low[k], n) for k, _, n in near)
+    kept = ngram_join.without_near_duplicates(docs(spark, rows).withColumnRenamed("n", "_rk"))
+    want = Counter(min(((ids[j][0], ids[j][1] or 0), rows[j]) for j in own)[1][0] for own in group.values())
+    assert Counter(r["doc_id"] for r in kept.collect()) == want and kept.columns[-2] == "_rk"
+
+
+def test_long_chains_are_verified_by_bucket(spark):
+    """Neighbours share candidates with neighbours: a component far larger than its buckets."""
+    series = prose(10 * 100 + 120, 77, 10**6).split()
+    rows = [(i, " ".join(series[10 * i : 10 * i + 120])) for i in range(100)]
+    assert sorted(map(tuple, ngram_join.ngram_join(docs(spark, rows), block=24).collect())) == plain_join(rows)
+
+
+def test_copies_are_spread(spark):
+    """A text in most rows: no partition gets all of them, and what they hold is found."""
+    rows = [(i, prose(60, 4)) for i in range(900)] + [(1000 + i, prose(60, 100 + i)) for i in range(300)] + [(2000, prose(20, 3) + " " + prose(60, 4) + " tail")]
+    rows += [(None, prose(60, 4)), (None, "short text"), (None, "short text")]
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = substring_dedup.dedup_substrings(docs(spark, rows))
+        sizes = [r[0] for r in out.selectExpr("spark_partition_id() AS p").groupBy("p").count().select("count").collect()]
+        got = sorted([tuple(r) for r in out.collect()], key=repr)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == plain_substrings(rows, 35) and max(sizes) < 250

@@ -52,6 +52,11 @@ def row_key() -> F.Column:
     return F.xxhash64(F.lit("row"), F.col("doc_id"), F.col("text"))
 
 
+def row_keys() -> dict[str, F.Column]:
+    """rk and rk2, together a 128-bit key of a document row; rows of equal id and text share it."""
+    return {name: F.xxhash64(F.lit(name), F.col("doc_id"), F.col("text")) for name in ("rk", "rk2")}
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit numbers (shift-multiply rounds)."""
     x = x ^ (x >> np.uint64(31))

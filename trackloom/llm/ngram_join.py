@@ -1,13 +1,16 @@
 """N-gram Jaccard join: MinHash banding finds candidates, the full n-gram sets decide.
 
 1. Each text becomes its set of word n-grams, and the set a MinHash signature cut into bands. Band and row counts follow
-   from the threshold and the recall wanted at it. Texts of equal sets are copies and go on as one node with a weight.
-2. Nodes are shuffled on band hashes. A bucket gives star edges to its smallest node only, never its pairs; components
-   of these edges hold every pair that shares a band.
-3. A component's nodes are dealt to blocks of about block nodes, each pair of blocks is one task's work, and all pairs
-   between the two are verified on their full sets by counting shared n-grams in a matrix. What leaves a task is one row
-   per node: its number of links and a link to the smallest node of its class there. So a group of thousands of near
-   copies keeps all its links, but they are counted and never emitted.
+   from the threshold and the recall wanted at it. Texts of equal sets are copies and go on as one node with a weight;
+   a node is named by a 128-bit hash of its set, so rows need no ids of their own.
+2. Nodes are shuffled on band hashes. A bucket gives star edges to one of its nodes only, never its pairs; components of
+   these edges hold every pair that shares a band, and say how the pairs are best verified.
+3. A component of few nodes is verified whole. A larger one is verified bucket by bucket, where a pair counts in the
+   first band that it shares, unless its buckets hold more pairs together than the component does (groups of near copies
+   share most of their bands). Nodes of a component or bucket are dealt to blocks of about block nodes, each pair of
+   blocks is one task's work, and shared n-grams are counted in a matrix. What leaves a task is one row per node: its
+   number of links and a link to the first node of its class there. So a group of thousands of near copies keeps all its
+   links, but they are counted and never emitted.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mix, slices, table, window_hashes
+from .common import Words, cut, fresh, mix, row_keys, slices, table, window_hashes
 from .graph import components
 
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -75,21 +78,27 @@ def _signatures(n: int, bands: int, rows: int):
                     named = mix(named + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(_BASE)).view(np.int64)
                     for k, i in enumerate(full):
                         out[i] = named[k]
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, b - a), "key": pa.array(keys, pa.binary()), "bands": pa.array(out, pa.list_(pa.int64()))})
+                rows_ = {c: batch.column(c).slice(a, b - a) for c in ("doc_id", "rk", "rk2")}
+                yield pa.record_batch(rows_ | {"key": pa.array(keys, pa.binary()), "bands": pa.array(out, pa.list_(pa.int64()))})
 
     return run
 
 
-def _sets(n: int, rest: list[str]):
+def _sets(n: int):
+    """(key, n, jobs, bands, grams) of the rows whose n-gram set has their node's name, once for each node that meets it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            text = batch.column("text")
+            text, key = batch.column("text"), batch.column("key").to_pylist()
             for a, b in slices(text):
                 held = [s.tobytes() for s in ngram_sets(Words(text.slice(a, b - a)), n)]
-                own = [hashlib.blake2b(s, digest_size=16).digest() for s in held]
-                cols = {c: batch.column(c).slice(a, b - a) for c in rest}
-                same = pa.array([x == y for x, y in zip(own, batch.column("key").slice(a, b - a).to_pylist(), strict=True)])
-                yield pa.record_batch({**cols, "grams": pa.array(held, pa.binary())}).filter(same)
+                fits = []
+                for x, k in zip(held, key[a:b], strict=True):
+                    fits.append(k != last and hashlib.blake2b(x, digest_size=16).digest() == k)
+                    last = k if fits[-1] else last
+                cols = {c: batch.column(c).slice(a, b - a) for c in ("key", "n", "jobs", "bands")}
+                yield pa.record_batch({**cols, "grams": pa.array(held, pa.binary())}).filter(pa.array(fits, pa.bool_()))
 
     return run
 
@@ -120,8 +129,8 @@ def shared(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 15) -> np
 def _verify(threshold: float):
     p, q = Fraction(threshold).limit_denominator(10_000).as_integer_ratio()
 
-    def one(part: pd.DataFrame) -> list[tuple[int, int, int]]:
-        part = part.drop_duplicates("rep").sort_values("rep")
+    def one(part: pd.DataFrame) -> list[tuple[bytes, bytes, int]]:
+        part = part.drop_duplicates("key").sort_values("key")
         if len(part) < 2:
             return []
         inner = part["lo"].iat[0] == part["hi"].iat[0]
@@ -135,6 +144,10 @@ def _verify(threshold: float):
         near = inter * q >= p * (size[a][:, None] + size[b][None, :] - inter)
         if inner:
             np.fill_diagonal(near, False)
+        if not part["whole"].iat[0]:
+            bands = np.stack(part["bands"].to_numpy())
+            for band in bands.T[: int(np.flatnonzero(bands[0] == part["set"].iat[0])[0])]:
+                near &= band[a][:, None] != band[b][None, :]  # pairs that an earlier band has
         weight = part["n"].to_numpy()
         links = np.zeros(len(part), dtype=np.int64)
         links[a] += near @ weight[b]
@@ -149,53 +162,103 @@ def _verify(threshold: float):
             if (new == root).all():
                 break
             root = new
-        rep = part["rep"].to_numpy()
-        return [(int(rep[i]), int(rep[root[i]]), int(links[i])) for i in np.flatnonzero(links)]
+        key = part["key"].to_numpy()
+        return [(key[i], key[root[i]], int(links[i])) for i in np.flatnonzero(links)]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        found = [r for _, x in part.groupby(["component", "lo", "hi"], sort=False) for r in one(x)]
-        return pd.DataFrame(found, columns=["rep", "root", "links"]).astype("int64")
+        found = [r for _, x in part.groupby(["whole", "set", "lo", "hi"], sort=False) for r in one(x)]
+        return pd.DataFrame(found, columns=["key", "root", "links"]).astype({"links": "int64"})
 
     return run
 
 
-def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 512) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row of docs (doc_id, text; other columns are left out).
+def _jobs(nodes: DataFrame, block: int) -> DataFrame:
+    """(rep, key, n, bands, jobs) of the nodes that share a band with another one.
 
-    Two rows link if their sets of n-grams of words (cut at ASCII white space, unchanged) have a Jaccard likeness of
-    threshold or more; a text of fewer than n words has one n-gram, all of it. n_links counts the other rows that a
-    row links to, copies included; class_id is the smallest doc_id of the rows in reach over links. A null text or one
-    without words links to nothing. Repeated rows are copies. doc_id should identify rows; a null one gets no class_id
-    of its own. Pairs at the threshold are found with probability recall, more alike ones with more.
+    jobs are (whole, set, blocks): the component, or the buckets, that a node is verified in, and in how many blocks.
     """
-    bands, rows = plan_bands(threshold, recall)
-    base = docs.select("doc_id", "text")
-    signed = cut(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, key binary, bands array<long>"))
-    copies = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("rep IS NOT NULL")
-    members = cut(signed.join(cut(copies), "key", "left"))  # both sides stored, so that a text of many copies is split
-    nodes = members.where("doc_id = rep").select("rep", "key", "n", "bands")
     banded = nodes.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead")
-    buckets = cut(buckets)
+    buckets = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("size")).where("lead < last")
+    buckets = cut(buckets.select("band", "lead", "size"))
     near = components(banded.join(buckets, "band").where("rep <> lead").select("rep", "lead"), "rep", "lead")
+    size = near.groupBy("component").agg(F.count("*").alias("m"))
+    pairs = buckets.join(near, buckets.lead == near.node).groupBy("component").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    whole = (F.col("m") <= block) | (F.col("pairs") >= F.col("m") * F.col("m"))
+    size = cut(size.join(pairs, "component").select("component", "m", whole.alias("whole")))
+    held = near.join(size, "component").join(nodes, near.node == nodes.rep)
+    blocks = F.ceil(F.col("m") / block).cast("long")
+    one = held.where("whole").select("rep", "key", "n", F.lit(None).cast("array<long>").alias("bands"), F.array(F.struct(F.col("whole"), F.col("component").alias("set"), blocks.alias("blocks"))).alias("jobs"))
+    apart = held.where("NOT whole").select("rep", "whole", F.explode("bands").alias("band")).join(buckets, "band")
+    job = F.struct(F.col("whole"), F.col("band").alias("set"), F.ceil(F.col("size") / block).cast("long").alias("blocks"))
+    apart = apart.groupBy("rep").agg(F.collect_list(job).alias("jobs")).join(nodes, "rep")  # a job for each band at most
+    return one.unionByName(apart.select(one.columns))
 
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    lone = sizes.where("blocks = 1").count()
-    own = F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col("blocks"))
-    dealt = near.join(sizes, "component").select(F.col("node").alias("rep"), "component", "blocks").withColumn("own", own)
-    dealt = dealt.join(nodes.select("rep", "key", "n").distinct(), "rep")
-    texts = base.join(dealt, base.doc_id == dealt.rep).select("text", "key", "rep", "component", "blocks", "own", "n")
-    held = texts.mapInArrow(_sets(n, ["rep", "component", "blocks", "own", "n"]), "rep long, component long, blocks long, own long, n long, grams binary")
+
+def link_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, rk, rk2, key) and nodes (key, first, class_first, n_links) of docs (doc_id, text).
+
+    A node stands for all rows of one n-gram set; key is NULL for rows without words. first is the node's first row by
+    (doc_id, nulls last, then row_keys()), class_first that of its class, n_links the links of each of its rows.
+    """
+    bands, rows = plan_bands(threshold, recall)
+    base = docs.select("doc_id", "text").withColumns(row_keys())
+    signed = cut(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, rk long, rk2 long, key binary, bands array<long>"))
+    first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "rk", "rk2")
+    nodes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.select("key", "first", F.col("first.rk").alias("rep"), "n", "bands"))
+
+    dealt = cut(_jobs(nodes.select("key", "rep", "n", "bands"), block))
+    few = dealt.agg(F.sum(F.size(F.filter("jobs", lambda j: j["blocks"] == 1)))).first()[0] or 0
+    texts = base.join(dealt, base.rk == dealt.rep).select("text", "key", "n", "jobs", "bands")
+    held = texts.mapInArrow(_sets(n), "key binary, n long, jobs array<struct<whole:boolean,set:long,blocks:long>>, bands array<long>, grams binary")
+    held = held.select("key", "n", "bands", "grams", F.explode("jobs").alias("job")).select("key", "n", "bands", "grams", "job.*")
+    held = held.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     held = held.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    bins = max(1, lone // 256)
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "lo", "hi"))
-    found = held.select("rep", "component", "own", "lo", "hi", "n", "grams", task.alias("task")).groupBy("task").applyInPandas(_verify(threshold), "rep long, root long, links long")
-    found = cut(found)
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.where("rep <> root"), "rep", "root")
-    out = members.select("doc_id", "rep", "n").join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.coalesce("component", "rep", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).alias("n_links"))
+    bins = F.pmod(F.xxhash64("whole", "set"), F.lit(max(1, few // block)))  # small sets share tasks
+    task = F.when(F.col("blocks") == 1, bins).otherwise(F.xxhash64("whole", "set", "lo", "hi"))
+    found = cut(held.withColumn("task", task).groupBy("task").applyInPandas(_verify(threshold), "key binary, root binary, links long"))
+
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    classes = components(found.where("key <> root"), "key", "root")
+    lowest = cut(classes.join(nodes, classes.node == nodes.key).groupBy("component").agg(F.min("first").alias("class_first")))
+    classes = cut(classes.join(lowest, "component").select(F.col("node").alias("key"), "class_first"))
+    out = nodes.join(links, "key", "left").join(classes, "key", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("n") - 1
+    out = out.select("key", "first", F.coalesce("class_first", "first").alias("class_first"), n_links.alias("n_links"))
+    return signed.select("doc_id", "rk", "rk2", "key"), cut(out)  # both stored, so that a node of many rows is split
+
+
+def ngram_join(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row of docs (doc_id, text; other columns are left out).
+
+    Two rows link if their sets of n-grams of words (cut at ASCII white space, unchanged) have a Jaccard likeness of
+    threshold or more; a text of fewer than n words has one n-gram, all of it. n_links counts the other rows that a
+    row links to, copies included; class_id is the smallest doc_id of the rows in reach over links, NULL where none has
+    one. A null text or one without words links to nothing and is a class of its own. Rows count one by one, whether
+    they repeat, share a doc_id or have none. Pairs at the threshold are found with probability recall, more alike ones
+    with more. Options are those of link_classes().
+    """
+    rows, nodes = link_classes(docs, **options)
+    got = rows.join(nodes.select("key", F.col("class_first.doc_id").alias("class_id"), "n_links"), "key", "left")
+    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return got.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns, with one row of each class: that of smallest doc_id, those without one last.
+
+    Only rows that link to another one go, whatever their ids; of rows that repeat the one that stays, one does.
+    """
+    rows, nodes = link_classes(docs, **options)
+    one, two, verdict = fresh(docs, "_rk"), fresh(docs, "_rk2"), fresh(docs, "_verdict")
+    first = (F.col("rk") == F.col("class_first.rk")) & (F.col("rk2") == F.col("class_first.rk2"))
+    linked = rows.join(nodes.where("n_links > 0"), "key").groupBy("rk", "rk2").agg(F.bool_or(first).alias("stays"), F.count("*").alias("n"))
+    marks = linked.select(F.col("rk").alias(one), F.col("rk2").alias(two), F.when(~F.col("stays"), "goes").when(F.col("n") > 1, "once").alias(verdict))
+    keys = row_keys()
+    marked = docs.withColumns({one: keys["rk"], two: keys["rk2"]}).join(marks.where(F.col(verdict).isNotNull()), [one, two], "left")
+    once = marked.where(F.col(verdict) == "once").dropDuplicates([one, two])
+    return marked.where(F.col(verdict).isNull()).unionByName(once).select(docs.columns)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
