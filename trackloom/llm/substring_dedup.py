@@ -11,7 +11,9 @@ fix it and the refusals of its neighbours) is carried along. Then Spark decides
    single, the rest are repeats.
 
 Both rounds count with map-side combining, so a passage in a third of all documents is no hot key, and neither sends
-back more than the names that occur once. Nothing is capped, and no text is compared with another one.
+back more than the names that occur once. Texts meet what was found about them by a key of the row, not of the text, so
+copies of one text are spread; one of them speaks for all in the counts, twice. Nothing is capped, and no text is
+compared with another one.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, signed, slices, table, window_hashes
+from .common import Words, cut, mix, row_keys, signed, slices, table, window_hashes
 
 _FAR = np.int64(1) << 40
+#: Bits of what a row is sent: a word's place, a size, and above them a check of the row's second key.
+_SIZE_BITS, _PLACE_BITS, _CHECK_BITS = 12, 30, 21
 _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
 
@@ -80,25 +85,30 @@ def _once(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, n
 
 
+def _checks(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column("rk2")) & ((1 << _CHECK_BITS) - 1)
+
+
 def _symbols(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, key = batch.column("text"), np.asarray(batch.column("rk"))
+            text, key, check, times = batch.column("text"), np.asarray(batch.column("rk")), _checks(batch), np.asarray(batch.column("times"))
             for a, b in slices(text):
                 words = Words(text.slice(a, b - a))
                 names, low, high = parse(words.hashes(), words.row, rounds)
                 held = (low >= 0) & (high - low <= window) & (high <= len(words))
+                held[held] = times[a:b][words.row[low[held]]] > 0
                 names, low, high = names[held], low[held], high[held]
                 at, n = _once(names)
                 row = words.row[low[at]]
                 begin = low[at] - words.first[row]
-                span = begin * 4096 + (high - low)[at]
-                yield pa.record_batch({"name": signed(names[at]), "rk": pa.array(key[a:b][row]), "span": pa.array(span), "n": pa.array(n)})
+                span = (check[a:b][row] << _PLACE_BITS | begin) << _SIZE_BITS | (high - low)[at]
+                yield pa.record_batch({"name": signed(names[at]), "rk": pa.array(key[a:b][row]), "span": pa.array(span), "n": pa.array(n * times[a:b][row])})
 
     return run
 
 
-def _open(words: Words, spans: list, window: int) -> np.ndarray:
+def _open(words: Words, spans: list, window: int, check: np.ndarray) -> np.ndarray:
     """Start words (in the slice) of the windows that no symbol proves single."""
     count = np.diff(words.first)
     starts = np.arange(len(words))
@@ -106,7 +116,8 @@ def _open(words: Words, spans: list, window: int) -> np.ndarray:
     change = np.zeros(len(words) + 1, dtype=np.int64)
     for i, own in enumerate(spans):
         if own is not None and len(own):
-            begin, size = own // 4096, own % 4096
+            own = own[own >> (_SIZE_BITS + _PLACE_BITS) == check[i]]
+            begin, size = own >> _SIZE_BITS & ((1 << _PLACE_BITS) - 1), own & ((1 << _SIZE_BITS) - 1)
             lo = np.maximum(begin + size - window, 0) + words.first[i]
             np.add.at(change, lo, 1)
             np.add.at(change, np.minimum(begin + words.first[i] + 1, len(words)), -1)
@@ -117,33 +128,21 @@ def _lists(column: pa.Array) -> list:
     return [None if x is None else np.asarray(x, dtype=np.int64) for x in (column[i].values for i in range(len(column)))]
 
 
-def _without_copies(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
-    """The batch without rows that repeat the text before them, and 2 for each row that stands for such ones, else 1.
-
-    Rows come sorted by key where they were joined by it, so copies stand together; where they don't, none is left out.
-    """
-    text = batch.column("text")
-    again = np.append(False, np.diff(np.asarray(batch.column("rk"))) == 0)[: batch.num_rows]
-    for i in np.flatnonzero(again).tolist():
-        again[i] = text[i] == text[i - 1]  # null texts have no windows
-    times = np.where(np.append(again[1:], False), 2, 1)[~again]
-    return batch.filter(pa.array(~again)), times
-
-
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch, times = _without_copies(batch)
+            batch = batch.filter(pc.greater(batch.column("times"), 0))
             text, key, spans = batch.column("text"), np.asarray(batch.column("rk")), batch.column("spans")
+            check, times = _checks(batch), np.asarray(batch.column("times"))
             for a, b in slices(text):
                 words = Words(text.slice(a, b - a))
-                at = _open(words, _lists(spans.slice(a, b - a)), window)
+                at = _open(words, _lists(spans.slice(a, b - a)), window, check[a:b])
                 x = words.hashes()
                 one, two = (window_hashes(mix(x + np.uint64(k)), window, base)[at] for k, base in enumerate(_BASES, 1))
                 first, n = _once(one)
                 at, one, two = at[first], one[first], two[first]
                 row = words.row[at]
-                place = (at - words.first[row]).astype(np.int64)
+                place = check[a:b][row] << _PLACE_BITS | (at - words.first[row]).astype(np.int64)
                 yield pa.record_batch({"one": signed(one), "two": signed(two), "rk": pa.array(key[a:b][row]), "place": pa.array(place), "n": pa.array(n * times[a:b][row])})
 
     return run
@@ -152,14 +151,15 @@ def _windows(window: int):
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, spans, single = batch.column("text"), batch.column("spans"), batch.column("single")
+            text, spans, single, check = batch.column("text"), batch.column("spans"), batch.column("single"), _checks(batch)
             for a, b in slices(text):
                 words = Words(text.slice(a, b - a))
                 again = np.zeros(len(words) + 1, dtype=bool)
-                again[_open(words, _lists(spans.slice(a, b - a)), window)] = True
+                again[_open(words, _lists(spans.slice(a, b - a)), window, check[a:b])] = True
                 for i, own in enumerate(_lists(single.slice(a, b - a))):
                     if own is not None and len(own):
-                        again[own + words.first[i]] = False
+                        own = own[own >> _PLACE_BITS == check[a + i]]
+                        again[(own & ((1 << _PLACE_BITS) - 1)) + words.first[i]] = False
                 change = np.zeros(len(words) + window + 1, dtype=np.int64)
                 at = np.flatnonzero(again)
                 change[at] += 1
@@ -187,13 +187,27 @@ def dedup_substrings(docs: DataFrame, window: int = 35, rounds: int = 6) -> Data
     """
     if not 1 <= window <= 4000:
         raise ValueError("window must be 1 to 4000 words")
-    rows = docs.select("doc_id", "text").withColumn("rk", F.xxhash64(F.lit("text"), "text"))  # copies share it, and no proof is theirs
-    symbols = rows.select("rk", "text").mapInArrow(_symbols(window, rounds), "name long, rk long, span long, n long")
+    rows = docs.select("doc_id", "text").withColumns(row_keys())
+    form = ["doc_id", "text", "rk", "rk2", "times"]  # read with the same columns throughout, so that the texts' shuffle is written once
+    marked = rows.join(_copies(rows), "rk", "left")
+    marked = marked.select(*form[:-1], F.when(F.col("copy.rk2") == F.col("rk2"), F.col("copy.times")).otherwise(1).cast("long").alias("times"))
+    symbols = marked.select(form).mapInArrow(_symbols(window, rounds), "name long, rk long, span long, n long")
     proofs = _singles(symbols, ["name"], "span").select("rk", F.col("span").alias("v")).groupBy("rk").agg(F.collect_list("v").alias("spans"))
-    marked = rows.join(proofs, "rk", "left")  # read twice, with the same columns, so that its shuffles are written once
-    windows = marked.select("doc_id", "rk", "text", "spans").mapInArrow(_windows(window), "one long, two long, rk long, place long, n long")
+    marked = marked.join(proofs, "rk", "left")
+    windows = marked.select(*form, "spans").mapInArrow(_windows(window), "one long, two long, rk long, place long, n long")
     single = _singles(windows, ["one", "two"], "place").groupBy("rk").agg(F.collect_list("place").alias("single"))
-    return marked.join(single, "rk", "left").select("doc_id", "text", "spans", "single").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
+    return marked.join(single, "rk", "left").select(*form, "spans", "single").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """(rk, copy (times, rk2)) of the rows whose text others have too: times is 2 for one of them, 0 for the others.
+
+    Only hashes are shuffled. Of rows whose rk collide one is left out, which then counts for itself.
+    """
+    narrow = rows.select("rk", "rk2", *[F.xxhash64(F.lit(t), "text").alias(t) for t in ("t1", "t2")])
+    several = cut(narrow.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("rk").alias("lead")).where("n > 1"))
+    found = narrow.join(several, ["t1", "t2"]).select("rk", "rk2", F.when(F.col("rk") == F.col("lead"), 2).otherwise(0).alias("times"))
+    return found.groupBy("rk").agg(F.max(F.struct("times", "rk2")).alias("copy"))
 
 
 def _singles(df: DataFrame, key: list[str], what: str) -> DataFrame:
