@@ -111,6 +111,29 @@ def test_pages_of_the_table(spark, data):
         assert r["text"] == "\n".join(x for x in parts if x) and r["n_chars"] == len(r["text"])
 
 
+LONG_MARKUP = {"unclosed": "<a x " * 200_000, "open quote": '<a x="y ' * 125_000, "closed at the end": '<a x="y ' * 125_000 + ">", "two quotes": "<a \"' <b '\" " * 80_000 + ">", "opaque": "<svg>" * 200_000, "end tags": "<div>" * 50_000 + "</ul>" * 50_000, "marks": '<div class="ad">' * 20_000, "comments": "<!--" * 250_000}
+
+
+@pytest.mark.parametrize("name", LONG_MARKUP)
+def test_bad_markup_takes_linear_time(name):
+    """About 1 MB each; times are compared with a fifth of it, as machines differ."""
+    import time
+
+    def took(page):
+        begin = time.process_time()
+        html_extraction.main_text(page)
+        return time.process_time() - begin
+
+    page = LONG_MARKUP[name]
+    assert took(page) < 12 * took(page[: len(page) // 5]) + 1
+
+
+def test_extract_keeps_given_columns(spark):
+    rows = spark.createDataFrame([(1, f"<p>{RUNNING}</p>", "given", "own")], "page_id long, html string, text string, _text string")
+    got = html_extraction.extract(rows).collect()[0]
+    assert (got["text"], got["_text"], got["__text"]) == ("given", "own", RUNNING.strip())
+
+
 def test_extract_keeps_columns(spark):
     rows = spark.createDataFrame([(1, None, "a", "x"), (1, None, "a", "x"), (2, PAGE, "b", "y")], "page_id long, html string, url string, furniture string")
     got = html_extraction.extract(rows)

@@ -9,7 +9,9 @@ Marks of page furniture by kind of element are certain. Those by class, id, role
 into a nested article or main, and are taken back from an element that holds most of the page's text. Sections of
 comments and teasers, which may be longer than the text, keep theirs as long as there is text outside of them.
 
-Parsing is forgiving: unclosed and stray tags are passed over, and a page without any tag is one block.
+Parsing is forgiving: unclosed and stray tags are passed over, and a page without any tag is one block. It goes over a
+page once: a tag ends at the next > outside of quotes, or, from the first quote that stays open to the page's end on, at
+the next > whatever the quotes; a < without a > behind it is text.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 #: Frequent function words by language.
 STOP_WORDS = {
@@ -56,7 +59,11 @@ _NOTES = frozenset(
 _APART = frozenset("comment comments commentlist disqus reply replies related teaser promo promoted sponsored".split())
 _STATES = frozenset("enabled disabled open closed on off active allowed".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.DOTALL)
+_OPENING = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*+))")
+_INSIDE = re.compile(r"""((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>""")
+_INSIDE_PLAIN = re.compile(r"([^>]*+)>")
+#: Presumed marks that elements within each other may have; those further inside don't count.
+MOST_MARKS = 64
 _NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?([A-Za-z]+)""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
@@ -107,10 +114,46 @@ def _words(attributes: str) -> list[str]:
     return re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())
 
 
+class _Tags:
+    """The tags of a page in order, each as (start, end, closing, name, attributes); comments and declarations have no name."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.inside = page, page.rfind(">"), _INSIDE
+        self.missing: set[str] = set()
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        page = self.page
+        while hit := _OPENING.search(page, at):
+            start, at = hit.span()
+            if hit[2] is None:
+                closing = "-->" if hit[0] == "<!--" else ">"
+                end = page.find(closing, at)
+                return start, len(page) if end < 0 else end + len(closing), False, "", ""
+            if start > self.last:
+                continue
+            got = self.inside.match(page, at)
+            if got is None:
+                self.inside = _INSIDE_PLAIN
+                got = self.inside.match(page, at)
+            return start, got.end(), hit[1] == "/", hit[2].lower(), got[1]
+        return None
+
+    def end_of(self, name: str, at: int) -> int | None:
+        """Where an element's end tag ends; None, also for all later ones, where there is none."""
+        if name in self.missing:
+            return None
+        hit = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(self.page, at, self.last + 1)
+        if hit is None:
+            self.missing.add(name)
+        return hit and hit.end()
+
+
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page, in order, with their text and where they stand."""
     found: list[Block] = []
     stack: list[tuple[str, bool, bool, tuple]] = []  # (tag, furniture, article, marks), each with what its ancestors say
+    opened: Counter[str] = Counter()
+    tags = _Tags(page)
     now, links, at, breaks, marked = Block(), 0, 0, 0, 0
 
     def close(heading: bool = False) -> None:
@@ -129,18 +172,21 @@ def blocks(page: str) -> list[Block]:
             if links and not text.isspace():
                 now.linked += len(" ".join(html.unescape(text).split()))
 
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
     while True:
-        hit = _TAG.search(page, at)
+        hit = tags.after(at)
         if hit is None:
             add(page[at:])
             break
-        if hit.start() > at:
-            add(page[at : hit.start()])
-            breaks = breaks if page[at : hit.start()].isspace() else 0
-        at = hit.end()
-        if hit[2] is None:
+        start, end, closing, tag, attributes = hit
+        if start > at:
+            add(page[at:start])
+            breaks = breaks if page[at:start].isspace() else 0
+        at = end
+        if not tag:
             continue
-        tag, closing, attributes = hit[2].lower(), hit[1] == "/", hit[3]
         if tag == "br":
             breaks += 1
             if breaks == 2:
@@ -153,34 +199,35 @@ def blocks(page: str) -> list[Block]:
             links = max(0, links - 1) if closing else 1
         elif tag in _OPAQUE and not closing:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+                end = tags.end_of(tag, at)
                 if end or tag in ("script", "style", "textarea"):
-                    at = end.end() if end else len(page)
+                    at = end or len(page)
             now.pieces.append(" ")
         elif tag in _BLOCK:
             links = 0
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                while opened[tag] and stack[-1][0] != tag:
+                    pop()
+                if opened[tag]:
+                    pop()
             elif tag not in _VOID and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or attributes:
                 if tag == "li" and stack and stack[-1][0] == "li":
-                    stack.pop()
+                    pop()
                 furniture, article, marks = stack[-1][1:] if stack else (False, False, ())
                 if tag not in _VOID and not attributes.endswith("/"):
                     if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and stack and stack[-1][0] == tag:
                         furniture, article, marks = stack[-2][1:] if len(stack) > 1 else (False, False, ())
-                        stack.pop()
+                        pop()
                     if tag in _ARTICLE:
                         marks = tuple(m for m in marks if m[1])
                     apart = _presumed(tag, attributes)
-                    if apart is not None:
+                    if apart is not None and len(marks) < MOST_MARKS:
                         marked += 1
                         marks = (*marks, (marked, apart))
                     stack.append((tag, furniture or _certain(tag, attributes, article), article or tag in _ARTICLE, marks))
+                    opened[tag] += 1
             elif tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
+                pop()
             close(not closing and tag[0] == "h" and tag[1:].isdigit())
     close()
     return found
@@ -210,6 +257,7 @@ def _second(found: list[Block], first: list[str], shut: list[bool], rules: Rules
     first = ["bad" if s else label for s, label in zip(shut, first, strict=True)]
     held = any(b.article and not s for b, s in zip(found, shut, strict=True))
     decided = [i for i, label in enumerate(first) if label]
+    ahead = [0, *accumulate(len(b.text) for b in found)]
     labels = []
     for i, b in enumerate(found):
         if first[i]:
@@ -224,7 +272,7 @@ def _second(found: list[Block], first: list[str], shut: list[bool], rules: Rules
         elif not near:
             labels.append("good" if not decided and stop_density(b.text) >= rules.low_stops else "bad")
         else:
-            nearest = min(near, key=lambda k: (sum(len(x.text) for x in found[min(k, i) + 1 : max(k, i)]), first[k] == "bad"))
+            nearest = min(near, key=lambda k: (ahead[max(k, i)] - ahead[min(k, i) + 1], first[k] == "bad"))
             labels.append("good" if b.article else first[nearest])
     return labels
 
@@ -263,14 +311,17 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
 
 
 def extract(pages: DataFrame, rules: Rules = Rules(), into: str = "text") -> DataFrame:
-    """pages, all columns, with the main text of the whole html in a column of that name, '' where there is none."""
+    """pages, all columns, with the main text of the whole html in a column of that name, '' where there is none.
+
+    Where pages has a column of that name already, underscores go before the new one's.
+    """
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([main_text(p, rules) for p in batch], dtype=object)
 
-    return pages.withColumn(into, texts("html"))
+    return pages.withColumn(fresh(pages, into), texts("html"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
