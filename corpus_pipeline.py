@@ -21,16 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of linked ones; documents without doc_id all stay.
-
-    Rows that repeat a doc_id are brought down to one.
-    """
-    classes = ngram_join.ngram_join(docs)
-    drop = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    rest = docs.join(drop, "doc_id", "left_anti")
-    again = docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id")
-    once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    """One document of each group of linked ones: that of smallest doc_id; those without one come last, repeats count once."""
+    return ngram_join.without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
