@@ -157,6 +157,24 @@ def test_index_is_reversible(spark):
     assert state(back) == state(index) and hot(back) == hot(index) != hot(grown)
 
 
+def test_batches_touch_their_own_shards(spark, monkeypatch):
+    """Counts are put beside the ones before; only filters of shards with a crossing key change; many parts become one."""
+    monkeypatch.setattr(line_dedup, "MOST_PARTS", 3)
+    index = line_dedup.build_index(docs(spark, LINES), min_docs=4, keys_per_shard=2)
+    filters = {r["shard"]: r["filter"] for r in index.filters.collect()}
+    once = line_dedup.add_documents(index, docs(spark, [(90, "a new line"), (91, "footer 1")]))
+    crossed = line_dedup.add_documents(once, docs(spark, [(92, "a new line"), (93, "a new line"), (94, "A New Line ")]))
+    assert once.parts[0] is index.parts[0] and len(crossed.parts) == 3 and crossed.parts[1] is once.parts[1]
+    assert {r["shard"]: r["filter"] for r in once.filters.collect()} == filters
+    changed = {r["shard"]: r["filter"] for r in crossed.filters.collect()}
+    assert sum(changed[s] != f for s, f in filters.items()) + len(set(changed) - set(filters)) == 1
+    many = docs(spark, [(i, "\n".join(f"line {i} {k}" for k in range(40))) for i in range(4)])
+    grown = line_dedup.add_documents(crossed, many)
+    assert len(grown.parts) == 1 and grown.shards > index.shards and grown.counts.count() == crossed.counts.count() + 160
+    back = line_dedup.remove_documents(grown, many)
+    assert sorted(map(tuple, back.counts.select("key", "n_docs").collect())) == sorted(map(tuple, crossed.counts.select("key", "n_docs").collect()))
+
+
 def test_cuckoo_filter():
     keys = np.random.Generator(np.random.PCG64(2)).integers(1, 2**64, 3000, dtype=np.uint64)
     made = line_dedup.CuckooFilter.of(keys[:2000])
