@@ -248,6 +248,67 @@ def test_language_held_out_accuracy(spark, data):
     assert len(held) > 200 and (held.lang == held.lang_pred).mean() > 0.97 and both.score.between(0, 1).all()
 
 
+def plain_languages(rows, texts=400, chars=80, size=32_768):
+    """A dictionary for each language, by the rule of learn()."""
+    import xxhash
+
+    held = {}
+    for text, lang in rows:
+        if text and lang is not None and any(map(str.isalpha, text)):
+            held.setdefault(lang, set()).add(text)
+    out = {}
+    for lang, own in held.items():
+        got = b""
+        for h, text in sorted((xxhash.xxh64(t.encode(), seed=42).intdigest(), t) for t in own)[:texts]:
+            at = (h >> 7) % max(1, len(text) - chars + 1)
+            piece = text[at : at + chars]
+            if not any(map(str.isalpha, piece)):
+                at = next(k for k, c in enumerate(text) if c.isalpha())
+                piece = text[at : at + chars]
+            got += b" " + " ".join(re.findall(r"[^\W\d_]+", piece.lower())).encode()
+        out[lang] = got[:size]
+    return out
+
+
+def plain_language(text, known):
+    import zstandard
+
+    kept = " ".join(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    if not kept:
+        return "und"
+    words = kept.split()
+    turns = [f" {' '.join(words[k:] + words[:k])} ".encode() for k in range(min(8, len(words)))] if len(kept.encode()) < 512 else [f" {kept} ".encode()]
+    for level, ways in ((6, [f" {kept} ".encode()]), (12, turns)):
+        sizes = {}
+        for lang in sorted(known):
+            d = zstandard.ZstdCompressionDict(known[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            coder = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(coder.compress(w)) for w in ways) / len(ways)
+        best, second = sorted(sizes.values())[:2]
+        if second >= best * 1.002:
+            break
+    return min(sizes, key=lambda k: (sizes[k], k))
+
+
+def test_languages_equal_brute_force(spark, data):
+    rows = spark.read.parquet(f"{data}/documents.parquet").collect()
+    known = plain_languages([(r["text"], r["lang"]) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2])
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.op9_language_id(spark, data).collect()}
+    assert got == {r["doc_id"]: plain_language(r["text"], known) for r in rows}
+
+
+def test_narrow_margins_are_rejected(spark):
+    import random
+
+    table = docs(spark, {1: "the cat and the dog are in the house of the man " * 20}).unionByName(docs(spark, {2: "der hund und die katze sind in dem haus von dem mann " * 20}, lang="de"))
+    draw = random.Random(4)
+    noise = " ".join("".join(draw.choice("qxzvwkj") for _ in range(5)) for _ in range(300))
+    ask = docs(spark, {1: noise, 2: "the man and the dog"}).withColumnRenamed("_key", "language")
+    got = {r["doc_id"]: r["_language"] for r in language_id.predict(ask, language_id.learn(table)).collect()}
+    assert got[1]["rejected"] and not got[2]["rejected"] and got[2]["lang_pred"] == "en"
+
+
 def test_language_edges(spark):
     table = docs(spark, {1: "the cat and the dog are in the house of the man " * 20}).unionByName(docs(spark, {2: "der hund und die katze sind in dem haus von dem mann " * 20}, lang="de"))
     known = language_id.learn(table.unionByName(docs(spark, {3: None})).unionByName(docs(spark, {4: "no label"}, lang=None)))
@@ -322,6 +383,81 @@ def test_pseudonyms_equal_brute_force(spark):
         assert got[i]["text"] == f"x {new}, ip {ip(f'10.0.{i}.255')}. {new[:4]}-{new[4:8]}-{new[8:12]}-{new[12:]} call {phone(f'+1 (366) 555-980{i}')}; v4.0 9807915762804491"
 
 
+def test_other_kinds_equal_brute_force(spark):
+    import datetime as dt
+    import random
+
+    def ssn(m):
+        area, group, serial = map(int, m.split("-"))
+        a, b = plain_feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, *pseudonyms.SSN_RANGES, "k", "ssn")
+        return f"{a // 99 + 1 + (a // 99 >= 665):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+
+    def date(m):
+        parts = [int(x) for x in re.split(r"\D", m)]
+        base, mark = dt.date(1700, 1, 1), re.search(r"\D", m)[0]
+        iso = len(re.split(r"\D", m)[0]) == 4
+        us = not iso and parts[1] > 12
+        y, mo, d = parts if iso else ((parts[2], parts[0], parts[1]) if us else parts[::-1])
+        at = (dt.date(y, mo, d) - base).days
+        a, b = plain_feistel(at // 773, at % 773, 189, 773, "k", "date")
+        new = base + dt.timedelta(a * 773 + b)
+        held = re.split(r"\D", m)
+        wide = 1 if len(held[1]) == 1 or len(held[2 if iso else 0]) == 1 else 2
+        y, mo, d = str(new.year), f"{new.month:0{wide}d}", f"{new.day:0{wide}d}"
+        return mark.join((y, mo, d) if iso else (mo, d, y) if us else (d, mo, y))
+
+    def rest(s):
+        return int("".join(str(int(c, 36)) for c in s)) % 97
+
+    def iban(m):
+        s = m.replace(" ", "")
+        new = iter(plain_digits(re.sub(r"\D", "", s[4:]), "k", "iban"))
+        body = re.sub(r"\d", lambda _: next(new), s[4:])
+        digits = iter(f"{98 - rest(body + s[:2] + '00'):02d}" + re.sub(r"\D", "", body))
+        return re.sub(r"\d", lambda _: next(digits), m)
+
+    def email(m):
+        local, domain = m.split("@")
+        low = local.lower()
+        h = hashlib.sha256(f"k|email|{re.sub('[a-z0-9]', '?', low)}@{domain.lower()}".encode()).hexdigest()
+        chars = [c for c in low if c.isalnum()]
+        v, r = [int(c) if c.isdigit() else ord(c) - 97 for c in chars], [10 if c.isdigit() else 26 for c in chars]
+        half = len(v) // 2
+        for i in range(pseudonyms.ROUNDS):
+            other = v[half:] if i % 2 == 0 else v[:half]
+            noise = hashlib.sha512(f"{h}|{i}|{','.join(map(str, other))}".encode()).hexdigest()
+            for j in range(half) if i % 2 == 0 else range(half, len(v)):
+                v[j] = (v[j] + int(hashlib.sha256(f"{noise}|{j}".encode()).hexdigest()[:8], 16)) % r[j]
+        new = iter(v)
+        return re.sub("[A-Za-z0-9]", lambda c: str(n) if (n := next(new)) is not None and c[0].isdigit() else chr(n + (65 if c[0].isupper() else 97)), local) + "@" + domain
+
+    def made_iban(draw):
+        body = "WEST" + "".join(draw.choice("0123456789") for _ in range(14))
+        return f"GB{98 - rest(body + 'GB00'):02d}{body}"
+
+    draw = random.Random(12)
+    kinds = {
+        ssn: [f"{draw.choice([a for a in (1, 665, 667, 899, 123)]):03d}-{draw.randrange(1, 100):02d}-{draw.randrange(1, 10_000):04d}" for _ in range(12)],
+        date: ["1987-03-09", "31.12.1999", "12/31/1999", "1/2/2003", "2000-2-29", "1700-01-01", "28-02-2099", "5.6.1850"],
+        iban: [made_iban(draw) for _ in range(6)] + ["GB82 WEST 1234 5698 7654 32"],
+        email: ["Jo.Doe7@mail.example.com", "a@b.org", "x_1-Y%z+9@Sub.Example.NET", "ab@c.de"],
+    }
+    values = [(f, x) for f, own in kinds.items() for x in own]
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(docs(spark, {i: f"is {x} so" for i, (_, x) in enumerate(values)}), "k").collect()}
+    for i, (f, x) in enumerate(values):
+        assert got[i]["text"] == f"is {f(x)} so", x
+
+
+def test_layouts_of_one_phone_number_stay_linked(spark):
+    rows = {1: "+1 366 555 9801", 2: "+13665559801", 3: "(366) 555-9801", 4: "366-555-9801", 5: "+1 (366) 555-9801", 6: "+442079460958", 7: "+44 20 7946 0958", 8: "+358 40 123 4567", 9: "+358401234567", 10: "v1.2.3.4 and host9.1.2.3"}
+    table = docs(spark, {i: f"at {x}, or" for i, x in rows.items()}).withColumnRenamed("_key", "n_private")
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(table, "k").collect()}
+    digits = {i: re.sub(r"\D", "", r["text"]) for i, r in got.items()}
+    assert digits[1] == digits[2] == digits[5] == "1" + digits[3] and digits[3] == digits[4] != "3665559801"
+    assert digits[6] == digits[7] and digits[6][:2] == "44" and digits[8] == digits[9] and digits[8][:3] == "358"
+    assert got[10]["text"] == "at v1.2.3.4 and host9.1.2.3, or" and got[1]["n_private"] == "key" and got[1]["_n_private"] == 1
+
+
 def test_pseudonym_formats(spark):
     text = "born 1987-03-09 or 31.12.1999 or 12/31/1999, ssn 123-45-6789, iban GB82 WEST 1234 5698 7654 32, mail Jo.Doe7@mail.example.com; not 2023-02-30, 000-12-3456, 12345"
     table = docs(spark, [(1, text), (2, text), (2, text), (3, None), (4, ""), (5, prose(20_000, 9)), (6, "clean 4.0 text @ 5")]).withColumnRenamed("_key", "_found")

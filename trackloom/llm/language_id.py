@@ -1,8 +1,9 @@
 """Language ID by compression: the language whose text helps most to compress a document.
 
-Per language a raw-content dictionary is cut from a bounded sample of labelled texts. A document is encoded with each
-of them by zstandard, whole, and the smallest output names the language; a second, stronger level decides ties. A margin
-narrower than min_margin bytes is a rejection.
+Per language a raw-content dictionary is cut from a bounded sample of labelled texts: a short piece of each of many texts.
+A document is encoded with each of them by zstandard, whole, and the smallest output names the language. Where the margin
+is narrow a second, stronger level decides, and a short text, of which whole bytes say little, is encoded in several
+rotations of its words. A margin that is narrow then as well is a rejection.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import fresh, table
 
 _OTHER = re.compile(r"[\W\d_]+")
+#: Dictionaries go to every task, so their number is bounded.
 MOST_LANGUAGES = 500
+#: Texts of fewer bytes are encoded in up to so many rotations where their margin is narrow.
+SHORT_BYTES, ROTATIONS = 512, 8
 
 
 def letters(text: str | None) -> str:
@@ -28,27 +32,28 @@ def letters(text: str | None) -> str:
     return kept if any(map(str.isalpha, kept)) else ""
 
 
-def learn(labelled: DataFrame, texts_per_language: int = 400, dictionary_bytes: int = 32_768) -> dict[str, bytes]:
+def learn(labelled: DataFrame, texts_per_language: int = 400, piece_chars: int = 80, dictionary_bytes: int = 32_768) -> dict[str, bytes]:
     """A dictionary for each language of (text, lang); rows with a null in either or without a letter are left out.
 
-    The sample is bounded: the texts_per_language distinct texts of smallest hash, and dictionary_bytes of them; copies of
-    a text count once. The counts that set how much of the table is looked at cover all distinct texts. Each language
-    with a letter in its texts gets a dictionary. At most MOST_LANGUAGES languages.
+    The sample is bounded by texts_per_language, the distinct texts of smallest hash, and by piece_chars, the code points
+    that each gives from a place that its hash names; copies of a text count once. The counts that set how much of the
+    table is looked at cover all distinct texts. Of more than MOST_LANGUAGES languages, those with most distinct texts
+    (then the first by name) are learned.
     """
     known = labelled.select("text", "lang", F.xxhash64("text").alias("place")).where(r"lang IS NOT NULL AND text RLIKE '\\p{L}'")
-    counts = known.select("lang", "place").distinct().groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = known.select("lang", "place").distinct().groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return {}
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4.0 * texts_per_language / r["count"]))]), F.col("lang"))
-    first = Window.partitionBy("lang").orderBy("place", "text")
-    part = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max(1000, 8 * dictionary_bytes // texts_per_language) - 1}}}", 0)
+    first = Window.partitionBy("lang").orderBy(F.col("place") < 0, "place", "text")  # as unsigned numbers
+    begin = F.pmod(F.shiftrightunsigned("place", 7), F.greatest(F.length("text") - piece_chars + 1, F.lit(1))) + 1
     few = known.where(F.shiftrightunsigned("place", 24) <= share * (1 << 40)).distinct().withColumn("rank", F.row_number().over(first))
-    few = few.where(F.col("rank") <= texts_per_language).select("lang", "rank", part.alias("part")).collect()
+    piece, late = F.substring("text", begin.cast("int"), F.lit(piece_chars)), F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{piece_chars - 1}}}", 0)
+    piece = F.when(piece.rlike(r"\p{L}"), piece).otherwise(late)  # from the first letter where the place has none
+    few = few.where(F.col("rank") <= texts_per_language).select("lang", "rank", piece.alias("piece")).collect()
     found: dict[str, bytes] = {}
     for r in sorted(few, key=lambda r: (r["lang"], r["rank"])):
-        found[r["lang"]] = (found.get(r["lang"], b"") + b" " + letters(r["part"]).encode())[:dictionary_bytes]
+        found[r["lang"]] = (found.get(r["lang"], b"") + b" " + letters(r["piece"]).encode())[:dictionary_bytes]
     missing = sorted({r["lang"] for r in counts} - set(found))
     if missing:
         raise RuntimeError(f"no dictionary for {missing}")
@@ -64,37 +69,46 @@ def _coders(dictionaries: dict[str, bytes], level: int) -> list[zstandard.ZstdCo
     return made
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], into: str = "language", min_margin: int = 1, levels: tuple[int, ...] = (6, 12)) -> DataFrame:
+def _rotations(kept: bytes) -> list[bytes]:
+    words = kept.split()
+    return [b" " + b" ".join(words[k:] + words[:k]) + b" " for k in range(min(ROTATIONS, len(words)))]
+
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], into: str = "language", min_margin: float = 0.002, levels: tuple[int, int] = (6, 12)) -> DataFrame:
     """docs with a struct column of that name: lang_pred, score, margin, rejected.
 
     lang_pred is 'und', score 0 and rejected true for a null text, one without letters, or where nothing was learned.
-    score is the best language's share of 2**-bytes over all languages. margin is in bytes to the runner-up; with one
-    language it is the text's own size. Ties that the last level leaves go to the first language by name, rejected.
+    score is the best language's share of 2**-bytes over all languages. margin is how much larger the runner-up's output
+    is, as a share of the best one's; with one language it is 1. Where both levels leave a margin below min_margin the
+    text is rejected, and ties go to the first language by name. Where docs has a column of that name already,
+    underscores go before the new one's.
     """
     names = sorted(dictionaries)
     held = {n: dictionaries[n] for n in names}
 
-    @F.pandas_udf("lang_pred string, score double, margin long, rejected boolean")
+    @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coders = [_coders(held, level) for level in levels]
 
-        def one(text: str | None) -> tuple[str, float, int, bool]:
+        def one(text: str | None) -> tuple[str, float, float, bool]:
             kept = letters(text).encode()
             if not kept or not names:
-                return "und", 0.0, 0, True
+                return "und", 0.0, 0.0, True
+            ways = [b" " + kept + b" "]
             for own in coders:
-                sizes = [len(c.compress(kept)) for c in own]
+                sizes = [sum(len(c.compress(w)) for w in ways) / len(ways) for c in own]
                 best, *rest = sorted(sizes)
-                margin = rest[0] - best if rest else best
-                if margin:
+                margin = rest[0] / best - 1 if rest else 1.0
+                if margin >= min_margin:
                     break
+                ways = _rotations(kept) if len(kept) < SHORT_BYTES else ways
             score = 1 / sum(2.0 ** max(best - s, -1000) for s in sizes)
             return names[sizes.index(best)], score, margin, margin < min_margin
 
         for batch in texts:
             yield pd.DataFrame([one(t) for t in batch], columns=["lang_pred", "score", "margin", "rejected"])
 
-    return docs.withColumn(into, encode("text"))
+    return docs.withColumn(fresh(docs, into), encode("text"))
 
 
 def held_out() -> F.Column:
