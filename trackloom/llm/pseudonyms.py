@@ -4,7 +4,9 @@ One pattern finds e-mail addresses, IBANs, IPv4 addresses, dates, social securit
 in a text. What its kind's own rule proves valid (check digits, calendar, ranges) is replaced by a keyed permutation of
 its value within its format: a Feistel network whose halves are numbers of the format's own ranges, so no value leaves
 the format and no two values meet. Separators, layout and case stay. The permutation hangs on key, kind and value alone,
-so a value has the same pseudonym in every document, however it is laid out, and who has the key can turn it back.
+so a value has the same pseudonym in every document, however its digits are set apart, and who has the key can turn it
+back. A phone number's value is what follows its country code, which is known by its first digits, so +1 366 555 9801,
++13665559801 and (366) 555-9801 stay linked.
 """
 
 from __future__ import annotations
@@ -22,11 +24,14 @@ FIRST_DAY, DAY_RANGES = "1700-01-01", (189, 773)
 #: Valid social security numbers: areas 001 to 899 but for 666, groups 01 to 99, serials 0001 to 9999.
 SSN_RANGES = (898 * 99, 9999)
 
+#: Country codes of two digits; 1 and 7 have one digit, all others three.
+COUNTRY_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "date": r"(?<![\d/.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\3\d{4}\3\d{1,7}|\d{4}([ -])\d{6}\4\d{5})(?!\d)",
@@ -176,8 +181,9 @@ def _ssn(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     """All digits behind a country code; of numbers of 7 to 15 digits."""
-    code = F.length(F.regexp_extract(m, r"^\+(\d{1,3})(?!\d)", 1))
     digits = _digits(m)
+    long = F.when(digits.rlike("^[17]"), 1).when(F.substring(digits, 1, 2).isin(*COUNTRY_CODES), 2).otherwise(3)
+    code = F.when(m.startswith("+"), long).otherwise(0)
 
     def turn(s: Column) -> Column:
         rest = F.substring(s["d"], s["c"] + 1, F.length(s["d"]))
@@ -245,7 +251,8 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, count: str = "n_private") -> DataFrame:
     """docs, all columns, with pseudonyms in text, and a column of that name for how many values were replaced.
 
-    A null text stays null and counts 0. Everything outside the matches stays byte for byte.
+    A null text stays null and counts 0. Everything outside the matches stays byte for byte. Where docs has a column of
+    that name already, underscores go before the new one's.
     """
     found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     old, new = fresh(docs, "_found"), fresh(docs, "_new")
@@ -253,7 +260,7 @@ def pseudonymise(docs: DataFrame, key: str, count: str = "n_private") -> DataFra
     parts = F.split("text", ANY, -1)
     joined = F.array_join(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     n = F.aggregate(F.arrays_zip(F.col(old).alias("was"), F.col(new).alias("now")), F.lit(0).cast("long"), lambda a, z: a + (z["was"] != z["now"]).cast("long"))
-    rows = rows.withColumn(count, F.coalesce(n, F.lit(0).cast("long")))
+    rows = rows.withColumn(fresh(docs, count), F.coalesce(n, F.lit(0).cast("long")))
     rows = rows.withColumn("text", F.when(F.size(old) > 0, joined).otherwise(F.col("text")))
     return rows.drop(old, new)
 
