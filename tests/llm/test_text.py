@@ -39,6 +39,88 @@ def test_equal_values_of_an_item_may_change_apart(spark):
     assert [r["doc_id"] for r in decontamination.decontaminate(docs(spark, {**rows, 5: "clean"}), bench).collect()] == [5]
 
 
+def plain_templates(text):
+    """(kind or word, its own text) of a text's template tokens, and its bare words."""
+    text = re.sub(r"[\u2000-\u206F\u00A0\u00AB\u00BB\u00A1\u00BF\u3000-\u3003]", " ", text or "")
+    alone = r"[\u3004-\u9fff\u0e00-\u0eff]"
+    found = list(re.finditer(rf"{alone}|(?:[0-9A-Za-z]|(?!{alone})[^\x00-\x7f]|(?<=[0-9])[.,](?=[0-9]))+", text))
+
+    def low(x):
+        return re.sub(r"[A-ZÀ-ÖØ-Þ]", lambda c: c[0].lower(), x)
+
+    out, words, end, number = [], [], 0, False
+    for m in found:
+        raw, word, between = m[0], low(m[0]), text[end : m.start()]
+        is_number = re.fullmatch(r"[0-9.,]+", raw) is not None
+        is_unit = word in decontamination.UNITS and number
+        changed = [k for k, (a, b) in enumerate(zip(raw, word, strict=True)) if a != b]
+        is_name = bool(words) and not re.search(r'[.!?:;\n"()]', between) and changed == [0] and len(raw.encode()) > 2 and not is_number and not is_unit
+        if is_name and out and out[-1][0] == "NAME":
+            out[-1] = ("NAME", low(text[out[-1][2] : m.end()]), out[-1][2])
+        else:
+            out.append(("NUMBER" if is_number else "UNIT" if is_unit else "NAME" if is_name else word, word, m.start()))
+        words.append(word)
+        end, number = m.end(), is_number
+    return out, words
+
+
+def plain_leaks(rows, items, size=6, literals=3):
+    from collections import Counter, defaultdict
+
+    def windows(tokens, n):
+        return [(k, tuple(t[0] for t in tokens[k : k + n]), [(j, t[1]) for j, t in enumerate(tokens[k : k + n]) if t[0].isupper()]) for k in range(len(tokens) - n + 1)]
+
+    out = []
+    for item, text in items:
+        tokens, words = plain_templates(text)
+        own, width = [w for w in windows(tokens, size) if sum(not x.isupper() for x in w[1]) >= literals], size
+        bare = not own
+        if bare:
+            if len(words) < 3:
+                continue
+            width, tokens = min(size, len(words)), [(w, w) for w in words]
+            own = windows(tokens, width)
+        for doc, body in rows:
+            theirs = plain_templates(body)[0] if not bare else [(w, w) for w in plain_templates(body)[1]]
+            by = defaultdict(list)
+            for at, key, slots in windows(theirs, width):
+                for item_at, own_key, own_slots in own:
+                    if key == own_key:
+                        by[at - item_at].append((item_at, own_slots, slots))
+            covered, n_changed = set(), 0
+            for held in by.values():
+                votes = defaultdict(Counter)
+                for _, was, now in {(p + j, x, y) for p, a, b in held for (j, x), (_, y) in zip(a, b, strict=True)}:
+                    votes[was][now] += 1
+                read = {w: next((n for n, c in v.items() if c == max(v.values())), w) if sum(c == max(v.values()) for c in v.values()) == 1 else w for w, v in votes.items()}
+                kept = {p for p, a, b in held if all(y in (x, read[x]) for (_, x), (_, y) in zip(a, b, strict=True))}
+                covered |= {k for p in kept for k in range(p, p + width)}
+                n_changed += sum(n != w for w, v in votes.items() for n in v) if kept else 0
+            if covered and len(covered) >= -(-len(tokens) // 2):
+                out.append((doc, item, len(tokens), len(covered), n_changed))
+    return sorted(out)
+
+
+def test_leaks_equal_brute_force(spark):
+    """Texts made of parts of items, with other names, numbers and units, against windows compared one by one."""
+    import random
+
+    items = {1: ITEM, 2: "He paid 5 and 5 and again 5 for it, then another 5 was due when they met, and 5 more.", 3: "Compute 12 + 7 * 3 - 4", 4: "What is the capital?", 5: "two words", 6: "Anna Maria Schmidt met Bob in New York City for 3 hours and 20 min, then Bob left.", 7: "日本語の文章は空白なしで書かれる", 8: "7 8 9 10 11 12 13 14"}
+    draw, rows = random.Random(21), {}
+    swaps = [("Paris", "Oslo"), ("Marie", "Jo Ann"), ("9", "14"), ("35 km", "2 miles"), ("5", "6"), ("Bob", "Tim"), ("Anna Maria", "Eve"), ("3", "7"), ("20 min", "1 day"), ("12", "99"), ("capital", "Capital")]
+    for i in range(120):
+        text = items[draw.choice(list(items))]
+        for a, b in draw.sample(swaps, draw.randrange(4)):
+            text = text.replace(a, b, draw.choice([1, 9]))
+        cut_at = draw.randrange(len(text) // 3 + 1)
+        rows[i] = prose(draw.randrange(9), i) + draw.choice([" ", ". ", "\n"]) + text[cut_at if draw.random() < 0.4 else 0 :] + " " + prose(draw.randrange(9), 500 + i)
+    rows |= {300 + i: t for i, t in AWKWARD.items()}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = decontamination.find_leaks(docs(spark, rows), bench).drop("rk").collect()
+    want = plain_leaks(list(rows.items()), list(items.items()))
+    assert sorted(map(tuple, got)) == want and {k for _, k, *_ in want} == {1, 2, 3, 4, 6, 7, 8}
+
+
 def test_decontaminate_keeps_columns_and_clean_rows(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     table = docs(spark, [(1, ITEM), (2, "clean"), (2, "clean"), (3, None)]).withColumnRenamed("_key", "_row_key")

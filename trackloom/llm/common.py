@@ -97,10 +97,10 @@ class Words:
     """The words of some rows of a text column, as positions in its UTF-8 bytes.
 
     start, end: of each word in data; row: the row that holds it; first: index of each row's first word, with a last
-    entry that closes the final row.
+    entry that closes the final row. token_bytes tells which bytes belong to words, begins at which a word ends another.
     """
 
-    def __init__(self, column: pa.Array, token_bytes=lambda data: _IN_WORD[data]):
+    def __init__(self, column: pa.Array, token_bytes=lambda data: _IN_WORD[data], begins=None):
         column = pc.fill_null(column, "").cast(pa.large_string())
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
@@ -118,6 +118,10 @@ class Words:
         after = np.append(inside[1:], False)
         closing = offsets[1:]
         after[closing[closing > 0] - 1] = False
+        if begins is not None:
+            anew = begins(self.data)
+            before &= ~anew
+            after[:-1] &= ~anew[1:]
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.row = np.searchsorted(offsets, self.start, side="right") - 1

@@ -7,6 +7,10 @@ equal values of the item change to one value of the document, the one that most
 slot that changes otherwise are dropped; those of literals and unchanged slots alone match word for word and stay. So a
 question with other numbers, names or units is found, and a chance match of a frame is not.
 
+Items that have no window with enough literals (short or number-dense ones) are looked for word by word instead, in
+windows of their own length or size words, none of them a placeholder. Scripts written without blanks are cut into
+characters. Names are known by capital letters in ASCII and Latin-1.
+
 A bitmap of fixed size over the benchmark's window hashes lets tasks drop windows that can't match before the shuffle;
 the join itself is exact and takes benchmarks of any size.
 """
@@ -22,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, fresh, mix, row_key, signed, slices, table, window_hashes
+from .common import Words, cut, fresh, mix, row_key, signed, slices, table, window_hashes
 
 _BASE = 0x94D049BB133111EB
 _NUMBER, _UNIT, _NAME = (mix(np.array([k], dtype=np.uint64))[0] for k in (11, 12, 13))
@@ -49,17 +53,19 @@ _JOINER = np.isin(_BYTES, [ord(c) for c in ".,"])
 class Templates:
     """The template tokens of some rows: key (a hash of the token, or of its placeholder's kind), literal, first, start, end.
 
-    first has the index of each row's first token and a closing entry; start and end are byte places in data.
+    first has the index of each row's first token and a closing entry; start and end are byte places in data. word_key
+    and word_first are the same for the words themselves, before any becomes a placeholder.
     """
 
     def __init__(self, column: pa.Array):
-        words = Words(column, token_bytes=_template_bytes)
+        words = Words(column, token_bytes=_template_bytes, begins=_alone)
         data = words.data
         low = np.where(_UPPER[data], data + 32, data).astype(np.uint8)
         latin = np.append(False, data[:-1] == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
         low = np.where(latin, low + 32, low).astype(np.uint8)
         raw, words.data = data, low
         key = words.hashes()
+        self.word_key, self.word_first, self.word_row = key, words.first, words.row
         n = len(words)
         same = np.append(False, words.row[1:] == words.row[:-1]) if n else np.zeros(0, bool)
 
@@ -99,6 +105,14 @@ def _template_bytes(data: np.ndarray) -> np.ndarray:
     return held
 
 
+def _alone(data: np.ndarray) -> np.ndarray:
+    """Where kana, CJK, Thai and Lao characters (of three bytes) begin and end."""
+    lead = (data >= 0xE3) & (data <= 0xE9)
+    lead[:-1] |= (data[:-1] == 0xE0) & (data[1:] >= 0xB8) & (data[1:] <= 0xBB)
+    lead[3:] |= lead[:-3].copy()
+    return lead & ((data < 0x80) | (data >= 0xC0))
+
+
 _UNIT_KEYS: list[np.ndarray] = []
 
 
@@ -108,10 +122,29 @@ def _unit_keys() -> np.ndarray:
     return _UNIT_KEYS[0]
 
 
-def _windows(id_name: str, size: int, literals: int, bitmap: bytes | None):
-    """(id, at, n, window, slots) of the windows of a text column; with a bitmap, only of those that it holds."""
+def _windows(id_name: str, size: int, literals: int, least: int, bitmap: bytes | None, exact: list[int]):
+    """(id, at, n, size, window, slots, words) of the windows of a text column.
+
+    Without a bitmap, of items: rows without a window of enough literals have windows of words, if they have least of
+    them. With a bitmap, of documents: only windows that it holds, those of words in the sizes of exact.
+    """
     bits = None if bitmap is None else np.frombuffer(bitmap, dtype=np.uint8)
 
+    def named(names: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+        """Which windows lie in one row and may be in the benchmark."""
+        good = np.arange(len(names)) + length <= np.repeat(first[1:], np.diff(first))[: len(names)]
+        if bits is not None:
+            slot = names % np.uint64(BITMAP_BITS)
+            good = good & (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return good
+
+    def rows(ids: np.ndarray, at: np.ndarray, row: np.ndarray, first: np.ndarray, length: int, names: np.ndarray, slots: list, words: bool) -> pa.RecordBatch:
+        return pa.record_batch({
+            id_name: pa.array(ids[row]), "at": pa.array((at - first[row]).astype(np.int64)), "n": pa.array(np.diff(first)[row].astype(np.int64)),
+            "size": pa.array(np.full(len(at), length, dtype=np.int64)), "window": signed(names[at]), "slots": pa.array(slots, pa.list_(pa.string())),
+            "words": pa.array(np.full(len(at), words)),
+        })
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = _plain(batch.column("text"))
@@ -119,22 +152,24 @@ def _windows(id_name: str, size: int, literals: int, bitmap: bytes | None):
             for a, b in slices(text):
                 t = Templates(text.slice(a, b - a))
                 names = window_hashes(t.key, size, _BASE)
-                where = np.arange(len(names))
                 total = np.append(0, np.cumsum(t.literal))
-                good = (where + size <= np.repeat(t.first[1:], np.diff(t.first))[: len(names)]) & (total[size:] - total[:-size] >= literals if len(names) else True)
-                if bits is not None:
-                    slot = names % np.uint64(BITMAP_BITS)
-                    good = good & (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                at = np.flatnonzero(good)
-                row = t.row[at]
-                slots = [t.slots(i, size) for i in at.tolist()]
-                yield pa.record_batch({
-                    id_name: pa.array(ids[a:b][row]),
-                    "at": pa.array((at - t.first[row]).astype(np.int64)),
-                    "n": pa.array(np.diff(t.first)[row].astype(np.int64)),
-                    "window": signed(names[at]),
-                    "slots": pa.array(slots, pa.list_(pa.string())),
-                })
+                at = np.flatnonzero(named(names, t.first, size) & (total[size:] - total[:-size] >= literals if len(names) else True))
+                yield rows(ids[a:b], at, t.row[at], t.first, size, names, [t.slots(i, size) for i in at.tolist()], False)
+                lengths = np.diff(t.word_first)
+                bare = np.ones(b - a, dtype=bool)
+                if bits is None:
+                    bare = (lengths >= least) & (np.bincount(t.row[at], minlength=b - a) == 0)
+                    exact_ = sorted(set(np.minimum(lengths[bare], size).tolist()))
+                else:
+                    exact_ = exact
+                for length in exact_:
+                    names = mix(window_hashes(t.word_key, length, _BASE) + np.uint64(length))
+                    ok = named(names, t.word_first, length)
+                    row = t.word_row[: len(names)]
+                    if bits is None:
+                        ok = ok & (bare & (np.minimum(lengths, size) == length))[row]
+                    at = np.flatnonzero(ok)
+                    yield rows(ids[a:b], at, row[at], t.word_first, length, names, [[]] * len(at), True)
 
     return run
 
@@ -171,37 +206,41 @@ def _reading(windows: list[dict]) -> tuple[list[int], int]:
 
 
 def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rk, item_id, n_tokens, places, n_changed) of alignments; those without a window that keeps the rule go."""
+    """(rk, item_id, n_tokens, width, places, n_changed) of alignments; those without a window that keeps the rule go."""
     for batch in batches:
         got = [_reading(w) for w in batch.column("windows").to_pylist()]
         out = pa.record_batch({
-            **{c: batch.column(c) for c in ("rk", "item_id", "n_tokens")},
+            **{c: batch.column(c) for c in ("rk", "item_id", "n_tokens", "width")},
             "places": pa.array([kept for kept, _ in got], pa.list_(pa.int64())),
             "n_changed": pa.array([n for _, n in got], pa.int64()),
         })
         yield out.filter(pa.array([bool(kept) for kept, _ in got], pa.bool_()))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, literals: int = 3, share: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, literals: int = 3, share: float = 0.5, least: int = 3) -> DataFrame:
     """(rk, doc_id, item_id, n_tokens, n_covered, n_changed) of each document and benchmark item that it holds.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are left out. A document holds an item if windows on
     alignments, without those against the alignment's rule, cover share of the item's template tokens or more; n_changed
-    is the number of slot values that differ on these alignments. Windows have size tokens, of which literals are no placeholders. Null or empty texts and items of
-    fewer tokens than size match nothing. Repeated rows each give their rows; rk is the key of a document row.
+    is the number of slot values that differ on these alignments. Windows have size tokens, of which literals are no
+    placeholders. Items without such a window are found word by word, with words for tokens; those of fewer than least
+    words, which any document may hold, and null or empty texts match nothing. Repeated rows each give their rows; rk is
+    the key of a document row.
     """
-    form = "long, at long, n long, window long, slots array<string>"
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").mapInArrow(_windows("item_id", size, literals, None), f"item_id {form}")
+    form = "long, at long, n long, size long, window long, slots array<string>, words boolean"
+    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").mapInArrow(_windows("item_id", size, literals, least, None, []), f"item_id {form}")
+    items = cut(items)
     bitmap = _bitmap(items)
+    exact = [r["size"] for r in items.where("words").select("size").distinct().collect()]  # size of them at most
     own = docs.select("doc_id", "text").withColumn("rk", row_key()).select("rk", "text")
-    found = own.mapInArrow(_windows("rk", size, literals, bitmap), f"rk {form}")
-    there = items.select("item_id", F.col("at").alias("item_at"), F.col("n").alias("n_tokens"), "window", F.col("slots").alias("item_slots"))
-    met = found.select("rk", "at", "window", "slots").join(there, "window")
+    found = own.mapInArrow(_windows("rk", size, literals, least, bitmap, sorted(exact)), f"rk {form}")
+    there = items.select("item_id", F.col("at").alias("item_at"), F.col("n").alias("n_tokens"), F.col("size").alias("width"), "window", F.col("slots").alias("item_slots"))
+    met = found.select("rk", "at", "window", "slots").join(there, "window").where(F.size("slots") == F.size("item_slots"))
     window = F.struct("item_at", "item_slots", "slots")
-    aligned = met.groupBy("rk", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.max("n_tokens").alias("n_tokens"), F.collect_set(window).alias("windows"))
-    aligned = aligned.drop("shift").mapInArrow(_readings, "rk long, item_id long, n_tokens long, places array<long>, n_changed long")
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_set("places")), lambda p: F.sequence(p, p + size - 1)))))
-    held = aligned.groupBy("rk", "item_id").agg(F.max("n_tokens").alias("n_tokens"), covered.cast("long").alias("n_covered"), F.sum("n_changed").alias("n_changed"))
+    aligned = met.groupBy("rk", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.max("n_tokens").alias("n_tokens"), F.max("width").alias("width"), F.collect_set(window).alias("windows"))
+    aligned = aligned.drop("shift").mapInArrow(_readings, "rk long, item_id long, n_tokens long, width long, places array<long>, n_changed long")
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_set("places")), lambda p: F.sequence(p, p + F.col("width") - 1)))))
+    held = aligned.groupBy("rk", "item_id", "width").agg(F.max("n_tokens").alias("n_tokens"), covered.cast("long").alias("n_covered"), F.sum("n_changed").alias("n_changed"))
     held = held.where(F.col("n_covered") >= F.ceil(F.col("n_tokens") * share))
     ids = docs.select(row_key().alias("rk"), "doc_id")
     return ids.join(held, "rk").select("rk", "doc_id", "item_id", "n_tokens", "n_covered", "n_changed")
