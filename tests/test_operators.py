@@ -171,11 +171,31 @@ def test_range_join_equals_filter(spark):
 
 def test_roles_are_the_best_assignment():
     draw = np.random.default_rng(2)
-    for n in (1, 4, 6):
-        cost = draw.random((n, n))
-        got = context._assignment(cost)
-        assert sorted(got) == list(range(n))
-        assert math.isclose(cost[np.arange(n), got].sum(), min(cost[np.arange(n), list(p)].sum() for p in itertools.permutations(range(n))))
+    for n in (1, 2, 4, 6):
+        cost = draw.integers(0, 12, (20, n, n))  # small numbers, so that there are ties
+        sums, slots = context.assignments(cost)
+        for own, total, got in zip(cost, sums, slots, strict=True):
+            ways = sorted((own[np.arange(n), list(p)].sum(), p[::-1]) for p in itertools.permutations(range(n)))
+            assert (total, tuple(got[::-1])) == ways[0]
+
+
+def test_roles_of_unknown_places(spark):
+    rows = [(1, 5, 0.1, None), (1, 2, 0.04, 0.5), (1, 9, 0.3, 0.2), (2, 1, None, None)]
+    got = context.assign_roles(spark.createDataFrame(rows, "g long, player_id long, norm_x double, norm_y double"), ["g"])
+    assert {(r["g"], r["player_id"]): (r["formation"] is None, r["role"]) for r in got.collect()} == {(1, 5): (False, "unknown"), (1, 2): (False, "GK"), (1, 9): (False, "FB"), (2, 1): (True, "unknown")}
+    assert context.assign_roles(got.select("g", "player_id", F.lit(0.1).alias("norm_x"), F.lit(0.1).alias("norm_y")).where("false"), ["g"]).count() == 0
+
+
+def test_long_series_in_time(spark):
+    """A half has 67,500 frames; windows that look ahead must not go through the rest of it for each row."""
+    import time
+
+    n = 67_500
+    df = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("frame"), (F.pmod(F.xxhash64("id"), F.lit(97)) / 10).alias("v"))
+    begin = time.perf_counter()
+    found = series.valley_candidates(df, ["k"]).where("is_valley").count()
+    late = intervals.next_within(df.withColumn("t", F.col("frame").cast("double")), df.where("frame % 1000 = 0").withColumn("at", F.col("frame").cast("double")), ["k"], "t", "at", 9.5, "near").where("near").count()
+    assert found > n / 5 and late == 67 * 10 + 1 and time.perf_counter() - begin < 20
 
 
 def test_roles_of_a_formation(spark):

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,58 +54,92 @@ def phase_positions(track: DataFrame, keys: list[str], coverage: float = 0.5, pl
     return got.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("_n") >= players).drop("_n")
 
 
-def formation_slots(spark: SparkSession) -> DataFrame:
-    rows = [(k, i, name, x, y, role) for k, (name, slots) in enumerate(FORMATIONS.items()) for i, (x, y, role) in enumerate(slots)]
-    return spark.createDataFrame(rows, "form int, slot int, formation string, sx double, sy double, slot_role string")
-
-
-def _assignment(cost: np.ndarray) -> np.ndarray:
-    """The slot of each player at the least sum; by subsets of slots, so for about a dozen players at most."""
-    n = len(cost)
-    best = np.full(1 << n, np.inf)
-    best[0], choice = 0, np.zeros(1 << n, dtype=np.int64)
-    masks = np.arange(1 << n)
-    size = np.array([int(m).bit_count() for m in masks])
-    for player in range(n):
-        level = masks[size == player]
-        for slot in range(n):
-            free = level[(level >> slot) & 1 == 0]
-            to, total = free | (1 << slot), best[free] + cost[player, slot]
-            better = total < best[to] - 1e-12
-            best[to[better]], choice[to[better]] = total[better], slot
-    out, mask = np.zeros(n, dtype=np.int64), (1 << n) - 1
-    for player in range(n - 1, -1, -1):
-        out[player] = choice[mask]
-        mask ^= 1 << out[player]
-    return out
+@lru_cache(maxsize=16)
+def _steps(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each number of players placed: (set before, slot taken) of every way to each set of slots of that size.
+
+    Sets are numbered in ascending order among those of their size; a row has the ways to one set, by slot.
+    """
+    sets = [[m for m in range(1 << n) if m.bit_count() == size] for size in range(n + 1)]
+    steps = []
+    for size in range(1, n + 1):
+        at = {m: k for k, m in enumerate(sets[size - 1])}
+        slots = [[s for s in range(n) if m >> s & 1] for m in sets[size]]
+        steps.append((np.array([[at[m ^ 1 << s] for s in own] for m, own in zip(sets[size], slots, strict=True)]), np.array(slots)))
+    return steps
+
 
+def assignments(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least sums, slot of each player) of many square cost tables at once, by subsets of slots.
 
-def assign_roles(positions: DataFrame, keys: list[str]) -> DataFrame:
+    cost has whole numbers by (group, player, slot), so ties are exact: the last player takes the lowest slot, then the
+    one before. A dozen players at most.
+    """
+    groups, n = cost.shape[:2]
+    best, taken = np.zeros((groups, 1), dtype=np.int64), []
+    for player, (before, slot) in enumerate(_steps(n)):
+        ways = best[:, before] + cost[:, player][:, slot]
+        taken.append(ways.argmin(axis=2))
+        best = ways.min(axis=2)
+    out, at, row = np.zeros((groups, n), dtype=np.int64), np.zeros(groups, dtype=np.int64), np.arange(groups)
+    for player in range(n - 1, -1, -1):
+        before, slot = _steps(n)[player]
+        way = taken[player][row, at]
+        out[:, player], at = slot[at, way], before[at, way]
+    return best[:, 0], out
+
+
+#: Distances count in whole billionths, so that every engine adds them alike.
+COST_UNIT = 1e9
+
+
+def _roles(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best formation, and the roles in it, of many groups of equal size; at is (group, player, coordinate)."""
+    k = at.shape[1]
+    sums, slots = [], []
+    for held in FORMATIONS.values():
+        d = at[:, :, None, :] - np.array([s[:2] for s in held[:k]])
+        total, chosen = assignments(np.rint(np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1]) * COST_UNIT).astype(np.int64))
+        sums.append(total)
+        slots.append(chosen)
+    best = np.argmin(sums, axis=0)
+    roles = np.array([[s[2] for s in held] for held in FORMATIONS.values()], dtype=object)
+    return np.array(list(FORMATIONS), dtype=object)[best], roles[best[:, None], np.stack(slots)[best, np.arange(len(at))]]
+
+
+def _solved(keys: list[str], together: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("_players")
+            n, flat = np.asarray(pc.list_value_length(held), dtype=np.int64), held.flatten()
+            first, group = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            at = np.stack([np.asarray(pc.fill_null(flat.field(c), 0.0)) for c in ("norm_x", "norm_y")], axis=1)
+            known = ~np.asarray(flat.field("unknown"))
+            size = np.minimum(11, np.bincount(group[known], minlength=len(n)))
+            formation, role = np.full(len(n), None, dtype=object), np.full(len(flat), "unknown", dtype=object)
+            for k in np.unique(size[size > 0]):
+                rows = np.flatnonzero(size == k)
+                for part in np.split(rows, range(together, len(rows), together)):
+                    where = first[part][:, None] + np.arange(k)
+                    formation[part], role[where] = _roles(at[where])
+            out = {c: batch.column(c).take(pa.array(group)) for c in keys} | {"player_id": flat.field("player_id")}
+            yield pa.record_batch(out | {"formation": pa.array(formation[group], pa.string()), "role": pa.array(role, pa.string())})
+
+    return run
+
+
+def assign_roles(positions: DataFrame, keys: list[str], together: int = 256) -> DataFrame:
     """Roles of the players of each group (keys; player_id, norm_x, norm_y) by the formation of least total distance.
 
     The first as many slots of a formation as there are players take part, eleven at most; players beyond, by id, are
-    'unknown'. Ties go to the formation listed first. A group is one phase of one team.
+    'unknown', as are those with an unknown coordinate. Ties go to the formation listed first. A group is one phase of
+    one team, gathered into one row; groups of one size are solved together.
     """
-    templates = [(name, np.array([s[:2] for s in slots]), [s[2] for s in slots]) for name, slots in FORMATIONS.items()]
-
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("player_id")
-        k = min(len(group), 11)
-        at = group[["norm_x", "norm_y"]].to_numpy()[:k]
-        found = (math.inf, "", [])
-        for name, slots, roles in templates:
-            cost = np.linalg.norm(at[:, None, :] - slots[None, :k, :], axis=2)
-            chosen = _assignment(cost)
-            total = cost[np.arange(k), chosen].sum()
-            if total < found[0] - 1e-12:
-                found = (total, name, [roles[c] for c in chosen])
-        group = group[[*keys, "player_id"]].copy()
-        group["formation"], group["role"] = found[1], [*found[2], *["unknown"] * (len(group) - k)]
-        return group
-
+    player = F.struct(F.isnull(F.col("norm_x") + F.col("norm_y")).alias("unknown"), "player_id", F.col("norm_x").cast("double").alias("norm_x"), F.col("norm_y").cast("double").alias("norm_y"))
+    groups = positions.groupBy(*keys).agg(F.array_sort(F.collect_list(player)).alias("_players"))
     kinds = {f.name: f.dataType.simpleString() for f in positions.schema.fields}
     form = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "player_id"]) + ", formation string, role string"
-    return positions.select(*keys, "player_id", "norm_x", "norm_y").groupBy(*keys).applyInPandas(best, form)
+    return groups.mapInArrow(_solved(keys, together), form)
 
 
 def zone_against_block(points: DataFrame, defenders: DataFrame, keys: list[str], last_line: str = "deepest", centre_y: bool = False) -> DataFrame:

@@ -79,11 +79,14 @@ def shot_follows(movements: DataFrame, shots: DataFrame, seconds: float = 10.0)
 
 
 def next_within(left: DataFrame, events: DataFrame, keys: list[str], start: str, time: str, reach: float, into: str) -> DataFrame:
-    """Flags rows with an event in [start, start + reach], by the first event at or after start: a window, not pairs."""
+    """Flags rows with an event in [start, start + reach], by the first event at or after start: a window, not pairs.
+
+    The window runs backwards in time, so that each row adds to the one before it.
+    """
     right = events.select(*keys, F.col(time).alias("_t")).withColumn("_event", F.col("_t"))
     both = left.withColumns({"_t": F.col(start), "_event": F.lit(None).cast("double")}).unionByName(right.withColumn("_event", F.col("_event").cast("double")).withColumn("_probe", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", F.col("_event").isNotNull().cast("int")).rowsBetween(0, Window.unboundedFollowing)
-    out = both.withColumn("_next", F.first("_event", ignorenulls=True).over(w)).where("_probe IS NULL")
+    w = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_event").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_next", F.last("_event", ignorenulls=True).over(w)).where("_probe IS NULL")
     return out.withColumn(into, F.coalesce(F.col("_next") - F.col(start) <= reach, F.lit(False))).select(*left.columns, into)
 
 

@@ -19,6 +19,10 @@ def over(keys: list[str], order: str | list[str] = "frame") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
 
 
+def descending(keys: list[str], order: str = "frame") -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(F.col(order).desc())
+
+
 def islands(df: DataFrame, keys: list[str], value: str | Column, order: str = "frame", into: str = "island") -> DataFrame:
     """Numbers the runs of one value, from 0 in each series."""
     w = over(keys, order)
@@ -131,15 +135,17 @@ def attack_type(phases: DataFrame, keys: list[str], counter_seconds: float = 5.0
 def valley_candidates(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
     """is_valley: local minima; a flat one counts at its middle row, and a series' ends never do. NULL counts as 0.
 
-    A flat stretch's ends, and the speeds beyond them, are carried along by windows on keys, so nothing is joined.
+    A flat stretch's ends, and the speeds beyond them, are carried along by windows on keys, so nothing is joined. What
+    lies ahead comes from a window in descending order: Spark computes a frame that runs to the end anew for each row.
     """
     w = over(keys)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    so_far = (Window.unboundedPreceding, 0)
+    back, ahead = w.rowsBetween(*so_far), descending(keys).rowsBetween(*so_far)
     df = df.withColumn("_v", F.coalesce(v, F.lit(0.0)))
     first = ~F.coalesce(F.lag("_v").over(w) == F.col("_v"), F.lit(False))
     last = ~F.coalesce(F.lead("_v").over(w) == F.col("_v"), F.lit(False))
     df = df.withColumns({"_a": F.when(first, F.struct("frame", F.lag("_v").over(w).alias("v"))), "_b": F.when(last, F.struct("frame", F.lead("_v").over(w).alias("v")))})
-    df = df.withColumns({"_a": F.last("_a", ignorenulls=True).over(back), "_b": F.first("_b", ignorenulls=True).over(ahead)})
+    df = df.withColumns({"_a": F.last("_a", ignorenulls=True).over(back), "_b": F.last("_b", ignorenulls=True).over(ahead)})
     low = (F.col("_a.v") > F.col("_v")) & (F.col("_b.v") > F.col("_v")) & (F.col("frame") == F.floor((F.col("_a.frame") + F.col("_b.frame")) / 2))
     return df.withColumn("is_valley", F.coalesce(low, F.lit(False))).drop("_v", "_a", "_b")
 
@@ -203,7 +209,7 @@ def power_split(df: DataFrame, keys: list[str], threshold: float = 6.0, shortest
     df = df.withColumn("_dp", gradient("power", w))
     inner = F.col("_i").between(shortest, F.col("_n") - shortest - 1)
     turn = (F.lag("_dp").over(w) * F.col("_dp") < 0) & (F.col("_i") < F.col("_n") - shortest)
-    next_turn = F.min(F.when(F.col("_turn"), F.col("_i"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    next_turn = F.last(F.when(F.col("_turn"), F.col("_i")), ignorenulls=True).over(descending(own).rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_turn", turn).withColumn("_next", next_turn)
     crossing = inner & (F.lag("power").over(w) * F.col("power") < 0)
     df = df.withColumn("_at", F.array_compact(F.array(F.when(inner & (F.abs("_dp") > threshold), F.col("_i")), F.when(crossing, F.coalesce("_next", "_i")))))

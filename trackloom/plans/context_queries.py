@@ -28,13 +28,24 @@ def g11(spark, d):
     return jobs.frame_context(_team(spark, d), FR, F.lit(1)).select("frame", "team", r6("block_cx"), "defense_type", r6("def_line_3"))
 
 
-@query("g4_role_assignment")
+#: The subset recursion of assign_roles(): placed has, for each group, formation and set of taken slots, the best way there.
+ROLES = f"""slots AS (SELECT * FROM (VALUES {", ".join(f"({k}, {i}, '{name}', {x}::DOUBLE, {y}::DOUBLE, '{role}')" for k, (name, held) in enumerate(C.FORMATIONS.items()) for i, (x, y, role) in enumerate(held))}) t(form, slot, formation, sx, sy, slot_role)),
+pos AS (SELECT frame, team, player_id, (x + 52) / 104.0::DOUBLE AS nx, (y + 34) / 68.0::DOUBLE AS ny, row_number() OVER (PARTITION BY frame, team ORDER BY player_id) AS place, count(*) OVER (PARTITION BY frame, team) AS k FROM formation),
+cost AS MATERIALIZED (SELECT frame, team, place, k, form, slot, round_even(sqrt((nx - sx) * (nx - sx) + (ny - sy) * (ny - sy)) * 1e9, 0)::BIGINT AS c FROM pos JOIN slots ON slot < k),
+placed AS (SELECT frame, team, form, 0::BIGINT AS level, 0::BIGINT AS taken, 0::BIGINT AS total, []::BIGINT[] AS way FROM (SELECT DISTINCT frame, team, form FROM cost)
+  UNION ALL SELECT frame, team, form, level, taken, least_[1], way FROM (SELECT p.frame, p.team, p.form, p.level + 1 AS level, p.taken + (1 << c.slot) AS taken, min([p.total + c.c, c.slot]) AS least_, arg_min(list_append(p.way, c.slot), [p.total + c.c, c.slot]) AS way
+    FROM placed p JOIN cost c ON c.frame = p.frame AND c.team = p.team AND c.form = p.form AND c.place = p.level + 1 WHERE (p.taken >> c.slot) & 1 = 0 GROUP BY ALL)),
+ends AS (SELECT frame, team, arg_min(form, [total, form]) AS form, arg_min(way, [total, form]) AS way FROM placed p JOIN (SELECT DISTINCT frame, team, k FROM pos) USING (frame, team) WHERE level = k GROUP BY frame, team),
+roles AS (SELECT p.frame, p.team, p.player_id, s.formation, s.slot_role AS role FROM pos p JOIN ends e USING (frame, team) JOIN slots s ON s.form = e.form AND s.slot = e.way[p.place])"""
+
+
+@query("g4_role_assignment", f"WITH RECURSIVE {V.FORMATION}, {ROLES} SELECT * FROM roles")
 def g4(spark, d):
     t = _team(spark, d).select("frame", "team", "player_id", ((F.col("x") + 52) / 104).alias("norm_x"), ((F.col("y") + 34) / 68).alias("norm_y"))
     return C.assign_roles(t, ["frame", "team"])
 
 
-@query("o3_best_formation")
+@query("o3_best_formation", f"WITH RECURSIVE {V.FORMATION}, {ROLES} SELECT formation, role, count(*) AS n FROM roles GROUP BY ALL")
 def o3(spark, d):
     return g4(spark, d).groupBy("formation", "role").agg(F.count(F.lit(1)).alias("n"))
 
