@@ -236,11 +236,15 @@ def test_shapes(spark):
 
 def test_control_is_a_share_and_mirrors(spark):
     players = spark.createDataFrame([(1, "Home", 30.0, 30.0, 3.0, 0.0), (1, "Away", 70.0, 30.0, 0.0, 0.0), (1, "Home", 52.0, 10.0, -1.0, 2.0)], "frame long, team string, x double, y double, vx double, vy double").withColumns({"ball_x": F.lit(50.0), "ball_y": F.lit(34.0)})
-    points = control.grid(spark, 8, 6)
-    one = control.surface(players, points, ["frame"], F.col("team") == "Home")
-    two = control.surface(players, points, ["frame"], F.col("team") == "Away").withColumnRenamed("pc", "other")
+    one = control.surface(players, ["frame"], F.col("team") == "Home", nx=8, ny=6)
+    two = control.surface(players.union(players.withColumn("vx", F.lit(None).cast("double"))), ["frame"], F.col("team") == "Away", nx=8, ny=6).withColumnRenamed("pc", "other")
     rows = one.join(two.select("ix", "iy", "other"), ["ix", "iy"]).collect()
     assert len(rows) == 48 and all(0 < r["pc"] < 1 and math.isclose(r["pc"] + r["other"], 1) for r in rows)
+    points = control.ellipses(players).crossJoin(control.grid(spark, 8, 6)).withColumn("i", control.influence(F.col("gx"), F.col("gy")))
+    sums = points.groupBy("ix", "iy").agg((F.sum(F.when(F.col("team") == "Home", F.col("i")).otherwise(-F.col("i")))).alias("s"))
+    assert all(math.isclose(r["pc"], 1 / (1 + math.exp(-r["s"]))) for r in one.join(sums, ["ix", "iy"]).collect())
+    top = {r["player_id"]: (r["mean_influence"], r["max_influence"]) for r in control.player_influence(players.withColumn("player_id", F.col("x")), ["frame"], 8, 6).collect()}
+    assert all(math.isclose(top[r["x"]][0], r["m"]) and math.isclose(top[r["x"]][1], r["t"]) for r in points.groupBy("x").agg(F.avg("i").alias("m"), F.max("i").alias("t")).collect()) and len(top) == 3
     at = control.ellipses(players).withColumns({"i": control.influence(F.col("x"), F.col("y"))}).collect()
     assert all(math.isclose(r["i"], 1) for r in at)  # relative to the player's own place
 

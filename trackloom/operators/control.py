@@ -1,14 +1,26 @@
-"""Space control: players' influence over a grid, the teams' surface and its summaries."""
+"""Space control: players' influence over a grid, the teams' surface and its summaries.
+
+A frame's players are gathered into one row (a shuffle of players, not of players times grid points); behind it each frame
+gives its surface in its own task, as sums over a small matrix of players by grid points. Summaries of a surface are
+aggregates by frame whose partial sums leave one row for each frame and task.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import influence_radius, logistic
+from ..functions.scalar import influence_radius
 
 #: Pitch in metres, grid points along and across, top speed in m/s, least and most radius, least width.
 LENGTH, WIDTH, NX, NY, TOP_SPEED, LEAST_RADIUS, MOST_RADIUS, LEAST_SY = 105.0, 68.0, 51, 45, 13.0, 4.0, 10.0, 0.1
+#: Fixed value: ball speed in km/h above which radii don't follow the ball.
+FREEZE_KMH = 36.0
 
 
 def grid(spark: SparkSession, nx: int = NX, ny: int = NY) -> DataFrame:
@@ -43,41 +55,120 @@ def influence(gx: Column, gy: Column) -> Column:
     return F.exp(-0.5 * (u * u + v * v - F.col("q0")))
 
 
-def surface(players: DataFrame, points: DataFrame, keys: list[str], attacking: Column, frozen: Column | None = None) -> DataFrame:
+_ELLIPSE = ("mx", "my", "ux", "uy", "sx", "sy", "q0")
+
+
+def _grid_arrays(nx: int, ny: int) -> tuple[np.ndarray, ...]:
+    ix, iy = np.divmod(np.arange(nx * ny), ny)
+    return ix, iy, ix * (LENGTH / (nx - 1)), iy * (WIDTH / (ny - 1))
+
+
+def _influences(held: dict[str, np.ndarray], gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
+    """influence() of many ellipses on all grid points, as a matrix."""
+    col = {c: x[:, None] for c, x in held.items()}
+    dx, dy = gx - col["mx"], gy - col["my"]
+    u, v = (dx * col["ux"] + dy * col["uy"]) / col["sx"], (dy * col["ux"] - dx * col["uy"]) / col["sy"]
+    return np.exp(-0.5 * (u * u + v * v - col["q0"]))
+
+
+def _kinds(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def _surfaces(keys: list[str], nx: int, ny: int, together: int = 16):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, iy, gx, gy = _grid_arrays(nx, ny)
+        for batch in batches:
+            for at in range(0, batch.num_rows, together):
+                part = batch.slice(at, together)
+                players = part.column("_players")
+                n, flat = np.asarray(pc.list_value_length(players), dtype=np.int64), players.flatten()
+                i = _influences({c: np.asarray(flat.field(c)) for c in _ELLIPSE}, gx, gy)
+                attacks = np.asarray(flat.field("attacks"))[:, None]
+                first = np.cumsum(n) - n
+                a, d = (np.add.reduceat(np.where(attacks == side, i, 0.0), first, axis=0).ravel() for side in (True, False))
+                frames = len(part)
+                out = {c: part.column(c).take(pa.array(np.repeat(np.arange(frames), nx * ny))) for c in keys}
+                out |= {c: pa.array(np.tile(x, frames)) for c, x in (("ix", ix), ("iy", iy), ("gx", gx), ("gy", gy))}
+                yield pa.record_batch(out | {c: pa.array(1 / (1 + np.exp(-x))) for c, x in (("pc", a - d), ("pc_att_only", a), ("pc_def_only", d))})
+
+    return run
+
+
+def surface(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None = None, nx: int = NX, ny: int = NY) -> DataFrame:
     """(keys, ix, iy, gx, gy, pc, pc_att_only, pc_def_only): control of each grid point by the attacking side.
 
-    The grid is broadcast (its size is fixed) and influences are summed right behind the cross join, before the shuffle.
+    pc_att_only and pc_def_only are what either side would hold alone. Players with an unknown place or velocity don't
+    count, nor do frames without others; an unknown attacking is the defending side.
     """
-    near = ellipses(players, frozen).withColumn("_att", attacking).select(*keys, "_att", "mx", "my", "ux", "uy", "sx", "sy", "q0").crossJoin(F.broadcast(points))
-    i = influence(F.col("gx"), F.col("gy"))
-    sums = near.groupBy(*keys, "ix", "iy", "gx", "gy").agg(F.sum(F.when(F.col("_att"), i).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("_att"), 0.0).otherwise(i)).alias("d"))
-    return sums.select(*keys, "ix", "iy", "gx", "gy", logistic(F.col("a") - F.col("d")).alias("pc"), logistic(F.col("a")).alias("pc_att_only"), logistic(F.col("d")).alias("pc_def_only"))
+    own = ellipses(players.withColumn("attacks", F.coalesce(attacking, F.lit(False))), frozen).dropna(subset=list(_ELLIPSE))
+    frames = own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in _ELLIPSE], "attacks"))).alias("_players"))
+    form = f"{_kinds(players, keys)}, ix long, iy long, gx double, gy double, pc double, pc_att_only double, pc_def_only double"
+    return frames.mapInArrow(_surfaces(keys, nx, ny), form)
+
+
+def _thirds(mirrored: Column, nx: int) -> list[Column]:
+    third = F.floor(F.col("ix") * 3 / nx)
+    own = F.when(mirrored, 2 - third).otherwise(third)
+    return [F.avg(F.when(own == i, F.col("pc"))).alias(f"pc_{n}_third") for i, n in enumerate(("def", "mid", "att"))]
+
+
+def _with_sides(df: DataFrame) -> DataFrame:
+    return df.withColumns({"pc_def_team": 1 - F.col("pc_att_team"), "controlling": F.when(F.col("pc_att_team") >= 0.5, "attack").otherwise("defence")})
 
 
 def frame_metrics(control: DataFrame, keys: list[str]) -> DataFrame:
     """Mean control of both sides and who holds more."""
-    out = control.groupBy(*keys).agg(F.avg("pc").alias("pc_att_team"))
-    return out.withColumns({"pc_def_team": 1 - F.col("pc_att_team"), "controlling": F.when(F.col("pc_att_team") >= 0.5, "attack").otherwise("defence")})
+    return _with_sides(control.groupBy(*keys).agg(F.avg("pc").alias("pc_att_team")))
 
 
 def third_means(control: DataFrame, keys: list[str], mirrored: Column, nx: int = NX) -> DataFrame:
     """Mean control in the defensive, middle and attacking third of grid columns."""
-    third = F.floor(F.col("ix") * 3 / nx)
-    own = F.when(mirrored, 2 - third).otherwise(third)
-    return control.groupBy(*keys).agg(*[F.avg(F.when(own == i, F.col("pc"))).alias(f"pc_{n}_third") for i, n in enumerate(("def", "mid", "att"))])
+    return control.groupBy(*keys).agg(*_thirds(mirrored, nx))
+
+
+def frame_report(control: DataFrame, keys: list[str], mirrored: Column, centres: DataFrame, radius: float, nx: int = NX) -> DataFrame:
+    """frame_metrics(), third_means(), zone_control() and the mean shares of either side alone, in one pass over a surface.
+
+    centres (keys, cx, cy) has the point that each frame's zone is drawn around; a frame without one has no zone.
+    """
+    near = _near(radius)
+    alone = [F.avg(c).alias(f"mean_{c}") for c in ("pc_att_only", "pc_def_only")]
+    zone = [F.avg(F.when(near, F.col("pc"))).alias("zone_pc"), F.count_if(near).alias("n_points")]
+    return _with_sides(control.join(centres, keys, "left").groupBy(*keys).agg(F.avg("pc").alias("pc_att_team"), *_thirds(mirrored, nx), *alone, *zone))
+
+
+def _near(radius: float) -> Column:
+    d = (F.col("gx") - F.col("cx")) * (F.col("gx") - F.col("cx")) + (F.col("gy") - F.col("cy")) * (F.col("gy") - F.col("cy"))
+    return d <= radius * radius
 
 
 def zone_control(control: DataFrame, centres: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """Mean control within radius of each centre (keys, cx, cy) and the number of points there; NULL where none."""
-    d = (F.col("gx") - F.col("cx")) * (F.col("gx") - F.col("cx")) + (F.col("gy") - F.col("cy")) * (F.col("gy") - F.col("cy"))
-    near = d <= radius * radius
+    near = _near(radius)
     return control.join(centres, keys).groupBy(*keys).agg(F.avg(F.when(near, F.col("pc"))).alias("zone_pc"), F.count_if(near).alias("n_points"))
 
 
-def player_influence(players: DataFrame, points: DataFrame, keys: list[str], n_points: int) -> DataFrame:
-    """Mean and largest influence of each player in each frame; the surface's radius freeze doesn't apply here."""
-    near = ellipses(players).crossJoin(F.broadcast(points))
-    return near.groupBy(*keys, "player_id").agg((F.sum(influence(F.col("gx"), F.col("gy"))) / n_points).alias("mean_influence"), F.max(influence(F.col("gx"), F.col("gy"))).alias("max_influence"))
+def _reaches(keep: list[str], nx: int, ny: int, together: int = 256):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, gx, gy = _grid_arrays(nx, ny)
+        for batch in batches:
+            for at in range(0, batch.num_rows, together):
+                part = batch.slice(at, together)
+                i = _influences({c: np.asarray(part.column(c)) for c in _ELLIPSE}, gx, gy)
+                yield pa.record_batch({c: part.column(c) for c in keep} | {"mean_influence": pa.array(i.sum(axis=1) / (nx * ny)), "max_influence": pa.array(i.max(axis=1))})
+
+    return run
+
+
+def player_influence(players: DataFrame, keys: list[str], nx: int = NX, ny: int = NY) -> DataFrame:
+    """Mean and largest influence of each player in each frame; the surface's radius freeze doesn't apply here.
+
+    A row for each row of players with known place and velocity; nothing is shuffled.
+    """
+    own = ellipses(players).dropna(subset=list(_ELLIPSE))
+    own = own.select(*keys, "player_id", *[F.col(c).cast("double").alias(c) for c in _ELLIPSE])
+    return own.mapInArrow(_reaches([*keys, "player_id"], nx, ny), f"{_kinds(own, [*keys, 'player_id'])}, mean_influence double, max_influence double")
 
 
 def influence_summary(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -9,8 +9,9 @@ from . import jobs
 from .base import query, r6
 
 FR = ["frame"]
-#: A coarse grid keeps the cross product of SQL engines small; operators default to 51 by 45.
-NX, NY = 11, 9
+NX, NY = S.NX, S.NY
+#: A coarse grid, where a row for each frame and point is returned.
+FEW_X, FEW_Y = 11, 9
 
 
 def _team(spark, d):
@@ -64,21 +65,31 @@ def _players(spark, d):
     return t.withColumns({"x": F.col("x") + 52.5, "y": F.col("y") + 34.0, "vx": F.col("vx").cast("double"), "vy": F.col("vy").cast("double"), "ball_x": F.lit(52.5), "ball_y": F.lit(34.0)})
 
 
-def _surface(spark, d):
-    return S.surface(_players(spark, d), S.grid(spark, NX, NY), FR, F.col("team") == "Home")
+def _surface(spark, d, nx=NX, ny=NY):
+    return S.surface(_players(spark, d), FR, F.col("team") == "Home", nx=nx, ny=ny)
 
 
-SURFACE = f"""pl AS (SELECT frame, team, player_id, x + 52.5::DOUBLE AS x, y + 34.0::DOUBLE AS y, vx::DOUBLE AS vx, vy::DOUBLE AS vy FROM formation),
+def _surface_sql(NX: int, NY: int) -> str:
+    return f"""pl AS (SELECT frame, team, player_id, x + 52.5::DOUBLE AS x, y + 34.0::DOUBLE AS y, vx::DOUBLE AS vx, vy::DOUBLE AS vy FROM formation),
 gr AS (SELECT i // {NY} AS ix, i % {NY} AS iy, i // {NY} * (105.0::DOUBLE / {NX - 1}) AS gx, i % {NY} * (68.0::DOUBLE / {NY - 1}) AS gy FROM range({NX * NY}) t(i)),
 el AS (SELECT *, sqrt(vx * vx + vy * vy) AS s, least(greatest(4 + 6 * (1 - exp(-sqrt((x - 52.5) * (x - 52.5) + (y - 34) * (y - 34)) / 10)), 4), 10) AS r FROM pl),
 e2 AS (SELECT *, CASE WHEN s >= 1e-6 THEN vx / s ELSE 1 END AS ux, CASE WHEN s >= 1e-6 THEN vy / s ELSE 0 END AS uy, r * (1 + s * s / 169) / 2 AS sx, greatest(r * (1 - s * s / 169) / 2, 0.1) AS sy, CASE WHEN s >= 1e-6 THEN 0.5 ELSE 0 END AS sh FROM el),
 inf AS (SELECT frame, team, player_id, s, ix, iy, gx, gy, exp(-0.5 * (pow(((gx - x - sh * ux) * ux + (gy - y - sh * uy) * uy) / sx, 2) + pow(((gy - y - sh * uy) * ux - (gx - x - sh * ux) * uy) / sy, 2) - pow(sh / sx, 2))) AS i FROM e2 CROSS JOIN gr),
-pc AS (SELECT frame, ix, iy, gx, gy, 1 / (1 + exp(sum(CASE WHEN team = 'Home' THEN 0 ELSE i END) - sum(CASE WHEN team = 'Home' THEN i ELSE 0 END))) AS pc, 1 / (1 + exp(-sum(CASE WHEN team = 'Home' THEN i ELSE 0 END))) AS pa FROM inf GROUP BY ALL)"""
+pc AS (SELECT frame, ix, iy, gx, gy, 1 / (1 + exp(sum(CASE WHEN team = 'Home' THEN 0 ELSE i END) - sum(CASE WHEN team = 'Home' THEN i ELSE 0 END))) AS pc, 1 / (1 + exp(-sum(CASE WHEN team = 'Home' THEN i ELSE 0 END))) AS pa FROM inf GROUP BY frame, ix, iy, gx, gy)"""
 
 
-@query("g5_control_surface", f"WITH {V.FORMATION}, {SURFACE} SELECT frame, ix, iy, round(pc, 6) + 0.0 AS pc, round(pa, 6) + 0.0 AS pc_att_only FROM pc")
+SURFACE = _surface_sql(NX, NY)
+
+
+@query("g5_control_surface", f"WITH {V.FORMATION}, {SURFACE} SELECT ix, iy, count(*) AS n_frames, round(avg(pc), 6) + 0.0 AS mean_pc, round(avg(pa), 6) + 0.0 AS mean_att_only, round(min(pc), 6) + 0.0 AS least_pc, round(max(pc), 6) + 0.0 AS most_pc FROM pc GROUP BY ix, iy")
 def g5(spark, d):
-    return _surface(spark, d).select("frame", "ix", "iy", r6("pc"), r6("pc_att_only"))
+    """All frames on the full grid, by grid point."""
+    return _surface(spark, d).groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n_frames"), r6(F.avg("pc"), "mean_pc"), r6(F.avg("pc_att_only"), "mean_att_only"), r6(F.min("pc"), "least_pc"), r6(F.max("pc"), "most_pc"))
+
+
+@query("g5_surface_points", f"WITH {V.FORMATION}, {_surface_sql(FEW_X, FEW_Y)} SELECT frame, ix, iy, round(pc, 6) + 0.0 AS pc, round(pa, 6) + 0.0 AS pc_att_only FROM pc")
+def g5_points(spark, d):
+    return _surface(spark, d, FEW_X, FEW_Y).select("frame", "ix", "iy", r6("pc"), r6("pc_att_only"))
 
 
 @query("j18_grid_cross_join", f"WITH {V.FORMATION}, {SURFACE} SELECT ix, iy, count(*) AS n, round(avg(i), 6) + 0.0 AS mean_influence FROM inf GROUP BY ALL")
@@ -106,12 +117,24 @@ def a19(spark, d):
 @query("a20_influence_summary", f"WITH {V.FORMATION}, {SURFACE}, p AS (SELECT frame, player_id, any_value(s) AS s, sum(i) / {NX * NY} AS m, max(i) AS t FROM inf GROUP BY ALL) SELECT player_id, count(*) AS n_frames, round(avg(m), 6) + 0.0 AS mean_influence, round(max(t), 6) + 0.0 AS max_influence, round(avg(s), 6) + 0.0 AS mean_speed, round(max(s), 6) + 0.0 AS max_speed FROM p GROUP BY player_id")
 def a20(spark, d):
     players = _players(spark, d)
-    rows = S.player_influence(players, S.grid(spark, NX, NY), FR, NX * NY).join(players.select("frame", "player_id", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).alias("speed_ms")), ["frame", "player_id"])
+    rows = S.player_influence(players, FR).join(players.select("frame", "player_id", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).alias("speed_ms")), ["frame", "player_id"])
     s = S.influence_summary(rows, ["player_id"])
     return s.select("player_id", "n_frames", r6("mean_influence"), r6("max_influence"), r6("mean_speed"), r6("max_speed"))
 
 
-@query("g6_control_report", f"WITH {V.FORMATION}, {SURFACE} SELECT frame, round(avg(pc), 6) + 0.0 AS pc_att_team, round(avg(CASE WHEN floor(ix * 3 / {NX}::DOUBLE) = 2 THEN pc END), 6) + 0.0 AS pc_att_third FROM pc GROUP BY frame")
+@query("g6_control_report", f"""WITH {V.FORMATION}, {SURFACE}, f AS (SELECT frame, avg(pc) AS a, avg(pa) AS pa, {", ".join(f"avg(CASE WHEN floor(ix * 3 / {NX}::DOUBLE) = {i} THEN pc END) AS t{i}" for i in range(3))}, avg(CASE WHEN (gx - 52.5) * (gx - 52.5) + (gy - 34) * (gy - 34) <= 225 THEN pc END) AS z FROM pc GROUP BY frame),
+w AS (SELECT *, frame // 1000 AS window_id, row_number() OVER (PARTITION BY frame // 1000 ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY frame // 1000) AS n FROM f), s AS (SELECT *, unnest(['start', 'mid', 'end']) AS snapshot FROM w)
+SELECT window_id, frame, snapshot, round(a, 6) + 0.0 AS pc_att_team, CASE WHEN a >= 0.5 THEN 'attack' ELSE 'defence' END AS controlling, {", ".join(f"round(t{i}, 6) + 0.0 AS pc_{n}_third" for i, n in enumerate(("def", "mid", "att")))}, round(z, 6) + 0.0 AS zone_pc, round(pa, 6) + 0.0 AS mean_pc_att_only
+FROM s WHERE (snapshot = 'start' AND i = 0) OR (snapshot = 'mid' AND i = n // 2) OR (snapshot = 'end' AND i = n - 1)""")
 def g6(spark, d):
-    pc = _surface(spark, d)
-    return S.frame_metrics(pc, FR).join(S.third_means(pc, FR, F.lit(False), NX), FR).select("frame", r6("pc_att_team"), r6("pc_att_third"))
+    """Snapshots of the whole job, over windows of a thousand frames."""
+    players = _players(spark, d).withColumns({"match_id": F.lit(1), "ball_speed_kmh": F.lit(0.0)})
+    windows = players.select("match_id", F.floor(F.col("frame") / 1000).alias("window_id")).distinct().withColumns({"start_frame": F.col("window_id") * 1000, "end_frame": F.col("window_id") * 1000 + 999})
+    got = jobs.control_report(players, ["match_id"], F.col("team") == "Home", windows=windows)["snapshots"]
+    return got.select("window_id", "frame", "snapshot", r6("pc_att_team"), "controlling", *[r6(f"pc_{n}_third") for n in ("def", "mid", "att")], r6("zone_pc"), r6("mean_pc_att_only"))
+
+
+@query("g6_frozen_radii", f"""WITH {V.FORMATION}, {SURFACE.replace("least(greatest(4 + 6 *", "CASE WHEN frame % 3 = 0 THEN 10 ELSE least(greatest(4 + 6 *").replace("4), 10) AS r", "4), 10) END AS r")} SELECT frame, round(avg(pc), 6) + 0.0 AS pc_att_team FROM pc GROUP BY frame""")
+def g6_frozen(spark, d):
+    players = _players(spark, d).withColumn("ball_speed_kmh", F.when(F.col("frame") % 3 == 0, 40.0).otherwise(10.0))
+    return jobs.control_report(players, [], F.col("team") == "Home")["frames"].select("frame", r6("pc_att_team"))

@@ -76,8 +76,22 @@ def enrich(annotations: DataFrame, movements: DataFrame, keys: list[str]) -> Dat
     return predicates.with_provenance(df, {"duration_out": (F.col("matched_s"), recomputed), "peak_out": (F.col("peak_ms"), F.lit(None).cast("double"))})
 
 
-def control_report(players: DataFrame, points: DataFrame, keys: list[str], attacking, n_points: int) -> tuple[DataFrame, DataFrame]:
-    """(frame table, player table) of control."""
-    pc = control.surface(players, points, keys, attacking)
-    frames = control.frame_metrics(pc, keys).join(control.third_means(pc, keys, F.lit(False)), keys)
-    return frames, control.player_influence(players, points, keys, n_points)
+def control_report(players: DataFrame, keys: list[str], attacking, radius: float = 15.0, mirrored=None, windows: DataFrame | None = None, freeze_above: float = control.FREEZE_KMH, nx: int = control.NX, ny: int = control.NY) -> dict[str, DataFrame]:
+    """Tables of control by frame, player, snapshot and player summary.
+
+    players: keys, frame, team, player_id, x, y, vx, vy, ball_x, ball_y, ball_speed_kmh. windows (keys, window_id,
+    start_frame, end_frame) chooses frames and is a key of all tables then, all windows in one job; without it all frames
+    are one window for each key. Radii are frozen where the ball is faster than freeze_above; zones lie around the ball.
+    """
+    if windows is None:
+        players, keys = players.withColumn("window_id", F.lit(0)), [*keys, "window_id"]
+    else:
+        spans = windows.select(*keys, "window_id", F.col("start_frame").alias("_from"), F.col("end_frame").alias("_to"))
+        players, keys = intervals.range_join(players, spans, keys, F.col("frame"), F.col("_from"), F.col("_to"), 256).drop("_from", "_to"), [*keys, "window_id"]
+    at = [*keys, "frame"]
+    pc = control.surface(players, at, attacking, F.col("ball_speed_kmh") > freeze_above, nx, ny)
+    balls = players.groupBy(*at).agg(F.min("ball_x").alias("cx"), F.min("ball_y").alias("cy"))
+    frames = control.frame_report(pc, at, F.lit(False) if mirrored is None else mirrored, balls, radius, nx)
+    speed = F.sqrt((F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).cast("double"))
+    rows = control.player_influence(players, at, nx, ny).join(players.select(*at, "player_id", "team", speed.alias("speed_ms")), [*at, "player_id"])
+    return {"frames": frames, "players": rows, "snapshots": series.snapshots(frames, keys), "summary": control.influence_summary(rows, [*keys, "team", "player_id"])}
