@@ -70,6 +70,12 @@ def live_phases(phases: DataFrame, min_seconds: float = 2.0) -> DataFrame:
     return phases.where(F.col("ball_live") & F.col("possession_team").isin("Home", "Away") & (F.col("duration_s") >= min_seconds))
 
 
+def in_possession(runs: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs whose first frame has holds in states (keys, frame, holds); an unknown state doesn't count."""
+    at = states.where("holds").select(*keys, F.col("frame").alias("start_frame")).distinct()
+    return runs.join(at, [*keys, "start_frame"], "left_semi")
+
+
 def goal_indicator(team: Column, home: Column, away: Column) -> Column:
     return F.when(team == "Away", away - home).otherwise(home - away)
 

@@ -28,6 +28,18 @@ def resample(df: DataFrame, keys: list[str], points: int = 50) -> DataFrame:
     return out.select(*keys, "point", (F.col("x") + part * F.coalesce(F.col("_x2") - F.col("x"), F.lit(0))).alias("rx"), (F.col("y") + part * F.coalesce(F.col("_y2") - F.col("y"), F.lit(0))).alias("ry"))
 
 
+def trajectories(movements: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, shape_method, point, x, y): each movement's stored path, or else the three points of its summary.
+
+    movements: keys, x_start, y_start, x_mid, y_mid, x_end, y_end; stored: keys, frame, x, y. shape_method tells which.
+    """
+    w = Window.partitionBy(*keys).orderBy("frame")
+    own = stored.join(movements.select(keys), keys, "left_semi").select(*keys, F.lit("trajectory").alias("shape_method"), (F.row_number().over(w) - 1).cast("long").alias("point"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    points = F.array(*[F.struct(*[F.col(f"{c}_{at}").cast("double").alias(c) for c in "xy"]) for at in ("start", "mid", "end")])
+    rest = movements.join(stored.select(keys).distinct(), keys, "left_anti").select(*keys, F.lit("summary").alias("shape_method"), F.posexplode(points).alias("point", "p"))
+    return own.unionByName(rest.select(*keys, "shape_method", F.col("point").cast("long").alias("point"), "p.x", "p.y"))
+
+
 def _rms(s: Column) -> Column:
     n = s["n"].cast("double")
     a, c = s["xx"] / n - s["x"] / n * s["x"] / n, s["yy"] / n - s["y"] / n * s["y"] / n

@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I
-from ..operators import series
+from ..operators import series, shape
 from ..sources import views as V
 from ..sources.views import K
 from . import jobs
 from .base import query, r6
-from .series_queries import KEYS, MOVES, TS, VALLEYS, _movements
+from .series_queries import KEYS, MOVES, SPLIT, TS, VALLEYS, W, _movements
 
 GOALS = "goals AS (SELECT *, sum((team = 'Home')::INT) OVER g AS home, sum((team = 'Away')::INT) OVER g AS away FROM event WHERE kind = 'purchase' WINDOW g AS (PARTITION BY match_id ORDER BY half, elapsed, event_id ROWS UNBOUNDED PRECEDING))"
 
@@ -83,22 +83,20 @@ def j7(spark, d):
     return I.possession_intervals(_contacts(spark, d), ["match_id", "half"], delay={"passer": 5}).drop("role")
 
 
-@query("j8_paint_intervals", f"""WITH {V.TRACK}, {V.ANNOT}, i AS (SELECT jid % 10 AS player_id, half, start_frame % 300 AS s, start_frame % 300 + (segment_id % 20) + 1 AS e, segment_id, team FROM annot),
+@query("j8_paint_intervals", f"""WITH {V.TRACK}, {V.ANNOT}, {V.OWNED}, i AS (SELECT player_id, half, start_frame AS s, start_frame + (segment_id % 20) + 1 AS e, segment_id, team FROM owned),
 t AS (SELECT player_id, half, frame, arg_max(i.team, [s, segment_id]) AS team FROM track JOIN i USING (player_id, half) WHERE frame >= s AND frame < e GROUP BY ALL)
 SELECT k.player_id, k.half, k.frame, coalesce(t.team, CASE k.poss WHEN 1 THEN 'Home' WHEN 2 THEN 'Away' ELSE 'contest' END) AS painted FROM track k LEFT JOIN t USING (player_id, half, frame)""")
 def j8(spark, d):
     from ..operators.predicates import possession_team
 
-    a = V.annotation(spark, d)
-    s = F.col("start_frame") % 300
-    i = a.select((F.col("jid") % 10).alias("player_id"), "half", s.alias("start_frame"), (s + F.col("segment_id") % 20 + 1).alias("end_frame"), "segment_id", F.col("team").alias("owner"))
+    i = V.owned(spark, d).select("player_id", "half", "start_frame", (F.col("start_frame") + F.col("segment_id") % 20 + 1).alias("end_frame"), "segment_id", F.col("team").alias("owner"))
     t = V.track(spark, d).withColumn("raw", possession_team(F.col("poss")))
     return I.paint(t, i, ["player_id", "half"], "owner", ["start_frame", "segment_id"], "raw").select("player_id", "half", "frame", "painted")
 
 
-@query("j12_range_join", f"WITH {V.TRACK}, {V.ANNOT} SELECT a.segment_id, count(*) AS n FROM annot a JOIN track t ON a.jid % 10 = t.player_id AND a.half = t.half AND t.frame BETWEEN a.start_frame % 300 AND a.start_frame % 300 + 20 GROUP BY a.segment_id")
+@query("j12_range_join", f"WITH {V.TRACK}, {V.ANNOT}, {V.OWNED} SELECT a.segment_id, count(*) AS n FROM owned a JOIN track t ON a.player_id = t.player_id AND a.half = t.half AND t.frame BETWEEN a.start_frame AND a.start_frame + 20 GROUP BY a.segment_id")
 def j12_range(spark, d):
-    a = V.annotation(spark, d).select("segment_id", (F.col("jid") % 10).alias("player_id"), "half", (F.col("start_frame") % 300).alias("lo"))
+    a = V.owned(spark, d).select("segment_id", "player_id", "half", F.col("start_frame").alias("lo"))
     got = I.range_join(V.track(spark, d).select("player_id", "half", "frame"), a, ["player_id", "half"], F.col("frame"), F.col("lo"), F.col("lo") + 20, 32)
     return got.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -120,32 +118,79 @@ def w23(spark, d):
     return I.anchors(e, 300_000)
 
 
-@query("j14_trajectory_lookup", f"{TS}, {VALLEYS}, {MOVES} SELECT {KEYS}, movement_id, count(s.frame) AS n_points, CASE WHEN count(s.frame) > 0 THEN 'trajectory' ELSE 'summary' END AS shape_method FROM movement m LEFT JOIN (SELECT * FROM mov WHERE player_id % 2 = 0) s USING ({KEYS}, movement_id) GROUP BY {KEYS}, movement_id")
+@query("j14_trajectory_lookup", f"""{TS}, {VALLEYS}, {MOVES}, own AS (SELECT {KEYS}, movement_id, 'trajectory' AS shape_method, row_number() OVER (PARTITION BY {KEYS}, movement_id ORDER BY frame) - 1 AS point, x::DOUBLE AS x, y::DOUBLE AS y FROM mov SEMI JOIN (SELECT * FROM movement WHERE duration_s >= 0.4) USING ({KEYS}, movement_id)),
+three AS (SELECT {KEYS}, movement_id, 'summary' AS shape_method, p.point::BIGINT, p.x, p.y FROM (SELECT *, unnest([{{'point': 0, 'x': x_start::DOUBLE, 'y': y_start::DOUBLE}}, {{'point': 1, 'x': x_mid, 'y': y_mid}}, {{'point': 2, 'x': x_end::DOUBLE, 'y': y_end::DOUBLE}}]) AS p FROM movement WHERE duration_s < 0.4))
+SELECT * FROM own UNION ALL SELECT * FROM three""")
 def j14(spark, d):
+    """Only movements of 0.4 s and more have stored trajectories, the others fall back to their summary's points."""
+    moves = _movements(spark, d)
     df = series.number_movements(series.valley_segments(series.speed(V.track(spark, d), K, unit=0.1 / 25), K), K, ["segment_id"])
-    paths = df.where("player_id % 2 = 0").groupBy(*K, "movement_id").agg(F.count("frame").alias("n"))
-    out = _movements(spark, d).select(*K, "movement_id").join(paths, [*K, "movement_id"], "left").withColumn("n_points", F.coalesce("n", F.lit(0)))
-    return out.withColumn("shape_method", F.when(F.col("n_points") > 0, "trajectory").otherwise("summary")).drop("n")
+    stored = df.join(moves.where("duration_s >= 0.4").select(*K, "movement_id"), [*K, "movement_id"], "left_semi")
+    return shape.trajectories(moves, stored, [*K, "movement_id"])
 
 
-@query("g1_match_context")
-def g1_context(spark, d):
-    e = _events(spark, d)
-    at = F.col("elapsed") % 300
+#: The context of movements (start_frame, end_frame, team) after `event`: score, shots and blackouts.
+CONTEXT = """ev AS (SELECT event_id, match_id, half, team, elapsed % 3000 AS frame, (elapsed % 3000) / 25.0::DOUBLE AS el, CASE kind WHEN 'purchase' THEN 'goal' WHEN 'click' THEN 'shot' WHEN 'signup' THEN 'FreeKick' ELSE 'view' END AS kind FROM event),
+gl AS (SELECT *, sum((team = 'Home')::INT) OVER g AS home, sum((team = 'Away')::INT) OVER g AS away FROM ev WHERE kind = 'goal' WINDOW g AS (PARTITION BY match_id ORDER BY half, el, event_id ROWS UNBOUNDED PRECEDING)),
+context AS (SELECT m.*, coalesce(g.home, 0)::BIGINT AS home, coalesce(g.away, 0)::BIGINT AS away, EXISTS (SELECT 1 FROM ev s WHERE s.kind = 'shot' AND s.match_id = m.match_id AND s.half = m.half AND s.team = m.team AND s.el BETWEEN m.end_frame / 25.0::DOUBLE AND m.end_frame / 25.0::DOUBLE + 10) AS shot_within
+  FROM movement m LEFT JOIN LATERAL (SELECT home, away FROM gl WHERE gl.match_id = m.match_id AND gl.half = m.half AND gl.el <= m.start_frame / 25.0::DOUBLE ORDER BY gl.el DESC, gl.event_id DESC LIMIT 1) g ON true
+  LEFT JOIN LATERAL (SELECT frame + 50 AS b_end FROM ev b WHERE b.kind = 'FreeKick' AND b.match_id = m.match_id AND b.half = m.half AND b.frame <= m.start_frame ORDER BY b.frame DESC LIMIT 1) b ON true WHERE b_end IS NULL OR m.start_frame >= b_end)"""
+CONTEXT_OUT = "home::VARCHAR || '-' || away::VARCHAR AS scoreline, CASE WHEN team = 'Away' THEN away - home ELSE home - away END AS goal_indicator, shot_within"
+
+
+def _match_frames(spark, d):
+    at = F.col("elapsed") % 3000
     kinds = F.when(F.col("kind") == "purchase", "goal").when(F.col("kind") == "click", "shot").when(F.col("kind") == "signup", "FreeKick").otherwise("view")
-    frames = e.withColumns({"frame": at, "elapsed": at / 25, "kind": kinds})
-    return jobs.match_context(_movements(spark, d), frames).select(*K, "movement_id", "scoreline", "goal_indicator", "shot_within")
+    return _events(spark, d).withColumns({"frame": at, "elapsed": at / 25, "kind": kinds})
 
 
-@query("a3_interval_indicators", f"""{TS}, {V.ANNOT}, a AS (SELECT segment_id, jid % 10 AS player_id, half, start_frame % 300 AS s, start_frame % 300 + (end_frame - start_frame) % 40 AS e FROM annot),
-j AS (SELECT a.segment_id, a.s, a.e, t.* FROM a JOIN speed t ON a.player_id = t.player_id AND a.half = t.half AND t.frame BETWEEN a.s AND a.e), k AS (SELECT *, sqrt(CAST((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 AS DOUBLE)) AS st FROM j WINDOW w AS (PARTITION BY segment_id ORDER BY frame))
-SELECT segment_id, count(*) AS n_points, round(sum(st), 2) AS distance_m, round(max(v) * 3.6, 2) AS peak_kmh, (any_value(e) - any_value(s)) / 25.0::DOUBLE AS duration_s FROM k GROUP BY segment_id HAVING count(*) >= 2""")
-def a3(spark, d):
+@query("g1_match_context", f"{TS}, {VALLEYS}, {MOVES}, {V.EVENT}, {CONTEXT} SELECT {KEYS}, movement_id, {CONTEXT_OUT} FROM context")
+def g1_context(spark, d):
+    return jobs.match_context(_movements(spark, d), _match_frames(spark, d)).select(*K, "movement_id", "scoreline", "goal_indicator", "shot_within")
+
+
+#: The whole job: smoothed track and possession, power split, summary, context and the choice of runs.
+SMOOTH = f"""{V.TRACK.replace("track AS", "raw AS", 1)}, pr AS (SELECT *, count(*) OVER (PARTITION BY {KEYS}, run) AS run_n FROM (SELECT *, sum(ch) OVER {W} AS run FROM (SELECT *, CASE WHEN lag(poss) OVER {W} <> poss THEN 1 ELSE 0 END AS ch FROM raw))),
+track AS (SELECT {KEYS}, frame, {", ".join(f"CASE WHEN count(*) OVER (PARTITION BY {KEYS}) >= 4 THEN coalesce((lag({c}) OVER w + 2 * {c} + lead({c}) OVER w) / 4.0::DOUBLE, {c}) END AS {c}" for c in "xy")}, last_value(CASE WHEN run_n >= 3 OR run = 0 THEN poss END IGNORE NULLS) OVER w AS poss FROM pr WINDOW w AS (PARTITION BY {KEYS} ORDER BY frame)), {V.SPEED}"""
+PIECES = MOVES.replace("ORDER BY segment_id) - 1 AS movement_id FROM seg)", "ORDER BY segment_id, piece) - 1 AS movement_id FROM pieces)").replace("arg_min(poss, frame) AS first_poss FROM stp", "arg_min(poss, frame) AS first_poss, sum(greatest(ec, 0) * v) / 25 AS energy FROM stp")
+
+
+@query("g1_whole_job", f"""WITH {SMOOTH}, {VALLEYS}, {SPLIT}, {PIECES}, {V.EVENT}, {CONTEXT}
+SELECT {KEYS}, movement_id, start_frame, end_frame, peak_frame, round(distance_m, 4) + 0.0 AS distance_m, round(peak_speed_kmh, 4) AS peak_speed_kmh, round(x_mid, 4) + 0.0 AS x_mid, round(energy, 3) + 0.0 AS total_energy_cost_J, possession, speed_category, {CONTEXT_OUT}
+FROM context WHERE (possession = team OR possession_contested) AND speed_category IN ('running', 'sprinting') AND distance_m > 2.5 AND direction > 0.3""")
+def g1_whole(spark, d):
+    t = V.track(spark, d)
+    runs = jobs.movement_job(t, jobs.directions_of(t), _match_frames(spark, d), unit=0.1 / 25, shortest_possession=3)
+    rounded = [(F.round(c, n) + 0.0).alias(c) for c, n in (("distance_m", 4), ("peak_speed_kmh", 4), ("x_mid", 4), ("total_energy_cost_J", 3))]
+    return runs.select(*K, "movement_id", "start_frame", "end_frame", "peak_frame", *rounded, "possession", "speed_category", "scoreline", "goal_indicator", "shot_within")
+
+
+ZONES = ", ".join(f"CASE WHEN x_{at} * s < -17.5 THEN 'D' WHEN x_{at} * s <= 17.5 THEN 'M' ELSE 'A' END || CASE WHEN y_{at} * s < -20.16 THEN 'R' WHEN y_{at} * s < -3.66 THEN 'HR' WHEN y_{at} * s < 3.66 THEN 'C' WHEN y_{at} * s < 20.16 THEN 'HL' ELSE 'L' END AS zone_{at}" for at in ("start", "mid", "end"))
+#: Measures of the intervals in `owned`, after `speed`.
+INDICATORS = f"""half_end AS (SELECT half, max(frame) AS e FROM track GROUP BY half), cl AS (SELECT segment_id, player_id, o.half, greatest(0, least(start_frame, e)) AS lo, greatest(0, least(end_frame, e)) AS hi, CASE segment_id % 3 WHEN 0 THEN 'left_to_right' WHEN 1 THEN 'right_to_left' END AS dir FROM owned o JOIN half_end h ON o.half = h.half),
+ir AS (SELECT c.segment_id, c.lo, c.hi, c.dir, t.frame, t.x, t.y, t.v, t.poss, t.frame >= c.lo AS run FROM cl c JOIN speed t ON c.player_id = t.player_id AND c.half = t.half AND t.frame BETWEEN greatest(c.lo - 50, 0) AND c.hi WHERE c.lo < c.hi),
+ia AS (SELECT *, coalesce((lead(v) OVER w - lag(v) OVER w) / (2 * 0.04::DOUBLE), (lead(v) OVER w - v) / 0.04::DOUBLE, (v - lag(v) OVER w) / 0.04::DOUBLE, 0) AS accel, sqrt(CAST((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) AS DOUBLE)) AS st FROM ir WINDOW w AS (PARTITION BY segment_id, run ORDER BY frame)),
+ie AS (SELECT *, (((((155.4 * i - 30.4) * i - 43.3) * i + 46.3) * i + 19.5) * i + 3.6) * 1.29 AS ec FROM (SELECT *, greatest(least(accel / 9.81, 0.5), -0.5) AS i FROM ia)),
+ig AS (SELECT segment_id, any_value(lo) AS lo, any_value(hi) AS hi, any_value(dir) AS dir, count(*) FILTER (WHERE run) AS n_points, sum(st) FILTER (WHERE run) AS dist, avg(v) FILTER (WHERE run) AS mv, max(v) FILTER (WHERE run) AS pk, arg_min(frame, [-v, frame]) FILTER (WHERE run) AS peak_frame, sum(greatest(ec, 0) * v) FILTER (WHERE run) / 25 AS energy,
+  avg(v) FILTER (WHERE NOT run) AS pm, max(v) FILTER (WHERE NOT run) AS pp, arg_min(x, frame) FILTER (WHERE run) AS x_start, median(x) FILTER (WHERE run) AS x_mid, arg_max(x, frame) FILTER (WHERE run) AS x_end, arg_min(y, frame) FILTER (WHERE run) AS y_start, median(y) FILTER (WHERE run) AS y_mid, arg_max(y, frame) FILTER (WHERE run) AS y_end, avg((poss = 1)::INT::DOUBLE) FILTER (WHERE run) AS ratio
+  FROM ie GROUP BY segment_id HAVING count(*) FILTER (WHERE run) >= 2),
+indicators AS (SELECT segment_id, n_points, round(dist, 2) AS distance_m, round((hi - lo) / 25.0::DOUBLE, 2) AS duration_s, round(mv, 3) AS mean_vel_ms, round(pk, 3) AS peak_vel_ms, peak_frame, CASE WHEN pk * 3.6 < 7 THEN 'walking' WHEN pk * 3.6 < 14 THEN 'jogging' WHEN pk * 3.6 < 21 THEN 'running' ELSE 'sprinting' END AS speed_category, round(energy, 2) + 0.0 AS total_energy_cost_J,
+  round(pm, 3) AS pre_run_mean_vel_ms, round(pp, 3) AS pre_run_peak_vel_ms, CASE WHEN lo > 0 THEN round(least(lo, 50) / 25.0::DOUBLE, 2) END AS pre_run_window_s, x_start, x_mid, x_end, y_start, y_mid, y_end, {ZONES}, s AS attack_sign, round(CASE WHEN abs(x_end - x_start) + abs(y_end - y_start) = 0 THEN 0 ELSE (x_end - x_start)::DOUBLE / (abs(x_end - x_start) + abs(y_end - y_start)) END * s, 4) + 0.0 AS direction,
+  CASE WHEN ratio >= 0.5 THEN 'Home' ELSE 'Away' END AS possession, round(ratio, 3) AS possession_ratio, ratio > 0.3 AND ratio < 0.7 AS possession_contested FROM (SELECT *, CASE dir WHEN 'right_to_left' THEN -1 ELSE 1 END AS s FROM ig))"""
+INDICATOR_COLUMNS = ["n_points", "distance_m", "duration_s", "mean_vel_ms", "peak_vel_ms", "peak_frame", "speed_category", "total_energy_cost_J", "pre_run_mean_vel_ms", "pre_run_peak_vel_ms", "pre_run_window_s", "x_start", "x_mid", "x_end", "y_start", "y_mid", "y_end", "zone_start", "zone_mid", "zone_end", "attack_sign", "direction", "possession", "possession_ratio", "possession_contested"]
+
+
+def _indicators(spark, d):
     from ..operators.indicators import interval_indicators
 
-    a = V.annotation(spark, d).select("segment_id", (F.col("jid") % 10).alias("player_id"), "half", (F.col("start_frame") % 300).alias("start_frame"), (F.col("start_frame") % 300 + (F.col("end_frame") - F.col("start_frame")) % 40).alias("end_frame"))
+    turn = F.when(F.col("segment_id") % 3 == 0, "left_to_right").when(F.col("segment_id") % 3 == 1, "right_to_left")
     v = series.speed(V.track(spark, d), K, unit=0.1 / 25)
-    return interval_indicators(a, v.drop("team", "match_id"), ["player_id", "half"])
+    return interval_indicators(V.owned(spark, d).withColumn("play_direction", turn), v, ["player_id", "half"], ["half"])
+
+
+@query("a3_interval_indicators", f"{TS}, {V.ANNOT}, {V.OWNED}, {INDICATORS} SELECT segment_id, {', '.join(INDICATOR_COLUMNS)} FROM indicators")
+def a3(spark, d):
+    return _indicators(spark, d).withColumns({"total_energy_cost_J": F.col("total_energy_cost_J") + 0.0, "direction": F.col("direction") + 0.0}).select("segment_id", *INDICATOR_COLUMNS)
 
 
 @query("a15_phase_positions", f"WITH {V.TRACK}, p AS (SELECT match_id, half, frame // 50 AS phase_id, player_id, avg(x) AS mx, avg(y) AS my, count(x) / count(*) AS cov FROM track GROUP BY ALL), q AS (SELECT *, count(*) OVER (PARTITION BY match_id, half, phase_id) AS n FROM p WHERE cov >= 0.5) SELECT match_id, half, phase_id, player_id, round(mx, 6) + 0.0 AS mean_x, round(my, 6) + 0.0 AS mean_y FROM q WHERE n >= 2")

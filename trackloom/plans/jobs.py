@@ -36,6 +36,17 @@ def extract_movements(track: DataFrame, directions: DataFrame, unit: float = 1.0
     return with_directions(series.movement_summary(df, keys).where("distance_m > 0"), directions)
 
 
+def movement_job(track: DataFrame, directions: DataFrame, events: DataFrame, unit: float = 1.0, keys: list[str] = K, shortest_possession: int = 25, fps: int = 25) -> DataFrame:
+    """The whole extraction: smoothed places and possession, movements split by power, match context, and the choice of runs.
+
+    track: keys, frame, x, y, poss; directions: match_id, half, home_direction; events as match_context() takes them.
+    """
+    df = series.low_pass(track, keys, ["x", "y"])
+    df = series.absorb_short(df, keys, "poss", shortest_possession).drop("poss").withColumnRenamed("smoothed", "poss")
+    movements = extract_movements(df, directions, unit, keys, power=True)
+    return predicates.run_candidates(match_context(movements, events, fps))
+
+
 def directions_of(track: DataFrame) -> DataFrame:
     """A playing direction for each match and half: home plays to the right in F of even matches, and so on by turns."""
     right = (F.col("match_id") % 2 == 0) == (F.col("half") == "F")

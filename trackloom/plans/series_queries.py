@@ -136,14 +136,14 @@ def w3(spark, d):
     return series.backward_velocity(V.track(spark, d), K).select(*K, "frame", "vx", "vy")
 
 
-@query("w4_ball_speed", f"WITH {V.TRACK}, b AS (SELECT {KEYS}, frame, sqrt(coalesce(x - lag(x) OVER w, 0)::DOUBLE * 25 * 25 * coalesce(x - lag(x) OVER w, 0) + coalesce(y - lag(y) OVER w, 0)::DOUBLE * 25 * 25 * coalesce(y - lag(y) OVER w, 0)) * 3.6 AS k FROM track WINDOW w AS {W}) SELECT {KEYS}, frame, round(k, 6) AS ball_speed_kmh, k > 3600 AS radius_frozen FROM b WHERE abs(k - 3600) > 1e-6")
+@query("w4_ball_speed", f"WITH {V.TRACK}, b AS (SELECT {KEYS}, frame, sqrt(coalesce(x - lag(x) OVER w, 0)::DOUBLE * 25 * 25 * coalesce(x - lag(x) OVER w, 0) + coalesce(y - lag(y) OVER w, 0)::DOUBLE * 25 * 25 * coalesce(y - lag(y) OVER w, 0)) * 3.6 AS k, coalesce((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w), 0) AS dd FROM track WINDOW w AS {W}) SELECT {KEYS}, frame, round(k, 6) AS ball_speed_kmh, dd > 1600 AS radius_frozen FROM b")
 def w4(spark, d):
-    df = series.ball_speed(V.track(spark, d), K, freeze_above=3600).where("abs(ball_speed_kmh - 3600) > 1e-6")
+    df = series.ball_speed(V.track(spark, d), K, freeze_above=3600)  # 40 units of place a frame
     return df.select(*K, "frame", r6("ball_speed_kmh"), "radius_frozen")
 
 
-POWER = f"""pw AS (SELECT *, v * accel AS power, greatest(least(accel / 9.81, 0.5), -0.5) AS i FROM (SELECT *, coalesce((lead(v) OVER w - lag(v) OVER w) / (2 * 0.04::DOUBLE), (lead(v) OVER w - v) / 0.04::DOUBLE, (v - lag(v) OVER w) / 0.04::DOUBLE, 0) AS accel FROM {{src}} WINDOW w AS ({{part}}))),
-cost AS (SELECT *, (((((155.4 * i - 30.4) * i - 43.3) * i + 46.3) * i + 19.5) * i + 3.6) * 1.29 AS ec FROM pw)"""
+POWER = f"""pw AS (SELECT *, v * accel AS power, greatest(least(accel / 9.81, 0.5), -0.5) AS slope FROM (SELECT *, coalesce((lead(v) OVER w - lag(v) OVER w) / (2 * 0.04::DOUBLE), (lead(v) OVER w - v) / 0.04::DOUBLE, (v - lag(v) OVER w) / 0.04::DOUBLE, 0) AS accel FROM {{src}} WINDOW w AS ({{part}}))),
+cost AS (SELECT *, (((((155.4 * slope - 30.4) * slope - 43.3) * slope + 46.3) * slope + 19.5) * slope + 3.6) * 1.29 AS ec FROM pw)"""
 
 
 @query("w5_metabolic_power", f"{TS}, {POWER.format(src='speed', part=f'PARTITION BY {KEYS} ORDER BY frame')} SELECT {KEYS}, frame, round(accel, 6) + 0.0 AS accel, round(power, 6) + 0.0 AS power, round(ec, 6) AS ec FROM cost")
@@ -311,11 +311,23 @@ def f14(spark, d):
     return g.select(*K, "movement_id", F.round("rmse", 4).alias("rmse"), F.round(attack_angle(F.col("dx"), F.col("dy")), 6).alias("angle"))
 
 
-@query("w26_resample", f"""{TS}, {VALLEYS}, {MOVES}, a AS (SELECT {KEYS}, movement_id, frame, x, y, coalesce(step, 0) AS st FROM stp), b AS (SELECT *, sum(st) OVER (PARTITION BY {KEYS}, movement_id ORDER BY frame) AS arc, sum(st) OVER (PARTITION BY {KEYS}, movement_id) AS total, count(*) OVER (PARTITION BY {KEYS}, movement_id) AS n FROM a)
-SELECT {KEYS}, movement_id, count(*) AS n_points FROM b GROUP BY {KEYS}, movement_id""")
+#: Points at equal steps of arc length on paths `pa` (path, frame, x, y), at most fifty.
+RESAMPLED = """ps AS (SELECT *, coalesce(sqrt(CAST((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) AS DOUBLE)), 0) AS st, row_number() OVER w - 1 AS i FROM pa WINDOW w AS (PARTITION BY path ORDER BY frame)),
+pc AS (SELECT *, sum(st) OVER (PARTITION BY path ORDER BY frame ROWS UNBOUNDED PRECEDING) AS arc, sum(st) OVER (PARTITION BY path) AS total, count(*) OVER (PARTITION BY path) AS n FROM ps),
+pt AS (SELECT path, n, total, unnest(range(least(n, 50))) AS point FROM (SELECT DISTINCT path, n, total FROM pc)),
+rs AS (SELECT t.path, t.point, t.n, CASE WHEN t.total < 1e-6 THEN (SELECT x FROM pc q WHERE q.path = t.path AND q.i = t.point)::DOUBLE WHEN b.arc IS NULL OR b.arc <= a.arc THEN a.x ELSE a.x + (t.point * t.total / (least(t.n, 50) - 1) - a.arc) / (b.arc - a.arc) * (b.x - a.x) END AS rx,
+  CASE WHEN t.total < 1e-6 THEN (SELECT y FROM pc q WHERE q.path = t.path AND q.i = t.point)::DOUBLE WHEN b.arc IS NULL OR b.arc <= a.arc THEN a.y ELSE a.y + (t.point * t.total / (least(t.n, 50) - 1) - a.arc) / (b.arc - a.arc) * (b.y - a.y) END AS ry
+  FROM pt t JOIN LATERAL (SELECT * FROM pc q WHERE q.path = t.path AND q.arc <= t.point * t.total / greatest(least(t.n, 50) - 1, 1) + 1e-9 * t.total ORDER BY q.i DESC LIMIT 1) a ON true LEFT JOIN pc b ON b.path = t.path AND b.i = a.i + 1)"""
+
+
+@query("w26_resample", f"""{TS}, {VALLEYS}, {MOVES}, pa AS (SELECT player_id || half AS path, frame, x, y FROM track UNION ALL SELECT player_id || half || '-' || movement_id, frame, x, y FROM mov), {RESAMPLED}
+SELECT path, point, round(rx, 4) + 0.0 AS rx, round(ry, 4) + 0.0 AS ry FROM rs""")
 def w26(spark, d):
+    """Whole series, of more points than fifty, and their movements, of fewer."""
     df = series.number_movements(series.valley_segments(_speed(spark, d), K), K, ["segment_id"])
-    return shape.resample(df, [*K, "movement_id"]).groupBy(*K, "movement_id").agg(F.count(F.lit(1)).alias("n_points"))
+    name = F.concat(F.col("player_id").cast("string"), "half")
+    paths = V.track(spark, d).select(name.alias("path"), "frame", "x", "y").unionByName(df.select(F.concat(name, F.lit("-"), F.col("movement_id").cast("string")).alias("path"), "frame", "x", "y"))
+    return shape.resample(paths, ["path"]).select("path", F.col("point").cast("long").alias("point"), *[(F.round(c, 4) + 0.0).alias(c) for c in ("rx", "ry")])
 
 
 @query("w20_ntile_lines", f"""WITH {V.FORMATION}, o AS (SELECT *, ntile(3) OVER (PARTITION BY frame, team ORDER BY x, player_id) AS t, count(*) OVER (PARTITION BY frame, team) AS n FROM formation WHERE position <> 'TW')
@@ -332,7 +344,20 @@ def o6(spark, d):
     return V.track(spark, d).select("player_id", "half", "frame").orderBy("player_id", "half", "frame").limit(10)
 
 
-@query("p6_in_possession_runs", f"WITH {V.SIGNAL}, s AS (SELECT player_id, frame, v, row_number() OVER (PARTITION BY player_id ORDER BY v DESC, frame) AS rank FROM signal WHERE event_type = 'purchase') SELECT player_id, frame, v, rank FROM s WHERE rank <= 3")
+@query("p6_in_possession_runs", f"""WITH {V.SIGNAL}, a AS (SELECT *, coalesce(avg(v) OVER ({SIG} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) > 45, false) AS fast FROM signal),
+b AS (SELECT *, sum(ch) OVER ({SIG}) AS run FROM (SELECT *, CASE WHEN lag(fast) OVER ({SIG}) <> fast THEN 1 ELSE 0 END AS ch FROM a)),
+r AS (SELECT player_id, min(frame) AS start_frame, max(frame) AS end_frame, max(v) AS peak_v FROM b WHERE fast GROUP BY player_id, run HAVING count(*) >= 5)
+SELECT r.*, row_number() OVER (PARTITION BY r.player_id ORDER BY r.start_frame) AS place FROM r JOIN signal s ON s.player_id = r.player_id AND s.frame = r.start_frame WHERE s.event_type IN ('purchase', 'click')""")
 def p6(spark, d):
+    """High-intensity runs whose first frame is in possession, in the order of their start."""
+    s = V.signal(spark, d)
+    runs = series.threshold_runs(s, ["player_id"], F.col("v"), 45.0, 5)
+    got = predicates.in_possession(runs, s.select("player_id", "frame", F.col("event_type").isin("purchase", "click").alias("holds")), ["player_id"])
+    place = F.row_number().over(Window.partitionBy("player_id").orderBy("start_frame")).cast("long")
+    return got.select("player_id", "start_frame", "end_frame", "peak_v", place.alias("place"))
+
+
+@query("p6_top_signals", f"WITH {V.SIGNAL}, s AS (SELECT player_id, frame, v, row_number() OVER (PARTITION BY player_id ORDER BY v DESC, frame) AS rank FROM signal WHERE event_type = 'purchase') SELECT player_id, frame, v, rank FROM s WHERE rank <= 3")
+def p6_top(spark, d):
     top = Window.partitionBy("player_id").orderBy(F.col("v").desc(), "frame")
     return V.signal(spark, d).where("event_type = 'purchase'").withColumn("rank", F.row_number().over(top)).where("rank <= 3").select("player_id", "frame", "v", F.col("rank").cast("long").alias("rank")).orderBy("player_id", "rank")

@@ -87,6 +87,15 @@ ANNOT = """annot AS (SELECT o_orderkey AS segment_id, CASE WHEN o_custkey % 4 <
   date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_orderkey % 30 * 7 AS end_frame FROM orders)"""
 
 
+def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """annotation() with the player (by jid, over all of them) and frames within the first 300."""
+    n, start = table(spark, sf_dir, "supplier").count(), F.col("start_frame") % 300
+    return annotation(spark, sf_dir).select("segment_id", "half", "annotator", "team", "jid", (F.col("jid") % n).alias("player_id"), start.alias("start_frame"), (start + (F.col("end_frame") - F.col("start_frame")) % 40).alias("end_frame"))
+
+
+OWNED = """owned AS (SELECT segment_id, half, annotator, team, jid, jid % (SELECT count(*) FROM supplier) AS player_id, start_frame % 300 AS start_frame, start_frame % 300 + (end_frame - start_frame) % 40 AS end_frame FROM annot)"""
+
+
 def formation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, team, player_id, position, x, y, vx, vy): an order's lines as the players of one frame."""
     li = table(spark, sf_dir, "lineitem")
