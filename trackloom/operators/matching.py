@@ -129,6 +129,32 @@ def evaluation(predicted: DataFrame, truth: DataFrame, matches: DataFrame, by: l
     return out.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn"))})
 
 
+def global_kpis(stats: DataFrame) -> DataFrame:
+    """(kpi, value): means over pairs of pair_stats(), recalls of both directions together."""
+    long = stats.selectExpr("stack(5, 'recall', recall_a, 'recall', recall_b, 'd_start', mean_d_start, 'd_end', mean_d_end, 'iou', mean_iou_matched) AS (kpi, v)")
+    return long.groupBy("kpi").agg(F.avg("v").alias("value"))
+
+
+def match_matrix(matches: DataFrame, by: str) -> DataFrame:
+    """(by, annotator_a, annotator_b, n, mean_iou) of directed matches, and 'Global' over all of by, each counting once."""
+    own = matches.groupBy(by, "annotator_a", "annotator_b").agg(F.count(F.lit(1)).alias("n"), F.avg("iou").alias("mean_iou"))
+    whole = own.groupBy("annotator_a", "annotator_b").agg(F.sum("n").alias("n"), F.avg("mean_iou").alias("mean_iou")).withColumn(by, F.lit("Global"))
+    return own.unionByName(whole)
+
+
+def iou_distribution(matches: DataFrame, by: list[str]) -> DataFrame:
+    """How many matches each ordered pair has, and quartiles of their IoU."""
+    quartiles = [F.percentile("iou", q).alias(name) for q, name in ((0.25, "q1_iou"), (0.5, "median_iou"), (0.75, "q3_iou"))]
+    return matches.groupBy(*by, "annotator_a", "annotator_b").agg(F.count(F.lit(1)).alias("n"), *quartiles)
+
+
+def matched_counts(annotations: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
+    """n_matched and n_unmatched segments, by their own matches."""
+    hit = matches.select(*by, F.col("a_id").alias("segment_id")).distinct().withColumn("_hit", F.lit(True))
+    both = annotations.join(hit, [*by, "segment_id"], "left")
+    return both.groupBy(*by).agg(F.count("_hit").alias("n_matched"), F.count_if(F.col("_hit").isNull()).alias("n_unmatched"))
+
+
 def unmatched(df: DataFrame, matches: DataFrame, keys: list[str], id_: str = "segment_id") -> DataFrame:
     return df.join(matches.select(*keys, F.col("a_id").alias(id_)).distinct(), [*keys, id_], "left_anti")
 

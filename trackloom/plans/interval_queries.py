@@ -129,9 +129,11 @@ def j14(spark, d):
     return shape.trajectories(moves, stored, [*K, "movement_id"])
 
 
-#: The context of movements (start_frame, end_frame, team) after `event`: score, shots and blackouts.
-CONTEXT = """ev AS (SELECT event_id, match_id, half, team, elapsed % 3000 AS frame, (elapsed % 3000) / 25.0::DOUBLE AS el, CASE kind WHEN 'purchase' THEN 'goal' WHEN 'click' THEN 'shot' WHEN 'signup' THEN 'FreeKick' ELSE 'view' END AS kind FROM event),
-gl AS (SELECT *, sum((team = 'Home')::INT) OVER g AS home, sum((team = 'Away')::INT) OVER g AS away FROM ev WHERE kind = 'goal' WINDOW g AS (PARTITION BY match_id ORDER BY half, el, event_id ROWS UNBOUNDED PRECEDING)),
+#: Goals and other events in frames, after `event`.
+GAME = """ev AS (SELECT event_id, match_id, half, team, elapsed % 3000 AS frame, (elapsed % 3000) / 25.0::DOUBLE AS el, CASE kind WHEN 'purchase' THEN 'goal' WHEN 'click' THEN 'shot' WHEN 'signup' THEN 'FreeKick' ELSE 'view' END AS kind FROM event),
+gl AS (SELECT *, sum((team = 'Home')::INT) OVER g AS home, sum((team = 'Away')::INT) OVER g AS away FROM ev WHERE kind = 'goal' WINDOW g AS (PARTITION BY match_id ORDER BY half, el, event_id ROWS UNBOUNDED PRECEDING))"""
+#: The context of movements (start_frame, end_frame, team): score, shots and blackouts.
+CONTEXT = GAME + """,
 context AS (SELECT m.*, coalesce(g.home, 0)::BIGINT AS home, coalesce(g.away, 0)::BIGINT AS away, EXISTS (SELECT 1 FROM ev s WHERE s.kind = 'shot' AND s.match_id = m.match_id AND s.half = m.half AND s.team = m.team AND s.el BETWEEN m.end_frame / 25.0::DOUBLE AND m.end_frame / 25.0::DOUBLE + 10) AS shot_within
   FROM movement m LEFT JOIN LATERAL (SELECT home, away FROM gl WHERE gl.match_id = m.match_id AND gl.half = m.half AND gl.el <= m.start_frame / 25.0::DOUBLE ORDER BY gl.el DESC, gl.event_id DESC LIMIT 1) g ON true
   LEFT JOIN LATERAL (SELECT frame + 50 AS b_end FROM ev b WHERE b.kind = 'FreeKick' AND b.match_id = m.match_id AND b.half = m.half AND b.frame <= m.start_frame ORDER BY b.frame DESC LIMIT 1) b ON true WHERE b_end IS NULL OR m.start_frame >= b_end)"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import context, control, intervals, matching, predicates, series
+from ..operators import context, control, indicators, intervals, matching, predicates, series
+from ..operators import people as people_
 from ..operators.predicates import attack_sign, direction_metric, playing_direction, zone
 from ..sources.views import K
 
@@ -53,17 +54,36 @@ def directions_of(track: DataFrame) -> DataFrame:
     return track.select("match_id", "half").distinct().withColumn("home_direction", F.when(right, predicates.RIGHT).otherwise(predicates.LEFT))
 
 
-def match_context(movements: DataFrame, events: DataFrame, fps: int = 25) -> DataFrame:
-    """Movements with the score at their start and whether a shot follows, without those that start in a blackout."""
+def with_score_and_shots(movements: DataFrame, events: DataFrame, fps: int = 25) -> DataFrame:
+    """The score at each movement's start, its goal indicator, and whether a shot follows its end."""
     goals = intervals.cumulative_score(events.where("kind = 'goal'"), ["match_id"])
     df = movements.withColumns({"elapsed": F.col("start_frame") / fps, "end_s": F.col("end_frame") / fps})
     df = intervals.score_at(df, goals.withColumn("elapsed", F.col("elapsed").cast("double")))
     df = df.withColumn("goal_indicator", predicates.goal_indicator(F.col("team"), F.col("home"), F.col("away")))
-    df = intervals.shot_follows(df, events.where("kind = 'shot'").withColumn("elapsed", F.col("elapsed").cast("double")))
+    return intervals.shot_follows(df, events.where("kind = 'shot'").withColumn("elapsed", F.col("elapsed").cast("double")))
+
+
+def match_context(movements: DataFrame, events: DataFrame, fps: int = 25) -> DataFrame:
+    """Movements with the score at their start and whether a shot follows, without those that start in a blackout."""
+    df = with_score_and_shots(movements, events, fps)
     return intervals.outside_blackouts(df, intervals.blackouts(events.where("kind NOT IN ('goal', 'shot')"), fps))
 
 
-def frame_context(players: DataFrame, keys: list[str], sign) -> DataFrame:
+def frame_context(players: DataFrame, frames: DataFrame, match: list[str], sign, fps: int = 25) -> DataFrame:
+    """A row for each frame and team: possession phase and attack type, block centroid, the three lines and defence type.
+
+    frames: match, frame, possession_team, ball_live; players: match, frame, team, player_id, position, x, y.
+    """
+    state = F.struct("possession_team", "ball_live")
+    phases = series.attack_type(series.possession_phases(frames, match, fps), match)
+    carried = series.islands(frames, match, state, into="phase_id").withColumn("phase_id", F.col("phase_id") + 1)
+    carried = carried.join(phases.select(*match, "phase_id", F.col("start_frame").alias("phase_start"), "duration_s", "attack_type"), [*match, "phase_id"])
+    at = [*match, "frame"]
+    blocks = team_blocks(players, at, sign)
+    return carried.join(blocks, at)
+
+
+def team_blocks(players: DataFrame, keys: list[str], sign) -> DataFrame:
     """Block centroid, lines and defence type of each team in each frame."""
     blocks = context.block_centroid(players, keys).join(context.defensive_lines(players, keys, sign), [*keys, "team"])
     return blocks.withColumn("defense_type", predicates.defence_type(F.col("block_cx"), sign))
@@ -77,14 +97,44 @@ def agreement(annotations: DataFrame, by: list[str]) -> tuple[DataFrame, DataFra
     return matching.pair_stats(annotations, matches, by), matches, annotations.join(linked.distinct(), "segment_id", "left_anti")
 
 
-def enrich(annotations: DataFrame, movements: DataFrame, keys: list[str]) -> DataFrame:
-    """Annotations with the metrics of their best matching movement, or else recomputed from their own interval."""
+def agreement_report(annotations: DataFrame, by: str) -> dict[str, DataFrame]:
+    """All tables of agreement: pairs, kpis, matrix, distribution, counts, matches, isolated segments and match groups."""
+    pairs, matches, isolated = agreement(annotations, [by])
+    nodes = annotations.select(by, F.col("segment_id").alias("node"))
+    return {
+        "pairs": pairs, "kpis": matching.global_kpis(pairs), "matrix": matching.match_matrix(matches, by), "distribution": matching.iou_distribution(matches, [by]),
+        "counts": matching.matched_counts(annotations, matches, [by]), "matches": matches, "isolated": isolated, "groups": matching.match_groups(nodes, matching.undirected(matches), by),
+    }
+
+
+def evaluate(predicted: DataFrame, truth: DataFrame, keys: list[str], by: list[str], total: list[str], tolerance: int = 25) -> dict[str, DataFrame]:
+    """Tables of one-to-one matches, precision and recall, predicted segments without truth and truth that was missed."""
+    matches = matching.tolerance_match(matching.intervals(predicted, keys), matching.intervals(truth, keys), keys, tolerance)
+    turned = matches.select(*keys, F.col("b_id").alias("a_id"))
+    return {"matches": matches, "scores": matching.evaluation(predicted, truth, matches, by, total), "surplus": matching.unmatched(predicted, matches, keys), "missed": matching.unmatched(truth, turned, keys)}
+
+
+def enrich(annotations: DataFrame, movements: DataFrame, track: DataFrame, people: DataFrame, events: DataFrame, keys: list[str], half: list[str], fps: int = 25) -> DataFrame:
+    """Annotations with the measures of their best matching movement, or else of their own interval, and their context.
+
+    annotations: segment_id, keys, half, match_id, half, team, jid, start_frame, end_frame, play_direction and further
+    columns, which stay behind the others; movements: keys, movement_id, start_frame, end_frame, distance_m, duration_s,
+    peak_speed_kmh, avg_velocity_kmh; track and half as interval_indicators() takes them; people: person_id, team, jid,
+    position; events as match_context() takes them. The measures are all of one origin, which duration_source names.
+    """
     found = matching.best_iou_match(matching.intervals(annotations, keys), matching.intervals(movements, keys, "movement_id"), keys)
     found = found.select(*keys, F.col("a_id").alias("segment_id"), F.col("b_id").alias("movement_id"), "iou")
-    own = movements.select(*keys, "movement_id", (F.col("peak_speed_kmh") / 3.6).alias("peak_ms"), "distance_m", F.col("duration_s").alias("matched_s"))
-    df = annotations.join(found, [*keys, "segment_id"], "left").join(own, [*keys, "movement_id"], "left")
-    recomputed = (F.col("end_frame") - F.col("start_frame")) / 25
-    return predicates.with_provenance(df, {"duration_out": (F.col("matched_s"), recomputed), "peak_out": (F.col("peak_ms"), F.lit(None).cast("double"))})
+    kmh = 3.6
+    matched = movements.select(*keys, "movement_id", F.struct(F.col("distance_m").alias("distance_m"), F.col("duration_s").alias("duration_s"), (F.col("peak_speed_kmh") / kmh).alias("peak_vel_ms"), (F.col("avg_velocity_kmh") / kmh).alias("mean_vel_ms")).alias("_m"))
+    own = indicators.interval_indicators(annotations, track, keys, half, fps=fps)
+    names = ["distance_m", "duration_s", "peak_vel_ms", "mean_vel_ms"]
+    rest = [c for c in own.columns if c not in ("segment_id", *names)]
+    df = annotations.join(found, [*keys, "segment_id"], "left").join(matched, [*keys, "movement_id"], "left")
+    df = df.join(own.select("segment_id", F.struct(*names).alias("_r"), *[c for c in rest if c not in df.columns]), "segment_id", "left")
+    df = predicates.with_provenance(df, {c: (F.col(f"_m.{c}"), F.col(f"_r.{c}")) for c in names}).drop("_m", "_r")
+    df = people_.position_of(people_.person_by_shirt(df, people), people)
+    df = with_score_and_shots(df, events, fps)
+    return predicates.ordered_columns(df, ["match_id", "half", "segment_id", "team", "jid", "person_id", "position", "start_frame", "end_frame", "movement_id", "iou", "duration_source", *names, "scoreline", "goal_indicator", "shot_within"])
 
 
 def control_report(players: DataFrame, keys: list[str], attacking, radius: float = 15.0, mirrored=None, windows: DataFrame | None = None, freeze_above: float = control.FREEZE_KMH, nx: int = control.NX, ny: int = control.NY) -> dict[str, DataFrame]:

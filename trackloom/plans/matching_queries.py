@@ -3,9 +3,14 @@
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
+from ..operators import series
+from ..operators.predicates import with_provenance
 from ..sources import views as V
+from . import jobs
 from .base import query, r6
+from .interval_queries import CONTEXT_OUT, GAME, INDICATORS, _match_frames
 from .row_queries import IOU
+from .series_queries import MOVES, TS, VALLEYS, _movements
 
 KEYS = ["half", "team", "jid"]
 #: Greedy one-to-one assignment over candidate rows (g, a, a_start, b, b_start, p): each a, by start and id, its best free b.
@@ -115,22 +120,18 @@ def a6(spark, d):
 @query("a7_global_kpis", f"WITH {V.ANNOT}, {DIRECTED}, {STATS} SELECT k.kpi, round(avg(k.v), 6) + 0.0 AS value FROM (SELECT unnest([{{'kpi': 'recall', 'v': ra}}, {{'kpi': 'recall', 'v': rb}}, {{'kpi': 'd_start', 'v': ms}}, {{'kpi': 'd_end', 'v': me}}, {{'kpi': 'iou', 'v': mi}}]) AS k FROM st) GROUP BY k.kpi")
 def a7(spark, d):
     a, m = _directed(spark, d)
-    s = M.pair_stats(a, m, ["half"])
-    long = s.selectExpr("stack(5, 'recall', recall_a, 'recall', recall_b, 'd_start', mean_d_start, 'd_end', mean_d_end, 'iou', mean_iou_matched) AS (kpi, v)")
-    return long.groupBy("kpi").agg(r6(F.avg("v"), "value"))
+    return M.global_kpis(M.pair_stats(a, m, ["half"])).select("kpi", r6("value"))
 
 
 @query("a9_match_matrix", f"""WITH {V.ANNOT}, {DIRECTED}, h AS (SELECT half, annotator_a, annotator_b, count(*) AS n, avg(iou) AS iou FROM dm GROUP BY ALL)
 SELECT half, annotator_a, annotator_b, n, round(iou, 6) + 0.0 AS mean_iou FROM h UNION ALL SELECT 'Global', annotator_a, annotator_b, sum(n)::BIGINT, round(avg(iou), 6) + 0.0 FROM h GROUP BY ALL""")
 def a9(spark, d):
-    h = _directed(spark, d)[1].groupBy("half", "annotator_a", "annotator_b").agg(F.count(F.lit(1)).alias("n"), F.avg("iou").alias("iou"))
-    g = h.groupBy("annotator_a", "annotator_b").agg(F.sum("n").alias("n"), F.avg("iou").alias("iou")).withColumn("half", F.lit("Global"))
-    return h.unionByName(g).select("half", "annotator_a", "annotator_b", "n", r6("iou", "mean_iou"))
+    return M.match_matrix(_directed(spark, d)[1], "half").select("half", "annotator_a", "annotator_b", "n", r6("mean_iou"))
 
 
-@query("a21_iou_distribution", f"WITH {V.ANNOT}, {DIRECTED} SELECT half, annotator_a, annotator_b, count(*) AS n, round(median(iou), 6) + 0.0 AS median_iou FROM dm GROUP BY ALL")
+@query("a21_iou_distribution", f"WITH {V.ANNOT}, {DIRECTED} SELECT half, annotator_a, annotator_b, count(*) AS n, {", ".join(f"round(quantile_cont(iou, {q}), 6) + 0.0 AS {n}" for q, n in ((0.25, "q1_iou"), (0.5, "median_iou"), (0.75, "q3_iou")))} FROM dm GROUP BY ALL")
 def a21(spark, d):
-    return _directed(spark, d)[1].groupBy("half", "annotator_a", "annotator_b").agg(F.count(F.lit(1)).alias("n"), r6(F.median("iou"), "median_iou"))
+    return M.iou_distribution(_directed(spark, d)[1], ["half"]).select("half", "annotator_a", "annotator_b", "n", r6("q1_iou"), r6("median_iou"), r6("q3_iou"))
 
 
 @query("u3_undirected_pairs", f"WITH {V.ANNOT}, {DIRECTED} SELECT DISTINCT half, CASE WHEN annotator_a > annotator_b THEN b_id ELSE a_id END AS u, CASE WHEN annotator_a > annotator_b THEN a_id ELSE b_id END AS v FROM dm")
@@ -140,11 +141,7 @@ def u3(spark, d):
 
 @query("u4_matched_and_isolated", f"WITH {V.ANNOT}, {DIRECTED} SELECT half, count(*) FILTER (WHERE segment_id IN (SELECT a_id FROM dm)) AS n_matched, count(*) FILTER (WHERE segment_id NOT IN (SELECT a_id FROM dm)) AS n_unmatched FROM annot GROUP BY half")
 def u4(spark, d):
-    a, m = _directed(spark, d)
-    hit = m.select("half", F.col("a_id").alias("segment_id")).distinct()
-    yes = a.join(hit, ["half", "segment_id"], "left_semi").groupBy("half").agg(F.count(F.lit(1)).alias("n_matched"))
-    no = a.join(hit, ["half", "segment_id"], "left_anti").groupBy("half").agg(F.count(F.lit(1)).alias("n_unmatched"))
-    return yes.join(no, "half", "full").fillna(0)
+    return M.matched_counts(*_directed(spark, d), ["half"])
 
 
 @query("g8_match_groups", f"""WITH RECURSIVE {V.ANNOT}, {DIRECTED}, e AS (SELECT a_id AS u, b_id AS v FROM dm UNION SELECT b_id, a_id FROM dm), r(x, y) AS (SELECT segment_id, segment_id FROM annot UNION SELECT r.x, e.v FROM r JOIN e ON e.u = r.y)
@@ -154,17 +151,56 @@ def g8(spark, d):
     return M.match_groups(a.select("half", F.col("segment_id").alias("node")), M.undirected(m), "half")
 
 
-@query("g10_evaluation_job", f"WITH {V.ANNOT}, {TOL} SELECT team, count(*) AS n_missed FROM annot WHERE annotator = 'ann0' AND segment_id NOT IN (SELECT p.a FROM taken) GROUP BY team")
+@query("g10_evaluation_job", f"""WITH {V.ANNOT}, {TOL} SELECT 'surplus' AS side, segment_id, half, team, jid FROM annot WHERE annotator = 'ann0' AND segment_id NOT IN (SELECT p.a FROM taken)
+UNION ALL SELECT 'missed', segment_id, half, team, jid FROM annot WHERE annotator = 'ann1' AND segment_id NOT IN (SELECT p.b FROM taken)""")
 def g10(spark, d):
-    left, _, m = _tolerance(spark, d)
-    return M.unmatched(left, m, KEYS).groupBy("team").agg(F.count(F.lit(1)).alias("n_missed"))
+    a = V.annotation(spark, d)
+    got = jobs.evaluate(a.where("annotator = 'ann0'"), a.where("annotator = 'ann1'"), KEYS, ["half", "team"], ["half"])
+    sides = [got[side].select(F.lit(side).alias("side"), "segment_id", *KEYS) for side in ("surplus", "missed")]
+    return sides[0].unionByName(sides[1])
 
 
-@query("g9_enrichment", f"""WITH {V.ANNOT}, {BEST} SELECT a.segment_id, CASE WHEN b_id IS NOT NULL THEN b.end_frame - b.start_frame ELSE a.end_frame - a.start_frame END / 25.0::DOUBLE AS duration_out, CASE WHEN b_id IS NOT NULL THEN 'matched' ELSE 'recomputed' END AS duration_source
-FROM annot a LEFT JOIN bi ON a.segment_id = a_id LEFT JOIN annot b ON b.segment_id = b_id WHERE a.annotator = 'ann0'""")
-def g9(spark, d):
-    from .jobs import enrich
+@query("g10_agreement_job", f"""WITH RECURSIVE {V.ANNOT}, {DIRECTED}, e AS (SELECT a_id AS u, b_id AS v FROM dm UNION SELECT b_id, a_id FROM dm), r(x, y) AS (SELECT segment_id, segment_id FROM annot UNION SELECT r.x, e.v FROM r JOIN e ON e.u = r.y), g AS (SELECT x, min(y) AS group_id FROM r GROUP BY x)
+SELECT half, group_id, count(*) AS n_segments, count(DISTINCT annotator) AS n_annotators FROM g JOIN annot ON segment_id = x GROUP BY half, group_id""")
+def g10_agreement(spark, d):
+    """Match groups of the whole report, by size and annotators."""
+    a = V.annotation(spark, d)
+    groups = jobs.agreement_report(a, "half")["groups"]
+    own = groups.join(a.select("half", F.col("segment_id").alias("node"), "annotator"), ["half", "node"])
+    return own.groupBy("half", "group_id").agg(F.count(F.lit(1)).alias("n_segments"), F.countDistinct("annotator").alias("n_annotators"))
+
 
+@query("g9_provenance", f"""WITH {V.ANNOT}, {BEST} SELECT a.segment_id, CASE WHEN b_id IS NOT NULL THEN b.end_frame - b.start_frame ELSE a.end_frame - a.start_frame END / 25.0::DOUBLE AS duration_out, CASE WHEN b_id IS NOT NULL THEN 'matched' ELSE 'recomputed' END AS duration_source
+FROM annot a LEFT JOIN bi ON a.segment_id = a_id LEFT JOIN annot b ON b.segment_id = b_id WHERE a.annotator = 'ann0'""")
+def g9_provenance(spark, d):
     a = V.annotation(spark, d)
-    runs = a.where("annotator <> 'ann0'").select("half", "jid", F.col("segment_id").alias("movement_id"), "start_frame", "end_frame", (F.col("end_frame") - F.col("start_frame")).cast("double").alias("distance_m"), ((F.col("end_frame") - F.col("start_frame")) / 25).alias("duration_s"), F.lit(20.0).alias("peak_speed_kmh"))
-    return enrich(a.where("annotator = 'ann0'").drop("team"), runs, ["half", "jid"]).select("segment_id", "duration_out", "duration_source")
+    length = (F.col("end_frame") - F.col("start_frame")) / 25
+    best = _best(spark, d).select(F.col("a_id").alias("segment_id"), "b_id").join(a.select(F.col("segment_id").alias("b_id"), length.alias("matched_s")), "b_id", "left")
+    df = a.where("annotator = 'ann0'").join(best, "segment_id", "left")
+    return with_provenance(df, {"duration_out": (F.col("matched_s"), length)}).select("segment_id", "duration_out", "duration_source")
+
+
+PERSONS = "people AS (SELECT s_suppkey AS person_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Home' ELSE 'Away' END AS team, s_suppkey % 23 AS jid, CASE WHEN s_suppkey % 11 = 0 THEN 'TW' ELSE 'FP' END AS position FROM supplier)"
+PICK = "CASE WHEN b.b_id IS NOT NULL THEN {m} ELSE {r} END"
+ENRICH = f"""{V.OWNED}, {INDICATORS}, {GAME}, {PERSONS}, an AS (SELECT * REPLACE (jid % 30 AS jid), player_id % 5 AS match_id FROM owned),
+em AS (SELECT a.segment_id, m.movement_id AS b_id, m.distance_m, m.duration_s, m.peak_speed_kmh, m.avg_velocity_kmh, {IOU.format(s1='a.start_frame', e1='a.end_frame', s2='m.start_frame', e2='m.end_frame')} AS iou FROM an a JOIN movement m ON a.player_id = m.player_id AND a.half = m.half WHERE m.start_frame < a.end_frame AND m.end_frame > a.start_frame),
+eb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY iou DESC, b_id) AS r FROM em WHERE iou >= 0.01) WHERE r = 1),
+ts AS (SELECT team, jid, max(person_id) AS p FROM people GROUP BY ALL), js AS (SELECT jid, max(person_id) AS p, arg_min(position, person_id) AS position FROM people GROUP BY jid),
+sc AS (SELECT a.*, coalesce(ts.p, js.p) AS person_id, js.position AS by_jid, coalesce(g.home, 0)::BIGINT AS home, coalesce(g.away, 0)::BIGINT AS away, EXISTS (SELECT 1 FROM ev s WHERE s.kind = 'shot' AND s.match_id = a.match_id AND s.half = a.half AND s.team = a.team AND s.el BETWEEN a.end_frame / 25.0::DOUBLE AND a.end_frame / 25.0::DOUBLE + 10) AS shot_within
+  FROM an a LEFT JOIN ts ON ts.team = a.team AND ts.jid = a.jid LEFT JOIN js ON js.jid = a.jid LEFT JOIN LATERAL (SELECT home, away FROM gl WHERE gl.match_id = a.match_id AND gl.half = a.half AND gl.el <= a.start_frame / 25.0::DOUBLE ORDER BY gl.el DESC, gl.event_id DESC LIMIT 1) g ON true)"""
+
+
+@query("g9_enrichment", f"""{TS}, {VALLEYS}, {MOVES}, {V.ANNOT}, {V.EVENT}, {ENRICH}
+SELECT a.segment_id, b.b_id AS movement_id, round(b.iou, 6) + 0.0 AS iou, CASE WHEN b.b_id IS NOT NULL THEN 'matched' WHEN i.segment_id IS NOT NULL THEN 'recomputed' ELSE 'missing' END AS duration_source,
+  {", ".join(f"round({PICK.format(m=m, r=f'i.{r}')}, 4) + 0.0 AS {r}" for m, r in (("b.distance_m", "distance_m"), ("b.duration_s", "duration_s"), ("b.peak_speed_kmh / 3.6", "peak_vel_ms"), ("b.avg_velocity_kmh / 3.6", "mean_vel_ms")))},
+  a.person_id, coalesce(p.position, by_jid) AS position, {CONTEXT_OUT}, i.zone_start, i.peak_frame, i.possession
+FROM sc a LEFT JOIN eb b USING (segment_id) LEFT JOIN indicators i USING (segment_id) LEFT JOIN people p ON p.person_id = a.person_id""".replace("CASE WHEN team = 'Away'", "CASE WHEN a.team = 'Away'"))
+def g9(spark, d):
+    turn = F.when(F.col("segment_id") % 3 == 0, "left_to_right").when(F.col("segment_id") % 3 == 1, "right_to_left")
+    notes = V.owned(spark, d).withColumns({"play_direction": turn, "jid": F.col("jid") % 30, "match_id": F.col("player_id") % 5})
+    moves, track = _movements(spark, d), series.speed(V.track(spark, d), V.K, unit=0.1 / 25)
+    position = F.when(F.col("s_suppkey") % 11 == 0, "TW").otherwise("FP")
+    people = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("person_id"), F.when(F.col("s_suppkey") % 2 == 0, "Home").otherwise("Away").alias("team"), (F.col("s_suppkey") % 23).alias("jid"), position.alias("position"))
+    got = jobs.enrich(notes, moves, track, people, _match_frames(spark, d), ["player_id", "half"], ["half"])
+    rounded = [(F.round(c, 4) + 0.0).alias(c) for c in ("distance_m", "duration_s", "peak_vel_ms", "mean_vel_ms")]
+    return got.select("segment_id", "movement_id", r6("iou"), "duration_source", *rounded, "person_id", "position", "scoreline", "goal_indicator", "shot_within", "zone_start", "peak_frame", "possession")

@@ -24,12 +24,16 @@ def read_annotations(spark: SparkSession, path: str, required: list[str] = REQUI
     """Annotation files of many matches at once, with match_id, half_key and annotator from their names.
 
     Columns are read by name, further ones are kept as strings; a player_jid that is no number becomes NULL. Files whose
-    name has fewer than three parts are left out. Lines that can't be parsed give NULLs.
+    name has fewer than three parts are left out. A row that lacks a required value, or where a value doesn't fit its
+    column, has in _corrupt_record what was wrong, for split_broken(); other rows have NULL there.
     """
     kinds = {x.split()[0]: x.split()[1] for x in ANNOTATION.split(", ")}
     df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
     validate_columns(df, required)
-    df = df.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns], F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("_file"))
+    lacking = [F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in required if c not in ("player_jid", "team")]
+    wrong = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(kinds[c]).isNull(), F.concat(F.lit(f"{c}: "), F.col(c))) for c in df.columns if c in kinds and kinds[c] != "STRING"]
+    broken = F.nullif(F.array_join(F.array_compact(F.array(*lacking, *wrong)), "; "), F.lit("")).alias("_corrupt_record")
+    df = df.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns], broken, F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("_file"))
     parts = F.split(F.regexp_replace("_file", r"\.csv$", ""), "_")
     df = df.where(F.size(parts) >= 3).withColumns({
         "match_id": F.regexp_replace(F.get(parts, F.lit(0)), "^DFL-MAT-", ""), "half_key": F.get(parts, F.lit(1)), "annotator": F.array_join(F.slice(parts, 3, 100), "_"),
@@ -82,5 +86,18 @@ def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ("match_id",), f
 
 
 def split_broken(df: DataFrame, corrupt: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
-    """(good rows, broken ones) of a permissive scan, so that one bad match doesn't stop the others."""
-    return df.where(F.col(corrupt).isNull()).drop(corrupt), df.where(F.col(corrupt).isNotNull()).select(corrupt)
+    """(good rows, broken ones with all their columns) of a scan, so that one bad match doesn't stop the others."""
+    return df.where(F.col(corrupt).isNull()).drop(corrupt), df.where(F.col(corrupt).isNotNull())
+
+
+def write_trajectories(track: DataFrame, movements: DataFrame, people: DataFrame, keys: list[str], path: str, by: tuple[str, ...] = ("match_id", "team", "player_id")) -> None:
+    """The rows of track within movements, with run_frame (from 0 in each) and the roster's columns, in folders by player.
+
+    movements: keys, movement_id, start_frame, end_frame; people: xid and further columns.
+    """
+    from ..operators.intervals import range_join
+
+    spans = movements.select(*keys, "movement_id", F.col("start_frame").alias("_from"), F.col("end_frame").alias("_to"))
+    rows = range_join(track, spans, keys, F.col("frame"), F.col("_from"), F.col("_to"), 256)
+    rows = rows.withColumn("run_frame", F.col("frame") - F.col("_from")).drop("_from", "_to")
+    write_table(rows.join(people.withColumnRenamed("xid", "player_id"), "player_id", "left"), path, by)
