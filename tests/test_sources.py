@@ -83,3 +83,21 @@ def test_sinks(spark, tmp_path):
     bad = spark.createDataFrame([(1, None), (2, "broken")], "id long, _corrupt_record string")
     good, broken = tables.split_broken(bad)
     assert (good.count(), broken.count()) == (1, 1)
+
+
+def test_broken_rows_are_set_apart(spark, tmp_path):
+    (tmp_path / "DFL-MAT-M1_firstHalf_a.csv").write_text("segment_id,half,start_frame,end_frame,player_jid,team\n0,firstHalf,10,20,7,Home\n1,firstHalf,ten,20,7,Home\n2,,5,6,7,Home\n3,firstHalf\n")
+    (tmp_path / "DFL-MAT-M2_firstHalf_b.csv").write_text("segment_id,half,start_frame,end_frame,player_jid,team\n0,firstHalf,1,2,9,Home\n")
+    good, broken = tables.split_broken(tables.read_annotations(spark, str(tmp_path)))
+    assert sorted((r["match_id"], r["segment_id"]) for r in good.collect()) == [("M1", 0), ("M2", 0)] and "_corrupt_record" not in good.columns
+    assert {r["segment_id"]: r["_corrupt_record"] for r in broken.collect()} == {1: "start_frame: ten", 2: "no half", 3: "no start_frame; no end_frame"}
+
+
+def test_trajectories_are_written_by_player(spark, tmp_path):
+    track = spark.createDataFrame([("M1", "Home", p, f, float(f), 0.0) for p in (1, 2) for f in range(9)], "match_id string, team string, player_id long, frame long, x double, y double")
+    moves = spark.createDataFrame([("M1", "Home", 1, 0, 2, 4), ("M1", "Home", 1, 1, 4, 5), ("M1", "Home", 2, 0, 7, 20)], "match_id string, team string, player_id long, movement_id long, start_frame long, end_frame long")
+    people = spark.createDataFrame([(1, "A. B", "TW")], "xid long, name string, position string")
+    tables.write_trajectories(track, moves, people, ["match_id", "team", "player_id"], str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).select("player_id", "movement_id", "run_frame", "frame", "name").collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted([(1, 0, 0, 2, "A. B"), (1, 0, 1, 3, "A. B"), (1, 0, 2, 4, "A. B"), (1, 1, 0, 4, "A. B"), (1, 1, 1, 5, "A. B"), (2, 0, 0, 7, None), (2, 0, 1, 8, None)], key=repr)
+    assert (tmp_path / "out" / "match_id=M1" / "team=Home" / "player_id=2").is_dir()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import overlap, temporal_iou
+from .intervals import range_join
+from .lineage import checkpointed
 
 
 def _sides(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -15,6 +17,12 @@ def _sides(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFram
     return a, b
 
 
+def _starts_in(points: DataFrame, spans: DataFrame, keys: list[str], names: str, reach: int = 0, width: int = 256) -> DataFrame:
+    """Pairs of _sides() whose start on one side lies in the other's interval, widened by reach: by buckets, not all of a key's pairs."""
+    p, s = names
+    return range_join(points, spans, keys, F.col(f"{p}_start"), F.col(f"{s}_start") - reach, F.col(f"{s}_end") + reach, width)
+
+
 def intervals(df: DataFrame, keys: list[str], id_: str = "segment_id") -> DataFrame:
     return df.select(*keys, F.col(id_).alias("id"), F.col("start_frame").alias("start"), F.col("end_frame").alias("end"))
 
@@ -41,16 +49,16 @@ def greedy_match(candidates: DataFrame, keys: list[str], best_first: Column) ->
 def tolerance_match(predicted: DataFrame, truth: DataFrame, keys: list[str], tolerance: int = 25) -> DataFrame:
     """One-to-one, first fit: either start lies in the other's interval widened by tolerance."""
     a, b = _sides(predicted, truth, keys)
-    near = F.col("a_start").between(F.col("b_start") - tolerance, F.col("b_end") + tolerance) | F.col("b_start").between(F.col("a_start") - tolerance, F.col("a_end") + tolerance)
-    return greedy_match(a.join(b, keys).where(near), keys, F.lit(0))
+    inside = F.col("a_start").between(F.col("b_start") - tolerance, F.col("b_end") + tolerance)
+    near = _starts_in(a, b, keys, "ab", tolerance).unionByName(_starts_in(b, a, keys, "ba", tolerance).where(~inside))
+    return greedy_match(near, keys, F.lit(0))
 
 
 def overlap_match(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int = 0) -> DataFrame:
     """One-to-one, largest overlap first: b starts inside a. Adds iou, d_start and d_end."""
     a, b = _sides(left, right, keys)
-    inside = F.col("b_start").between(F.col("a_start") - tolerance, F.col("a_end") + tolerance)
     common = overlap(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
-    pairs = greedy_match(a.join(b, keys).where(inside), keys, -common)
+    pairs = greedy_match(_starts_in(b, a, keys, "ba", tolerance), keys, -common)
     out = pairs.join(a, [*keys, "a_id"]).join(b, [*keys, "b_id"])
     return out.withColumns({
         "iou": temporal_iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")),
@@ -61,7 +69,8 @@ def overlap_match(left: DataFrame, right: DataFrame, keys: list[str], tolerance:
 def best_iou_match(annotations: DataFrame, segments: DataFrame, keys: list[str], least: float = 0.01) -> DataFrame:
     """Each annotation's segment of largest IoU, the smallest id on ties; NULL where none reaches least."""
     a, b = _sides(annotations, segments, keys)
-    both = a.join(b, keys).where((F.col("b_start") < F.col("a_end")) & (F.col("b_end") > F.col("a_start")))
+    crossing = (F.col("b_start") < F.col("a_end")) & (F.col("b_end") > F.col("a_start"))
+    both = _starts_in(b, a, keys, "ba").unionByName(_starts_in(a, b, keys, "ab").where("a_start > b_start")).where(crossing)
     both = both.withColumn("iou", temporal_iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))).where(F.col("iou") >= least)
     top = both.groupBy(*keys, "a_id").agg(F.max_by(F.struct("b_id", "iou"), F.struct("iou", -F.col("b_id"))).alias("m"))
     return a.join(top, [*keys, "a_id"], "left").select(*keys, "a_id", F.col("m.b_id").alias("b_id"), F.col("m.iou").alias("iou"))
@@ -70,7 +79,7 @@ def best_iou_match(annotations: DataFrame, segments: DataFrame, keys: list[str],
 def window_matches(left: DataFrame, right: DataFrame, keys: list[str], reach: int, named: int = 3) -> DataFrame:
     """All b that start within reach of an a: n_matches, and the first ids as match_idx_1 and on."""
     a, b = _sides(left, right, keys)
-    both = a.join(b, keys).where(F.col("b_start").between(F.col("a_start") - reach, F.col("a_end") + reach))
+    both = _starts_in(b, a, keys, "ba", reach)
     got = both.groupBy("a_id").agg(F.count(F.lit(1)).alias("n_matches"), F.sort_array(F.collect_list("b_id")).alias("ids"))
     out = a.select(*keys, "a_id").join(got, "a_id", "left")
     return out.select(*keys, "a_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), *[F.get("ids", F.lit(i)).alias(f"match_idx_{i + 1}") for i in range(named)])
@@ -182,13 +191,3 @@ def match_groups(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
         if new.where("new <> group_id").isEmpty():
             return labels
         labels = new.select(key, "node", F.col("new").alias("group_id"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, lineage cut by a checkpoint in the folder that the session names; in tests, in one of its own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()

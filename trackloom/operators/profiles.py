@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import checkpointed
+
 
 def frequencies(df: DataFrame, by: list[str]) -> DataFrame:
     """Count and percentage of all rows by groups."""
@@ -35,3 +37,15 @@ def column_profile(df: DataFrame, column: str, shown: int = 30) -> DataFrame:
     sums = df.agg(F.count(column).alias("n"), F.count_distinct(column).alias("n_distinct"), F.min(number).alias("least"), F.max(number).alias("most"), F.avg(number).alias("mean"))
     few = df.select(F.col(column).cast("string").alias("_v")).where("_v IS NOT NULL").distinct().orderBy("_v").limit(shown).agg(F.sort_array(F.collect_list("_v")).alias("shown"))
     return sums.crossJoin(few).withColumn("type", F.lit(dict(df.dtypes)[column]))
+
+
+def ranked(df: DataFrame, order: list[Column], into: str = "place") -> DataFrame:
+    """Places from 1 over the whole table: rows are dealt by ranges of order and counted within, so no task gets them all.
+
+    order should tell all rows apart. The dealing samples the table, so it is checkpointed.
+    """
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    dealt = dealt.join(F.broadcast(sizes.select("_part", ahead.alias("_ahead"))), "_part")
+    return dealt.withColumn(into, F.col("_ahead") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).drop("_part", "_ahead")

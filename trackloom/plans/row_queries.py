@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..operators import predicates as P
-from ..operators.profiles import column_profile, describe, frequencies, histogram
+from ..operators.profiles import column_profile, describe, frequencies, histogram, ranked
 from ..sources import views as V
 from .base import query, r6
 
@@ -157,15 +157,16 @@ def f10(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", S.safe_int(F.substring("o_orderpriority", 1, 1), -1).alias("first_digit"), S.safe_int(F.col("o_orderpriority"), -1).alias("whole"))
 
 
-@query("f11_labels", "SELECT n_nationkey, n_nationkey::VARCHAR || '-' || n_regionkey::VARCHAR AS scoreline, upper(substr(lower(n_name), 1, 1)) || substr(lower(n_name), 2) AS name FROM nation WHERE n_name NOT LIKE '% %'")
+@query("f11_labels", "SELECT c_custkey, c_custkey::VARCHAR || '-' || n_regionkey::VARCHAR AS scoreline, array_to_string(list_transform(string_split(lower(trim(n_name)), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def f11(spark, d):
-    n = V.table(spark, d, "nation").where("n_name NOT LIKE '% %'")
-    return n.select("n_nationkey", F.concat_ws("-", F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")).alias("scoreline"), F.initcap(F.trim("n_name")).alias("name"))
+    n = V.table(spark, d, "customer").join(V.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return n.select("c_custkey", F.concat_ws("-", F.col("c_custkey").cast("string"), F.col("n_regionkey").cast("string")).alias("scoreline"), F.initcap(F.trim("n_name")).alias("name"))
 
 
-@query("f12_short_name", "SELECT n_nationkey, substr(CASE WHEN contains(n_name, ' ') THEN substr(n_name, 1, 1) || '. ' || string_split(n_name, ' ')[-1] ELSE n_name END, 1, 10) AS short FROM nation")
+@query("f12_short_name", "SELECT c_custkey, substr(CASE WHEN contains(n_name, ' ') THEN substr(n_name, 1, 1) || '. ' || string_split(n_name, ' ')[-1] ELSE n_name END, 1, 10) AS short FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def f12(spark, d):
-    return V.table(spark, d, "nation").select("n_nationkey", S.short_name(F.col("n_name")).alias("short"))
+    n = V.table(spark, d, "customer").join(V.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return n.select("c_custkey", S.short_name(F.col("n_name")).alias("short"))
 
 
 @query("f13_display_name", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN 'First ' || c_name ELSE c_custkey::VARCHAR END AS shown, contains(lower(c_name), '00') AS found FROM customer")
@@ -222,7 +223,7 @@ def u1(spark, d):
 @query("o5_ordered", "SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id) AS place FROM events GROUP BY user_id")
 def o5(spark, d):
     n = V.table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "user_id")).cast("long"))
+    return ranked(n, [F.col("n").desc(), F.col("user_id")])
 
 
 @query("j1_roster_join", f"WITH {V.TRACK}, {V.PLAYER} SELECT name, position, count(*) AS n_frames FROM track JOIN player ON player_id = xid GROUP BY ALL")
