@@ -291,17 +291,6 @@ def o4(spark, d):
     return _movements(spark, d).groupBy("match_id", "half").agg(F.min("start_frame").alias("start_frame"), F.min_by("player_id", F.struct("start_frame", "player_id")).alias("player_id"))
 
 
-@query("g2_shape_classes")
-def g2(spark, d):
-    df = series.number_movements(series.valley_segments(_speed(spark, d), K), K, ["segment_id"])
-    return shape.classify(df, [*K, "movement_id"], threshold=6.0)
-
-
-@query("g3_segment_count")
-def g3(spark, d):
-    return g2(spark, d).where("shape = 'curvilinear'").groupBy("n_segments").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("f14_straightness", f"{TS}, {VALLEYS}, {MOVES}, q AS (SELECT {KEYS}, movement_id, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c, arg_max(x, frame) - arg_min(x, frame) AS dx, arg_max(y, frame) - arg_min(y, frame) AS dy FROM mov GROUP BY {KEYS}, movement_id) SELECT {KEYS}, movement_id, round(sqrt(greatest((a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b), 0)), 4) AS rmse, round(CASE WHEN abs(dx) + abs(dy) = 0 THEN 0 ELSE degrees(atan2(abs(dy), abs(dx))) END, 6) AS angle FROM q")
 def f14(spark, d):
     from ..functions.scalar import attack_angle, straightness
@@ -330,6 +319,30 @@ def w26(spark, d):
     return shape.resample(paths, ["path"]).select("path", F.col("point").cast("long").alias("point"), *[(F.round(c, 4) + 0.0).alias(c) for c in ("rx", "ry")])
 
 
+#: Shapes of the movements in `mov`, after their points `rs`; straight pieces are a fold over moments.
+_SUMS = ", ".join(f"'{c}': s.{c} + p.{c}" for c in ("n", "x", "y", "xx", "yy", "xy"))
+_RMS = "sqrt(greatest(({xx} / {n} - {x} / {n} * {x} / {n} + {yy} / {n} - {y} / {n} * {y} / {n}) / 2 - sqrt(pow(({xx} / {n} - {x} / {n} * {x} / {n} - {yy} / {n} + {y} / {n} * {y} / {n}) / 2, 2) + pow({xy} / {n} - {x} / {n} * {y} / {n}, 2)), 0))".format(**{c: f"g.{c}" for c in ("n", "x", "y", "xx", "yy", "xy")})
+SHAPES = f"""pa AS (SELECT player_id || half || '-' || movement_id AS path, frame, x, y FROM mov), {RESAMPLED},
+rp AS (SELECT path, count(*) AS np, var_pop(rx) AS a, covar_pop(rx, ry) AS b, var_pop(ry) AS c, list({{'i': 1, 'pieces': 0, 'n': 1.0::DOUBLE, 'x': rx, 'y': ry, 'xx': rx * rx, 'yy': ry * ry, 'xy': rx * ry}} ORDER BY point) AS l FROM rs GROUP BY path),
+rq AS (SELECT *, sqrt(greatest((a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b), 0)) AS rms, greatest(4, np // 10) AS least_,
+  list_concat([{{'i': 0, 'pieces': 1, 'n': 0.0::DOUBLE, 'x': 0.0::DOUBLE, 'y': 0.0::DOUBLE, 'xx': 0.0::DOUBLE, 'yy': 0.0::DOUBLE, 'xy': 0.0::DOUBLE}}], l) AS states FROM rp),
+rf AS (SELECT path, rms, CASE WHEN np < 4 THEN 1 ELSE list_reduce(states, lambda s, p: list_transform([{{'i': s.i + 1, 'pieces': s.pieces, {_SUMS}}}], lambda g: CASE WHEN s.i >= least_ AND {_RMS} > 6 THEN {{'i': s.i + 1, 'pieces': s.pieces + 1, 'n': p.n, 'x': p.x, 'y': p.y, 'xx': p.xx, 'yy': p.yy, 'xy': p.xy}} ELSE g END)[1]).pieces END AS pieces FROM rq),
+en AS (SELECT {KEYS}, movement_id, player_id || half || '-' || movement_id AS path, count(*) AS n, arg_max(x, frame) - arg_min(x, frame) AS dx, arg_max(y, frame) - arg_min(y, frame) AS dy FROM mov GROUP BY {KEYS}, movement_id),
+shapes AS (SELECT {KEYS}, movement_id, CASE WHEN n < 5 THEN 'unknown' WHEN rms <= 6 THEN CASE WHEN angle <= 22.5 THEN 'straight' ELSE 'diagonal' END ELSE 'curvilinear' END AS shape, CASE WHEN n >= 5 THEN round(rms, 4) END AS linearity_rmse, CASE WHEN n >= 5 THEN round(angle, 2) END AS angle_deg, CASE WHEN n >= 5 THEN CASE WHEN rms <= 6 THEN 1 ELSE pieces END END::BIGINT AS n_segments
+  FROM (SELECT *, CASE WHEN abs(dx) + abs(dy) = 0 THEN 0 ELSE degrees(atan2(abs(dy), abs(dx))) END AS angle FROM en) JOIN rf USING (path))"""
+
+
+@query("g2_shape_classes", f"{TS}, {VALLEYS}, {MOVES}, {SHAPES} SELECT * FROM shapes")
+def g2(spark, d):
+    df = series.number_movements(series.valley_segments(_speed(spark, d), K), K, ["segment_id"])
+    return shape.classify(df, [*K, "movement_id"], threshold=6.0)
+
+
+@query("g3_segment_count", f"{TS}, {VALLEYS}, {MOVES}, {SHAPES} SELECT n_segments, count(*) AS n FROM shapes WHERE shape = 'curvilinear' GROUP BY n_segments")
+def g3(spark, d):
+    return g2(spark, d).where("shape = 'curvilinear'").groupBy("n_segments").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("w20_ntile_lines", f"""WITH {V.FORMATION}, o AS (SELECT *, ntile(3) OVER (PARTITION BY frame, team ORDER BY x, player_id) AS t, count(*) OVER (PARTITION BY frame, team) AS n FROM formation WHERE position <> 'TW')
 SELECT frame, team, {", ".join(f"round(avg(CASE WHEN t = {i} AND n >= 3 THEN x END), 6) AS def_line_{i}" for i in (1, 2, 3))} FROM o GROUP BY frame, team""")
 def w20(spark, d):
