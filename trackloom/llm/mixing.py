@@ -9,7 +9,8 @@
    source. Leaves hold exact quotas, so shards take disjoint runs of each source's permuted blocks.
 4. Inside a shard rows are ordered by a hash of document and pass.
 
-The tree holds counts only: its rows are the sources at each of the shards, never documents.
+The tree holds counts only: its rows are the sources at each of the shards, never documents. All sources are in each of
+its rows, and their targets are found in one task, so there may be MOST_SOURCES of them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from pyspark.sql.window import Window
 from .common import WORD_PATTERN, cut, fresh, table
 
 
+#: Sources of a mix; a table with more is refused before anything is drawn.
+MOST_SOURCES = 100_000
+
+
 def _let(x: Column, use: Callable[[Column], Column]) -> Column:
     """use(x) with x computed once."""
     return F.transform(F.array(x), use)[0]
@@ -138,7 +143,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     text has 0) of one row, rows the number of equal rows (doc_id, source and text), which are taken together or not.
     passes is how often they are taken, shards lists the shard of each time, and parts in how many parts of about
     part_words words a shard is written. Null is a source of its own; a source
-    without words has target 0. Each source's taken words differ from its target by half of one group at most.
+    without words has target 0. Each source's taken words differ from its target by half of one group at most. More
+    than MOST_SOURCES sources are an error.
     """
     base = docs.select("doc_id", "source", unit_key().alias("key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"))
     base = cut(base.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("rows")))
@@ -149,6 +155,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     plan = plan.withColumn("parts", parts)
     plan = cut(plan.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).withColumn("n_blocks", F.ceil(F.col("units") / block_docs).cast("long")))
 
+    if plan.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     place = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     units = base.join(plan.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn("place", place)
     units = units.withColumn("block", F.pmod(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), F.col("n_blocks"))).withColumn("words", F.col("size") * F.col("rows"))
