@@ -28,9 +28,6 @@ def duck(data):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, data, duck, name):
     got = registry.QUERIES[name](spark, data)
-    if name not in registry.ORACLES:
-        assert got.count() > 0
-        return
     cols = sorted(got.columns)
     have = rows(map(tuple, got.select(*cols).collect()))
     cursor = duck.execute(registry.ORACLES[name])
