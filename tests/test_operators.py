@@ -195,7 +195,7 @@ def test_long_series_in_time(spark):
     begin = time.perf_counter()
     found = series.valley_candidates(df, ["k"]).where("is_valley").count()
     late = intervals.next_within(df.withColumn("t", F.col("frame").cast("double")), df.where("frame % 1000 = 0").withColumn("at", F.col("frame").cast("double")), ["k"], "t", "at", 9.5, "near").where("near").count()
-    assert found > n / 5 and late == 67 * 10 + 1 and time.perf_counter() - begin < 20
+    assert found > n / 5 and late == 67 * 10 + 1 and time.perf_counter() - begin < 60
 
 
 def test_roles_of_a_formation(spark):

@@ -90,11 +90,14 @@ def _surface(spark, d, nx=NX, ny=NY):
 
 def _surface_sql(NX: int, NY: int) -> str:
     return f"""pl AS (SELECT frame, team, player_id, x + 52.5::DOUBLE AS x, y + 34.0::DOUBLE AS y, vx::DOUBLE AS vx, vy::DOUBLE AS vy FROM formation),
-gr AS (SELECT i // {NY} AS ix, i % {NY} AS iy, i // {NY} * (105.0::DOUBLE / {NX - 1}) AS gx, i % {NY} * (68.0::DOUBLE / {NY - 1}) AS gy FROM range({NX * NY}) t(i)),
+gr AS (SELECT i AS p, i // {NY} * (105.0::DOUBLE / {NX - 1}) AS gx, i % {NY} * (68.0::DOUBLE / {NY - 1}) AS gy FROM range({NX * NY}) t(i)),
 el AS (SELECT *, sqrt(vx * vx + vy * vy) AS s, least(greatest(4 + 6 * (1 - exp(-sqrt((x - 52.5) * (x - 52.5) + (y - 34) * (y - 34)) / 10)), 4), 10) AS r FROM pl),
 e2 AS (SELECT *, CASE WHEN s >= 1e-6 THEN vx / s ELSE 1 END AS ux, CASE WHEN s >= 1e-6 THEN vy / s ELSE 0 END AS uy, r * (1 + s * s / 169) / 2 AS sx, greatest(r * (1 - s * s / 169) / 2, 0.1) AS sy, CASE WHEN s >= 1e-6 THEN 0.5 ELSE 0 END AS sh FROM el),
-inf AS (SELECT frame, team, player_id, s, ix, iy, gx, gy, exp(-0.5 * (pow(((gx - x - sh * ux) * ux + (gy - y - sh * uy) * uy) / sx, 2) + pow(((gy - y - sh * uy) * ux - (gx - x - sh * ux) * uy) / sy, 2) - pow(sh / sx, 2))) AS i FROM e2 CROSS JOIN gr),
-pc AS (SELECT frame, ix, iy, gx, gy, 1 / (1 + exp(sum(CASE WHEN team = 'Home' THEN 0 ELSE i END) - sum(CASE WHEN team = 'Home' THEN i ELSE 0 END))) AS pc, 1 / (1 + exp(-sum(CASE WHEN team = 'Home' THEN i ELSE 0 END))) AS pa FROM inf GROUP BY frame, ix, iy, gx, gy)"""
+e3 AS (SELECT frame, team, player_id, s, x + sh * ux AS mx, y + sh * uy AS my, ux / sx AS ax, uy / sx AS ay, ux / sy AS bx, uy / sy AS by_, (sh / sx) * (sh / sx) AS q FROM e2),
+uv AS (SELECT frame, team, player_id, s, p, q, (gx - mx) * ax + (gy - my) * ay AS u, (gy - my) * bx - (gx - mx) * by_ AS v FROM e3 CROSS JOIN gr),
+inf AS (SELECT frame, team, player_id, s, p, exp(-0.5 * (u * u + v * v - q)) AS i FROM uv),
+ad AS (SELECT frame, p, sum(CASE WHEN team = 'Home' THEN i ELSE 0 END) AS a, sum(CASE WHEN team = 'Home' THEN 0 ELSE i END) AS d FROM inf GROUP BY frame, p),
+pc AS (SELECT frame, p // {NY} AS ix, p % {NY} AS iy, gx, gy, 1 / (1 + exp(d - a)) AS pc, 1 / (1 + exp(-a)) AS pa FROM ad JOIN gr USING (p))"""
 
 
 SURFACE = _surface_sql(NX, NY)
@@ -111,7 +114,7 @@ def g5_points(spark, d):
     return _surface(spark, d, FEW_X, FEW_Y).select("frame", "ix", "iy", r6("pc"), r6("pc_att_only"))
 
 
-@query("j18_grid_cross_join", f"WITH {V.FORMATION}, {SURFACE} SELECT ix, iy, count(*) AS n, round(avg(i), 6) + 0.0 AS mean_influence FROM inf GROUP BY ALL")
+@query("j18_grid_cross_join", f"WITH {V.FORMATION}, {SURFACE} SELECT p // {NY} AS ix, p % {NY} AS iy, count(*) AS n, round(avg(i), 6) + 0.0 AS mean_influence FROM inf GROUP BY p")
 def j18(spark, d):
     near = S.ellipses(_players(spark, d)).crossJoin(F.broadcast(S.grid(spark, NX, NY)))
     return near.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(S.influence(F.col("gx"), F.col("gy"))), "mean_influence"))
