@@ -94,6 +94,23 @@ def test_pipeline_stages(spark, data):
     assert last.count() == mixed.count()
 
 
+def test_run_over_a_small_table(spark, data, tmp_path):
+    """run() itself: what it returns are the token files of documents that every stage kept."""
+    from tokenizers import Tokenizer
+
+    few = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 60").unionByName(spark.createDataFrame([(900, "12 34", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long"))
+    few.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
+    texts = {r["doc_id"]: r["text"] for r in few.collect()}
+    library = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    at = 0
+    for r in rows:
+        assert r["start"] == at and r["n_tokens"] == len(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids) + 1
+        at += r["n_tokens"]
+    assert rows and 900 not in {r["doc_id"] for r in rows} and [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+
+
 def test_empty_pipeline(spark, data):
     docs_ = spark.read.parquet(f"{data}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
