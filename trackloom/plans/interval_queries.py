@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as I
 from ..operators import series, shape
+from ..operators.frames import with_phase_attributes
 from ..sources import views as V
 from ..sources.views import K
 from . import jobs
@@ -207,4 +208,4 @@ def a15(spark, d):
 def j15(spark, d):
     t = V.track(spark, d).withColumn("phase_id", F.floor(F.col("frame") / 20))
     p = t.groupBy(*K, "phase_id").agg(F.count_if(F.col("poss") == 1).alias("n_home"))
-    return t.join(p, [*K, "phase_id"]).select("player_id", "half", "frame", "n_home")
+    return with_phase_attributes(t, p, K).select("player_id", "half", "frame", "n_home")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..operators import frames
 from ..operators import predicates as P
 from ..operators.profiles import column_profile, describe, frequencies, histogram, ranked
 from ..sources import views as V
@@ -12,12 +13,12 @@ from .base import query, r6
 
 @query("s2_frame_range", f"WITH {V.TRACK} SELECT player_id, half, frame, x, y FROM track WHERE frame BETWEEN 40 AND 60")
 def s2(spark, d):
-    return V.track(spark, d).where(F.col("frame").between(40, 60)).select("player_id", "half", "frame", "x", "y")
+    return frames.between_frames(V.track(spark, d), 40, 60).select("player_id", "half", "frame", "x", "y")
 
 
 @query("s3_frame_probe", f"WITH {V.TRACK} SELECT match_id, coalesce(min(frame), 0) AS first_frame, coalesce(max(frame), 0) AS last_frame FROM track GROUP BY match_id")
 def s3(spark, d):
-    return V.track(spark, d).groupBy("match_id").agg(F.coalesce(F.min("frame"), F.lit(0)).alias("first_frame"), F.coalesce(F.max("frame"), F.lit(0)).alias("last_frame"))
+    return frames.frame_bounds(V.track(spark, d), ["match_id"])
 
 
 @query("s12_runs_with_ids", f"WITH {V.ANNOT} SELECT half, team, jid, start_frame, row_number() OVER (PARTITION BY half, jid ORDER BY team, start_frame, segment_id) - 1 AS run_id, row_number() OVER (PARTITION BY half, jid ORDER BY team, start_frame, segment_id) + 1 AS excel_row FROM annot")
@@ -184,7 +185,7 @@ def f16(spark, d):
 
 @query("a8_player_pivot", f"WITH {V.ANNOT} SELECT jid, count(*) FILTER (WHERE annotator = 'ann0') AS ann0, count(*) FILTER (WHERE annotator = 'ann1') AS ann1, count(*) FILTER (WHERE annotator = 'ann2') AS ann2 FROM annot GROUP BY jid")
 def a8(spark, d):
-    return V.annotation(spark, d).groupBy("jid").pivot("annotator", ["ann0", "ann1", "ann2"]).count().fillna(0)
+    return frames.counts_by(V.annotation(spark, d), ["jid"], "annotator", ["ann0", "ann1", "ann2"])
 
 
 @query("a10_frequencies", "SELECT event_type, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) + 0.0 AS share FROM events GROUP BY event_type")
@@ -200,7 +201,7 @@ def a11(spark, d):
 
 @query("a12_cross_tab", f"WITH {V.FORMATION} SELECT team, count(*) FILTER (WHERE position = 'FP') AS FP, count(*) FILTER (WHERE position = 'TW') AS TW FROM formation GROUP BY team")
 def a12(spark, d):
-    return V.formation(spark, d).groupBy("team").pivot("position", ["FP", "TW"]).count().fillna(0)
+    return frames.counts_by(V.formation(spark, d), ["team"], "position", ["FP", "TW"])
 
 
 @query("a13_histogram", "SELECT least(floor(value / 5.0), 39)::BIGINT AS bin, count(*) AS n FROM events WHERE value >= 0 AND value <= 200 GROUP BY 1")
@@ -217,7 +218,7 @@ def a23(spark, d):
 def u1(spark, d):
     a = V.table(spark, d, "orders").select(F.lit("F").alias("half"), F.col("o_orderkey").alias("k"))
     b = V.table(spark, d, "customer").select(F.lit("O").alias("half"), F.col("c_custkey").alias("k"), "c_name")
-    return a.unionByName(b, allowMissingColumns=True).groupBy("half").agg(F.count(F.lit(1)).alias("n"))
+    return frames.stacked(a, b).groupBy("half").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("o5_ordered", "SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id) AS place FROM events GROUP BY user_id")
@@ -228,7 +229,7 @@ def o5(spark, d):
 
 @query("j1_roster_join", f"WITH {V.TRACK}, {V.PLAYER} SELECT name, position, count(*) AS n_frames FROM track JOIN player ON player_id = xid GROUP BY ALL")
 def j1(spark, d):
-    return V.track(spark, d).join(V.player(spark, d), F.col("player_id") == F.col("xid")).groupBy("name", "position").agg(F.count(F.lit(1)).alias("n_frames"))
+    return frames.with_roster(V.track(spark, d), V.player(spark, d).drop("jid")).groupBy("name", "position").agg(F.count(F.lit(1)).alias("n_frames"))
 
 
 PEOPLE = "people AS (SELECT s_suppkey AS person_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Home' ELSE 'Away' END AS team, s_suppkey % 23 AS jid FROM supplier)"
@@ -253,14 +254,14 @@ def j3(spark, d):
 @query("j17_frame_assembly", f"WITH {V.FORMATION}, b AS (SELECT o_orderkey AS frame, o_custkey % 50 AS ball_x FROM orders WHERE o_orderstatus <> 'P') SELECT f.frame, count(*) AS n_players, max(ball_x) AS ball_x FROM formation f JOIN b USING (frame) GROUP BY f.frame")
 def j17(spark, d):
     ball = V.table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("frame"), (F.col("o_custkey") % 50).alias("ball_x"))
-    return V.formation(spark, d).join(ball, "frame").groupBy("frame").agg(F.count(F.lit(1)).alias("n_players"), F.max("ball_x").alias("ball_x"))
+    return frames.assemble_frames(V.formation(spark, d), ball, ["frame"]).groupBy("frame").agg(F.count(F.lit(1)).alias("n_players"), F.max("ball_x").alias("ball_x"))
 
 
 @query("j19_side_by_side", "SELECT coalesce(a.k, b.k) AS k, a.n AS n_orders, b.n AS n_events FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1) b ON a.k = b.k")
 def j19(spark, d):
     a = V.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n_orders"))
     b = V.table(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("n_events"))
-    return a.join(b, "k", "full")
+    return frames.side_by_side(a, b, ["k"])
 
 
 @query("j20_person_map", f"WITH {V.PLAYER} SELECT name, xid FROM player WHERE xid IS NOT NULL")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import predicates, series, shape
+from ..operators import frames, predicates, series, shape
 from ..sources import views as V
 from ..sources.views import K
 from . import jobs
@@ -230,9 +230,7 @@ def w16(spark, d):
 UNION ALL SELECT 'plain' AS method, team, count(DISTINCT (player_id, half, segment_id)), count(*) FROM ({TS}, {PLAIN} SELECT * FROM seg) GROUP BY team""")
 def w17(spark, d):
     v = _speed(spark, d)
-    both = series.valley_segments(v, K).select(*K, "segment_id", F.lit("valley_power").alias("method")).unionByName(series.plain_valley_segments(v, K).select(*K, "segment_id", F.lit("plain").alias("method")))
-    n = both.groupBy("method", *K, "segment_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("method", "team").agg(F.count(F.lit(1)).alias("n_segments"), F.sum("n").alias("n_frames"))
+    return frames.compare_segments({"valley_power": series.valley_segments(v, K), "plain": series.plain_valley_segments(v, K)}, K, ["team"])
 
 
 SPLIT = f"""seg1 AS (SELECT *, row_number() OVER ws - 1 AS i, count(*) OVER (PARTITION BY {KEYS}, segment_id) AS n FROM seg WINDOW ws AS (PARTITION BY {KEYS}, segment_id ORDER BY frame)),
@@ -288,7 +286,7 @@ def o1(spark, d):
 
 @query("o4_earliest_movement", f"{TS}, {VALLEYS}, {MOVES} SELECT match_id, half, min(start_frame) AS start_frame, arg_min(player_id, [start_frame, player_id]) AS player_id FROM movement GROUP BY match_id, half")
 def o4(spark, d):
-    return _movements(spark, d).groupBy("match_id", "half").agg(F.min("start_frame").alias("start_frame"), F.min_by("player_id", F.struct("start_frame", "player_id")).alias("player_id"))
+    return frames.earliest(_movements(spark, d), ["match_id", "half"])
 
 
 @query("f14_straightness", f"{TS}, {VALLEYS}, {MOVES}, q AS (SELECT {KEYS}, movement_id, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c, arg_max(x, frame) - arg_min(x, frame) AS dx, arg_max(y, frame) - arg_min(y, frame) AS dy FROM mov GROUP BY {KEYS}, movement_id) SELECT {KEYS}, movement_id, round(sqrt(greatest((a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b), 0)), 4) AS rmse, round(CASE WHEN abs(dx) + abs(dy) = 0 THEN 0 ELSE degrees(atan2(abs(dy), abs(dx))) END, 6) AS angle FROM q")
