@@ -18,7 +18,6 @@ compared with another one.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
