@@ -1,7 +1,6 @@
 """Queries of row-wise operators, scalar functions and plain aggregates."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..operators import frames
