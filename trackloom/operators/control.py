@@ -60,7 +60,7 @@ _ELLIPSE = ("mx", "my", "ux", "uy", "sx", "sy", "q0")
 
 def _grid_arrays(nx: int, ny: int) -> tuple[np.ndarray, ...]:
     ix, iy = np.divmod(np.arange(nx * ny), ny)
-    return ix, iy, ix * (LENGTH / (nx - 1)), iy * (WIDTH / (ny - 1))
+    return ix * (LENGTH / (nx - 1)), iy * (WIDTH / (ny - 1))
 
 
 def _influences(held: dict[str, np.ndarray], gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ def _kinds(df: DataFrame, names: list[str]) -> str:
 
 def _surfaces(keys: list[str], nx: int, ny: int, together: int = 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, iy, gx, gy = _grid_arrays(nx, ny)
+        gx, gy = _grid_arrays(nx, ny)
         for batch in batches:
             for at in range(0, batch.num_rows, together):
                 part = batch.slice(at, together)
@@ -89,7 +89,7 @@ def _surfaces(keys: list[str], nx: int, ny: int, together: int = 16):
                 a, d = (np.add.reduceat(np.where(attacks == side, i, 0.0), first, axis=0).ravel() for side in (True, False))
                 frames = len(part)
                 out = {c: part.column(c).take(pa.array(np.repeat(np.arange(frames), nx * ny))) for c in keys}
-                out |= {c: pa.array(np.tile(x, frames)) for c, x in (("ix", ix), ("iy", iy), ("gx", gx), ("gy", gy))}
+                out["point"] = pa.array(np.tile(np.arange(nx * ny, dtype=np.int32), frames))
                 yield pa.record_batch(out | {c: pa.array(1 / (1 + np.exp(-x))) for c, x in (("pc", a - d), ("pc_att_only", a), ("pc_def_only", d))})
 
     return run
@@ -103,8 +103,10 @@ def surface(players: DataFrame, keys: list[str], attacking: Column, frozen: Colu
     """
     own = ellipses(players.withColumn("attacks", F.coalesce(attacking, F.lit(False))), frozen).dropna(subset=list(_ELLIPSE))
     frames = own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in _ELLIPSE], "attacks"))).alias("_players"))
-    form = f"{_kinds(players, keys)}, ix long, iy long, gx double, gy double, pc double, pc_att_only double, pc_def_only double"
-    return frames.mapInArrow(_surfaces(keys, nx, ny), form)
+    form = f"{_kinds(players, keys)}, point int, pc double, pc_att_only double, pc_def_only double"
+    ix, iy = F.floor(F.col("point") / ny), (F.col("point") % ny).cast("long")
+    places = [ix.alias("ix"), iy.alias("iy"), (ix * (LENGTH / (nx - 1))).alias("gx"), (iy * (WIDTH / (ny - 1))).alias("gy")]
+    return frames.mapInArrow(_surfaces(keys, nx, ny), form).select(*keys, *places, "pc", "pc_att_only", "pc_def_only")
 
 
 def _thirds(mirrored: Column, nx: int) -> list[Column]:
@@ -151,7 +153,7 @@ def zone_control(control: DataFrame, centres: DataFrame, keys: list[str], radius
 
 def _reaches(keep: list[str], nx: int, ny: int, together: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, gx, gy = _grid_arrays(nx, ny)
+        gx, gy = _grid_arrays(nx, ny)
         for batch in batches:
             for at in range(0, batch.num_rows, together):
                 part = batch.slice(at, together)
