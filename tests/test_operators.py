@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as S
-from trackloom.operators import context, control, intervals, matching, predicates, series, shape
+from trackloom.operators import context, control, indicators, intervals, matching, predicates, series, shape
+from trackloom.plans import jobs
 
 
 def frame(spark, values, name="v", keys=("a",)):
@@ -143,7 +144,9 @@ def test_match_groups(spark):
     draw = random.Random(8)
     edges = [("h", *sorted(draw.sample(range(60), 2))) for _ in range(35)] + [("h", i, i + 1) for i in range(100, 140)]
     nodes = [("h", i) for i in [*range(60), *range(100, 141)]]
-    got = {r["node"]: r["group_id"] for r in matching.match_groups(spark.createDataFrame(nodes, "half string, node long"), spark.createDataFrame(edges, "half string, u long, v long"), "half").collect()}
+    held = spark.createDataFrame([(h, "a", i) for h, i in nodes], "half string, annotator string, segment_id long")
+    pairs = spark.createDataFrame([(h, "a", u, "a", v) for h, u, v in edges], "half string, annotator_u string, u long, annotator_v string, v long")
+    got = {r["segment_id"]: r["group_id"] for r in matching.match_groups(held, pairs, ["half"]).collect()}
     label = {i: i for _, i in nodes}
     for _ in nodes:
         for _, u, v in edges:
@@ -151,6 +154,99 @@ def test_match_groups(spark):
     assert got == label
 
 
+FILE_FORM = "match_id string, half string, annotator string, segment_id long, jid long, team string, start_frame long, end_frame long"
+
+
+def test_agreement_where_every_file_counts_from_0(spark):
+    """Ids restart by match, half and annotator; matches stay within a match and half, and join only through their own segments."""
+    rows = [(m, h, a, i, 7 + i % 2, "Home", 100 * i + d, 100 * i + 50 + d) for m in "MN" for h in "FO" for d, a in enumerate("abc") for i in range(4) if (m, h, a, i) not in {("M", "F", "c", 1), ("N", "O", "a", 3)}]
+    rows.append(("M", "F", "c", 1, 9, "Home", 900, 950))  # of a player that no one else has
+    notes = spark.createDataFrame(rows, FILE_FORM).repartition(3)
+    by = ["match_id", "half"]
+    report = jobs.agreement_report(notes, by)
+    groups = {tuple(r)[:4]: (r["group_annotator"], r["group_id"]) for r in report["groups"].collect()}
+    want = {(m, h, a, i): ("b" if (m, h, i) == ("N", "O", 3) else "a", i) for m, h, a, i, *_ in rows}
+    want["M", "F", "c", 1] = ("c", 1)
+    assert groups == want
+    alone = report["isolated"].collect()
+    assert [(r["match_id"], r["half"], r["annotator"], r["segment_id"], r["start_timecode"], r["duration_frames"], r["duration_tc"]) for r in alone] == [("M", "F", "c", 1, "00:00:36", 50, "00:00:02")]
+    pairs = matching.undirected(report["matches"], by).collect()
+    assert len(pairs) == len({tuple(r) for r in pairs}) and all(r["annotator_u"] < r["annotator_v"] and r["u"] == r["v"] for r in pairs)
+    assert len(pairs) == 4 * 4 * 3 - 2 - 2
+    counts = {(r["match_id"], r["half"]): (r["n_matched"], r["n_unmatched"]) for r in report["counts"].collect()}
+    assert sum(sum(x) for x in counts.values()) == len(rows)
+
+
+def test_components_of_any_shape(spark):
+    draw = random.Random(3)
+    edges = [(i, i + 1) for i in range(200)] + [(1_000, 1_000 + i) for i in range(1, 300)] + [(2_000 + draw.randrange(90), 2_000 + draw.randrange(90)) for _ in range(70)] + [(5, 5), (None, 3), (0, 1)]
+    got = {r["node"]: r["root"] for r in matching.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    label = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in range(210):
+        for u, v in edges:
+            if u is not None and u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    assert got == label
+    assert matching.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def plain_greedy(a, b, near, rank):
+    """Each a by start and id takes the best free b."""
+    used, out = set(), set()
+    for i, s, e in sorted(a, key=lambda x: (x[1], x[0])):
+        free = sorted((rank((i, s, e), x), x[1], x[0]) for x in b if near((i, s, e), x) and x[0] not in used)
+        if free:
+            used.add(free[0][2])
+            out.add((i, free[0][2]))
+    return out
+
+
+def test_matches_are_greedy_for_many_segments_of_one_player(spark):
+    draw = random.Random(6)
+    a, b = ([(i, s := draw.randrange(3_000), s + draw.randrange(1, 700)) for i in range(300)] for _ in "ab")
+    form = "jid long, id long, start long, end long"
+    left, right = (spark.createDataFrame([(1, *x) for x in side], form).repartition(3) for side in (a, b))
+    common = lambda x, y: max(x[1], y[1]) - min(x[2], y[2])
+    got = {(r["a_id"], r["b_id"]) for r in matching.overlap_match(left, right, ["jid"]).collect()}
+    assert got == plain_greedy(a, b, lambda x, y: x[1] <= y[1] <= x[2], common)
+    got = {(r["a_id"], r["b_id"]) for r in matching.tolerance_match(left, right, ["jid"], 25).collect()}
+    assert got == plain_greedy(a, b, lambda x, y: y[1] - 25 <= x[1] <= y[2] + 25 or x[1] - 25 <= y[1] <= x[2] + 25, lambda x, y: 0)
+    best = {r["a_id"]: (r["b_id"], r["iou"]) for r in matching.best_iou_match(left, right, ["jid"]).collect()}
+    for x in a:
+        inter = [(max(0, -common(x, y)), y) for y in b]
+        iou = max(((n / (max(x[2], y[2]) - min(x[1], y[1])), -y[0]) for n, y in inter if n), default=None)
+        assert best[x[0]] == ((-iou[1], pytest.approx(iou[0])) if iou and iou[0] >= 0.01 else (None, None))
+    n = 100_000  # a second of work, not one that grows with the square
+    long = spark.range(n).select(F.lit(1).alias("jid"), "id", (F.col("id") * 3).alias("start"), (F.col("id") * 3 + 5).alias("end"))
+    assert matching.overlap_match(long, long, ["jid"]).where("a_id = b_id").count() == n
+
+
+def test_matches_of_players_whose_ids_repeat(spark):
+    one = spark.createDataFrame([(7, 0, 10, 20), (8, 0, 10, 20), (9, 0, 500, 510)], "jid long, id long, start long, end long")
+    two = spark.createDataFrame([(7, 0, 12, 20), (7, 1, 13, 20), (8, 5, 11, 20)], "jid long, id long, start long, end long")
+    got = {tuple(r) for r in matching.window_matches(one, two, ["jid"], 5, None).collect()}
+    assert got == {(7, 0, 2, 0, 1), (8, 0, 1, 5, None), (9, 0, 0, None, None)}
+    tags = spark.createDataFrame([(1, 7, "United", 15, "x"), (2, 7, "City", 15, "x"), (3, None, "United", 15, "x"), (4, 7, None, 15, "x"), (5, 7, "United", None, "x"), (6, 7, "United", 90, "x")], "tag_id long, jid long, team string, start_frame long, _team string")
+    moves = spark.createDataFrame([(31, 7, "Old United", 12, 14), (30, 7, "United FC", 20, 30), (29, 7, "City", 0, 9), (28, 8, "United", 10, 20), (27, 7, None, 10, 20)], "movement_id long, jid long, team string, start_frame long, end_frame long")
+    got = {r["tag_id"]: tuple(r)[5:] for r in matching.tag_matches(tags, moves, 6).collect()}
+    assert got == {1: (2, 30, 31), 2: (1, 29, None), 3: (0, None, None), 4: (0, None, None), 5: (0, None, None), 6: (0, None, None)}
+
+
+def test_indicators_of_players_whose_ids_repeat(spark):
+    notes = spark.createDataFrame([(0, p, "F", 2, 8, None) for p in (1, 2)], "segment_id long, player_id long, half string, start_frame long, end_frame long, play_direction string")
+    track = spark.createDataFrame([(p, "F", f, float(f * p), 0.0, float(p), 1) for p in (1, 2) for f in range(12)], "player_id long, half string, frame long, x double, y double, v double, poss long")
+    got = {r["player_id"]: (r["segment_id"], r["n_points"], r["distance_m"], r["mean_vel_ms"]) for r in indicators.interval_indicators(notes, track, ["player_id"], ["half"]).collect()}
+    assert got == {1: (0, 7, 6.0, 1.0), 2: (0, 7, 12.0, 2.0)}
+
+
+def test_untracked_players_take_no_place_in_lines(spark):
+    rows = [(1, "Home", i, "FP", x, 0.0 if x is not None else None) for i, x in enumerate([30.0, None, 10.0, None, 20.0, None])] + [(1, "Home", 9, "TW", 0.0, 0.0), (1, "Away", 1, "FP", 1.0, 1.0), (1, "Away", 2, "FP", 2.0, 1.0), (1, "Away", 3, "FP", None, None)]
+    players = spark.createDataFrame(rows, "frame long, team string, player_id long, position string, x double, y double")
+    lines = {r["team"]: tuple(r)[2:] for r in context.defensive_lines(players, ["frame"], F.lit(1)).collect()}
+    assert lines == {"Home": (10.0, 20.0, 30.0), "Away": (None, None, None)}
+    assert {r["team"]: (r["block_cx"], r["n_outfield"]) for r in context.block_centroid(players, ["frame"]).collect()} == {"Home": (20.0, 3), "Away": (1.5, 2)}
+
+
 def test_asof_ties_and_edges(spark):
     probes = spark.createDataFrame([("m", 1.0), ("m", 5.0), ("m", 0.5), ("m", None), ("x", 3.0)], "k string, t double")
     events = spark.createDataFrame([("m", 1.0, "a"), ("m", 5.0, "b"), ("m", 5.0, "c"), ("m", None, "never")], "k string, at double, v string")

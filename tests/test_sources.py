@@ -64,6 +64,26 @@ def test_annotations(spark, tmp_path):
     assert {r["match_id"] for r in tables.find_files(spark, str(tmp_path), "firstHalf").collect()} == {"M1", "M2"}
 
 
+def test_annotations_by_each_files_own_header(spark, tmp_path):
+    """Swapped columns, quoted commas, a byte order mark, a missing and a further column, lines like a header, and long files."""
+    (tmp_path / "DFL-MAT-M1_firstHalf_a.csv").write_text("segment_id,half,start_frame,end_frame,player_jid,team\n0,firstHalf,10,20,7,Home\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "DFL-MAT-M2_firstHalf_a.csv").write_text('\ufeffteam,end_frame,start_frame,player, half ,player_jid,segment_id\r\nAway,20,10,"B, A.",firstHalf,7,0\r\n\r\nHome,40,30,"C ""D""",firstHalf,8,1\r\n', encoding="utf-8")
+    (tmp_path / "DFL-MAT-M3_firstHalf_a.csv").write_text("segment_id,half,start_frame,player_jid,team\n0,firstHalf,10,7,Home\n")
+    (tmp_path / "DFL-MAT-M4_firstHalf_a.csv").write_text("half,segment_id,player_jid,end_frame,start_frame,team,mood\n" + "".join(f"firstHalf,{i},5,{i + 9},{i},Home,\n" for i in range(3_000)))
+    (tmp_path / "DFL-MAT-M5_firstHalf_empty.csv").write_text("half,start_frame\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = tables.read_annotations(spark, str(tmp_path))
+        good, broken = tables.split_broken(rows)
+        got = {(r["match_id"], r["segment_id"]): (r["start_frame"], r["end_frame"], r["player"], r["team"]) for r in good.collect()}
+        assert len(got) == 3_003 and got["M1", 0] == (10, 20, None, "Home") and got["M2", 0] == (10, 20, "B, A.", "Away") and got["M2", 1] == (30, 40, 'C "D"', "Home")
+        assert all(got["M4", i] == (i, i + 9, None, "Home") for i in range(3_000))
+        assert [(r["match_id"], r["_corrupt_record"]) for r in broken.collect()] == [("M3", "no end_frame")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_json(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"M1": {"Home": {"firstHalf": "left_to_right"}}, "M2": {"Home": {"firstHalf": "right_to_left", "secondHalf": "left_to_right"}}}')
     (tmp_path / "broken.json").write_text('{"M1": {"Home"')

@@ -34,13 +34,22 @@ FORMATIONS = {
 }
 
 
+def _outfield(players: DataFrame, keeper: str) -> DataFrame:
+    """Players with a known place but keepers."""
+    return players.where((F.col("position") != keeper) & F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
 def block_centroid(players: DataFrame, keys: list[str], keeper: str = "TW") -> DataFrame:
-    return players.where(F.col("position") != keeper).groupBy(*keys, "team").agg(F.avg("x").alias("block_cx"), F.avg("y").alias("block_cy"), F.count(F.lit(1)).alias("n_outfield"))
+    """Mean place and number of each team's outfield players; those without a place don't count."""
+    return _outfield(players, keeper).groupBy(*keys, "team").agg(F.avg("x").alias("block_cx"), F.avg("y").alias("block_cy"), F.count(F.lit(1)).alias("n_outfield"))
 
 
 def defensive_lines(players: DataFrame, keys: list[str], sign: Column, keeper: str = "TW") -> DataFrame:
-    """Mean x of the three near-equal groups of outfield players by attack-x; NULL with fewer than three."""
-    out = players.where(F.col("position") != keeper).withColumn("_ax", F.col("x") * sign)
+    """Mean x of the three near-equal groups of outfield players by attack-x; NULL with fewer than three.
+
+    Players without a place take none in the groups.
+    """
+    out = _outfield(players, keeper).withColumn("_ax", F.col("x") * sign)
     own = Window.partitionBy(*keys, "team")
     out = out.withColumns({"_third": F.ntile(3).over(own.orderBy("_ax", "player_id")), "_n": F.count(F.lit(1)).over(own)})
     lines = [F.avg(F.when((F.col("_third") == i) & (F.col("_n") >= 3), F.col("x"))).alias(f"def_line_{i}") for i in (1, 2, 3)]

@@ -11,29 +11,35 @@ from .predicates import attack_sign, direction_metric, speed_category, zone
 from .series import metabolic_power
 
 
+def interval_ids(keys: list[str], half: list[str]) -> list[str]:
+    """What names an annotated interval: its id, which may restart for each player and half, with both."""
+    return [*dict.fromkeys([*keys, *half]), "segment_id"]
+
+
 def interval_indicators(annotations: DataFrame, track: DataFrame, keys: list[str], half: list[str], before_s: float = 2.0, fps: int = 25, bucket: int = 64) -> DataFrame:
-    """The measures of a movement, by segment_id, over the rows of track within each annotated interval, both ends in.
+    """The measures of a movement, by keys, half and segment_id, over the rows of track within each annotated interval, both ends in.
 
     annotations: segment_id, keys, half, start_frame, end_frame, play_direction (may be NULL: no mirroring, sign 1);
     track: keys, half, frame, x, y, v, poss. Intervals are clamped to their half, which ends with its last frame in
     track. Those of no length or with fewer than two known places give no row; a run's energy comes from its own frames.
     Speeds are in m/s; pre_run columns are of the before_s seconds before the start.
     """
-    n_before = round(before_s * fps)
+    n_before, ids = round(before_s * fps), interval_ids(keys, half)
     ends = track.groupBy(*half).agg(F.max("frame").alias("_end"))
     lo, hi = (F.greatest(F.lit(0), F.least(F.col(c), F.col("_end"))) for c in ("start_frame", "end_frame"))
-    a = annotations.join(ends, half).select("segment_id", *keys, lo.alias("_lo"), hi.alias("_hi"), F.col("play_direction").alias("_dir")).where("_lo < _hi")
-    rows = range_join(track.select(*keys, "frame", "x", "y", "v", "poss"), a, keys, F.col("frame"), F.greatest(F.col("_lo") - n_before, F.lit(0)), F.col("_hi"), bucket)
+    a = annotations.join(ends, half).select(*ids, lo.alias("_lo"), hi.alias("_hi"), F.col("play_direction").alias("_dir")).where("_lo < _hi")
+    on = ids[:-1]
+    rows = range_join(track.select(*on, "frame", "x", "y", "v", "poss"), a, on, F.col("frame"), F.greatest(F.col("_lo") - n_before, F.lit(0)), F.col("_hi"), bucket)
 
-    rows = metabolic_power(rows.withColumn("_run", F.col("frame") >= F.col("_lo")), ["segment_id", "_run"], fps)
+    rows = metabolic_power(rows.withColumn("_run", F.col("frame") >= F.col("_lo")), [*ids, "_run"], fps)
     rows = rows.withColumn("_p", F.when(F.col("_run") & F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("x", "y")))
-    back = F.last("_p", ignorenulls=True).over(Window.partitionBy("segment_id", "_run").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1))
+    back = F.last("_p", ignorenulls=True).over(Window.partitionBy(*ids, "_run").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_q", F.when(F.col("_p").isNotNull(), back))
     dx, dy = F.col("_p.x") - F.col("_q.x"), F.col("_p.y") - F.col("_q.y")
     run, at = F.col("_run"), F.when(F.col("_p").isNotNull(), F.col("frame"))
     own, pre = F.when(run, F.col("v")), F.when(~run, F.col("v"))
     energy = F.sum(F.when(run, F.greatest("ec", F.lit(0.0)) * F.coalesce("v", F.lit(0.0)))) / fps
-    out = rows.groupBy("segment_id").agg(
+    out = rows.groupBy(*ids).agg(
         F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_dir").alias("_dir"), F.count("_p").alias("n_points"),
         F.round(F.sum(F.sqrt((dx * dx + dy * dy).cast("double"))), 2).alias("distance_m"), F.round(F.avg(own), 3).alias("mean_vel_ms"),
         F.coalesce(F.max(own), F.lit(0.0)).alias("_peak"), F.max_by("frame", F.when(run, F.struct(F.coalesce("v", F.lit(-1.0)), -F.col("frame")))).alias("peak_frame"),
@@ -45,7 +51,7 @@ def interval_indicators(annotations: DataFrame, track: DataFrame, keys: list[str
     ratio, sign = F.col("_ratio"), attack_sign(F.col("_dir"))
     zones = {at: zone(F.col(f"_x_{at}"), F.col(f"_y_{at}"), F.col("_dir")) for at in ("start", "mid", "end")}
     return out.select(
-        "segment_id", "n_points", "distance_m", F.round((F.col("_hi") - F.col("_lo")) / fps, 2).alias("duration_s"), "mean_vel_ms", F.round("_peak", 3).alias("peak_vel_ms"), "peak_frame",
+        *ids, "n_points", "distance_m", F.round((F.col("_hi") - F.col("_lo")) / fps, 2).alias("duration_s"), "mean_vel_ms", F.round("_peak", 3).alias("peak_vel_ms"), "peak_frame",
         speed_category(F.col("_peak") * 3.6).alias("speed_category"), "total_energy_cost_J", "pre_run_mean_vel_ms", "pre_run_peak_vel_ms",
         F.when(F.col("_lo") > 0, F.round(F.least(F.col("_lo"), F.lit(n_before)) / fps, 2)).alias("pre_run_window_s"),
         *[F.round(f"_{c}_{at}", 2).alias(f"{c}_{at}") for c in "xy" for at in zones],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import context, control, indicators, intervals, matching, predicates, series
 from ..operators import people as people_
+from ..operators.lineage import checkpointed
 from ..operators.predicates import attack_sign, direction_metric, playing_direction, zone
 from ..sources.views import K
 
@@ -89,21 +90,23 @@ def team_blocks(players: DataFrame, keys: list[str], sign) -> DataFrame:
     return blocks.withColumn("defense_type", predicates.defence_type(F.col("block_cx"), sign))
 
 
-def agreement(annotations: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pair statistics, matches, isolated segments)."""
-    matches = matching.directed_matches(annotations, by)
-    pairs = matching.undirected(matches)
-    linked = pairs.select(F.col("u").alias("segment_id")).union(pairs.select("v"))
-    return matching.pair_stats(annotations, matches, by), matches, annotations.join(linked.distinct(), "segment_id", "left_anti")
+def agreement(annotations: DataFrame, by: list[str], tolerance: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pair statistics, matches, isolated segments). A segment is known by by, annotator and segment_id together."""
+    matches = matching.directed_matches(annotations, by, tolerance)
+    return matching.pair_stats(annotations, matches, by), matches, matching.isolated(annotations, matching.undirected(matches, by), by)
 
 
-def agreement_report(annotations: DataFrame, by: str) -> dict[str, DataFrame]:
-    """All tables of agreement: pairs, kpis, matrix, distribution, counts, matches, isolated segments and match groups."""
-    pairs, matches, isolated = agreement(annotations, [by])
-    nodes = annotations.select(by, F.col("segment_id").alias("node"))
+def agreement_report(annotations: DataFrame, by: list[str], tolerance: int = 0) -> dict[str, DataFrame]:
+    """All tables of agreement: pairs, kpis, matrix, distribution, counts, matches, isolated segments and match groups.
+
+    annotations: by (match, half), annotator, segment_id, jid, start_frame, end_frame. Matches are made once and stored;
+    the matrix is by the last column of by.
+    """
+    matches = checkpointed(matching.directed_matches(annotations, by, tolerance))
+    pairs, linked = matching.pair_stats(annotations, matches, by), matching.undirected(matches, by)
     return {
-        "pairs": pairs, "kpis": matching.global_kpis(pairs), "matrix": matching.match_matrix(matches, by), "distribution": matching.iou_distribution(matches, [by]),
-        "counts": matching.matched_counts(annotations, matches, [by]), "matches": matches, "isolated": isolated, "groups": matching.match_groups(nodes, matching.undirected(matches), by),
+        "pairs": pairs, "kpis": matching.global_kpis(pairs), "matrix": matching.match_matrix(matches, by[-1]), "distribution": matching.iou_distribution(matches, by),
+        "counts": matching.matched_counts(annotations, matches, by), "matches": matches, "isolated": matching.isolated(annotations, linked, by), "groups": matching.match_groups(annotations, linked, by),
     }
 
 
@@ -128,9 +131,10 @@ def enrich(annotations: DataFrame, movements: DataFrame, track: DataFrame, peopl
     matched = movements.select(*keys, "movement_id", F.struct(F.col("distance_m").alias("distance_m"), F.col("duration_s").alias("duration_s"), (F.col("peak_speed_kmh") / kmh).alias("peak_vel_ms"), (F.col("avg_velocity_kmh") / kmh).alias("mean_vel_ms")).alias("_m"))
     own = indicators.interval_indicators(annotations, track, keys, half, fps=fps)
     names = ["distance_m", "duration_s", "peak_vel_ms", "mean_vel_ms"]
-    rest = [c for c in own.columns if c not in ("segment_id", *names)]
+    ids = indicators.interval_ids(keys, half)
+    rest = [c for c in own.columns if c not in (*ids, *names)]
     df = annotations.join(found, [*keys, "segment_id"], "left").join(matched, [*keys, "movement_id"], "left")
-    df = df.join(own.select("segment_id", F.struct(*names).alias("_r"), *[c for c in rest if c not in df.columns]), "segment_id", "left")
+    df = df.join(own.select(*ids, F.struct(*names).alias("_r"), *[c for c in rest if c not in df.columns]), ids, "left")
     df = predicates.with_provenance(df, {c: (F.col(f"_m.{c}"), F.col(f"_r.{c}")) for c in names}).drop("_m", "_r")
     df = people_.position_of(people_.person_by_shirt(df, people), people)
     df = with_score_and_shots(df, events, fps)

@@ -1,6 +1,7 @@
 """Queries of one-to-one matching and agreement."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import matching as M
 from ..operators import series
@@ -136,7 +137,7 @@ def a21(spark, d):
 
 @query("u3_undirected_pairs", f"WITH {V.ANNOT}, {DIRECTED} SELECT DISTINCT half, CASE WHEN annotator_a > annotator_b THEN b_id ELSE a_id END AS u, CASE WHEN annotator_a > annotator_b THEN a_id ELSE b_id END AS v FROM dm")
 def u3(spark, d):
-    return M.undirected(_directed(spark, d)[1])
+    return M.undirected(_directed(spark, d)[1], ["half"]).select("half", "u", "v")
 
 
 @query("u4_matched_and_isolated", f"WITH {V.ANNOT}, {DIRECTED} SELECT half, count(*) FILTER (WHERE segment_id IN (SELECT a_id FROM dm)) AS n_matched, count(*) FILTER (WHERE segment_id NOT IN (SELECT a_id FROM dm)) AS n_unmatched FROM annot GROUP BY half")
@@ -148,7 +149,13 @@ def u4(spark, d):
 SELECT half, x AS node, min(y) AS group_id FROM r JOIN annot ON segment_id = x GROUP BY half, x""")
 def g8(spark, d):
     a, m = _directed(spark, d)
-    return M.match_groups(a.select("half", F.col("segment_id").alias("node")), M.undirected(m), "half")
+    return _smallest(M.match_groups(a, M.undirected(m, ["half"]), ["half"])).select("half", F.col("segment_id").alias("node"), "group_id")
+
+
+def _smallest(groups):
+    """Groups named by their smallest segment_id, as ids are unique in annotation()."""
+    own = Window.partitionBy("half", "group_annotator", "group_id")
+    return groups.withColumn("least", F.min("segment_id").over(own)).drop("group_id").withColumnRenamed("least", "group_id")
 
 
 @query("g10_evaluation_job", f"""WITH {V.ANNOT}, {TOL} SELECT 'surplus' AS side, segment_id, half, team, jid FROM annot WHERE annotator = 'ann0' AND segment_id NOT IN (SELECT p.a FROM taken)
@@ -165,9 +172,70 @@ SELECT half, group_id, count(*) AS n_segments, count(DISTINCT annotator) AS n_an
 def g10_agreement(spark, d):
     """Match groups of the whole report, by size and annotators."""
     a = V.annotation(spark, d)
-    groups = jobs.agreement_report(a, "half")["groups"]
-    own = groups.join(a.select("half", F.col("segment_id").alias("node"), "annotator"), ["half", "node"])
-    return own.groupBy("half", "group_id").agg(F.count(F.lit(1)).alias("n_segments"), F.countDistinct("annotator").alias("n_annotators"))
+    return _smallest(jobs.agreement_report(a, ["half"])["groups"]).groupBy("half", "group_id").agg(F.count(F.lit(1)).alias("n_segments"), F.countDistinct("annotator").alias("n_annotators"))
+
+
+FILES = ["match_id", "half"]
+#: DIRECTED over notes, where ids restart in each file.
+FILED = f"""cand AS (SELECT {{'m': a.match_id, 'half': a.half, 'jid': a.jid, 'x': a.annotator, 'y': b.annotator}} AS g, a.segment_id AS a, a.start_frame AS a_start, b.segment_id AS b, b.start_frame AS b_start, greatest(a.start_frame, b.start_frame) - least(a.end_frame, b.end_frame) AS p
+  FROM notes a JOIN notes b ON a.match_id = b.match_id AND a.half = b.half AND a.jid = b.jid AND a.annotator <> b.annotator AND b.start_frame BETWEEN a.start_frame AND a.end_frame), {GREEDY},
+dm AS (SELECT g.m AS match_id, g.half AS half, g.x AS annotator_a, g.y AS annotator_b, p.a AS a_id, p.b AS b_id FROM taken),
+pairs AS (SELECT DISTINCT match_id, half, least(annotator_a, annotator_b) AS annotator_u, CASE WHEN annotator_a > annotator_b THEN b_id ELSE a_id END AS u, greatest(annotator_a, annotator_b) AS annotator_v, CASE WHEN annotator_a > annotator_b THEN a_id ELSE b_id END AS v FROM dm),
+ends AS (SELECT match_id, half, annotator_u AS annotator, u AS segment_id FROM pairs UNION SELECT match_id, half, annotator_v, v FROM pairs),
+lone AS (SELECT * FROM notes ANTI JOIN ends USING (match_id, half, annotator, segment_id))"""
+#: hh:mm:ss of frames.
+HMS = "lpad(({0} // 25 // 3600)::VARCHAR, 2, '0') || ':' || lpad(({0} // 25 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad(({0} // 25 % 60)::VARCHAR, 2, '0')"
+
+
+def _filed(spark, d):
+    a = V.notes(spark, d)
+    return a, M.directed_matches(a, FILES)
+
+
+@query("u3_file_pairs", f"WITH {V.ANNOT}, {V.NOTES}, {FILED} SELECT * FROM pairs")
+def u3_file(spark, d):
+    return M.undirected(_filed(spark, d)[1], FILES)
+
+
+@query("u4_file_matched_and_isolated", f"WITH {V.ANNOT}, {V.NOTES}, {FILED}, hit AS (SELECT DISTINCT match_id, half, annotator_a AS annotator, a_id AS segment_id, 1 AS h FROM dm) SELECT match_id, half, count(h) AS n_matched, count(*) - count(h) AS n_unmatched FROM notes LEFT JOIN hit USING (match_id, half, annotator, segment_id) GROUP BY ALL")
+def u4_file(spark, d):
+    return M.matched_counts(*_filed(spark, d), FILES)
+
+
+@query("j16_file_isolated", f"""WITH {V.ANNOT}, {V.NOTES}, {FILED} SELECT match_id, half, annotator, segment_id, jid, end_frame - start_frame AS duration_frames, {HMS.format('(start_frame + 30000)')} AS start_timecode, {HMS.format('(end_frame + 30000)')} AS end_timecode,
+{HMS.format('(end_frame - start_frame)')} AS duration_tc FROM lone""")
+def j16_file(spark, d):
+    """Isolated segments with their time codes; frames are moved to be positive."""
+    notes = V.notes(spark, d).withColumns({c: F.col(c) + 30_000 for c in ("start_frame", "end_frame")})
+    return jobs.agreement(notes, FILES)[2].select(*FILES, "annotator", "segment_id", "jid", "duration_frames", "start_timecode", "end_timecode", "duration_tc")
+
+
+GROUPS = """keyed AS (SELECT *, match_id || ' ' || half || ' ' || annotator || ' ' || lpad(segment_id::VARCHAR, 9, '0') AS node FROM notes), e AS (SELECT a.node AS u, b.node AS v FROM pairs p JOIN keyed a ON a.match_id = p.match_id AND a.half = p.half AND a.annotator = annotator_u AND a.segment_id = u
+  JOIN keyed b ON b.match_id = p.match_id AND b.half = p.half AND b.annotator = annotator_v AND b.segment_id = v), both_ AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(x, y) AS (SELECT node, node FROM keyed UNION SELECT r.x, b.v FROM r JOIN both_ b ON b.u = r.y), root AS (SELECT x AS node, min(y) AS least_ FROM r GROUP BY x)"""
+
+
+@query("g8_file_groups", f"WITH RECURSIVE {V.ANNOT}, {V.NOTES}, {FILED}, {GROUPS} SELECT k.match_id, k.half, k.annotator, k.segment_id, g.annotator AS group_annotator, g.segment_id AS group_id FROM keyed k JOIN root USING (node) JOIN keyed g ON g.node = least_")
+def g8_file(spark, d):
+    a, m = _filed(spark, d)
+    return M.match_groups(a, M.undirected(m, FILES), FILES)
+
+
+@query("g10_file_report", f"""WITH RECURSIVE {V.ANNOT}, {V.NOTES}, {FILED}, {GROUPS}, s AS (SELECT match_id, half, least_, count(*) AS n FROM keyed JOIN root USING (node) GROUP BY ALL)
+SELECT match_id, half, count(*) AS n_groups, count(*) FILTER (WHERE n = 1) AS n_lone, max(n) AS n_most, sum(n)::BIGINT AS n_segments FROM s GROUP BY ALL""")
+def g10_file(spark, d):
+    """Sizes of the match groups of the whole report, where each file's ids start at 0."""
+    groups = jobs.agreement_report(V.notes(spark, d), FILES)["groups"].groupBy(*FILES, "group_annotator", "group_id").agg(F.count(F.lit(1)).alias("n"))
+    return groups.groupBy(*FILES).agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("n") == 1).alias("n_lone"), F.max("n").alias("n_most"), F.sum("n").alias("n_segments"))
+
+
+@query("j12_tag_matches", f"""WITH {V.ANNOT}, t AS (SELECT segment_id AS tag_id, CASE WHEN segment_id % 17 > 0 THEN jid END AS jid, CASE WHEN segment_id % 13 > 0 THEN left(team, 3) END AS team, start_frame FROM annot WHERE annotator = 'ann0'), b AS (SELECT segment_id, jid, 'FC ' || team AS team, start_frame, end_frame FROM annot WHERE annotator <> 'ann0'),
+m AS (SELECT tag_id, count(*) AS n, list(segment_id ORDER BY segment_id) AS l FROM t JOIN b ON b.jid = t.jid AND contains(b.team, t.team) AND t.start_frame BETWEEN b.start_frame - 50 AND b.end_frame + 50 GROUP BY 1)
+SELECT tag_id, coalesce(n, 0) AS n_matches, {", ".join(f"l[{i}] AS match_idx_{i}" for i in range(1, 5))} FROM t LEFT JOIN m USING (tag_id)""")
+def j12_tags(spark, d):
+    a = V.annotation(spark, d)
+    tags = a.where("annotator = 'ann0'").select(F.col("segment_id").alias("tag_id"), F.when(F.col("segment_id") % 17 > 0, F.col("jid")).alias("jid"), F.when(F.col("segment_id") % 13 > 0, F.left("team", F.lit(3))).alias("team"), "start_frame")
+    moves = a.where("annotator <> 'ann0'").select(F.col("segment_id").alias("movement_id"), "jid", F.concat(F.lit("FC "), "team").alias("team"), "start_frame", "end_frame")
+    return M.tag_matches(tags, moves, 50, named=4).select("tag_id", "n_matches", *[f"match_idx_{i}" for i in range(1, 5)])
 
 
 @query("g9_provenance", f"""WITH {V.ANNOT}, {BEST} SELECT a.segment_id, CASE WHEN b_id IS NOT NULL THEN b.end_frame - b.start_frame ELSE a.end_frame - a.start_frame END / 25.0::DOUBLE AS duration_out, CASE WHEN b_id IS NOT NULL THEN 'matched' ELSE 'recomputed' END AS duration_source

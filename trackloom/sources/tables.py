@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.lineage import checkpointed
+
 ANNOTATION = (
     "segment_id INT, half STRING, start_frame BIGINT, end_frame BIGINT, start_time_s DOUBLE, end_time_s DOUBLE, duration_s DOUBLE, "
     "player STRING, player_jid STRING, team STRING, outcome STRING, annotation_source STRING"
@@ -20,20 +22,45 @@ def validate_columns(df: DataFrame, required: list[str]) -> DataFrame:
     return df
 
 
+def read_by_header(spark: SparkSession, path: str, suffix: str = ".csv") -> DataFrame:
+    """(_path, and every column that any file has, as strings) of CSV files, each read by its own header.
+
+    A file's first line names its columns, whatever their order; what a file lacks is NULL. Records are lines, in which
+    quotes may hold commas. Files are read as lines in one scan: its first rows, one a file, give the headers, and lines
+    meet the header of their own file. Only the names themselves and the widest header's length come to the driver.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_at"), F.regexp_replace("value", "^\ufeff", "").alias("_line"), F.monotonically_increasing_id().alias("_n"))
+    lines = lines.where(F.trim("_line") != "")
+    heads = lines.where("_at = 0").groupBy("_path").agg(F.min_by("_line", "_n").alias("_head"))
+    widest = heads.agg(F.max(F.size(F.split("_head", ",")))).first()[0] or 1
+    places = ", ".join(f"_{i} STRING" for i in range(widest))
+
+    def fields(line: str) -> Column:
+        return F.array(*[F.from_csv(line, places, {"escape": "\""})[f"_{i}"] for i in range(widest)])
+
+    heads = checkpointed(heads.withColumn("_names", F.transform(fields("_head"), lambda name: F.trim(name))))
+    names = sorted(r[0] for r in heads.select(F.explode("_names").alias("name")).where("name <> ''").distinct().collect())
+    rows = lines.join(heads, "_path").where("_line <> _head").withColumn("_fields", fields("_line"))
+    return rows.select("_path", *[F.try_element_at("_fields", F.nullif(F.array_position("_names", F.lit(c)).cast("int"), F.lit(0))).alias(c) for c in names])
+
+
 def read_annotations(spark: SparkSession, path: str, required: list[str] = REQUIRED) -> DataFrame:
     """Annotation files of many matches at once, with match_id, half_key and annotator from their names.
 
-    Columns are read by name, further ones are kept as strings; a player_jid that is no number becomes NULL. Files whose
-    name has fewer than three parts are left out. A row that lacks a required value, or where a value doesn't fit its
-    column, has in _corrupt_record what was wrong, for split_broken(); other rows have NULL there.
+    Columns are read by each file's own header, further ones are kept as strings; a player_jid that is no number becomes
+    NULL. Files whose name has fewer than three parts are left out. A row that lacks a required value, or where a value
+    doesn't fit its column, has in _corrupt_record what was wrong, for split_broken(); other rows have NULL there. So have
+    all rows of a file that lacks a column; a column that no file has is an error.
     """
     kinds = {x.split()[0]: x.split()[1] for x in ANNOTATION.split(", ")}
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
-    validate_columns(df, required)
+    df = validate_columns(read_by_header(spark, path), required)
+    own = [c for c in df.columns if c != "_path"]
     lacking = [F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in required if c not in ("player_jid", "team")]
-    wrong = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(kinds[c]).isNull(), F.concat(F.lit(f"{c}: "), F.col(c))) for c in df.columns if c in kinds and kinds[c] != "STRING"]
+    wrong = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(kinds[c]).isNull(), F.concat(F.lit(f"{c}: "), F.col(c))) for c in own if c in kinds and kinds[c] != "STRING"]
     broken = F.nullif(F.array_join(F.array_compact(F.array(*lacking, *wrong)), "; "), F.lit("")).alias("_corrupt_record")
-    df = df.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns], broken, F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("_file"))
+    name = F.url_decode(F.replace(F.element_at(F.split("_path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("_file")
+    df = df.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in own], broken, name)
     parts = F.split(F.regexp_replace("_file", r"\.csv$", ""), "_")
     df = df.where(F.size(parts) >= 3).withColumns({
         "match_id": F.regexp_replace(F.get(parts, F.lit(0)), "^DFL-MAT-", ""), "half_key": F.get(parts, F.lit(1)), "annotator": F.array_join(F.slice(parts, 3, 100), "_"),

@@ -87,6 +87,21 @@ ANNOT = """annot AS (SELECT o_orderkey AS segment_id, CASE WHEN o_custkey % 4 <
   date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_orderkey % 30 * 7 AS end_frame FROM orders)"""
 
 
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(match_id, half, annotator, segment_id, team, jid, start_frame, end_frame): annotation() as files have it.
+
+    A match has 22 players, so matches grow with the table; ids restart at 0 in each file, that is for each match, half and
+    annotator.
+    """
+    a = annotation(spark, sf_dir).withColumns({"match_id": F.floor(F.col("jid") / 22), "jid": F.col("jid") % 22})
+    own = Window.partitionBy("match_id", "half", "annotator").orderBy("start_frame", "segment_id")
+    return a.withColumn("segment_id", (F.row_number().over(own) - 1).cast("long")).select("match_id", "half", "annotator", "segment_id", "team", "jid", "start_frame", "end_frame")
+
+
+NOTES = """notes AS (SELECT jid // 22 AS match_id, half, annotator, row_number() OVER (PARTITION BY jid // 22, half, annotator ORDER BY start_frame, segment_id) - 1 AS segment_id,
+  team, jid % 22 AS jid, start_frame, end_frame FROM annot)"""
+
+
 def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """annotation() with the player (by jid, over all of them) and frames within the first 300."""
     n, start = table(spark, sf_dir, "supplier").count(), F.col("start_frame") % 300
