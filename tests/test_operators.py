@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -345,6 +346,54 @@ def test_control_is_a_share_and_mirrors(spark):
     assert all(math.isclose(r["i"], 1) for r in at)  # relative to the player's own place
 
 
+def test_frames_are_summed_up_as_their_surfaces_are(spark):
+    """Thirds, zones and sides against the points of surface(); a frame without a target, one with few players, one mirrored."""
+    draw = random.Random(2)
+    rows = [(f, t, 10 * f + i, draw.uniform(0, 105), draw.uniform(0, 68), draw.uniform(-3, 3), None if (f, i) == (1, 0) else draw.uniform(-3, 3), f == 2) for f in (1, 2, 3) for i, t in enumerate(("Home", "Away", "Home", "Away")) if f < 3 or i < 1]
+    rows.append((4, "Home", 44, None, 1.0, 1.0, 1.0, False))
+    players = spark.createDataFrame(rows, "frame long, team string, player_id long, x double, y double, vx double, vy double, turned boolean").withColumns({"ball_x": F.lit(40.0), "ball_y": F.lit(30.0), "ball_speed_kmh": F.when(F.col("frame") == 2, 50.0), "possession_team": F.when(F.col("frame") == 1, "Away")})
+    side, fast = F.col("team") == F.when(F.col("frame") == 1, "Away").otherwise("Home"), F.col("ball_speed_kmh") > 36
+    report = jobs.control_report(players, [], side, 12.0, F.col("turned"), target=F.col("player_id") == 12, target_radius=9.0, nx=21, ny=15)
+    frames = {r["frame"]: r for r in report["frames"].collect()}
+    points = defaultdict(list)
+    for r in control.surface(players, ["frame"], side, fast, 21, 15).collect():
+        points[r["frame"]].append(r)
+    assert frames.keys() == points.keys() == {1, 2, 3}
+    place = next((r[3], r[4]) for r in rows if r[2] == 12)
+    for f, held in points.items():
+        got, own = frames[f], sum(r["pc"] for r in held) / len(held)
+        third = [np.mean([r["pc"] for r in held if (r["ix"] * 3 // 21 if f != 2 else 2 - r["ix"] * 3 // 21) == k]) for k in range(3)]
+        assert np.allclose([got["pc_att_team"], got["pc_def_third"], got["pc_mid_third"], got["pc_att_third"]], [own, *third])
+        near = lambda c, d: [r["pc"] for r in held if math.dist((r["gx"], r["gy"]), c) <= d]
+        ball = near((40.0, 30.0), 12.0)
+        assert math.isclose(got["ball_zone_pc"], np.mean(ball)) and got["ball_zone_points"] == len(ball)
+        home = own if f != 1 else 1 - own
+        assert (got["att_team"], got["def_team"]) == (("Away", "Home") if f == 1 else ("Home", "Away")) and math.isclose(got["pc_combined_home"], home) and math.isclose(got["pc_combined_away"], 1 - home)
+        assert got["controlling_team"] == ("Home" if home > 0.5 else "Away") and got["possessing_team"] == ("Away" if f == 1 else "unknown") and got["radius_frozen"] == (f == 2)
+        if f == 1:
+            assert math.isclose(got["player_zone_home"], 1 - np.mean(near(place, 9.0))) and got["target_id"] == 12 and (got["n_att_players"], got["n_def_players"]) == (2, 1)
+        else:
+            assert got["player_zone_home"] is None and got["player_zone_points"] == 0 and got["target_id"] is None
+    shares = {(r["frame"], r["player_id"]): r["team_pc_mean"] for r in report["players"].collect()}
+    assert math.isclose(shares[1, 11], frames[1]["pc_att_team"]) and math.isclose(shares[1, 12], frames[1]["pc_def_team"]) and (1, 10) not in shares
+    mean = {(r["ix"], r["iy"]): r for r in control.mean_surface(players, ["frame"], side, fast, 21, 15).collect()}
+    at = [r for held in points.values() for r in held if (r["ix"], r["iy"]) == (4, 7)]
+    assert len(mean) == 315 and mean[4, 7]["n_frames"] == 3 and math.isclose(mean[4, 7]["mean_pc"], np.mean([r["pc"] for r in at])) and math.isclose(mean[4, 7]["most_pc"], max(r["pc"] for r in at))
+
+
+def test_painting_takes_the_last_interval_that_covers(spark):
+    draw = random.Random(4)
+    spans = [(k, i, s := draw.randrange(80), s + draw.choice([0, 1, 3, 20, 90]), draw.randrange(6), draw.choice(["Home", "Away", None])) for k in "ab" for i in range(40)]
+    frames = [(k, f, "raw") for k in "abc" for f in range(-2, 120)]
+    intervals_ = spark.createDataFrame(spans, "k string, id long, start_frame long, end_frame long, weight long, owner string").repartition(3)
+    got = {(r["k"], r["frame"]): r["painted"] for r in intervals.paint(spark.createDataFrame(frames, "k string, frame long, raw string"), intervals_, ["k"], "owner", ["weight", "id"], "raw").collect()}
+    assert len(got) == len(frames)
+    for k, f, raw in frames:
+        over = [(w, i, v) for key, i, s, e, w, v in spans if key == k and s <= f < e]
+        assert got[k, f] == ((max(over, key=lambda x: x[:2])[2] or raw) if over else raw)
+    assert intervals.painted_segments(intervals_, ["k"], "owner", ["weight", "id"]).count() <= 2 * len(spans)
+
+
 def test_zones_mirror(spark):
     grid = spark.createDataFrame([(x, y) for x in (-40.0, 0.0, 40.0) for y in (-30.0, -10.0, 0.0, 10.0, 30.0)] + [(None, 1.0)], "x double, y double")
     a = predicates.zone(F.col("x"), F.col("y"), F.lit(predicates.LEFT))

@@ -53,6 +53,29 @@ def test_events(spark, match):
     assert {r["player"] for r in xml.event_goals(events).collect()} == {"P3", "P9"} and xml.event_shots(events).count() == 3
 
 
+def test_broken_files_are_listed_and_others_read(spark, match):
+    """A record that doesn't parse, a file that is cut off and one that is no XML; matches beside them stay whole."""
+    (match / "DFL-MAT-M2_positions.xml").write_text(POSITIONS.replace("M1", "M2").replace('<Frame N="10" X="-4" Y="0"/>', '<Frame N="10" X="-4" Y=0/>'))
+    (match / "DFL-MAT-M3_positions.xml").write_text(POSITIONS.replace("M1", "M3")[:430])
+    (match / "DFL-MAT-M4_positions.xml").write_text(POSITIONS.replace("M1", "M4"))
+    (match / "DFL-MAT-M5_positions.xml").write_text("not a match")
+    folder = str(match) + "/*positions.xml"
+    bad = {r["match_id"]: r for r in xml.broken_xml(spark, folder, "positions").collect()}
+    assert set(bad) == {"M2", "M3", "M5"} and bad["M2"]["n_good"] < bad["M2"]["n_tags"] == 4 and bad["M2"]["reason"].split("; ")[0] in ("records do not parse", "records are missing")
+    assert "the file is cut off" in bad["M3"]["reason"] and "the file is cut off" in bad["M5"]["reason"]
+    track, state = xml.read_positions(spark, folder)
+    whole = {m: sorted((r["person_id"], r["frame"]) for r in track.where(F.col("match_id") == m).collect()) for m in ("M1", "M2", "M4")}
+    assert whole["M1"] == whole["M4"] == [("P1", 10), ("P1", 11), ("P9", 10), ("P9", 12)] and whole["M2"] == [("P1", 10), ("P1", 11)]
+    assert {r["match_id"] for r in state.collect()} >= {"M1", "M4"}
+    for kind, name in (("events", "events"), ("rosters", "info"), ("matches", "info")):
+        assert xml.broken_xml(spark, str(match / f"DFL-MAT-M1_{name}.xml"), kind).collect() == []
+    (match / "d1.json").write_text('{"M1": {"Home": {"firstHalf": "left_to_right"}}}')
+    (match / "d2.json").write_text('{"M2": {"Home"')
+    (match / "d3.json").write_text("{}")
+    assert {(r["path"][-7:], r["reason"], r["head"]) for r in tables.broken_json(spark, str(match) + "/d*.json", tables.DIRECTIONS).collect()} == {("d2.json", "not the JSON that is expected", '{"M2": {"Home"'), ("d3.json", "holds nothing", "{}")}
+    assert [r["match_id"] for r in tables.read_directions(spark, str(match) + "/d*.json").collect()] == ["M1"]
+
+
 def test_annotations(spark, tmp_path):
     (tmp_path / "DFL-MAT-M1_firstHalf_ann a.csv").write_text("segment_id,half,start_frame,end_frame,player_jid,team,mood\n0,firstHalf,10,20,7.0,Home,good\n1,firstHalf,30,30,x,Away,bad\n")
     (tmp_path / "DFL-MAT-M2_firstHalf_b_c.csv").write_text("segment_id,half,start_frame,end_frame,player_jid,team,mood\n0,firstHalf,1,2,9,Home,ok\n")

@@ -1,8 +1,9 @@
 """Space control: players' influence over a grid, the teams' surface and its summaries.
 
-A frame's players are gathered into one row (a shuffle of players, not of players times grid points); behind it each frame
-gives its surface in its own task, as sums over a small matrix of players by grid points. Summaries of a surface are
-aggregates by frame whose partial sums leave one row for each frame and task.
+A frame's players are gathered into one row, with what its summary needs to know (ball, target player, direction): a shuffle
+of players, not of players times grid points. Behind it each frame gives its surface in its own task, as sums over a small
+matrix of players by grid points, and is summed up there: thirds and zones are masks over the matrix, and one row a frame
+leaves the task. Only surface() gives out the points themselves.
 """
 
 from __future__ import annotations
@@ -75,80 +76,137 @@ def _kinds(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
 
-def _surfaces(keys: list[str], nx: int, ny: int, together: int = 16):
+def _frames_of(batch: pa.RecordBatch, gx: np.ndarray, gy: np.ndarray, together: int = 16) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some gathered frames at a time: their rows, who attacks, and what attackers and defenders hold at each grid point."""
+    for at in range(0, batch.num_rows, together):
+        part = batch.slice(at, together)
+        players = part.column("_players")
+        n, flat = np.asarray(pc.list_value_length(players), dtype=np.int64), players.flatten()
+        i = _influences({c: np.asarray(flat.field(c)) for c in _ELLIPSE}, gx, gy)
+        attacks = np.asarray(flat.field("attacks"))
+        first = np.cumsum(n) - n
+        a, d = (np.add.reduceat(i * side[:, None], first, axis=0) for side in (attacks.astype(float), 1.0 - attacks))
+        yield part, np.add.reduceat(attacks.astype(np.int64), first), a, d
+
+
+def _share(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def _surfaces(keys: list[str], nx: int, ny: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gx, gy = _grid_arrays(nx, ny)
         for batch in batches:
-            for at in range(0, batch.num_rows, together):
-                part = batch.slice(at, together)
-                players = part.column("_players")
-                n, flat = np.asarray(pc.list_value_length(players), dtype=np.int64), players.flatten()
-                i = _influences({c: np.asarray(flat.field(c)) for c in _ELLIPSE}, gx, gy)
-                attacks = np.asarray(flat.field("attacks"))[:, None]
-                first = np.cumsum(n) - n
-                a, d = (np.add.reduceat(np.where(attacks == side, i, 0.0), first, axis=0).ravel() for side in (True, False))
+            for part, _, a, d in _frames_of(batch, gx, gy):
                 frames = len(part)
                 out = {c: part.column(c).take(pa.array(np.repeat(np.arange(frames), nx * ny))) for c in keys}
                 out["point"] = pa.array(np.tile(np.arange(nx * ny, dtype=np.int32), frames))
-                yield pa.record_batch(out | {c: pa.array(1 / (1 + np.exp(-x))) for c, x in (("pc", a - d), ("pc_att_only", a), ("pc_def_only", d))})
+                yield pa.record_batch(out | {c: pa.array(_share(x).ravel()) for c, x in (("pc", a - d), ("pc_att_only", a), ("pc_def_only", d))})
 
     return run
 
 
+def _gathered(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None, held: list[Column] = ()) -> DataFrame:
+    """(keys, held aggregates, _players): a row for each frame that has a player with known place and velocity."""
+    own = ellipses(players.withColumn("attacks", F.coalesce(attacking, F.lit(False))), frozen)
+    known = F.array_size(F.array_compact(F.array(*[F.col(c).cast("double") for c in _ELLIPSE]))) == len(_ELLIPSE)
+    one = F.when(known, F.struct(*[F.col(c).cast("double").alias(c) for c in _ELLIPSE], "attacks"))
+    return own.groupBy(*keys).agg(*held, F.sort_array(F.collect_list(one)).alias("_players")).where(F.size("_players") > 0)
+
+
+def _places(nx: int, ny: int) -> list[Column]:
+    ix, iy = F.floor(F.col("point") / ny), (F.col("point") % ny).cast("long")
+    return [ix.alias("ix"), iy.alias("iy"), (ix * (LENGTH / (nx - 1))).alias("gx"), (iy * (WIDTH / (ny - 1))).alias("gy")]
+
+
 def surface(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None = None, nx: int = NX, ny: int = NY) -> DataFrame:
     """(keys, ix, iy, gx, gy, pc, pc_att_only, pc_def_only): control of each grid point by the attacking side.
 
     pc_att_only and pc_def_only are what either side would hold alone. Players with an unknown place or velocity don't
     count, nor do frames without others; an unknown attacking is the defending side.
     """
-    own = ellipses(players.withColumn("attacks", F.coalesce(attacking, F.lit(False))), frozen).dropna(subset=list(_ELLIPSE))
-    frames = own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in _ELLIPSE], "attacks"))).alias("_players"))
     form = f"{_kinds(players, keys)}, point int, pc double, pc_att_only double, pc_def_only double"
-    ix, iy = F.floor(F.col("point") / ny), (F.col("point") % ny).cast("long")
-    places = [ix.alias("ix"), iy.alias("iy"), (ix * (LENGTH / (nx - 1))).alias("gx"), (iy * (WIDTH / (ny - 1))).alias("gy")]
-    return frames.mapInArrow(_surfaces(keys, nx, ny), form).select(*keys, *places, "pc", "pc_att_only", "pc_def_only")
+    return _gathered(players, keys, attacking, frozen).mapInArrow(_surfaces(keys, nx, ny), form).select(*keys, *_places(nx, ny), "pc", "pc_att_only", "pc_def_only")
 
 
-def _thirds(mirrored: Column, nx: int) -> list[Column]:
-    third = F.floor(F.col("ix") * 3 / nx)
-    own = F.when(mirrored, 2 - third).otherwise(third)
-    return [F.avg(F.when(own == i, F.col("pc"))).alias(f"pc_{n}_third") for i, n in enumerate(("def", "mid", "att"))]
+def _point_sums(nx: int, ny: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gx, gy = _grid_arrays(nx, ny)
+        n, total, alone = 0, np.zeros(nx * ny), np.zeros(nx * ny)
+        least, most = np.full(nx * ny, np.inf), np.full(nx * ny, -np.inf)
+        for batch in batches:
+            for part, _, a, d in _frames_of(batch, gx, gy):
+                share = _share(a - d)
+                n += len(part)
+                total += share.sum(axis=0)
+                alone += _share(a).sum(axis=0)
+                least, most = np.minimum(least, share.min(axis=0)), np.maximum(most, share.max(axis=0))
+        if n:
+            cols = {"point": np.arange(nx * ny, dtype=np.int32), "n": np.full(nx * ny, n), "total": total, "alone": alone, "least": least, "most": most}
+            yield pa.record_batch({c: pa.array(x) for c, x in cols.items()})
 
+    return run
 
-def _with_sides(df: DataFrame) -> DataFrame:
-    return df.withColumns({"pc_def_team": 1 - F.col("pc_att_team"), "controlling": F.when(F.col("pc_att_team") >= 0.5, "attack").otherwise("defence")})
 
+def mean_surface(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None = None, nx: int = NX, ny: int = NY) -> DataFrame:
+    """(ix, iy, gx, gy, n_frames, mean_pc, mean_att_only, least_pc, most_pc) over all frames; a task sums up its frames first."""
+    form = "point int, n long, total double, alone double, least double, most double"
+    sums = _gathered(players, keys, attacking, frozen).mapInArrow(_point_sums(nx, ny), form).groupBy("point")
+    out = sums.agg(F.sum("n").alias("n_frames"), F.sum("total").alias("_t"), F.sum("alone").alias("_a"), F.min("least").alias("least_pc"), F.max("most").alias("most_pc"))
+    return out.select(*_places(nx, ny), "n_frames", (F.col("_t") / F.col("n_frames")).alias("mean_pc"), (F.col("_a") / F.col("n_frames")).alias("mean_att_only"), "least_pc", "most_pc")
 
-def frame_metrics(control: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean control of both sides and who holds more."""
-    return _with_sides(control.groupBy(*keys).agg(F.avg("pc").alias("pc_att_team")))
 
+def _summaries(kept: list[str], zones: dict[str, float], nx: int, ny: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gx, gy = _grid_arrays(nx, ny)
+        thirds = (np.arange(nx * ny) // ny * 3 // nx)[:, None] == np.arange(3)
+        thirds = thirds / np.maximum(1, thirds.sum(axis=0))
+        for batch in batches:
+            for part, attackers, a, d in _frames_of(batch, gx, gy):
+                share = _share(a - d)
+                by_third = share @ thirds
+                turned = np.asarray(part.column("_mirrored"))
+                by_third[turned] = by_third[turned][:, ::-1]
+                out = {c: part.column(c) for c in kept}
+                out |= {"pc_att_team": share.mean(axis=1), **{f"pc_{n}_third": by_third[:, i] for i, n in enumerate(("def", "mid", "att"))}}
+                out |= {"mean_pc_att_only": _share(a).mean(axis=1), "mean_pc_def_only": _share(d).mean(axis=1)}
+                out |= {"n_att_players": attackers, "n_def_players": np.asarray(pc.list_value_length(part.column("_players")), dtype=np.int64) - attackers}
+                for name, radius in zones.items():
+                    cx, cy = (np.asarray(part.column(f"_{name}_{c}").fill_null(np.nan), dtype=float)[:, None] for c in "xy")
+                    near = (gx - cx) * (gx - cx) + (gy - cy) * (gy - cy) <= radius * radius
+                    points = near.sum(axis=1)
+                    out |= {f"{name}_pc": pa.array((share * near).sum(axis=1) / np.maximum(1, points), mask=points == 0), f"{name}_points": points.astype(np.int64)}
+                yield pa.record_batch({c: x if isinstance(x, pa.Array) else pa.array(x) for c, x in out.items()})
 
-def third_means(control: DataFrame, keys: list[str], mirrored: Column, nx: int = NX) -> DataFrame:
-    """Mean control in the defensive, middle and attacking third of grid columns."""
-    return control.groupBy(*keys).agg(*_thirds(mirrored, nx))
+    return run
 
 
-def frame_report(control: DataFrame, keys: list[str], mirrored: Column, centres: DataFrame, radius: float, nx: int = NX) -> DataFrame:
-    """frame_metrics(), third_means(), zone_control() and the mean shares of either side alone, in one pass over a surface.
+def frame_control(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None = None, mirrored: Column | None = None, zones: dict[str, tuple[Column, Column, float]] | None = None, held: list[Column] = (), nx: int = NX, ny: int = NY) -> DataFrame:
+    """One row for each frame that surface() has points of, summed up where its surface is made.
 
-    centres (keys, cx, cy) has the point that each frame's zone is drawn around; a frame without one has no zone.
+    pc_att_team and pc_def_team, and controlling (attack or defence, who holds more); pc_def_third, pc_mid_third and
+    pc_att_third over grid columns, turned where mirrored; mean_pc_att_only and mean_pc_def_only; n_att_players and
+    n_def_players. zones: by name, the aggregates that give a frame's centre, and a radius; they add name_pc, the mean share
+    of the attackers there, and name_points (NULL and 0 where there is no centre or no point). held: further aggregates of a
+    frame's players, which are kept under their names.
     """
-    near = _near(radius)
-    alone = [F.avg(c).alias(f"mean_{c}") for c in ("pc_att_only", "pc_def_only")]
-    zone = [F.avg(F.when(near, F.col("pc"))).alias("zone_pc"), F.count_if(near).alias("n_points")]
-    return _with_sides(control.join(centres, keys, "left").groupBy(*keys).agg(F.avg("pc").alias("pc_att_team"), *_thirds(mirrored, nx), *alone, *zone))
-
-
-def _near(radius: float) -> Column:
-    d = (F.col("gx") - F.col("cx")) * (F.col("gx") - F.col("cx")) + (F.col("gy") - F.col("cy")) * (F.col("gy") - F.col("cy"))
-    return d <= radius * radius
-
-
-def zone_control(control: DataFrame, centres: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """Mean control within radius of each centre (keys, cx, cy) and the number of points there; NULL where none."""
-    near = _near(radius)
-    return control.join(centres, keys).groupBy(*keys).agg(F.avg(F.when(near, F.col("pc"))).alias("zone_pc"), F.count_if(near).alias("n_points"))
+    zones = zones or {}
+    centres = [c.cast("double").alias(f"_{name}_{axis}") for name, (x, y, _) in zones.items() for c, axis in ((x, "x"), (y, "y"))]
+    turned = F.coalesce(F.lit(False) if mirrored is None else mirrored, F.lit(False))
+    frames = _gathered(players.withColumn("_turned", turned), keys, attacking, frozen, [*held, F.bool_or("_turned").alias("_mirrored"), *centres])
+    kept = [c for c in frames.columns if not c.startswith("_")]
+    shares = ["pc_att_team", "pc_def_third", "pc_mid_third", "pc_att_third", "mean_pc_att_only", "mean_pc_def_only"]
+    form = [_kinds(frames, kept), *[f"{c} double" for c in shares], "n_att_players long, n_def_players long", *[f"{n}_pc double, {n}_points long" for n in zones]]
+    out = frames.mapInArrow(_summaries(kept, {n: z[2] for n, z in zones.items()}, nx, ny), ", ".join(form))
+    return out.withColumns({"pc_def_team": 1 - F.col("pc_att_team"), "controlling": F.when(F.col("pc_att_team") >= 0.5, "attack").otherwise("defence")})
+
+
+def by_side(df: DataFrame, home_attacks: Column, names: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds {name}_home and {name}_away for shares of the attackers and of the others, given as name: (attackers', others')."""
+    new = {}
+    for name, (att, other) in names.items():
+        new |= {f"{name}_home": F.when(home_attacks, F.col(att)).otherwise(other), f"{name}_away": F.when(home_attacks, other).otherwise(F.col(att))}
+    return df.withColumns(new)
 
 
 def _reaches(keep: list[str], nx: int, ny: int, together: int = 256):

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 #: Roles of a contact by event tag.
@@ -101,11 +107,63 @@ def possession_intervals(contacts: DataFrame, keys: list[str], tail: int = 250,
     return out.where("start_frame < end_frame").select(*keys, "player_id", "role", "start_frame", "end_frame")
 
 
+def _swept(keys: list[str], value: str, kinds: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at, active, out = None, None, [], []
+
+        def upto(end: float) -> None:
+            nonlocal at
+            while active and at < end:
+                _, stop, held = active[0]
+                if stop <= at:
+                    heapq.heappop(active)
+                else:
+                    out.append((*key, at, min(stop, end), held))
+                    at = min(stop, end)
+
+        def given() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in out], schema=kinds)
+            out.clear()
+            return rows
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in (*keys, "start_frame", "end_frame", "_rank", value)]
+            for row in zip(*cols, strict=True):
+                own, (start, end, rank, held) = row[: len(keys)], row[len(keys) :]
+                if own != key:
+                    upto(math.inf)
+                    key, at, active = own, start, []
+                upto(start)
+                at = start
+                heapq.heappush(active, (-rank, end, held))
+            yield given()
+        upto(math.inf)
+        yield given()
+
+    return run
+
+
+def painted_segments(intervals: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """(keys, start_frame, end_frame, value): stretches on which the same interval is the last by order of those that cover them.
+
+    Ends are exclusive; intervals of no length don't count. Each key's intervals pass once in the order of their starts, by a
+    sweep that holds those still open: at most two stretches an interval, however long intervals are.
+    """
+    rows = intervals.where("start_frame < end_frame").select(*keys, F.col("start_frame").cast("long").alias("start_frame"), F.col("end_frame").cast("long").alias("end_frame"), value, *[c for c in order if c not in (*keys, "start_frame", "end_frame", value)])
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).select(*keys, "start_frame", "end_frame", "_rank", value)
+    ranked = ranked.repartition(*keys).sortWithinPartitions(*keys, "start_frame", "_rank")
+    form = ranked.drop("_rank")
+    return ranked.mapInArrow(_swept(keys, value, to_arrow_schema(form.schema)), form.schema)
+
+
 def paint(frames: DataFrame, intervals: DataFrame, keys: list[str], value: str, order: list[str], raw: str, into: str = "painted") -> DataFrame:
-    """frames with the value of the last interval (by order) that covers them, or else the raw one."""
-    wide = intervals.withColumn("frame", F.explode(F.sequence("start_frame", F.col("end_frame") - 1)))
-    top = wide.groupBy(*keys, "frame").agg(F.max_by(value, F.struct(*order)).alias("_value"))
-    return frames.join(top, [*keys, "frame"], "left").withColumn(into, F.coalesce("_value", raw)).drop("_value")
+    """frames with the value of the last interval (by order) that covers them, or else the raw one.
+
+    Intervals are cut into stretches that don't overlap, and each frame takes the one that starts last before it.
+    """
+    held = painted_segments(intervals, keys, value, order).select(*keys, F.col("start_frame").alias("_from"), F.col("end_frame").alias("_to"), F.col(value).alias("_value"))
+    got = asof_join(frames, held, keys, "frame", "_from", ["_to", "_value"])
+    return got.withColumn(into, F.when(F.col("frame") < F.col("_to"), F.coalesce("_value", raw)).otherwise(F.col(raw))).drop("_to", "_value")
 
 
 def blackouts(events: DataFrame, fps: int = 25) -> DataFrame:

@@ -84,8 +84,7 @@ def _players(spark, d):
     return t.withColumns({"x": F.col("x") + 52.5, "y": F.col("y") + 34.0, "vx": F.col("vx").cast("double"), "vy": F.col("vy").cast("double"), "ball_x": F.lit(52.5), "ball_y": F.lit(34.0)})
 
 
-def _surface(spark, d, nx=NX, ny=NY):
-    return S.surface(_players(spark, d), FR, F.col("team") == "Home", nx=nx, ny=ny)
+HOME = F.col("team") == "Home"
 
 
 def _surface_sql(NX: int, NY: int) -> str:
@@ -106,12 +105,12 @@ SURFACE = _surface_sql(NX, NY)
 @query("g5_control_surface", f"WITH {V.FORMATION}, {SURFACE} SELECT ix, iy, count(*) AS n_frames, round(avg(pc), 6) + 0.0 AS mean_pc, round(avg(pa), 6) + 0.0 AS mean_att_only, round(min(pc), 6) + 0.0 AS least_pc, round(max(pc), 6) + 0.0 AS most_pc FROM pc GROUP BY ix, iy")
 def g5(spark, d):
     """All frames on the full grid, by grid point."""
-    return _surface(spark, d).groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n_frames"), r6(F.avg("pc"), "mean_pc"), r6(F.avg("pc_att_only"), "mean_att_only"), r6(F.min("pc"), "least_pc"), r6(F.max("pc"), "most_pc"))
+    return S.mean_surface(_players(spark, d), FR, HOME).select("ix", "iy", "n_frames", r6("mean_pc"), r6("mean_att_only"), r6("least_pc"), r6("most_pc"))
 
 
 @query("g5_surface_points", f"WITH {V.FORMATION}, {_surface_sql(FEW_X, FEW_Y)} SELECT frame, ix, iy, round(pc, 6) + 0.0 AS pc, round(pa, 6) + 0.0 AS pc_att_only FROM pc")
 def g5_points(spark, d):
-    return _surface(spark, d, FEW_X, FEW_Y).select("frame", "ix", "iy", r6("pc"), r6("pc_att_only"))
+    return S.surface(_players(spark, d), FR, HOME, nx=FEW_X, ny=FEW_Y).select("frame", "ix", "iy", r6("pc"), r6("pc_att_only"))
 
 
 @query("j18_grid_cross_join", f"WITH {V.FORMATION}, {SURFACE} SELECT p // {NY} AS ix, p % {NY} AS iy, count(*) AS n, round(avg(i), 6) + 0.0 AS mean_influence FROM inf GROUP BY p")
@@ -122,18 +121,18 @@ def j18(spark, d):
 
 @query("a17_frame_metrics", f"WITH {V.FORMATION}, {SURFACE} SELECT frame, round(avg(pc), 6) + 0.0 AS pc_att_team, round(1 - avg(pc), 6) + 0.0 AS pc_def_team FROM pc GROUP BY frame")
 def a17(spark, d):
-    return S.frame_metrics(_surface(spark, d), FR).select("frame", r6("pc_att_team"), r6("pc_def_team"))
+    return S.frame_control(_players(spark, d), FR, HOME).select("frame", r6("pc_att_team"), r6("pc_def_team"))
 
 
 @query("a18_third_means", f"WITH {V.FORMATION}, {SURFACE} SELECT frame, " + ", ".join(f"round(avg(CASE WHEN floor(ix * 3 / {NX}::DOUBLE) = {i} THEN pc END), 6) + 0.0 AS pc_{n}_third" for i, n in enumerate(("def", "mid", "att"))) + " FROM pc GROUP BY frame")
 def a18(spark, d):
-    return S.third_means(_surface(spark, d), FR, F.lit(False), NX).select("frame", *[r6(f"pc_{n}_third") for n in ("def", "mid", "att")])
+    return S.frame_control(_players(spark, d), FR, HOME).select("frame", *[r6(f"pc_{n}_third") for n in ("def", "mid", "att")])
 
 
 @query("a19_zone_control", f"WITH {V.FORMATION}, {SURFACE}, c AS (SELECT frame, min(x) AS cx, min(y) AS cy FROM pl GROUP BY frame), z AS (SELECT *, (gx - cx) * (gx - cx) + (gy - cy) * (gy - cy) <= 225 AS near FROM pc JOIN c USING (frame)) SELECT frame, round(avg(CASE WHEN near THEN pc END), 6) + 0.0 AS zone_pc, count(*) FILTER (WHERE near) AS n_points FROM z GROUP BY frame")
 def a19(spark, d):
-    centres = _players(spark, d).groupBy("frame").agg(F.min("x").alias("cx"), F.min("y").alias("cy"))
-    return S.zone_control(_surface(spark, d), centres, FR, 15.0).select("frame", r6("zone_pc"), "n_points")
+    got = S.frame_control(_players(spark, d), FR, HOME, zones={"zone": (F.min("x"), F.min("y"), 15.0)})
+    return got.select("frame", r6("zone_pc"), F.col("zone_points").alias("n_points"))
 
 
 @query("a20_influence_summary", f"WITH {V.FORMATION}, {SURFACE}, p AS (SELECT frame, player_id, any_value(s) AS s, sum(i) / {NX * NY} AS m, max(i) AS t FROM inf GROUP BY ALL) SELECT player_id, count(*) AS n_frames, round(avg(m), 6) + 0.0 AS mean_influence, round(max(t), 6) + 0.0 AS max_influence, round(avg(s), 6) + 0.0 AS mean_speed, round(max(s), 6) + 0.0 AS max_speed FROM p GROUP BY player_id")
@@ -152,8 +151,37 @@ def g6(spark, d):
     """Snapshots of the whole job, over windows of a thousand frames."""
     players = _players(spark, d).withColumns({"match_id": F.lit(1), "ball_speed_kmh": F.lit(0.0)})
     windows = players.select("match_id", F.floor(F.col("frame") / 1000).alias("window_id")).distinct().withColumns({"start_frame": F.col("window_id") * 1000, "end_frame": F.col("window_id") * 1000 + 999})
-    got = jobs.control_report(players, ["match_id"], F.col("team") == "Home", windows=windows)["snapshots"]
-    return got.select("window_id", "frame", "snapshot", r6("pc_att_team"), "controlling", *[r6(f"pc_{n}_third") for n in ("def", "mid", "att")], r6("zone_pc"), r6("mean_pc_att_only"))
+    got = jobs.control_report(players, ["match_id"], HOME, windows=windows)["snapshots"]
+    return got.select("window_id", "frame", "snapshot", r6("pc_att_team"), "controlling", *[r6(f"pc_{n}_third") for n in ("def", "mid", "att")], r6("ball_zone_pc", "zone_pc"), r6("mean_pc_att_only"))
+
+
+#: Frames whose attackers, direction, ball and target player change from frame to frame; pc is Home's share.
+SIDES = """own AS (SELECT frame, frame % 2 = 0 AS home, frame % 4 >= 2 AS turned, 52.5 + frame % 30 - 15 AS bx, 34.0::DOUBLE + frame % 20 - 10 AS by_ FROM (SELECT DISTINCT frame FROM formation)),
+goal AS (SELECT frame, arg_min(x, player_id) AS tx, arg_min(y, player_id) AS ty, min(player_id) AS target_id FROM pl WHERE player_id % 10 = 3 GROUP BY frame),
+seen AS (SELECT pc.*, home, CASE WHEN home THEN pc ELSE 1 - pc END AS att, CASE WHEN turned THEN 2 - floor(ix * 3 / {n}::DOUBLE) ELSE floor(ix * 3 / {n}::DOUBLE) END AS third, (gx - bx) * (gx - bx) + (gy - by_) * (gy - by_) <= 225 AS near, (gx - tx) * (gx - tx) + (gy - ty) * (gy - ty) <= 100 AS close, target_id FROM pc JOIN own USING (frame) LEFT JOIN goal USING (frame)),
+sides AS (SELECT frame, home, any_value(target_id) AS target_id, avg(pc) AS h, avg(att) AS att, avg(pa) AS ho, avg(pd) AS ao, avg(CASE WHEN third = 0 THEN att END) AS t0, avg(CASE WHEN third = 2 THEN att END) AS t2, avg(CASE WHEN near THEN pc END) AS bz, avg(CASE WHEN close THEN pc END) AS pz FROM seen GROUP BY frame, home)"""
+MOVED = _surface_sql(FEW_X, FEW_Y).replace("sqrt((x - 52.5) * (x - 52.5) + (y - 34) * (y - 34))", "sqrt((x - 37.5 - frame % 30) * (x - 37.5 - frame % 30) + (y - 24 - frame % 20) * (y - 24 - frame % 20))").replace("1 / (1 + exp(-a)) AS pa", "1 / (1 + exp(-a)) AS pa, 1 / (1 + exp(-d)) AS pd")
+
+
+def _sides(spark, d):
+    ball = {"ball_x": F.lit(37.5) + F.col("frame") % 30, "ball_y": F.lit(24.0) + F.col("frame") % 20, "ball_speed_kmh": F.lit(0.0), "possession_team": F.when(F.col("frame") % 3 > 0, F.when(F.col("frame") % 2 == 0, "Home").otherwise("Away"))}
+    players, side = _players(spark, d).withColumns(ball), F.when(F.col("frame") % 2 == 0, "Home").otherwise("Away")
+    return jobs.control_report(players, [], F.col("team") == side, mirrored=F.col("frame") % 4 >= 2, target=F.col("player_id") % 10 == 3, target_radius=10.0, nx=FEW_X, ny=FEW_Y)
+
+
+@query("g6_home_and_away", f"""WITH {V.FORMATION}, {MOVED}, {SIDES.format(n=FEW_X)} SELECT frame, CASE WHEN home THEN 'Home' ELSE 'Away' END AS att_team, CASE WHEN frame % 3 > 0 THEN CASE WHEN home THEN 'Home' ELSE 'Away' END ELSE 'unknown' END AS possessing_team,
+  CASE WHEN (att >= 0.5) = home THEN 'Home' ELSE 'Away' END AS controlling_team, round(h, 6) + 0.0 AS pc_combined_home, round(1 - h, 6) + 0.0 AS pc_combined_away, round(ho, 6) + 0.0 AS pc_only_home, round(ao, 6) + 0.0 AS pc_only_away, round(t0, 6) + 0.0 AS pc_def_third, round(t2, 6) + 0.0 AS pc_att_third,
+  round(bz, 6) + 0.0 AS ball_zone_home, round(1 - bz, 6) + 0.0 AS ball_zone_away, target_id, round(pz, 6) + 0.0 AS player_zone_home, round(1 - pz, 6) + 0.0 AS player_zone_away FROM sides""")
+def g6_sides(spark, d):
+    """Frames by home and away, with the zones of ball and target player, where the attackers change by turns."""
+    shares = ["pc_combined_home", "pc_combined_away", "pc_only_home", "pc_only_away", "pc_def_third", "pc_att_third", "ball_zone_home", "ball_zone_away", "player_zone_home", "player_zone_away"]
+    return _sides(spark, d)["frames"].select("frame", "att_team", "possessing_team", "controlling_team", "target_id", *[r6(c) for c in shares])
+
+
+@query("g6_player_rows", f"""WITH {V.FORMATION}, {MOVED}, {SIDES.format(n=FEW_X)}, p AS (SELECT frame, team, player_id, any_value(s) AS s, avg(i) AS m, max(i) AS t FROM inf GROUP BY ALL)
+SELECT p.frame, player_id, team, round(s, 6) + 0.0 AS speed_ms, round(m, 6) + 0.0 AS mean_influence, round(t, 6) + 0.0 AS max_influence, round(CASE WHEN (team = 'Home') = home THEN att ELSE 1 - att END, 6) + 0.0 AS team_pc_mean, round(att, 6) + 0.0 AS pc_att_team, round(t0, 6) + 0.0 AS pc_def_third FROM p JOIN sides USING (frame)""")
+def g6_players(spark, d):
+    return _sides(spark, d)["players"].select("frame", "player_id", "team", *[r6(c) for c in ("speed_ms", "mean_influence", "max_influence", "team_pc_mean", "pc_att_team", "pc_def_third")])
 
 
 @query("g6_frozen_radii", f"""WITH {V.FORMATION}, {SURFACE.replace("least(greatest(4 + 6 *", "CASE WHEN frame % 3 = 0 THEN 10 ELSE least(greatest(4 + 6 *").replace("4), 10) AS r", "4), 10) END AS r")} SELECT frame, round(avg(pc), 6) + 0.0 AS pc_att_team FROM pc GROUP BY frame""")

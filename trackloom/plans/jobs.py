@@ -141,22 +141,40 @@ def enrich(annotations: DataFrame, movements: DataFrame, track: DataFrame, peopl
     return predicates.ordered_columns(df, ["match_id", "half", "segment_id", "team", "jid", "person_id", "position", "start_frame", "end_frame", "movement_id", "iou", "duration_source", *names, "scoreline", "goal_indicator", "shot_within"])
 
 
-def control_report(players: DataFrame, keys: list[str], attacking, radius: float = 15.0, mirrored=None, windows: DataFrame | None = None, freeze_above: float = control.FREEZE_KMH, nx: int = control.NX, ny: int = control.NY) -> dict[str, DataFrame]:
+def control_report(players: DataFrame, keys: list[str], attacking, radius: float = 15.0, mirrored=None, windows: DataFrame | None = None, freeze_above: float = control.FREEZE_KMH, target=None, target_radius: float = 15.0, nx: int = control.NX, ny: int = control.NY) -> dict[str, DataFrame]:
     """Tables of control by frame, player, snapshot and player summary.
 
-    players: keys, frame, team, player_id, x, y, vx, vy, ball_x, ball_y, ball_speed_kmh. windows (keys, window_id,
-    start_frame, end_frame) chooses frames and is a key of all tables then, all windows in one job; without it all frames
-    are one window for each key. Radii are frozen where the ball is faster than freeze_above; zones lie around the ball.
+    players: keys, frame, team (Home or Away), player_id, x, y, vx, vy, ball_x, ball_y, ball_speed_kmh and, where it is
+    known, possession_team. windows (keys, window_id, start_frame, end_frame) chooses frames and is a key of all tables
+    then, all windows in one job; without it all frames are one window for each key. Radii are frozen where the ball is
+    faster than freeze_above. ball_zone lies around the ball, player_zone around the player that target marks (the first by
+    id, where there is one). Shares are given for attackers and others, and as home and away; frames are summed up once.
     """
     if windows is None:
         players, keys = players.withColumn("window_id", F.lit(0)), [*keys, "window_id"]
     else:
         spans = windows.select(*keys, "window_id", F.col("start_frame").alias("_from"), F.col("end_frame").alias("_to"))
         players, keys = intervals.range_join(players, spans, keys, F.col("frame"), F.col("_from"), F.col("_to"), 256).drop("_from", "_to"), [*keys, "window_id"]
-    at = [*keys, "frame"]
-    pc = control.surface(players, at, attacking, F.col("ball_speed_kmh") > freeze_above, nx, ny)
-    balls = players.groupBy(*at).agg(F.min("ball_x").alias("cx"), F.min("ball_y").alias("cy"))
-    frames = control.frame_report(pc, at, F.lit(False) if mirrored is None else mirrored, balls, radius, nx)
+    at, fast = [*keys, "frame"], F.col("ball_speed_kmh") > freeze_above
+    held = [F.min("ball_x").alias("ball_x"), F.min("ball_y").alias("ball_y"), F.max("ball_speed_kmh").alias("ball_speed_kmh"), F.coalesce(F.bool_or(fast), F.lit(False)).alias("radius_frozen")]
+    held += [F.max(F.when(attacking, F.col("team"))).alias("attackers"), F.max(F.when(~F.coalesce(attacking, F.lit(False)), F.col("team"))).alias("defenders")]
+    if "possession_team" in players.columns:
+        held.append(F.max("possession_team").alias("possessing"))
+    zones = {"ball_zone": (F.min("ball_x"), F.min("ball_y"), radius)}
+    if target is not None:
+        first = F.min(F.when(target & F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("player_id", "x", "y")))
+        zones["player_zone"] = (first["x"], first["y"], target_radius)
+        held.append(first["player_id"].alias("target_id"))
+    frames = control.frame_control(players, at, attacking, fast, mirrored, zones, held, nx, ny)
+    other = F.when(F.col("attackers") == "Home", "Away").when(F.col("attackers") == "Away", "Home")
+    frames = frames.withColumns({"att_team": F.coalesce("attackers", F.when(F.col("defenders") == "Home", "Away").otherwise("Home")), "def_team": F.coalesce("defenders", other)})
+    frames = frames.withColumn("controlling_team", F.when(F.col("controlling") == "attack", F.col("att_team")).otherwise(F.col("def_team")))
+    frames = frames.withColumn("possessing_team", F.coalesce("possessing", F.lit("unknown")) if "possession_team" in players.columns else F.lit("unknown")).drop("attackers", "defenders", "possessing")
+    shares = {"pc_combined": ("pc_att_team", F.col("pc_def_team")), "pc_only": ("mean_pc_att_only", F.col("mean_pc_def_only")), **{n: (f"{n}_pc", 1 - F.col(f"{n}_pc")) for n in zones}}
+    frames = checkpointed(control.by_side(frames, F.col("att_team") == "Home", shares))
+
     speed = F.sqrt((F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).cast("double"))
-    rows = control.player_influence(players, at, nx, ny).join(players.select(*at, "player_id", "team", speed.alias("speed_ms")), [*at, "player_id"])
+    rows = control.player_influence(players, at, nx, ny).join(players.select(*at, "player_id", "team", "x", "y", speed.alias("speed_ms")), [*at, "player_id"])
+    whole = ["possessing_team", "att_team", "pc_att_team", "pc_def_team", "controlling_team", "pc_def_third", "pc_mid_third", "pc_att_third"]
+    rows = rows.join(frames.select(*at, *whole), at).withColumn("team_pc_mean", F.when(F.col("team") == F.col("att_team"), F.col("pc_att_team")).otherwise(F.col("pc_def_team")))
     return {"frames": frames, "players": rows, "snapshots": series.snapshots(frames, keys), "summary": control.influence_summary(rows, [*keys, "team", "player_id"])}

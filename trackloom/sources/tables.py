@@ -86,19 +86,31 @@ def legacy_tags(df: DataFrame, mark: str, drop_marked: str, columns: list[str])
     return df.where(~F.coalesce(F.col(mark).contains(drop_marked), F.lit(False))).drop(*columns)
 
 
+DIRECTIONS = "MAP<STRING, STRUCT<Home: MAP<STRING, STRING>>>"
+OFFSETS = "MAP<STRING, MAP<STRING, STRING>>"
+
+
+def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value", F.from_json("value", schema).alias("got"))
+
+
+def broken_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, reason, head) of files that aren't JSON of that schema, or hold nothing, with how they begin."""
+    files = _json(spark, path, schema).withColumn("reason", F.when(F.col("got").isNull(), "not the JSON that is expected").when(F.size("got") == 0, "holds nothing"))
+    return files.where("reason IS NOT NULL").select("path", "reason", F.left("value", F.lit(80)).alias("head"))
+
+
 def read_directions(spark: SparkSession, path: str) -> DataFrame:
-    """(match_id, half, home_direction) from {match: {"Home": {half: direction}}}; a broken file gives no rows."""
-    df = spark.read.text(path, wholetext=True)
-    got = F.from_json("value", "MAP<STRING, STRUCT<Home: MAP<STRING, STRING>>>")
-    return df.select(F.explode(got).alias("match_id", "m")).select("match_id", F.explode("m.Home").alias("half", "home_direction"))
+    """(match_id, half, home_direction) from {match: {"Home": {half: direction}}}; broken_json() lists files that give none."""
+    df = _json(spark, path, DIRECTIONS)
+    return df.select(F.explode("got").alias("match_id", "m")).select("match_id", F.explode("m.Home").alias("half", "home_direction"))
 
 
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """(match_id, half, offset_s) from {match: {half: "hh:mm:ss"}}."""
+    """(match_id, half, offset_s) from {match: {half: "hh:mm:ss"}}; broken_json() lists files that give none."""
     from ..functions.scalar import hms_to_seconds
 
-    got = F.from_json("value", "MAP<STRING, MAP<STRING, STRING>>")
-    df = spark.read.text(path, wholetext=True).select(F.explode(got).alias("match_id", "m"))
+    df = _json(spark, path, OFFSETS).select(F.explode("got").alias("match_id", "m"))
     return df.select("match_id", F.explode("m").alias("half", "at")).select("match_id", "half", hms_to_seconds(F.col("at")).alias("offset_s"))
 
 

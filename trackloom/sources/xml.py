@@ -1,7 +1,7 @@
 """Readers of position, event and match-information XML, by Spark's XML source and explicit schemas.
 
 A file's rows are split by row tag, so a folder of many matches is one job. Land the results as Parquet before using
-them more than once.
+them more than once. Records that don't parse are left out by the readers and listed, by file and match, by broken_xml().
 """
 
 from __future__ import annotations
@@ -37,8 +37,48 @@ MATCH = (
 )
 
 
+def _records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """The records of a tag, with _corrupt_record where one doesn't parse."""
+    options = {"rowTag": tag, "ignoreNamespace": True, "mode": "PERMISSIVE", "recursiveFileLookup": True, "columnNameOfCorruptRecord": "_corrupt_record"}
+    return spark.read.format("xml").options(**options).schema(f"{schema}, _corrupt_record STRING").load(path)
+
+
 def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").options(rowTag=tag, ignoreNamespace=True, mode="PERMISSIVE", recursiveFileLookup=True).schema(schema).load(path)
+    return _records(spark, path, tag, schema).where(_PARSED.format(schema.split()[0])).drop("_corrupt_record")
+
+
+#: A record that parses, by its first column; Spark wants a column of the record beside the mark, and any hash passes.
+_PARSED = "_corrupt_record IS NULL AND hash({}) >= -2147483648"
+
+
+#: What each kind of file is read by: its record's tag and schema.
+KINDS = {"positions": ("FrameSet", POSITIONS), "events": ("Event", EVENTS), "rosters": ("Team", TEAM), "matches": ("MatchInformation", MATCH)}
+
+
+def broken_xml(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(path, match_id, n_tags, n_good, n_broken, reason) of the files of one of KINDS that can't be read whole.
+
+    A file is listed if a record of it doesn't parse, if it has more starts of records than records were found, or if it
+    doesn't end as its root element does, which tells files that were cut off. A record that doesn't parse may take those
+    behind it in its file along; other files are read whole. Files are compared by counts: one scan of
+    lines, one of records, and a row a file behind each.
+    """
+    tag, schema = KINDS[kind]
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line"), F.monotonically_increasing_id().alias("n")).where("line <> ''")
+    root = F.regexp_extract("line", r"<([A-Za-z_][^\s/>]*)", 1)
+    held = lines.groupBy("path").agg(
+        F.sum(F.regexp_count("line", F.lit(rf"<{tag}[\s/>]"))).alias("n_tags"), F.sum(F.regexp_count("line", F.lit(rf"<{tag}$"))).alias("_split"),
+        F.min_by(root, F.when(root != "", F.col("n"))).alias("_root"), F.max_by("line", "n").alias("_last"),
+    )
+    parsed = F.expr(_PARSED.format(schema.split()[0]))
+    found = _records(spark, path, tag, schema).select(F.col("_metadata.file_path").alias("path"), parsed.alias("parsed"))
+    found = found.groupBy("path").agg(F.count_if("parsed").alias("n_good"), F.count_if(~F.col("parsed")).alias("n_broken"))
+    both = held.join(found, "path", "left").fillna(0, ["n_good", "n_broken"]).withColumn("n_tags", F.col("n_tags") + F.col("_split"))
+    open_ = ~F.coalesce(F.col("_last").endswith(F.concat(F.lit("</"), F.col("_root"), F.lit(">"))) | F.col("_last").endswith("/>"), F.lit(False))
+    reasons = [F.when(F.col("n_broken") > 0, "records do not parse"), F.when(F.col("n_good") + F.col("n_broken") < F.col("n_tags"), "records are missing"), F.when(open_, "the file is cut off")]
+    match = F.nullif(F.regexp_extract("path", r"DFL-MAT-([A-Za-z0-9]+)", 1), F.lit(""))
+    out = both.withColumn("reason", F.array_join(F.array_compact(F.array(*reasons)), "; ")).where("reason <> ''")
+    return out.select("path", match.alias("match_id"), "n_tags", "n_good", "n_broken", "reason")
 
 
 def read_positions(spark: SparkSession, path: str, roster: DataFrame | None = None, shift: tuple[float, float] = (0.0, 0.0)) -> tuple[DataFrame, DataFrame]:
