@@ -22,18 +22,65 @@ ROLES = {
 SET_PIECE_SECONDS = {"ThrowIn": 2.0, "FreeKick": 2.0, "GoalKick": 2.0, "KickOff": 6.0, "CornerKick": 2.0}
 
 
-def asof_join(probes: DataFrame, events: DataFrame, keys: list[str], probe_time: str, event_time: str, values: list[str], inclusive: bool = True) -> DataFrame:
+def _before(chunks: DataFrame, keys: list[str], carried: dict[str, Column]) -> DataFrame:
+    """(_key0 and on, _of, names): over the chunks of a series before each one, the values that carried gives of its window.
+
+    chunks: keys, _chunk and what carried needs, a row for each chunk.
+    """
+    ahead = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return chunks.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_of"), *[c.over(ahead).alias(n) for n, c in carried.items()])
+
+
+def _beside(df: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    same = df["_chunk"].eqNullSafe(before["_of"])
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(before[f"_key{i}"])
+    return df.join(before, same).drop("_of", "_chunk", *[f"_key{i}" for i in range(len(keys))])
+
+
+def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, into: str, chunk: Column | None = None) -> DataFrame:
+    """Adds the last value that isn't NULL at or before each row of its series, by order (ascending, NULLs first).
+
+    chunk, which must not fall along order, cuts long series: each chunk is scanned in a task of its own, ends of chunks,
+    a row each, are scanned by series, and what they carry fills the starts. A series may then be of any length.
+    """
+    def last(by: list[str]) -> Column:
+        return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+    if chunk is None:
+        return df.withColumn(into, last(keys))
+    df = df.withColumn("_chunk", chunk)
+    ends = df.groupBy(*keys, "_chunk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
+    before = _before(ends, keys, {"_carried": F.last("_end", ignorenulls=True)})
+    out = _beside(df.withColumn(into, last([*keys, "_chunk"])), before, keys)
+    return out.withColumn(into, F.coalesce(into, "_carried")).drop("_carried")
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], chunk: Column | None = None) -> DataFrame:
+    """Adds sums over each row and those before it in its series; chunk as for last_known()."""
+    if chunk is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
+    df = df.withColumn("_chunk", chunk)
+    ends = df.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_end_{n}") for n, c in sums.items()])
+    before = _before(ends, keys, {f"_carried_{n}": F.sum(f"_end_{n}") for n in sums})
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = _beside(df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}), before, keys)
+    return out.withColumns({n: F.col(n) + F.coalesce(f"_carried_{n}", F.lit(0)) for n in sums}).drop(*[f"_carried_{n}" for n in sums])
+
+
+def asof_join(probes: DataFrame, events: DataFrame, keys: list[str], probe_time: str, event_time: str, values: list[str], inclusive: bool = True, width: float | None = None) -> DataFrame:
     """probes with values of the last event (by event_time, then all values) at or before each; NULL where there is none.
 
     One shuffle on keys and one window, whatever the number of events; events go before probes of the same time, or
-    behind them if not inclusive. Probes with a NULL time get NULLs.
+    behind them if not inclusive. Probes with a NULL time get NULLs. width cuts series that outgrow a task into chunks of
+    so much time, as last_known() has it.
     """
     held = F.struct(*values)
     left = probes.withColumns({"_t": F.col(probe_time), "_kind": F.lit(1 if inclusive else 0), "_value": F.lit(None)})
     right = events.where(F.col(event_time).isNotNull()).select(*keys, F.col(event_time).alias("_t"), F.lit(0 if inclusive else 1).alias("_kind"), held.alias("_value")).withColumn("_event", F.lit(True))
     both = left.drop("_value").withColumn("_event", F.lit(False)).unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col("_t").asc_nulls_first(), "_kind", "_value").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_last", F.last("_value", ignorenulls=True).over(w)).where("NOT _event")
+    out = last_known(both, keys, ["_t", "_kind", "_value"], "_value", "_last", None if width is None else F.floor(F.col("_t") / width)).where("NOT _event")
     names = {v: F.when(F.col(probe_time).isNotNull(), F.col(f"_last.{v}")) for v in values}
     return out.withColumns({f"_new_{v}": c for v, c in names.items()}).select(*probes.columns, *[F.col(f"_new_{v}").alias(v) for v in values])
 
@@ -54,20 +101,20 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], point: Column
     return a.join(b, on, how).drop("_p", "_bucket", "_kb", "_s", "_e", *[f"_k{i}" for i in range(len(keys))])
 
 
-def cumulative_score(goals: DataFrame, keys: list[str]) -> DataFrame:
+def cumulative_score(goals: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
     """home and away after each goal, in the order of keys' match, time and id."""
-    w = Window.partitionBy(*keys).orderBy("half", "elapsed", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return goals.withColumns({"home": F.sum((F.col("team") == "Home").cast("long")).over(w), "away": F.sum((F.col("team") == "Away").cast("long")).over(w)})
+    sums = {c: (F.col("team") == t).cast("long") for c, t in (("home", "Home"), ("away", "Away"))}
+    return running_sums(goals, keys, ["half", "elapsed", "event_id"], sums, None if width is None else F.struct("half", F.floor(F.col("elapsed") / width)))
 
 
-def score_at(probes: DataFrame, scores: DataFrame, carry_over: bool = False) -> DataFrame:
+def score_at(probes: DataFrame, scores: DataFrame, carry_over: bool = False, width: float | None = None) -> DataFrame:
     """Adds home and away in effect at (match_id, half, elapsed): the last goal's, 0-0 before the half's first goal.
 
     carry_over lets the first half's score stand in the second until its first goal.
     """
     at = {"_score": F.struct("event_id", "home", "away")}
     own = scores.withColumns(at)
-    got = asof_join(probes, own, ["match_id", "half"], "elapsed", "elapsed", ["_score"])
+    got = asof_join(probes, own, ["match_id", "half"], "elapsed", "elapsed", ["_score"], width=width)
     first = F.lit(0).cast("long")
     if carry_over:
         last = own.where("half = 'F'").groupBy("match_id").agg(F.max(F.struct("elapsed", "_score"))["_score"].alias("_first"))
@@ -79,20 +126,20 @@ def score_at(probes: DataFrame, scores: DataFrame, carry_over: bool = False) ->
     return out.drop("_score", "_first").withColumn("scoreline", F.concat_ws("-", F.col("home").cast("string"), F.col("away").cast("string")))
 
 
-def shot_follows(movements: DataFrame, shots: DataFrame, seconds: float = 10.0) -> DataFrame:
+def shot_follows(movements: DataFrame, shots: DataFrame, seconds: float = 10.0, width: float | None = None) -> DataFrame:
     """shot_within: whether the same team shoots within so many seconds behind a movement's end, in the half."""
-    return next_within(movements, shots, ["match_id", "half", "team"], "end_s", "elapsed", seconds, "shot_within")
+    return next_within(movements, shots, ["match_id", "half", "team"], "end_s", "elapsed", seconds, "shot_within", width)
 
 
-def next_within(left: DataFrame, events: DataFrame, keys: list[str], start: str, time: str, reach: float, into: str) -> DataFrame:
+def next_within(left: DataFrame, events: DataFrame, keys: list[str], start: str, time: str, reach: float, into: str, width: float | None = None) -> DataFrame:
     """Flags rows with an event in [start, start + reach], by the first event at or after start: a window, not pairs.
 
-    The window runs backwards in time, so that each row adds to the one before it.
+    The window runs backwards in time, so that each row adds to the one before it; width cuts it as asof_join()'s.
     """
     right = events.select(*keys, F.col(time).alias("_t")).withColumn("_event", F.col("_t"))
     both = left.withColumns({"_t": F.col(start), "_event": F.lit(None).cast("double")}).unionByName(right.withColumn("_event", F.col("_event").cast("double")).withColumn("_probe", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_event").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_next", F.last("_event", ignorenulls=True).over(w)).where("_probe IS NULL")
+    both = both.withColumns({"_back": -F.col("_t"), "_late": F.col("_event").isNull()})  # of one time, events go first
+    out = last_known(both, keys, ["_back", "_late"], "_event", "_next", None if width is None else F.floor(F.col("_back") / width)).where("_probe IS NULL")
     return out.withColumn(into, F.coalesce(F.col("_next") - F.col(start) <= reach, F.lit(False))).select(*left.columns, into)
 
 
@@ -175,10 +222,10 @@ def blackouts(events: DataFrame, fps: int = 25) -> DataFrame:
     return own.select("match_id", "half", F.when(first, 0).otherwise(F.col("frame")).cast("long").alias("b_start"), (F.col("frame") + F.rint(F.element_at(seconds, F.col("kind")) * fps)).cast("long").alias("b_end"))
 
 
-def outside_blackouts(movements: DataFrame, intervals: DataFrame) -> DataFrame:
+def outside_blackouts(movements: DataFrame, intervals: DataFrame, width: float | None = None) -> DataFrame:
     """Movements whose start isn't inside the latest-starting blackout at or before it; earlier, longer ones aren't asked."""
     held = intervals.withColumn("_end", F.col("b_end"))
-    got = asof_join(movements, held, ["match_id", "half"], "start_frame", "b_start", ["_end"])
+    got = asof_join(movements, held, ["match_id", "half"], "start_frame", "b_start", ["_end"], width=width)
     return got.where(F.col("_end").isNull() | (F.col("start_frame") >= F.col("_end"))).drop("_end")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import frames_to_timecode, overlap, temporal_iou
 from .intervals import range_join
 from .lineage import checkpointed
+from .profiles import with_quantiles
 
 
 def _sides(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -187,8 +188,8 @@ def match_matrix(matches: DataFrame, by: str) -> DataFrame:
 
 def iou_distribution(matches: DataFrame, by: list[str]) -> DataFrame:
     """How many matches each ordered pair has, and quartiles of their IoU."""
-    quartiles = [F.percentile("iou", q).alias(name) for q, name in ((0.25, "q1_iou"), (0.5, "median_iou"), (0.75, "q3_iou"))]
-    return matches.groupBy(*by, "annotator_a", "annotator_b").agg(F.count(F.lit(1)).alias("n"), *quartiles)
+    own = [*by, "annotator_a", "annotator_b"]
+    return with_quantiles(matches.groupBy(*own).agg(F.count(F.lit(1)).alias("n")), matches, own, "iou", {"q1_iou": 0.25, "median_iou": 0.5, "q3_iou": 0.75})
 
 
 def matched_counts(annotations: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ def g11(spark, d):
 MW = "(PARTITION BY match_id ORDER BY frame)"
 
 
-@query("g11_whole_context", f"""WITH {V.FORMATION}, fr AS (SELECT o_custkey % 5 AS match_id, o_orderkey AS frame, CASE WHEN o_orderpriority < '2' THEN 'Home' WHEN o_orderpriority < '4' THEN 'Away' ELSE 'contest' END AS possession_team, o_orderstatus <> 'P' AS ball_live FROM orders),
+@query("g11_whole_context", f"""WITH {V.FORMATION}, fr AS (SELECT o_custkey // 22 AS match_id, o_orderkey AS frame, CASE WHEN o_orderpriority < '2' THEN 'Home' WHEN o_orderpriority < '4' THEN 'Away' ELSE 'contest' END AS possession_team, o_orderstatus <> 'P' AS ball_live FROM orders),
 c AS (SELECT *, sum(ch) OVER {MW} + 1 AS phase_id FROM (SELECT *, CASE WHEN lag(frame) OVER {MW} IS NOT NULL AND (lag(possession_team) OVER {MW} <> possession_team OR lag(ball_live) OVER {MW} <> ball_live) THEN 1 ELSE 0 END AS ch FROM fr)),
 ph AS (SELECT match_id, phase_id, min(frame) AS phase_start, any_value(possession_team) AS possession_team, any_value(ball_live) AS ball_live, count(*) / 25.0::DOUBLE AS duration_s FROM c GROUP BY match_id, phase_id),
 pa AS (SELECT *, CASE WHEN NOT ball_live THEN 'dead_ball' WHEN possession_team = 'contest' THEN 'contest' WHEN lag(ball_live) OVER w = false THEN 'set_piece' WHEN lag(possession_team) OVER w IN ('Home', 'Away') AND lag(possession_team) OVER w <> possession_team AND lag(duration_s) OVER w < 5 THEN 'counter_attack' ELSE 'organized_attack' END AS attack_type FROM ph WINDOW w AS (PARTITION BY match_id ORDER BY phase_id)),
@@ -42,7 +42,7 @@ SELECT c.match_id, c.frame, team, c.phase_id::BIGINT AS phase_id, phase_start, d
 FROM c JOIN pa USING (match_id, phase_id) JOIN b ON b.frame = c.frame""")
 def g11_whole(spark, d):
     holder = F.when(F.col("o_orderpriority") < "2", "Home").when(F.col("o_orderpriority") < "4", "Away").otherwise("contest")
-    frames = V.table(spark, d, "orders").select((F.col("o_custkey") % 5).alias("match_id"), F.col("o_orderkey").alias("frame"), holder.alias("possession_team"), (F.col("o_orderstatus") != "P").alias("ball_live"))
+    frames = V.table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 22).alias("match_id"), F.col("o_orderkey").alias("frame"), holder.alias("possession_team"), (F.col("o_orderstatus") != "P").alias("ball_live"))
     players = _team(spark, d).join(frames.select("match_id", "frame"), "frame")
     got = jobs.frame_context(players, frames, ["match_id"], F.lit(1))
     return got.select("match_id", "frame", "team", "phase_id", "phase_start", "duration_s", "attack_type", r6("block_cx"), r6("block_cy"), "n_outfield", *[r6(f"def_line_{i}") for i in (1, 2, 3)], "defense_type")

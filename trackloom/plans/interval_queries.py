@@ -8,7 +8,7 @@ from ..operators.frames import with_phase_attributes
 from ..sources import views as V
 from ..sources.views import K
 from . import jobs
-from .base import query, r6
+from .base import ORACLES, query, r6
 from .series_queries import KEYS, MOVES, SPLIT, TS, VALLEYS, W, _movements
 
 GOALS = "goals AS (SELECT *, sum((team = 'Home')::INT) OVER g AS home, sum((team = 'Away')::INT) OVER g AS away FROM event WHERE kind = 'purchase' WINDOW g AS (PARTITION BY match_id ORDER BY half, elapsed, event_id ROWS UNBOUNDED PRECEDING))"
@@ -37,6 +37,13 @@ def j4(spark, d):
     return I.score_at(_events(spark, d, "view"), goals).select("event_id", "home", "away", "scoreline")
 
 
+@query("j4_scoreline_chunked", ORACLES["j4_scoreline_asof"])
+def j4_chunked(spark, d):
+    """The same over series cut into chunks of a quarter of an hour, which are scanned apart."""
+    goals = I.cumulative_score(_events(spark, d, "purchase"), ["match_id"], width=900)
+    return I.score_at(_events(spark, d, "view"), goals, width=900).select("event_id", "home", "away", "scoreline")
+
+
 @query("j4_scoreline_carried", f"""WITH {V.EVENT}, {GOALS}, p AS (SELECT * FROM event WHERE kind = 'view'), f AS (SELECT match_id, max(home) AS fh, max(away) AS fa FROM goals WHERE half = 'F' GROUP BY match_id)
 SELECT p.event_id, coalesce(g.home, CASE WHEN p.half = 'O' THEN fh END, 0)::BIGINT AS home, coalesce(g.away, CASE WHEN p.half = 'O' THEN fa END, 0)::BIGINT AS away
 FROM p LEFT JOIN LATERAL (SELECT home, away FROM goals g WHERE g.match_id = p.match_id AND g.half = p.half AND g.elapsed <= p.elapsed ORDER BY g.elapsed DESC, g.event_id DESC LIMIT 1) g ON true LEFT JOIN f ON f.match_id = p.match_id""")
@@ -72,6 +79,12 @@ def j6(spark, d):
     return I.shot_follows(p, _events(spark, d, "click"), 600).select("event_id", "shot_within")
 
 
+@query("j6_shot_chunked", ORACLES["j6_shot_follows"])
+def j6_chunked(spark, d):
+    p = _events(spark, d, "view").withColumn("end_s", F.col("elapsed").cast("double"))
+    return I.shot_follows(p, _events(spark, d, "click"), 600, width=900).select("event_id", "shot_within")
+
+
 CONTACT = "ct AS (SELECT match_id, half, elapsed AS frame, player_id, event_id, 'passer' AS role FROM event WHERE kind IN ('view', 'click')), nx AS (SELECT *, coalesce(lead(frame) OVER (PARTITION BY match_id, half ORDER BY frame), frame + 250) AS end_frame FROM (SELECT DISTINCT match_id, half, frame FROM ct)), iv AS (SELECT match_id, half, ct.player_id, ct.frame + 5 AS start_frame, nx.end_frame FROM ct JOIN nx USING (match_id, half, frame) WHERE ct.frame + 5 < nx.end_frame)"
 
 

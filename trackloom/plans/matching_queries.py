@@ -250,7 +250,7 @@ def g9_provenance(spark, d):
 
 PERSONS = "people AS (SELECT s_suppkey AS person_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Home' ELSE 'Away' END AS team, s_suppkey % 23 AS jid, CASE WHEN s_suppkey % 11 = 0 THEN 'TW' ELSE 'FP' END AS position FROM supplier)"
 PICK = "CASE WHEN b.b_id IS NOT NULL THEN {m} ELSE {r} END"
-ENRICH = f"""{V.OWNED}, {INDICATORS}, {GAME}, {PERSONS}, an AS (SELECT * REPLACE (jid % 30 AS jid), player_id % 5 AS match_id FROM owned),
+ENRICH = f"""{V.OWNED}, {INDICATORS}, {GAME}, {PERSONS}, an AS (SELECT * REPLACE (jid % 30 AS jid), player_id // 22 AS match_id FROM owned),
 em AS (SELECT a.segment_id, m.movement_id AS b_id, m.distance_m, m.duration_s, m.peak_speed_kmh, m.avg_velocity_kmh, {IOU.format(s1='a.start_frame', e1='a.end_frame', s2='m.start_frame', e2='m.end_frame')} AS iou FROM an a JOIN movement m ON a.player_id = m.player_id AND a.half = m.half WHERE m.start_frame < a.end_frame AND m.end_frame > a.start_frame),
 eb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY iou DESC, b_id) AS r FROM em WHERE iou >= 0.01) WHERE r = 1),
 ts AS (SELECT team, jid, max(person_id) AS p FROM people GROUP BY ALL), js AS (SELECT jid, max(person_id) AS p, arg_min(position, person_id) AS position FROM people GROUP BY jid),
@@ -265,7 +265,7 @@ SELECT a.segment_id, b.b_id AS movement_id, round(b.iou, 6) + 0.0 AS iou, CASE W
 FROM sc a LEFT JOIN eb b USING (segment_id) LEFT JOIN indicators i USING (segment_id) LEFT JOIN people p ON p.person_id = a.person_id""".replace("CASE WHEN team = 'Away'", "CASE WHEN a.team = 'Away'"))
 def g9(spark, d):
     turn = F.when(F.col("segment_id") % 3 == 0, "left_to_right").when(F.col("segment_id") % 3 == 1, "right_to_left")
-    notes = V.owned(spark, d).withColumns({"play_direction": turn, "jid": F.col("jid") % 30, "match_id": F.col("player_id") % 5})
+    notes = V.owned(spark, d).withColumns({"play_direction": turn, "jid": F.col("jid") % 30, "match_id": F.floor(F.col("player_id") / 22)})
     moves, track = _movements(spark, d), series.speed(V.track(spark, d), V.K, unit=0.1 / 25)
     position = F.when(F.col("s_suppkey") % 11 == 0, "TW").otherwise("FP")
     people = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("person_id"), F.when(F.col("s_suppkey") % 2 == 0, "Home").otherwise("Away").alias("team"), (F.col("s_suppkey") % 23).alias("jid"), position.alias("position"))

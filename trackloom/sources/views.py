@@ -1,6 +1,7 @@
 """Tracking, event, annotation and formation tables as views of the shared test tables, in Spark and as SQL.
 
-Coordinates are integers, so that both engines segment at the same rows.
+Coordinates are integers, so that both engines segment at the same rows. A match has 22 players, so matches grow with the
+tables.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_suppkey", "l_linestatus").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     return li.select(
-        (F.col("l_suppkey") % 5).alias("match_id"), F.col("l_linestatus").alias("half"), F.when(F.col("l_suppkey") % 2 == 0, "Home").otherwise("Away").alias("team"),
+        F.floor(F.col("l_suppkey") / 22).alias("match_id"), F.col("l_linestatus").alias("half"), F.when(F.col("l_suppkey") % 2 == 0, "Home").otherwise("Away").alias("team"),
         F.col("l_suppkey").alias("player_id"), (F.row_number().over(order) - 1).cast("long").alias("frame"),
         F.round((F.col("l_quantity") - 25.5) * 2).cast("long").alias("x"), F.round((F.col("l_discount") - 0.05) * 600).cast("long").alias("y"),
         F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(0).cast("long").alias("poss"),
     )
 
 
-TRACK = """track AS (SELECT l_suppkey % 5 AS match_id, l_linestatus AS half, CASE WHEN l_suppkey % 2 = 0 THEN 'Home' ELSE 'Away' END AS team, l_suppkey AS player_id,
+TRACK = """track AS (SELECT l_suppkey // 22 AS match_id, l_linestatus AS half, CASE WHEN l_suppkey % 2 = 0 THEN 'Home' ELSE 'Away' END AS team, l_suppkey AS player_id,
   row_number() OVER (PARTITION BY l_suppkey, l_linestatus ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS frame,
   CAST(round((l_quantity - 25.5) * 2) AS BIGINT) AS x, CAST(round((l_discount - 0.05) * 600) AS BIGINT) AS y,
   CASE l_returnflag WHEN 'R' THEN 1::BIGINT WHEN 'A' THEN 2::BIGINT ELSE 0::BIGINT END AS poss FROM lineitem)"""
@@ -64,12 +65,12 @@ def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, match_id, half, elapsed, frame, team, kind, player_id): events within halves, a day counting as a second."""
     e = table(spark, sf_dir, "events")
     day = F.datediff(F.col("ts").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
-    return e.select("event_id", (F.col("user_id") % 5).alias("match_id"), F.when(F.dayofmonth("ts") <= 15, "F").otherwise("O").alias("half"),
+    return e.select("event_id", F.floor(F.col("user_id") / 22).alias("match_id"), F.when(F.dayofmonth("ts") <= 15, "F").otherwise("O").alias("half"),
         (F.pmod(day, F.lit(7)) * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("long").alias("elapsed"),
         F.when(F.col("user_id") % 2 == 0, "Home").otherwise("Away").alias("team"), F.col("event_type").alias("kind"), F.col("user_id").alias("player_id"))
 
 
-EVENT = """event AS (SELECT event_id, user_id % 5 AS match_id, CASE WHEN day(ts) <= 15 THEN 'F' ELSE 'O' END AS half,
+EVENT = """event AS (SELECT event_id, user_id // 22 AS match_id, CASE WHEN day(ts) <= 15 THEN 'F' ELSE 'O' END AS half,
   (((date_diff('day', DATE '1995-01-01', CAST(ts AS DATE)) % 7 + 7) % 7) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts))::BIGINT AS elapsed,
   CASE WHEN user_id % 2 = 0 THEN 'Home' ELSE 'Away' END AS team, event_type AS kind, user_id AS player_id FROM events)"""
 
