@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as S
-from trackloom.operators import context, control, indicators, intervals, matching, predicates, series, shape
+from trackloom.operators import context, control, indicators, intervals, matching, predicates, profiles, series, shape
 from trackloom.plans import jobs
 
 
@@ -381,6 +381,54 @@ def test_frames_are_summed_up_as_their_surfaces_are(spark):
     assert len(mean) == 315 and mean[4, 7]["n_frames"] == 3 and math.isclose(mean[4, 7]["mean_pc"], np.mean([r["pc"] for r in at])) and math.isclose(mean[4, 7]["most_pc"], max(r["pc"] for r in at))
 
 
+@pytest.mark.parametrize("width", [None, 7.0])
+def test_scans_of_long_series_in_chunks(spark, width):
+    draw = random.Random(11)
+    events = [("m", "F" if i % 3 else "O", draw.choice([None, 0.0, 7.0, *map(float, range(60))]), i, draw.choice(["Home", "Away"])) for i in range(90)] + [(None, "F", 3.0, 900, "Home")]
+    probes = [("m", h, t, i) for i, (h, t) in enumerate([(h, x / 2) for h in "FO" for x in range(-4, 130)] + [("F", None)])] + [("n", "F", 5.0, 999), (None, "F", 9.0, 1000)]
+    made = spark.createDataFrame([e for e in events if e[2] is not None], "match_id string, half string, elapsed double, event_id long, team string")
+    asked = spark.createDataFrame(probes, "match_id string, half string, elapsed double, probe_id long").repartition(3)
+    known = sorted((e for e in events if e[2] is not None and e[0]), key=lambda e: (e[1], e[2], e[3]))
+    goals = intervals.cumulative_score(made, ["match_id"], width=width)
+    got = {r["event_id"]: (r["home"], r["away"]) for r in goals.collect()}
+    assert got == {900: (1, 0), **{e[3]: tuple(sum(x[4] == t for x in known[: k + 1]) for t in ("Home", "Away")) for k, e in enumerate(known)}}
+    score = {r["probe_id"]: (r["home"], r["away"]) for r in intervals.score_at(asked, goals, width=width).collect()}
+    for m, h, t, i in probes:
+        held = [e for e in known if t is not None and m == "m" and e[1] == h and e[2] <= t]
+        assert score[i] == (got[max(held, key=lambda e: (e[2], e[3]))[3]] if held else (1, 0) if m is None else (0, 0))
+    late = intervals.next_within(asked.withColumnRenamed("elapsed", "end_s"), made, ["match_id", "half"], "end_s", "elapsed", 4.0, "soon", width)
+    for r in late.collect():
+        assert r["soon"] == (r["end_s"] is not None and any(e[0] == r["match_id"] and e[1] == r["half"] and 0 <= e[2] - r["end_s"] <= 4 for e in [*known, events[-1]] if e[0]))
+
+
+def test_quantiles_of_hot_values_nulls_and_few_rows(spark):
+    draw = random.Random(12)
+    rows = [("hot", 5.0)] * 3_000 + [("hot", draw.uniform(0, 10)) for _ in range(1_001)] + [("one", 2.5), ("two", 1.0), ("two", 4.0), ("none", None), (None, 3.0), (None, 8.0), (None, None), (None, 9.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: tuple(r)[1:] for r in profiles.describe(df, ["g"], "v").select("g", "n", "least", "q1", "q2", "q3", "most").collect()}
+    for g in {r[0] for r in rows}:
+        own = [v for k, v in rows if k == g and v is not None]
+        want = (len(own), min(own), *np.quantile(own, [0.25, 0.5, 0.75]), max(own)) if own else (0, None, None, None, None, None)
+        assert got[g] == (pytest.approx(want) if own else want)
+    whole = profiles.quantiles(df, [], "v", {"most": 1.0, "least": 0.0, "low": 0.1}).collect()
+    known = [v for _, v in rows if v is not None]
+    assert tuple(whole[0]) == pytest.approx((max(known), min(known), np.quantile(known, 0.1)))
+
+
+def test_roles_and_zones_by_phase_as_one_table(spark):
+    """One live attack of Home to the left with an untracked player, one too short, one dead, one of too few players."""
+    at = {1: (40.0, 0.0), 2: (20.0, -20.0), 3: (20.0, 20.0), 4: (-30.0, 0.0), 5: (0.0, 0.0)}
+    rows = [("m", p, t, i, "FP", None if i == 5 and f else x, y) for p in (1, 2, 3) for f in range(5) for t, d in (("Home", 0), ("Away", 10)) for i, (x, y) in ((k + d, v) for k, v in at.items())]
+    rows += [("m", 4, "Home", i, "FP", 1.0, 1.0) for i in range(3)]
+    track = spark.createDataFrame(rows, "match_id string, phase_id long, team string, player_id long, position string, x double, y double")
+    phases = spark.createDataFrame([("m", 1, "Home", True, 2.0), ("m", 2, "Home", True, 1.9), ("m", 3, "Home", False, 9.0), ("m", 4, "Home", True, 9.0)], "match_id string, phase_id long, possession_team string, ball_live boolean, duration_s double")
+    got = {r["player_id"]: r for r in jobs.role_table(track, phases, ["match_id"], F.when(F.col("team") == "Home", -1).otherwise(1)).collect()}
+    assert set(got) == {1, 2, 3, 4} and {r["phase_id"] for r in got.values()} == {1} and {r["team"] for r in got.values()} == {"Home"}
+    assert math.isclose(got[4]["norm_x"], (30 + 52) / 104) and math.isclose(got[2]["norm_y"], (-20 + 34) / 68) and got[1]["mean_x"] == 40.0
+    assert len({r["formation"] for r in got.values()}) == 1 and all(r["role"] != "unknown" for r in got.values())
+    assert got[4]["zone"] == "Behind" and got[1]["zone"] in ("Inside", "Wing")
+
+
 def test_painting_takes_the_last_interval_that_covers(spark):
     draw = random.Random(4)
     spans = [(k, i, s := draw.randrange(80), s + draw.choice([0, 1, 3, 20, 90]), draw.randrange(6), draw.choice(["Home", "Away", None])) for k in "ab" for i in range(40)]

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from trackloom.operators import frames
 from trackloom.sources import tables, xml
 
 POSITIONS = """<PutDataRequest><Positions>
@@ -128,6 +130,27 @@ def test_sinks(spark, tmp_path):
     assert (good.count(), broken.count()) == (1, 1)
 
 
+def test_landed_series_need_no_shuffle_and_prune_frames(spark, tmp_path):
+    track = spark.range(4_000).select((F.col("id") % 3).alias("match_id"), F.lit("F").alias("half"), F.lit("Home").alias("team"), (F.col("id") % 40).alias("player_id"), F.floor(F.col("id") / 40).alias("frame"), F.col("id").cast("double").alias("x"))
+    keys = ["match_id", "half", "team", "player_id"]
+    landed = tables.land_series(track, "landed_track", keys, buckets=4, path=str(tmp_path / "landed"))
+    try:
+        steps = landed.withColumn("step", F.col("x") - F.lag("x").over(Window.partitionBy(*keys).orderBy("frame")))
+        plan = steps._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" in plan
+        assert sorted(map(tuple, steps.collect()), key=repr) == sorted(map(tuple, track.withColumn("step", F.col("x") - F.lag("x").over(Window.partitionBy(*keys).orderBy("frame"))).collect()), key=repr)
+        some = frames.between_frames(landed, 10, 20)
+        assert "GreaterThanOrEqual(frame,10)" in some._jdf.queryExecution().executedPlan().toString() and some.count() == track.where("frame BETWEEN 10 AND 20").count()
+    finally:
+        spark.sql("DROP TABLE landed_track")
+
+
+def test_event_elements_in_a_column(spark):
+    rows = [(x,) for x in EVENTS.split("\n") if x.startswith("<Event")] + [(None,), ("<Event",)]
+    events = xml.parse_events(spark.createDataFrame(rows, "xml string"), "xml")
+    assert {r["player"] for r in xml.event_goals(events).collect()} == {"P3", "P9"} and xml.event_shots(events).count() == 3
+
+
 def test_broken_rows_are_set_apart(spark, tmp_path):
     (tmp_path / "DFL-MAT-M1_firstHalf_a.csv").write_text("segment_id,half,start_frame,end_frame,player_jid,team\n0,firstHalf,10,20,7,Home\n1,firstHalf,ten,20,7,Home\n2,,5,6,7,Home\n3,firstHalf\n")
     (tmp_path / "DFL-MAT-M2_firstHalf_b.csv").write_text("segment_id,half,start_frame,end_frame,player_jid,team\n0,firstHalf,1,2,9,Home\n")

@@ -79,6 +79,28 @@ def g7(spark, d):
     return C.zone_against_block(t.where("team = 'Home'").select("frame", "player_id", "x", "y"), t.where("team = 'Away'"), FR).select("frame", "player_id", "zone")
 
 
+#: Roles of attackers in phases of fifty frames, between teams of four: q has mean places in the attackers' direction.
+PHASED = f"""k AS (SELECT player_id // 8 AS match_id, half, frame // 50 AS phase_id, team, player_id, CASE WHEN player_id % 11 = 0 THEN 'TW' ELSE 'FP' END AS position, CASE WHEN (frame + player_id) % 6 > 0 THEN x END AS x, y FROM track),
+live AS (SELECT DISTINCT match_id, half, phase_id, CASE WHEN phase_id % 2 = 0 THEN 'Home' ELSE 'Away' END AS possession_team FROM k WHERE phase_id % 3 > 0),
+q AS (SELECT *, mx * sign AS x, my * sign AS y FROM (SELECT match_id, half, phase_id, team, player_id, position, team = possession_team AS own, avg(x) AS mx, avg(y) AS my, CASE WHEN (possession_team = 'Home') = (half = 'F') THEN 1 ELSE -1 END AS sign FROM k JOIN live USING (match_id, half, phase_id) GROUP BY ALL HAVING count(x) / count(*) >= 0.5)),
+mine AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY match_id, half, phase_id) AS n, dense_rank() OVER (ORDER BY match_id, half, phase_id) AS frame FROM q WHERE own) WHERE n >= 4),
+{ROLES.replace("FROM formation)", "FROM mine)").replace("(y + 34)", "(my + 34)")},
+o AS (SELECT match_id, half, phase_id, x AS dx, y AS dy FROM q WHERE NOT own AND position <> 'TW'), ln AS (SELECT match_id, half, phase_id, min(dx) AS line, count(*) AS nd FROM o GROUP BY ALL),
+br AS (SELECT match_id, half, phase_id, m.player_id, atan2(dy, dx - m.x) AS b FROM mine m JOIN o USING (match_id, half, phase_id)), gp AS (SELECT match_id, half, phase_id, player_id, coalesce(lead(b) OVER w, min(b) OVER (PARTITION BY match_id, half, phase_id, player_id) + 2 * pi()) - b AS gap FROM br WINDOW w AS (PARTITION BY match_id, half, phase_id, player_id ORDER BY b)),
+gm AS (SELECT match_id, half, phase_id, player_id, max(gap) AS gap FROM gp GROUP BY ALL)"""
+
+
+@query("g4_role_table", f"""WITH RECURSIVE {V.TRACK}, {PHASED} SELECT m.match_id, m.half, m.phase_id, m.team, m.player_id, role, formation, round(mx, 6) + 0.0 AS mean_x, round(my, 6) + 0.0 AS mean_y,
+CASE WHEN nd >= 3 THEN CASE WHEN m.x > line THEN 'Behind' WHEN gap <= pi() + 1e-9 THEN 'Inside' ELSE 'Wing' END END AS zone FROM mine m JOIN roles r ON r.frame = m.frame AND r.player_id = m.player_id LEFT JOIN ln ON (ln.match_id, ln.half, ln.phase_id) = (m.match_id, m.half, m.phase_id) LEFT JOIN gm ON (gm.match_id, gm.half, gm.phase_id, gm.player_id) = (m.match_id, m.half, m.phase_id, m.player_id)""")
+def g4_table(spark, d):
+    """Roles, formations and zones of the attackers of each phase, as one table."""
+    t, phase = V.track(spark, d), F.floor(F.col("frame") / 50)
+    t = t.withColumns({"match_id": F.floor(F.col("player_id") / 8), "phase_id": phase, "position": F.when(F.col("player_id") % 11 == 0, "TW").otherwise("FP"), "x": F.when((F.col("frame") + F.col("player_id")) % 6 > 0, F.col("x"))})
+    phases = t.select("match_id", "half", "phase_id").distinct().withColumns({"possession_team": F.when(F.col("phase_id") % 2 == 0, "Home").otherwise("Away"), "ball_live": F.col("phase_id") % 3 > 0, "duration_s": F.lit(2.0)})
+    sign = F.when((F.col("team") == "Home") == (F.col("half") == "F"), 1).otherwise(-1)
+    return jobs.role_table(t, phases, ["match_id", "half"], sign).select("match_id", "half", "phase_id", "team", "player_id", "role", "formation", r6("mean_x"), r6("mean_y"), "zone")
+
+
 def _players(spark, d):
     t = _team(spark, d)
     return t.withColumns({"x": F.col("x") + 52.5, "y": F.col("y") + 34.0, "vx": F.col("vx").cast("double"), "vy": F.col("vy").cast("double"), "ball_x": F.lit(52.5), "ball_y": F.lit(34.0)})

@@ -29,6 +29,37 @@ def w22(spark, d):
     return _events(spark, d).groupBy("match_id", "half", "team").agg(F.count_if(F.col("kind") == "purchase").alias("n_goals"), F.count_if(F.col("kind") == "click").alias("n_shots"))
 
 
+#: Tags by number: a shot stands in one of these, or, for None, on its own.
+AROUND = ("FreeKick", "CornerKick", "Penalty", "ThrowIn", None, "KickOff", None)
+
+
+def _event_xml(e):
+    """events as Event elements: clicks and purchases are shots, purchases successful, in a set piece by the number in props."""
+    shot = F.concat(F.lit('<ShotAtGoal Team="'), F.when(F.col("user_id") % 2 == 0, "Home").otherwise("Away"), F.lit('" Player="P'), "user_id", F.lit('">'), F.when(F.col("event_type") == "purchase", "<SuccessfulShot/>").otherwise(""), F.lit("</ShotAtGoal>"))
+    k, held = F.from_json("props", "k INT")["k"] % len(AROUND), F.lit(None)
+    for i, tag in enumerate(AROUND):
+        held = F.when(k == i, F.concat(F.lit(f"<{tag}>"), shot, F.lit(f"</{tag}>")) if tag else shot).otherwise(held)
+    play = F.concat(F.lit('<Play Player="P'), "user_id", F.lit('"/>'))
+    body = F.when(F.col("event_type").isin("click", "purchase"), held).otherwise(play)
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return e.select(F.concat(F.lit('<Event EventTime="'), at, F.lit('" MatchId="M'), F.floor(F.col("user_id") / 22).cast("string"), F.lit('">'), body, F.lit("</Event>")).alias("xml"))
+
+
+SHOTS = "shots AS (SELECT 'M' || (user_id // 22) AS match_id, CASE WHEN user_id % 2 = 0 THEN 'Home' ELSE 'Away' END AS team, 'P' || user_id AS player, event_type = 'purchase' AS goal, date_trunc('millisecond', ts) AS ts FROM events WHERE event_type IN ('click', 'purchase'))"
+
+
+@query("w22_nested_shots", f"WITH {SHOTS} SELECT match_id, team, player, count(*) AS n_shots, count(*) FILTER (WHERE goal) AS n_goals, (max(epoch_ms(ts)) FILTER (WHERE goal))::BIGINT AS last_goal_ms FROM shots GROUP BY ALL")
+def w22_nested(spark, d):
+    """Shots and goals of event elements, nested in set pieces or not."""
+    from ..sources import xml
+
+    events = xml.parse_events(_event_xml(V.table(spark, d, "events")), "xml")
+    by = ["match_id", "team", "player"]
+    shots = xml.event_shots(events).groupBy(*by).agg(F.count(F.lit(1)).alias("n_shots"))
+    goals = xml.event_goals(events).groupBy(*by).agg(F.count(F.lit(1)).alias("n_goals"), F.unix_millis(F.max("ts")).alias("last_goal_ms"))
+    return shots.join(goals, by, "left").fillna(0, ["n_goals"])
+
+
 @query("j4_scoreline_asof", f"""WITH {V.EVENT}, {GOALS}, p AS (SELECT * FROM event WHERE kind = 'view')
 SELECT p.event_id, coalesce(g.home, 0)::BIGINT AS home, coalesce(g.away, 0)::BIGINT AS away, coalesce(g.home, 0)::BIGINT::VARCHAR || '-' || coalesce(g.away, 0)::BIGINT::VARCHAR AS scoreline
 FROM p LEFT JOIN LATERAL (SELECT home, away FROM goals g WHERE g.match_id = p.match_id AND g.half = p.half AND g.elapsed <= p.elapsed ORDER BY g.elapsed DESC, g.event_id DESC LIMIT 1) g ON true""")

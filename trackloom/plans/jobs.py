@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import context, control, indicators, intervals, matching, predicates, series
 from ..operators import people as people_
@@ -90,6 +91,31 @@ def team_blocks(players: DataFrame, keys: list[str], sign) -> DataFrame:
     return blocks.withColumn("defense_type", predicates.defence_type(F.col("block_cx"), sign))
 
 
+def role_table(track: DataFrame, phases: DataFrame, keys: list[str], sign, shortest_s: float = 2.0, coverage: float = 0.5, players: int = 4, keeper: str = "TW", length: float = 104.0, width: float = 68.0) -> DataFrame:
+    """(keys, phase_id, team, player_id, role, formation, mean_x, mean_y, norm_x, norm_y, zone) of every attack.
+
+    track: keys, phase_id, team, player_id, position, x, y, origin at the centre; phases: keys, phase_id, possession_team,
+    ball_live, duration_s; sign: the attack sign of a row's team. Live phases of Home or Away of shortest_s and on count,
+    in them players of known place in at least that share of frames, in teams of enough such players. Zones are against
+    the mean places of the others' outfield players, the line being their hindmost in the attackers' direction, and the
+    block tested on the pitch's long axis; with fewer than three of them a zone is NULL. norm_x runs in the attackers'
+    direction, norm_y across the pitch as it is.
+    """
+    at = [*keys, "phase_id"]
+    live = phases.where(F.col("ball_live") & F.col("possession_team").isin("Home", "Away") & (F.col("duration_s") >= shortest_s)).select(*at, "possession_team")
+    rows = track.join(live, at).withColumns({"own": F.col("team") == F.col("possession_team"), "_sign": sign})
+    rows = rows.withColumn("_sign", F.when(F.col("own"), F.col("_sign")).otherwise(-F.col("_sign")))
+    means = context.phase_positions(rows, [*at, "team", "own", "position", "_sign"], coverage, 1)
+    means = means.withColumns({"x": F.col("mean_x") * F.col("_sign"), "y": F.col("mean_y") * F.col("_sign")})
+    mine = means.where("own").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*at))).where(F.col("_n") >= players)
+    mine = mine.withColumns({"norm_x": (F.col("x") + length / 2) / length, "norm_y": (F.col("mean_y") + width / 2) / width})
+    roles = context.assign_roles(mine.select(*at, "player_id", "norm_x", "norm_y"), at)
+    others = means.where(~F.col("own") & (F.col("position") != keeper))
+    zones = context.zone_against_block(mine.select(*at, "player_id", "x", "y"), others, at, "advanced", centre_y=True).select(*at, "player_id", "zone")
+    found = mine.select(*at, "team", "player_id", "mean_x", "mean_y", "norm_x", "norm_y").join(roles, [*at, "player_id"]).join(zones, [*at, "player_id"], "left")
+    return found.select(*at, "team", "player_id", "role", "formation", "mean_x", "mean_y", "norm_x", "norm_y", "zone")
+
+
 def agreement(annotations: DataFrame, by: list[str], tolerance: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pair statistics, matches, isolated segments). A segment is known by by, annotator and segment_id together."""
     matches = matching.directed_matches(annotations, by, tolerance)

@@ -213,6 +213,14 @@ def a23(spark, d):
     return column_profile(V.table(spark, d, "orders"), "o_totalprice").selectExpr("stack(4, 'n', cast(n as double), 'n_distinct', cast(n_distinct as double), 'least', least, 'most', most) as (what, value)")
 
 
+@query("a23_whole_profile", """SELECT 'c_custkey' AS name, count(c_custkey) AS n, count(DISTINCT c_custkey) AS n_distinct, min(c_custkey)::DOUBLE AS least, max(c_custkey)::DOUBLE AS most, round(avg(c_custkey), 6) + 0.0 AS mean, 'bigint' AS type, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT c_custkey::VARCHAR AS v FROM customer ORDER BY v LIMIT 30)) AS shown FROM customer
+UNION ALL SELECT 'c_mktsegment', count(c_mktsegment), count(DISTINCT c_mktsegment), NULL, NULL, NULL, 'string', (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT c_mktsegment AS v FROM customer ORDER BY v LIMIT 30)) FROM customer""")
+def a23_whole(spark, d):
+    t = V.table(spark, d, "customer")
+    one, two = (column_profile(t, c).withColumns({"name": F.lit(c), "shown": F.array_join("shown", "|")}) for c in ("c_custkey", "c_mktsegment"))
+    return one.unionByName(two).select("name", "n", "n_distinct", "least", "most", r6("mean"), "type", "shown")
+
+
 @query("u1_union", "SELECT half, count(*) AS n FROM (SELECT 'F' AS half, o_orderkey AS k FROM orders UNION ALL SELECT 'O', c_custkey FROM customer) GROUP BY half")
 def u1(spark, d):
     a = V.table(spark, d, "orders").select(F.lit("F").alias("half"), F.col("o_orderkey").alias("k"))

@@ -124,7 +124,16 @@ def read_clock(spark: SparkSession, path: str) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A row for each Event with its time in UTC and a struct for each tag; events without a time have a NULL ts."""
-    return _read(spark, path, "Event", EVENTS).withColumn("ts", F.try_to_timestamp("_EventTime")).withColumnRenamed("_MatchId", "match_id").drop("_EventTime")
+    return _timed(_read(spark, path, "Event", EVENTS))
+
+
+def parse_events(df: DataFrame, column: str) -> DataFrame:
+    """read_events() of Event elements in a column, one a row, as a feed or a landed table has them; other columns go."""
+    return _timed(df.select(F.from_xml(column, EVENTS, {"mode": "PERMISSIVE"}).alias("e")).select("e.*"))
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", F.try_to_timestamp("_EventTime")).withColumnRenamed("_MatchId", "match_id").drop("_EventTime")
 
 
 def event_contacts(events: DataFrame) -> DataFrame:
@@ -154,15 +163,19 @@ def _plays(tag: str):
     return F.transform(F.col(f"{tag}.Play"), lambda p: F.struct(p["_Player"].alias("p"), p["_Recipient"].alias("r"), F.lit(tag).alias("t")))
 
 
+def _shots(events: DataFrame) -> DataFrame:
+    """Every shot of an event as s, with the tag that it stands in: its own, or that of the set piece around it."""
+    own = [(t, F.col(t)) for t in SHOT_TAGS] + [(t, F.col(f"{t}.ShotAtGoal")) for t in (*PLAY_TAGS, "Penalty")]
+    shots = F.array(*[F.when(s.isNotNull(), F.struct(s.alias("s"), F.lit(t).alias("tag"))) for t, s in own])
+    return events.select("match_id", "ts", F.explode(F.array_compact(shots)).alias("_shot")).select("match_id", "ts", "_shot.*")
+
+
 def event_goals(events: DataFrame) -> DataFrame:
     """(match_id, ts, team, player) of shots that hold a successful one, nested in set pieces or not."""
-    shots = F.array(*[F.col(t) for t in SHOT_TAGS], *[F.col(f"{t}.ShotAtGoal") for t in (*PLAY_TAGS, "Penalty")])
-    rows = events.select("match_id", "ts", F.explode(F.array_compact(shots)).alias("s"))
+    rows = _shots(events)
     return rows.where("s.SuccessfulShot IS NOT NULL").select("match_id", "ts", F.col("s._Team").alias("team"), F.col("s._Player").alias("player"))
 
 
 def event_shots(events: DataFrame) -> DataFrame:
     """(match_id, ts, team, player) of all shots, nested or not."""
-    shots = F.array(*[F.col(t) for t in SHOT_TAGS], *[F.col(f"{t}.ShotAtGoal") for t in (*PLAY_TAGS, "Penalty")])
-    rows = events.select("match_id", "ts", F.explode(F.array_compact(shots)).alias("s"))
-    return rows.select("match_id", "ts", F.col("s._Team").alias("team"), F.col("s._Player").alias("player"))
+    return _shots(events).select("match_id", "ts", F.col("s._Team").alias("team"), F.col("s._Player").alias("player"))
