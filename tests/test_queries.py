@@ -1,5 +1,7 @@
 """Every registered query of the library runs, and gives the rows of its SQL."""
 
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -34,3 +36,10 @@ def test_query(spark, data, duck, name):
     names = [c[0] for c in cursor.description]
     order = [names.index(c) for c in cols]
     assert sorted(names) == cols and have == rows(tuple(r[i] for i in order) for r in cursor.fetchall())
+
+
+def test_entry_point_is_imported_without_a_session():
+    """The driver imports it before it has a session."""
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; assert e.queries().keys() >= e.oracle_sql().keys() and e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

@@ -64,25 +64,32 @@ def _grid_arrays(nx: int, ny: int) -> tuple[np.ndarray, ...]:
     return ix * (LENGTH / (nx - 1)), iy * (WIDTH / (ny - 1))
 
 
-def _influences(held: dict[str, np.ndarray], gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
-    """influence() of many ellipses on all grid points, as a matrix."""
+def _influences(held: dict[str, np.ndarray], nx: int, ny: int) -> np.ndarray:
+    """influence() of many ellipses on all grid points, as a matrix.
+
+    The exponent is a quadratic form of the distances along and across, which hang on a column or a row of the grid alone.
+    """
     col = {c: x[:, None] for c, x in held.items()}
-    dx, dy = gx - col["mx"], gy - col["my"]
-    u, v = (dx * col["ux"] + dy * col["uy"]) / col["sx"], (dy * col["ux"] - dx * col["uy"]) / col["sy"]
-    return np.exp(-0.5 * (u * u + v * v - col["q0"]))
+    dx, dy = np.arange(nx) * (LENGTH / (nx - 1)) - col["mx"], np.arange(ny) * (WIDTH / (ny - 1)) - col["my"]
+    along, across = 1 / (col["sx"] * col["sx"]), 1 / (col["sy"] * col["sy"])
+    uu, vv, uv = col["ux"] * col["ux"], col["uy"] * col["uy"], col["ux"] * col["uy"]
+    out = ((along - across) * uv * -dx)[:, :, None] * dy[:, None, :]
+    out -= (0.5 * (uu * along + vv * across) * dx * dx)[:, :, None]
+    out += 0.5 * (col["q0"] - (vv * along + uu * across) * dy * dy)[:, None, :]
+    return np.exp(out, out=out).reshape(len(out), nx * ny)
 
 
 def _kinds(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
 
-def _frames_of(batch: pa.RecordBatch, gx: np.ndarray, gy: np.ndarray, together: int = 16) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def _frames_of(batch: pa.RecordBatch, nx: int, ny: int, together: int = 16) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Of some gathered frames at a time: their rows, who attacks, and what attackers and defenders hold at each grid point."""
     for at in range(0, batch.num_rows, together):
         part = batch.slice(at, together)
         players = part.column("_players")
         n, flat = np.asarray(pc.list_value_length(players), dtype=np.int64), players.flatten()
-        i = _influences({c: np.asarray(flat.field(c)) for c in _ELLIPSE}, gx, gy)
+        i = _influences({c: np.asarray(flat.field(c)) for c in _ELLIPSE}, nx, ny)
         attacks = np.asarray(flat.field("attacks"))
         first = np.cumsum(n) - n
         a, d = (np.add.reduceat(i * side[:, None], first, axis=0) for side in (attacks.astype(float), 1.0 - attacks))
@@ -95,9 +102,8 @@ def _share(x: np.ndarray) -> np.ndarray:
 
 def _surfaces(keys: list[str], nx: int, ny: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gx, gy = _grid_arrays(nx, ny)
         for batch in batches:
-            for part, _, a, d in _frames_of(batch, gx, gy):
+            for part, _, a, d in _frames_of(batch, nx, ny):
                 frames = len(part)
                 out = {c: part.column(c).take(pa.array(np.repeat(np.arange(frames), nx * ny))) for c in keys}
                 out["point"] = pa.array(np.tile(np.arange(nx * ny, dtype=np.int32), frames))
@@ -131,11 +137,10 @@ def surface(players: DataFrame, keys: list[str], attacking: Column, frozen: Colu
 
 def _point_sums(nx: int, ny: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gx, gy = _grid_arrays(nx, ny)
         n, total, alone = 0, np.zeros(nx * ny), np.zeros(nx * ny)
         least, most = np.full(nx * ny, np.inf), np.full(nx * ny, -np.inf)
         for batch in batches:
-            for part, _, a, d in _frames_of(batch, gx, gy):
+            for part, _, a, d in _frames_of(batch, nx, ny):
                 share = _share(a - d)
                 n += len(part)
                 total += share.sum(axis=0)
@@ -162,7 +167,7 @@ def _summaries(kept: list[str], zones: dict[str, float], nx: int, ny: int):
         thirds = (np.arange(nx * ny) // ny * 3 // nx)[:, None] == np.arange(3)
         thirds = thirds / np.maximum(1, thirds.sum(axis=0))
         for batch in batches:
-            for part, attackers, a, d in _frames_of(batch, gx, gy):
+            for part, attackers, a, d in _frames_of(batch, nx, ny):
                 share = _share(a - d)
                 by_third = share @ thirds
                 turned = np.asarray(part.column("_mirrored"))
@@ -211,11 +216,10 @@ def by_side(df: DataFrame, home_attacks: Column, names: dict[str, tuple[str, Col
 
 def _reaches(keep: list[str], nx: int, ny: int, together: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gx, gy = _grid_arrays(nx, ny)
         for batch in batches:
             for at in range(0, batch.num_rows, together):
                 part = batch.slice(at, together)
-                i = _influences({c: np.asarray(part.column(c)) for c in _ELLIPSE}, gx, gy)
+                i = _influences({c: np.asarray(part.column(c)) for c in _ELLIPSE}, nx, ny)
                 yield pa.record_batch({c: part.column(c) for c in keep} | {"mean_influence": pa.array(i.sum(axis=1) / (nx * ny)), "max_influence": pa.array(i.max(axis=1))})
 
     return run

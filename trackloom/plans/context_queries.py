@@ -106,7 +106,9 @@ def _players(spark, d):
     return t.withColumns({"x": F.col("x") + 52.5, "y": F.col("y") + 34.0, "vx": F.col("vx").cast("double"), "vy": F.col("vy").cast("double"), "ball_x": F.lit(52.5), "ball_y": F.lit(34.0)})
 
 
-HOME = F.col("team") == "Home"
+def _home():
+    return F.col("team") == "Home"
+
 
 
 def _surface_sql(NX: int, NY: int) -> str:
@@ -127,12 +129,12 @@ SURFACE = _surface_sql(NX, NY)
 @query("g5_control_surface", f"WITH {V.FORMATION}, {SURFACE} SELECT ix, iy, count(*) AS n_frames, round(avg(pc), 6) + 0.0 AS mean_pc, round(avg(pa), 6) + 0.0 AS mean_att_only, round(min(pc), 6) + 0.0 AS least_pc, round(max(pc), 6) + 0.0 AS most_pc FROM pc GROUP BY ix, iy")
 def g5(spark, d):
     """All frames on the full grid, by grid point."""
-    return S.mean_surface(_players(spark, d), FR, HOME).select("ix", "iy", "n_frames", r6("mean_pc"), r6("mean_att_only"), r6("least_pc"), r6("most_pc"))
+    return S.mean_surface(_players(spark, d), FR, _home()).select("ix", "iy", "n_frames", r6("mean_pc"), r6("mean_att_only"), r6("least_pc"), r6("most_pc"))
 
 
 @query("g5_surface_points", f"WITH {V.FORMATION}, {_surface_sql(FEW_X, FEW_Y)} SELECT frame, ix, iy, round(pc, 6) + 0.0 AS pc, round(pa, 6) + 0.0 AS pc_att_only FROM pc")
 def g5_points(spark, d):
-    return S.surface(_players(spark, d), FR, HOME, nx=FEW_X, ny=FEW_Y).select("frame", "ix", "iy", r6("pc"), r6("pc_att_only"))
+    return S.surface(_players(spark, d), FR, _home(), nx=FEW_X, ny=FEW_Y).select("frame", "ix", "iy", r6("pc"), r6("pc_att_only"))
 
 
 @query("j18_grid_cross_join", f"WITH {V.FORMATION}, {SURFACE} SELECT p // {NY} AS ix, p % {NY} AS iy, count(*) AS n, round(avg(i), 6) + 0.0 AS mean_influence FROM inf GROUP BY p")
@@ -143,17 +145,17 @@ def j18(spark, d):
 
 @query("a17_frame_metrics", f"WITH {V.FORMATION}, {SURFACE} SELECT frame, round(avg(pc), 6) + 0.0 AS pc_att_team, round(1 - avg(pc), 6) + 0.0 AS pc_def_team FROM pc GROUP BY frame")
 def a17(spark, d):
-    return S.frame_control(_players(spark, d), FR, HOME).select("frame", r6("pc_att_team"), r6("pc_def_team"))
+    return S.frame_control(_players(spark, d), FR, _home()).select("frame", r6("pc_att_team"), r6("pc_def_team"))
 
 
 @query("a18_third_means", f"WITH {V.FORMATION}, {SURFACE} SELECT frame, " + ", ".join(f"round(avg(CASE WHEN floor(ix * 3 / {NX}::DOUBLE) = {i} THEN pc END), 6) + 0.0 AS pc_{n}_third" for i, n in enumerate(("def", "mid", "att"))) + " FROM pc GROUP BY frame")
 def a18(spark, d):
-    return S.frame_control(_players(spark, d), FR, HOME).select("frame", *[r6(f"pc_{n}_third") for n in ("def", "mid", "att")])
+    return S.frame_control(_players(spark, d), FR, _home()).select("frame", *[r6(f"pc_{n}_third") for n in ("def", "mid", "att")])
 
 
 @query("a19_zone_control", f"WITH {V.FORMATION}, {SURFACE}, c AS (SELECT frame, min(x) AS cx, min(y) AS cy FROM pl GROUP BY frame), z AS (SELECT *, (gx - cx) * (gx - cx) + (gy - cy) * (gy - cy) <= 225 AS near FROM pc JOIN c USING (frame)) SELECT frame, round(avg(CASE WHEN near THEN pc END), 6) + 0.0 AS zone_pc, count(*) FILTER (WHERE near) AS n_points FROM z GROUP BY frame")
 def a19(spark, d):
-    got = S.frame_control(_players(spark, d), FR, HOME, zones={"zone": (F.min("x"), F.min("y"), 15.0)})
+    got = S.frame_control(_players(spark, d), FR, _home(), zones={"zone": (F.min("x"), F.min("y"), 15.0)})
     return got.select("frame", r6("zone_pc"), F.col("zone_points").alias("n_points"))
 
 
@@ -173,7 +175,7 @@ def g6(spark, d):
     """Snapshots of the whole job, over windows of a thousand frames."""
     players = _players(spark, d).withColumns({"match_id": F.lit(1), "ball_speed_kmh": F.lit(0.0)})
     windows = players.select("match_id", F.floor(F.col("frame") / 1000).alias("window_id")).distinct().withColumns({"start_frame": F.col("window_id") * 1000, "end_frame": F.col("window_id") * 1000 + 999})
-    got = jobs.control_report(players, ["match_id"], HOME, windows=windows)["snapshots"]
+    got = jobs.control_report(players, ["match_id"], _home(), windows=windows)["snapshots"]
     return got.select("window_id", "frame", "snapshot", r6("pc_att_team"), "controlling", *[r6(f"pc_{n}_third") for n in ("def", "mid", "att")], r6("ball_zone_pc", "zone_pc"), r6("mean_pc_att_only"))
 
 
@@ -192,12 +194,16 @@ def _sides(spark, d):
 
 
 @query("g6_home_and_away", f"""WITH {V.FORMATION}, {MOVED}, {SIDES.format(n=FEW_X)} SELECT frame, CASE WHEN home THEN 'Home' ELSE 'Away' END AS att_team, CASE WHEN frame % 3 > 0 THEN CASE WHEN home THEN 'Home' ELSE 'Away' END ELSE 'unknown' END AS possessing_team,
-  CASE WHEN (att >= 0.5) = home THEN 'Home' ELSE 'Away' END AS controlling_team, round(h, 6) + 0.0 AS pc_combined_home, round(1 - h, 6) + 0.0 AS pc_combined_away, round(ho, 6) + 0.0 AS pc_only_home, round(ao, 6) + 0.0 AS pc_only_away, round(t0, 6) + 0.0 AS pc_def_third, round(t2, 6) + 0.0 AS pc_att_third,
+  CASE WHEN abs(att - 0.5) >= 1e-9 THEN CASE WHEN (att >= 0.5) = home THEN 'Home' ELSE 'Away' END END AS controlling_team, round(h, 6) + 0.0 AS pc_combined_home, round(1 - h, 6) + 0.0 AS pc_combined_away, round(ho, 6) + 0.0 AS pc_only_home, round(ao, 6) + 0.0 AS pc_only_away, round(t0, 6) + 0.0 AS pc_def_third, round(t2, 6) + 0.0 AS pc_att_third,
   round(bz, 6) + 0.0 AS ball_zone_home, round(1 - bz, 6) + 0.0 AS ball_zone_away, target_id, round(pz, 6) + 0.0 AS player_zone_home, round(1 - pz, 6) + 0.0 AS player_zone_away FROM sides""")
 def g6_sides(spark, d):
-    """Frames by home and away, with the zones of ball and target player, where the attackers change by turns."""
+    """Frames by home and away, with the zones of ball and target player, where the attackers change by turns.
+
+    Who controls a frame is left open where no player reaches the grid, as sums in another order may fall to either side.
+    """
     shares = ["pc_combined_home", "pc_combined_away", "pc_only_home", "pc_only_away", "pc_def_third", "pc_att_third", "ball_zone_home", "ball_zone_away", "player_zone_home", "player_zone_away"]
-    return _sides(spark, d)["frames"].select("frame", "att_team", "possessing_team", "controlling_team", "target_id", *[r6(c) for c in shares])
+    told = F.when(F.abs(F.col("pc_att_team") - 0.5) >= 1e-9, F.col("controlling_team")).alias("controlling_team")
+    return _sides(spark, d)["frames"].select("frame", "att_team", "possessing_team", told, "target_id", *[r6(c) for c in shares])
 
 
 @query("g6_player_rows", f"""WITH {V.FORMATION}, {MOVED}, {SIDES.format(n=FEW_X)}, p AS (SELECT frame, team, player_id, any_value(s) AS s, avg(i) AS m, max(i) AS t FROM inf GROUP BY ALL)
