@@ -5,6 +5,10 @@ stop words, and by where it stands (a menu, footer or form is never text). Short
 open. The second pass lets each open block inherit from its nearest decided neighbours: between two good ones it is good,
 between two bad ones bad, and between a good and a bad one it goes with the nearer.
 
+Stop words are known for four languages. A page whose running text has few of any is in another one, and its blocks are judged
+by length, links and the marks that end or part sentences, which serve any script; a character of a script that sets no
+blanks counts for three.
+
 Marks of page furniture by kind of element are certain. Those by class, id, role or form are presumed: they don't reach
 into a nested article or main, and are taken back from an element that holds most of the page's text. Sections of
 comments and teasers, which may be longer than the text, keep theirs as long as there is text outside of them.
@@ -64,18 +68,25 @@ _INSIDE = re.compile(r"""((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>""")
 _INSIDE_PLAIN = re.compile(r"([^>]*+)>")
 #: Presumed marks that elements within each other may have; those further inside don't count.
 MOST_MARKS = 64
-_NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_ROLE = re.compile(r"""\brole\s*=\s*["']?([A-Za-z]+)""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+#: Marks that end or part sentences, in any script.
+_SENTENCES = re.compile("[.!?…,;:。！？、，；：؟،؛۔।॥።፣։·]")
+#: Scripts that set no blanks: Thai, Lao, Burmese, Khmer, kana and Han, with the wide marks between them.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u9fff\uff00-\uff60]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Lengths are in characters, densities shares of characters (links) or words (stop words)."""
+    """Lengths are in characters, densities shares of characters (links) or words (stop words).
+
+    flowing is the length from which a block of sentences is good where the language isn't known.
+    """
 
     short: int = 70
     long: int = 200
+    flowing: int = 120
     most_links: float = 0.3
     low_stops: float = 0.12
     high_stops: float = 0.2
@@ -93,25 +104,38 @@ class Block:
     label: str = ""
 
 
-def _certain(tag: str, attributes: str, in_article: bool) -> bool:
+def _held(attributes: str) -> dict[str, str]:
+    """An element's attributes by name in lower case; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def _certain(tag: str, held: dict[str, str], in_article: bool) -> bool:
     """Whether an element holds page furniture by its kind, or is hidden."""
-    return tag in _FURNITURE or (tag == "header" and not in_article) or bool(attributes and _HIDDEN.search(attributes))
+    if tag in _FURNITURE or (tag == "header" and not in_article):
+        return True
+    return "hidden" in held or held.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(held.get("style", "")))
 
 
-def _presumed(tag: str, attributes: str) -> bool | None:
+def _presumed(tag: str, held: dict[str, str]) -> bool | None:
     """Whether an element that is marked by role, class or id, or as a form, is a section of other texts; None without a mark."""
     if tag in _ARTICLE | {"body", "html"}:
-        return True if attributes and tag == "article" and any(w in ("comment", "reply", "teaser", "ad") for w in _words(attributes)) else None
-    role = _ROLE.search(attributes) if attributes else None
-    if tag != "form" and not (role and role[1].lower() in _ROLES) and not any(w in _NOTES for w in _words(attributes)):
+        return True if tag == "article" and any(w in ("comment", "reply", "teaser", "ad") for w in _words(held)) else None
+    role = re.match("[a-z]*", held.get("role", "").strip().lower())[0]
+    if tag != "form" and role not in _ROLES and not any(w in _NOTES for w in _words(held)):
         return None
-    names = [_words(f'class="{n}"') for a, b, c in _NAMED.findall(attributes) for n in (a or b or c).split()]
+    names = [_parts(n) for c in ("class", "id") for n in held.get(c, "").split()]
     return any(n[0] in _APART and n[-1] not in _STATES for n in names)
 
 
-def _words(attributes: str) -> list[str]:
-    names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
-    return re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())
+def _parts(name: str) -> list[str]:
+    return re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+
+
+def _words(held: dict[str, str]) -> list[str]:
+    return _parts(" ".join(held[c] for c in ("class", "id") if c in held))
 
 
 class _Tags:
@@ -220,11 +244,12 @@ def blocks(page: str) -> list[Block]:
                         pop()
                     if tag in _ARTICLE:
                         marks = tuple(m for m in marks if m[1])
-                    apart = _presumed(tag, attributes)
+                    held = _held(attributes) if attributes else {}
+                    apart = _presumed(tag, held)
                     if apart is not None and len(marks) < MOST_MARKS:
                         marked += 1
                         marks = (*marks, (marked, apart))
-                    stack.append((tag, furniture or _certain(tag, attributes, article), article or tag in _ARTICLE, marks))
+                    stack.append((tag, furniture or _certain(tag, held, article), article or tag in _ARTICLE, marks))
                     opened[tag] += 1
             elif tag == "p" and stack and stack[-1][0] == "p":
                 pop()
@@ -239,21 +264,45 @@ def stop_density(text: str) -> float:
     return max(sum(w in s for w in words) for s in _STOPS.values()) / len(words) if words else 0.0
 
 
-def _first(b: Block, rules: Rules) -> str:
-    """A block's label by itself, without presumed marks."""
+def known_language(found: list[Block], rules: Rules) -> bool:
+    """Whether a page's running text has a language's stop words; so it has if there is none, as nothing speaks against it."""
+    running = [b.text for b in found if not b.furniture and len(b.text) >= rules.short and b.linked <= rules.most_links * len(b.text)]
+    return not running or stop_density(" ".join(running)) >= rules.low_stops
+
+
+def extent(text: str) -> int:
+    """The length of a text, in which characters of scripts without blanks count for three."""
+    return len(text) + 2 * (0 if text.isascii() else len(_UNSPACED.findall(text)))
+
+
+def flows(b: Block, rules: Rules) -> bool:
+    """Whether a block runs in sentences, in whatever language: marks as often as sentences have them, or length without links."""
+    size, marks = extent(b.text), len(_SENTENCES.findall(b.text))
+    return marks >= max(2, size / rules.long) or (size >= 2 * rules.long and not b.linked)
+
+
+def _first(b: Block, rules: Rules, known: bool = True) -> str:
+    """A block's label by itself, without presumed marks; known tells whether stop words serve."""
     density = b.linked / len(b.text)
     if b.furniture or density > rules.most_links or (not b.article and re.match(r"\W*(©|\(c\)|copyright)", b.text, re.IGNORECASE)):
         return "bad"
-    if len(b.text) < rules.short:
+    size = len(b.text) if known else extent(b.text)
+    if size < rules.short:
         return "bad" if b.linked and not b.article else ""
+    if not known:
+        return "good" if flows(b, rules) and (size >= rules.flowing or b.article) else ""
     stops = stop_density(b.text)
     if stops >= rules.high_stops:
         return "good" if len(b.text) >= rules.long or b.article else ""
     return "bad" if stops < rules.low_stops and not b.article else ""
 
 
-def _second(found: list[Block], first: list[str], shut: list[bool], rules: Rules) -> list[str]:
+def _second(found: list[Block], first: list[str], shut: list[bool], rules: Rules, known: bool = True) -> list[str]:
     """All labels, from those of the first pass; shut has the blocks that are page furniture."""
+
+    def runs(b: Block) -> bool:
+        return stop_density(b.text) >= rules.low_stops if known else flows(b, rules)
+
     first = ["bad" if s else label for s, label in zip(shut, first, strict=True)]
     held = any(b.article and not s for b, s in zip(found, shut, strict=True))
     decided = [i for i, label in enumerate(first) if label]
@@ -270,7 +319,7 @@ def _second(found: list[Block], first: list[str], shut: list[bool], rules: Rules
         elif held and not b.article:
             labels.append("bad")
         elif not near:
-            labels.append("good" if not decided and stop_density(b.text) >= rules.low_stops else "bad")
+            labels.append("good" if not decided and runs(b) else "bad")
         else:
             nearest = min(near, key=lambda k: (ahead[max(k, i)] - ahead[min(k, i) + 1], first[k] == "bad"))
             labels.append("good" if b.article else first[nearest])
@@ -294,12 +343,13 @@ def _taken_back(found: list[Block], labels: list[str]) -> set[tuple[int, bool]]:
 
 def judge(found: list[Block], rules: Rules) -> None:
     """Labels blocks good or bad in two passes; '' between them is open."""
-    first = [_first(b, rules) for b in found]
+    known = known_language(found, rules)
+    first = [_first(b, rules, known) for b in found]
     shut = [b.furniture for b in found]
     if any(b.marks for b in found):
-        back = _taken_back(found, _second(found, first, shut, rules))
+        back = _taken_back(found, _second(found, first, shut, rules, known))
         shut = [b.furniture or any(m not in back for m in b.marks) for b in found]
-    for b, label in zip(found, _second(found, first, shut, rules), strict=True):
+    for b, label in zip(found, _second(found, first, shut, rules, known), strict=True):
         b.label = label
 
 
