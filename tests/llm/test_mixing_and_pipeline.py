@@ -51,6 +51,30 @@ def test_tree_splits_exactly(spark):
     assert all(a <= b for e in ends.values() for a, b in zip(e, e[1:], strict=False))
 
 
+@pytest.mark.parametrize("together", [1, 3, 7])
+def test_tree_over_ranges_of_sources(spark, together):
+    """More sources than one row of the tree holds: every draw is dealt once, and shards are even in all."""
+    blocks = {k + 1: 3 + k * k % 11 for k in range(20)}
+    quotas = spark.createDataFrame(list(blocks.items()), "sid long, blocks long")
+    ends = {r["sid"]: r["ends"] for r in mixing.splitting_tree(quotas, 3, together=together).collect()}
+    own = {s: [b - a for a, b in zip([0, *e], e, strict=False)] for s, e in ends.items()}
+    assert {s: sum(x) for s, x in own.items()} == blocks and all(min(x) >= 0 for x in own.values())
+    shards = [sum(x[k] for x in own.values()) for k in range(8)]
+    assert max(shards) - min(shards) <= 1
+
+
+def test_more_sources_than_a_row_holds_and_rows_without_ids(spark):
+    rows = [(None, f"text {i} " + "w " * (i % 5), f"s{i % 40:02}") for i in range(2_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(table, block_docs=4, levels=2, together=6).collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r["source"], r["target"]] += r["size"] * r["passes"]
+        assert len(r["shards"]) == r["passes"]
+    assert len(got) == 2_000 and len(taken) == 40 and all(abs(n - t) <= 4 for (_, t), n in taken.items())
+    assert table.select(F.md5(mixing.name_of())).distinct().count() == 2_000
+
+
 def test_hypergeometric_law(spark):
     n, (g, b, d) = 6000, (7, 9, 6)
     draws = spark.range(n).select(mixing.hypergeometric(F.lit(g).cast("long"), F.lit(b).cast("long"), F.lit(d).cast("long"), mixing._chance(F.lit("t"), "id")).alias("k"))

@@ -403,6 +403,28 @@ def test_language_edges(spark):
     assert language_id.predict(ask.where("false"), known).count() == 0 and language_id.learn(ask.where("false")) == {}
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    """More languages than a task holds coders of: the same answers, and none is left unlearned."""
+    import random
+
+    draw = random.Random(5)
+    names = {f"l{k:03}": ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(30)] for k in range(520)}
+    rows = [(lang, " ".join(draw.choice(words) for _ in range(60))) for lang, words in names.items() for _ in range(2)]
+    known = language_id.learn(spark.createDataFrame(rows, "lang string, text string").repartition(4))
+    assert known.keys() == names.keys()
+    few = {k: known[k] for k in sorted(known)[:9]}
+    ask = spark.createDataFrame([(i, " ".join(draw.choice(names[lang]) for _ in range(25))) for i, lang in enumerate(few)] + [(50, None), (51, "12 34"), (52, "zz")], "doc_id long, text string").coalesce(1)
+    one = {r["doc_id"]: r["language"] for r in language_id.predict(ask, few).collect()}
+    monkeypatch.setattr(language_id, "TOGETHER", 4)
+    assert {r["doc_id"]: r["language"] for r in language_id.predict(ask, few).collect()} == one
+    assert [one[i]["lang_pred"] for i in range(9)] == sorted(few) and one[50]["lang_pred"] == one[51]["lang_pred"] == "und"
+
+
+def test_documents_without_an_id_are_learned_from(spark):
+    rows = spark.createDataFrame([(None,), (4,)], "doc_id long").select("doc_id", language_id.held_out().alias("out")).collect()
+    assert {r["doc_id"]: r["out"] for r in rows} == {None: False, 4: zlib.crc32(b"4") % 4 == 2}
+
+
 def test_languages_made_of_copies_are_learned_from_distinct_texts(spark):
     """Few texts in many copies, one text in most rows, and texts whose letters come late."""
     from pyspark.sql import functions as F

@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from .common import fresh, table
 
 _OTHER = re.compile(r"[\W\d_]+")
-#: Dictionaries go to every task, so their number is bounded.
-MOST_LANGUAGES = 500
+#: Languages whose coders a task holds at a time; a batch meets further ones group by group.
+TOGETHER = 64
 #: Texts of fewer bytes are encoded in up to so many rotations where their margin is narrow.
 SHORT_BYTES, ROTATIONS = 512, 8
 
@@ -37,17 +37,17 @@ def learn(labelled: DataFrame, texts_per_language: int = 400, piece_chars: int =
 
     The sample is bounded by texts_per_language, the distinct texts of smallest hash, and by piece_chars, the code points
     that each gives from a place that its hash names; copies of a text count once. The counts that set how much of the
-    table is looked at cover all distinct texts. Of more than MOST_LANGUAGES languages, those with most distinct texts
-    (then the first by name) are learned.
+    table is looked at cover all distinct texts. Every language is learned: what the driver holds grows with their number,
+    dictionary_bytes each, and not with the table.
     """
     known = labelled.select("text", "lang", F.xxhash64("text").alias("place")).where(r"lang IS NOT NULL AND text RLIKE '\\p{L}'")
-    counts = known.select("lang", "place").distinct().groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.select("lang", "place").distinct().groupBy("lang").count().collect()
     if not counts:
         return {}
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4.0 * texts_per_language / r["count"]))]), F.col("lang"))
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * texts_per_language / r["count"])) for r in counts], "lang string, share double")
     first = Window.partitionBy("lang").orderBy(F.col("place") < 0, "place", "text")  # as unsigned numbers
     begin = F.pmod(F.shiftrightunsigned("place", 7), F.greatest(F.length("text") - piece_chars + 1, F.lit(1))) + 1
-    few = known.where(F.shiftrightunsigned("place", 24) <= share * (1 << 40)).distinct().withColumn("rank", F.row_number().over(first))
+    few = known.join(shares, "lang").where(F.shiftrightunsigned("place", 24) <= F.col("share") * (1 << 40)).drop("share").distinct().withColumn("rank", F.row_number().over(first))
     piece, late = F.substring("text", begin.cast("int"), F.lit(piece_chars)), F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{piece_chars - 1}}}", 0)
     piece = F.when(piece.rlike(r"\p{L}"), piece).otherwise(late)  # from the first letter where the place has none
     few = few.where(F.col("rank") <= texts_per_language).select("lang", "rank", piece.alias("piece")).collect()
@@ -86,37 +86,47 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], into: str = "langua
     names = sorted(dictionaries)
     held = {n: dictionaries[n] for n in names}
 
+    groups = [names[k : k + TOGETHER] for k in range(0, len(names), TOGETHER)]
+
     @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coders = [_coders(held, level) for level in levels]
-
-        def one(text: str | None) -> tuple[str, float, float, bool]:
-            kept = letters(text).encode()
-            if not kept or not names:
-                return "und", 0.0, 0.0, True
-            ways = [b" " + kept + b" "]
-            for own in coders:
-                sizes = [sum(len(c.compress(w)) for w in ways) / len(ways) for c in own]
-                best, *rest = sorted(sizes)
-                margin = rest[0] / best - 1 if rest else 1.0
-                if margin >= min_margin:
-                    break
-                ways = _rotations(kept) if len(kept) < SHORT_BYTES else ways
-            score = 1 / sum(2.0 ** max(best - s, -1000) for s in sizes)
-            return names[sizes.index(best)], score, margin, margin < min_margin
+        made: dict[int, list[zstandard.ZstdCompressor]] = {}
+
+        def coders(level: int, group: list[str]) -> list[zstandard.ZstdCompressor]:
+            if len(groups) > 1:
+                return _coders({n: held[n] for n in group}, level)
+            if level not in made:
+                made[level] = _coders(held, level)
+            return made[level]
 
         for batch in texts:
-            yield pd.DataFrame([one(t) for t in batch], columns=["lang_pred", "score", "margin", "rejected"])
+            kept = [letters(t).encode() for t in batch]
+            told: list[tuple] = [("und", 0.0, 0.0, True)] * len(kept)
+            left = {i: [b" " + k + b" "] for i, k in enumerate(kept) if k and names}
+            for level in levels:
+                sizes: dict[int, list[float]] = {i: [] for i in left}
+                for group in groups if left else []:
+                    own = coders(level, group)
+                    for i, ways in left.items():
+                        sizes[i] += [sum(len(c.compress(w)) for w in ways) / len(ways) for c in own]
+                for i, found in sizes.items():
+                    best, *rest = sorted(found)[:2]
+                    margin = rest[0] / best - 1 if rest else 1.0
+                    score = 1 / sum(2.0 ** max(best - s, -1000) for s in found)
+                    told[i] = names[found.index(best)], score, margin, margin < min_margin
+                left = {i: _rotations(kept[i]) if len(kept[i]) < SHORT_BYTES else ways for i, ways in left.items() if told[i][3]}
+            yield pd.DataFrame(told, columns=["lang_pred", "score", "margin", "rejected"])
 
     return docs.withColumn(fresh(docs, into), encode("text"))
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    """Whether a document is kept from learning; one without an id isn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    known = learn(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    known = learn(docs.where(~held_out()))
     out = predict(docs.select("doc_id", "text"), known)
     return out.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score")

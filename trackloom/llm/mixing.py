@@ -9,8 +9,9 @@
    source. Leaves hold exact quotas, so shards take disjoint runs of each source's permuted blocks.
 4. Inside a shard rows are ordered by a hash of document and pass.
 
-The tree holds counts only: its rows are the sources at each of the shards, never documents. All sources are in each of
-its rows, and their targets are found in one task, so there may be MOST_SOURCES of them.
+The tree holds counts only: its rows are ranges of TOGETHER sources at each of the shards, never documents. A node first
+draws how many blocks of each range go left, then within each range how many of each source, which is the same law; so a
+row is bounded however many sources there are. Targets are found over a row for each source.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from pyspark.sql.window import Window
 
 from .common import WORD_PATTERN, cut, fresh, table
 
-
-#: Sources of a mix; a table with more is refused before anything is drawn.
-MOST_SOURCES = 100_000
+#: Sources that one row of the tree holds.
+TOGETHER = 10_000
 
 
 def _let(x: Column, use: Callable[[Column], Column]) -> Column:
@@ -95,19 +95,29 @@ def _split(seed: str, level: int) -> Callable:
     return fold
 
 
-def splitting_tree(quotas: DataFrame, levels: int, seed: str = "mix") -> DataFrame:
+def _drawn(held: Column, draws: Column, seed: str, level: int) -> Column:
+    """How many of each of held (sid, k) are among so many draws."""
+    total = F.aggregate(held, F.lit(0).cast("long"), lambda a, h: a + h["k"])
+    start = F.struct(total.alias("rest"), draws.alias("draws"), F.array().cast("array<bigint>").alias("left"))
+    return F.aggregate(held, start, _split(seed, level))["left"]
+
+
+def splitting_tree(quotas: DataFrame, levels: int, seed: str = "mix", together: int = TOGETHER) -> DataFrame:
     """(sid, ends): for each source of quotas (sid, blocks) its blocks' cumulated counts over 2**levels shards."""
-    node = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("sid", F.col("blocks").alias("k")))).alias("held")).withColumn("node", F.lit(0).cast("long"))
+    band = F.floor((F.col("sid") - 1) / together).alias("band")
+    node = quotas.groupBy(band).agg(F.sort_array(F.collect_list(F.struct("sid", F.col("blocks").alias("k")))).alias("held")).withColumn("node", F.lit(0).cast("long"))
     for level in range(levels):
         total = F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + h["k"])
-        start = F.struct(total.alias("rest"), F.floor((total + 1) / 2).cast("long").alias("draws"), F.array().cast("array<bigint>").alias("left"))
-
-        node = node.withColumn("left", F.aggregate("held", start, _split(seed, level))["left"])
+        whole = node.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.col("band").alias("sid"), total.alias("k")))).alias("bands"))
+        half = F.floor((F.aggregate("bands", F.lit(0).cast("long"), lambda a, h: a + h["k"]) + 1) / 2).cast("long")
+        whole = whole.withColumn("drawn", _drawn(F.col("bands"), half, f"{seed} bands", level))
+        parts = whole.select("node", F.explode(F.arrays_zip(F.col("bands.sid").alias("band"), F.col("drawn").alias("draws"))).alias("d")).select("node", "d.band", "d.draws")
+        node = node.join(parts, ["node", "band"]).withColumn("left", _drawn(F.col("held"), F.col("draws"), seed, level))
         halves = F.array(
             F.struct((F.col("node") * 2).alias("node"), F.zip_with("held", "left", lambda h, x: F.struct(h["sid"].alias("sid"), x.alias("k"))).alias("held")),
             F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("held", "left", lambda h, x: F.struct(h["sid"].alias("sid"), (h["k"] - x).alias("k"))).alias("held")),
         )
-        node = cut(node.select(F.explode(halves).alias("half")).select("half.node", "half.held"))
+        node = cut(node.select("band", F.explode(halves).alias("half")).select("half.node", "band", "half.held"))
     leaves = node.select("node", F.explode("held").alias("h")).select("node", "h.sid", "h.k")
     before = Window.partitionBy("sid").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
     ends = leaves.withColumn("end", F.sum("k").over(before))
@@ -136,18 +146,22 @@ def unit_key() -> Column:
     return F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("source"), F.col("text"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_docs: int = 4096, levels: int = 6, part_words: int = 20_000_000, seed: str = "mix") -> DataFrame:
+def name_of() -> Column:
+    """What deals a document row to its block: its id, or a hash of the text where it has none, so that such rows are spread."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")))))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_docs: int = 4096, levels: int = 6, part_words: int = 20_000_000, seed: str = "mix", together: int = TOGETHER) -> DataFrame:
     """(key, doc_id, source, rows, size, source_size, target, passes, shards, parts): a row for each group of equal rows.
 
     docs: doc_id, source, text; other columns are left out. size is the number of words (cut at ASCII white space; a null
     text has 0) of one row, rows the number of equal rows (doc_id, source and text), which are taken together or not.
     passes is how often they are taken, shards lists the shard of each time, and parts in how many parts of about
     part_words words a shard is written. Null is a source of its own; a source
-    without words has target 0. Each source's taken words differ from its target by half of one group at most. More
-    than MOST_SOURCES sources are an error.
+    without words has target 0. Each source's taken words differ from its target by half of one group at most.
     """
-    base = docs.select("doc_id", "source", unit_key().alias("key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"))
-    base = cut(base.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("rows")))
+    base = docs.select("doc_id", "source", unit_key().alias("key"), name_of().alias("name"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"))
+    base = cut(base.groupBy("key", "doc_id", "source", "name", "size").agg(F.count("*").alias("rows")))
     sources = base.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units"))
     plan = plan_targets(sources, weights, share, most)
     plan = plan.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -155,16 +169,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     plan = plan.withColumn("parts", parts)
     plan = cut(plan.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).withColumn("n_blocks", F.ceil(F.col("units") / block_docs).cast("long")))
 
-    if plan.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    place = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    place = F.md5(F.concat_ws("|", F.lit(seed), "name"))
     units = base.join(plan.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn("place", place)
     units = units.withColumn("block", F.pmod(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), F.col("n_blocks"))).withColumn("words", F.col("size") * F.col("rows"))
     blocks = units.groupBy("sid", "block").agg(F.sum("words").alias("words"), F.first("rest").alias("rest"), F.first("full").alias("full"), F.first("n_blocks").alias("n_blocks"))
     blocks = blocks.withColumn("ahead", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     blocks = cut(blocks.withColumn("extra", F.col("ahead") < F.col("rest")))
     quotas = blocks.groupBy("sid").agg((F.max("full") * F.max("n_blocks") + F.sum(F.col("extra").cast("long"))).alias("blocks"))
-    dealt = blocks.join(splitting_tree(quotas, levels, seed), "sid").select("sid", "block", "ahead", "ends")
+    dealt = blocks.join(splitting_tree(quotas, levels, seed, together), "sid").select("sid", "block", "ahead", "ends")
 
     within = Window.partitionBy("sid", "block").orderBy("place", "key").rowsBetween(Window.unboundedPreceding, -1)
     units = units.join(dealt, ["sid", "block"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("words").over(within), F.lit(0)))
@@ -194,7 +206,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, 'null')) AS place FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))) AS place FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS units FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid, sum(source_size) OVER () AS all_size FROM s),
 w AS (SELECT *, [5, 2, 1][((sid - 1) % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS lim FROM r),
