@@ -44,10 +44,11 @@ def learn(labelled: DataFrame, texts_per_language: int = 400, piece_chars: int =
     counts = known.select("lang", "place").distinct().groupBy("lang").count().collect()
     if not counts:
         return {}
+    # a row for each language, which the driver holds anyway
     shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * texts_per_language / r["count"])) for r in counts], "lang string, share double")
     first = Window.partitionBy("lang").orderBy(F.col("place") < 0, "place", "text")  # as unsigned numbers
     begin = F.pmod(F.shiftrightunsigned("place", 7), F.greatest(F.length("text") - piece_chars + 1, F.lit(1))) + 1
-    few = known.join(shares, "lang").where(F.shiftrightunsigned("place", 24) <= F.col("share") * (1 << 40)).drop("share").distinct().withColumn("rank", F.row_number().over(first))
+    few = known.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned("place", 24) <= F.col("share") * (1 << 40)).drop("share").distinct().withColumn("rank", F.row_number().over(first))
     piece, late = F.substring("text", begin.cast("int"), F.lit(piece_chars)), F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{piece_chars - 1}}}", 0)
     piece = F.when(piece.rlike(r"\p{L}"), piece).otherwise(late)  # from the first letter where the place has none
     few = few.where(F.col("rank") <= texts_per_language).select("lang", "rank", piece.alias("piece")).collect()
