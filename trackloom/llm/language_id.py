@@ -100,8 +100,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], into: str = "langua
                 made[level] = _coders(held, level)
             return made[level]
 
-        for batch in texts:
-            kept = [letters(t).encode() for t in batch]
+        def tell(some: pd.Series) -> list[tuple]:
+            kept = [letters(t).encode() for t in some]
             told: list[tuple] = [("und", 0.0, 0.0, True)] * len(kept)
             left = {i: [b" " + k + b" "] for i, k in enumerate(kept) if k and names}
             for level in levels:
@@ -116,6 +116,11 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], into: str = "langua
                     score = 1 / sum(2.0 ** max(best - s, -1000) for s in found)
                     told[i] = names[found.index(best)], score, margin, margin < min_margin
                 left = {i: _rotations(kept[i]) if len(kept[i]) < SHORT_BYTES else ways for i, ways in left.items() if told[i][3]}
+            return told
+
+        together = 16 if len(groups) < 2 else 1_024  # texts at a time: coders are made anew where they don't all fit
+        for batch in texts:
+            told = [row for at in range(0, len(batch), together) for row in tell(batch[at : at + together])]
             yield pd.DataFrame(told, columns=["lang_pred", "score", "margin", "rejected"])
 
     return docs.withColumn(fresh(docs, into), encode("text"))
