@@ -75,6 +75,25 @@ def test_more_sources_than_a_row_holds_and_rows_without_ids(spark):
     assert table.select(F.md5(mixing.name_of())).distinct().count() == 2_000
 
 
+def test_documents_are_taken_where_a_leaf_of_the_tree_holds_them(spark, monkeypatch):
+    rows = [(i, prose(10 + i % 5, i), f"s{i % 3}") for i in range(600)] + [(900 + i, [None, "", " "][i % 3], "nothing") for i in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["passes"], r["shards"]) for r in mixing.mix(table, block_docs=4, levels=3).collect()}
+    assert all(0 <= s < 8 for _, own in got.values() for s in own) and all(got[900 + i] == (0, []) for i in range(9))
+    tree = mixing.splitting_tree
+
+    def half(*options):
+        """The first four shards' leaves hold nothing."""
+        return tree(*options).withColumn("ends", F.transform("ends", lambda e, k: F.when(k < 4, F.element_at("ends", -1) * 0).otherwise(e - F.get("ends", F.lit(3)))))
+
+    monkeypatch.setattr(mixing, "splitting_tree", half)
+    less = {r["doc_id"]: r["passes"] for r in mixing.mix(table, block_docs=4, levels=3).collect()}
+    one, two = sum(p for p, _ in got.values()), sum(less.values())
+    assert 0.4 * one < two < 0.6 * one
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *options: tree(*options).withColumn("ends", F.transform("ends", lambda e: e * 0)))
+    assert {r["passes"] for r in mixing.mix(table, block_docs=4, levels=3).collect()} == {0}
+
+
 def test_hypergeometric_law(spark):
     n, (g, b, d) = 6000, (7, 9, 6)
     draws = spark.range(n).select(mixing.hypergeometric(F.lit(g).cast("long"), F.lit(b).cast("long"), F.lit(d).cast("long"), mixing._chance(F.lit("t"), "id")).alias("k"))

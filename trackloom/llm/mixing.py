@@ -6,7 +6,8 @@
    and a prefix of one more pass meet its target; only the block at the prefix's end is cut inside, at a document.
 3. The block draws of all sources are dealt to output shards by a binary tree. A node splits its quotas in two halves of
    equal count; how many blocks of each source go left follows the multivariate hypergeometric law, drawn source by
-   source. Leaves hold exact quotas, so shards take disjoint runs of each source's permuted blocks.
+   source. Leaves hold exact quotas, so shards take disjoint runs of each source's permuted blocks. A draw of a block
+   counts where a leaf holds it, and nowhere else.
 4. Inside a shard rows are ordered by a hash of document and pass.
 
 The tree holds counts only: its rows are ranges of TOGETHER sources at each of the shards, never documents. A node first
@@ -158,7 +159,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     text has 0) of one row, rows the number of equal rows (doc_id, source and text), which are taken together or not.
     passes is how often they are taken, shards lists the shard of each time, and parts in how many parts of about
     part_words words a shard is written. Null is a source of its own; a source
-    without words has target 0. Each source's taken words differ from its target by half of one group at most.
+    without words has target 0 and none of its rows are taken. Each source's taken words differ from its target by half of one group at most.
     """
     base = docs.select("doc_id", "source", unit_key().alias("key"), name_of().alias("name"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"))
     base = cut(base.groupBy("key", "doc_id", "source", "name", "size").agg(F.count("*").alias("rows")))
@@ -172,19 +173,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     place = F.md5(F.concat_ws("|", F.lit(seed), "name"))
     units = base.join(plan.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn("place", place)
     units = units.withColumn("block", F.pmod(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), F.col("n_blocks"))).withColumn("words", F.col("size") * F.col("rows"))
-    blocks = units.groupBy("sid", "block").agg(F.sum("words").alias("words"), F.first("rest").alias("rest"), F.first("full").alias("full"), F.first("n_blocks").alias("n_blocks"))
+    blocks = units.groupBy("sid", "block").agg(F.sum("words").alias("words"), F.first("rest").alias("rest"), F.first("full").alias("full"))
     blocks = blocks.withColumn("ahead", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    blocks = cut(blocks.withColumn("extra", F.col("ahead") < F.col("rest")))
-    quotas = blocks.groupBy("sid").agg((F.max("full") * F.max("n_blocks") + F.sum(F.col("extra").cast("long"))).alias("blocks"))
-    dealt = blocks.join(splitting_tree(quotas, levels, seed, together), "sid").select("sid", "block", "ahead", "ends")
+    blocks = blocks.withColumn("turn", F.row_number().over(Window.partitionBy("sid").orderBy("block")).cast("long") - 1)
+    blocks = cut(blocks.withColumn("held", F.count("*").over(Window.partitionBy("sid"))))
+    quotas = blocks.groupBy("sid").agg((F.max("full") * F.count("*") + F.count_if(F.col("ahead") < F.col("rest"))).alias("blocks"))
+    dealt = blocks.join(splitting_tree(quotas, levels, seed, together), "sid").select("sid", "block", "ahead", "turn", "held", "ends")
 
     within = Window.partitionBy("sid", "block").orderBy("place", "key").rowsBetween(Window.unboundedPreceding, -1)
     units = units.join(dealt, ["sid", "block"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("words").over(within), F.lit(0)))
-    passes = F.col("full") + (F.col("before") + F.col("words") / 2 <= F.col("rest")).cast("long")
-    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: p * F.col("n_blocks") + F.col("block"))
-    shards = F.transform(draws, lambda d: F.size(F.filter("ends", lambda e: e <= d)))
-    units = units.withColumn("passes", passes).withColumn("shards", F.when(F.col("passes") > 0, shards).otherwise(F.array().cast("array<int>")))
-    return units.select("key", "doc_id", "source", "rows", "size", "source_size", "target", "passes", "shards", "parts")
+    units = units.withColumn("draws", F.col("full") + (F.col("before") + F.col("words") / 2 <= F.col("rest")).cast("long"))
+    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1), lambda p: p * F.col("held") + F.col("turn"))
+    leaves = F.filter(F.transform(draws, lambda d: F.size(F.filter("ends", lambda e: e <= d))), lambda s: s < 1 << levels)
+    units = units.withColumn("shards", F.when(F.col("draws") > 0, leaves).otherwise(F.array().cast("array<int>")))
+    passes = F.size("shards").cast("long").alias("passes")
+    return units.select("key", "doc_id", "source", "rows", "size", "source_size", "target", passes, "shards", "parts")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
