@@ -8,15 +8,20 @@ slot that changes otherwise are dropped; those of literals and unchanged slots a
 question with other numbers, names or units is found, and a chance match of a frame is not.
 
 Items that have no window with enough literals (short or number-dense ones) are looked for word by word instead, in
-windows of their own length or size words, none of them a placeholder. Scripts written without blanks are cut into
+windows of their own length or size words, none of them a placeholder. Items of a word or two, which any document may
+hold by chance, are found where they are a document's whole text. Scripts written without blanks are cut into
 characters. Names are known by capital letters in ASCII and Latin-1.
 
 A bitmap of fixed size over the benchmark's window hashes lets tasks drop windows that can't match before the shuffle;
-the join itself is exact and takes benchmarks of any size.
+the join itself is exact and takes benchmarks of any size. Windows that many items share (an instruction above each of
+them) don't meet all these items: as long as an item's most common windows cover too little of it to count, a document
+that holds the item has another of its windows too. So the others are joined first, and the common ones only between
+documents and items that have met.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -125,8 +130,9 @@ def _unit_keys() -> np.ndarray:
 def _windows(id_name: str, size: int, literals: int, least: int, bitmap: bytes | None, exact: list[int]):
     """(id, at, n, size, window, slots, words) of the windows of a text column.
 
-    Without a bitmap, of items: rows without a window of enough literals have windows of words, if they have least of
-    them. With a bitmap, of documents: only windows that it holds, those of words in the sizes of exact.
+    Without a bitmap, of items: rows without a window of enough literals have windows of words. With a bitmap, of
+    documents: only windows that it holds, those of words in the sizes of exact; those of fewer than least words only
+    where they are all of the text.
     """
     bits = None if bitmap is None else np.frombuffer(bitmap, dtype=np.uint8)
 
@@ -158,7 +164,7 @@ def _windows(id_name: str, size: int, literals: int, least: int, bitmap: bytes |
                 lengths = np.diff(t.word_first)
                 bare = np.ones(b - a, dtype=bool)
                 if bits is None:
-                    bare = (lengths >= least) & (np.bincount(t.row[at], minlength=b - a) == 0)
+                    bare = (lengths > 0) & (np.bincount(t.row[at], minlength=b - a) == 0)
                     exact_ = sorted(set(np.minimum(lengths[bare], size).tolist()))
                 else:
                     exact_ = exact
@@ -168,6 +174,8 @@ def _windows(id_name: str, size: int, literals: int, least: int, bitmap: bytes |
                     row = t.word_row[: len(names)]
                     if bits is None:
                         ok = ok & (bare & (np.minimum(lengths, size) == length))[row]
+                    if length < least:
+                        ok = ok & (lengths == length)[row]
                     at = np.flatnonzero(ok)
                     yield rows(ids[a:b], at, row[at], t.word_first, length, names, [[]] * len(at), True)
 
@@ -187,6 +195,31 @@ def _bitmap(windows: DataFrame) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
+def _late(share: float):
+    """(item_id, size, at) of common windows, the most common first, that together cover too little of their item to count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item in batch.to_pylist():
+                need, covered = math.ceil(item["n"] * share), set()
+                for w in item["held"]:
+                    more = set(range(w["at"], w["at"] + item["size"])) - covered
+                    if len(covered) + len(more) < need:
+                        covered |= more
+                        out.append((item["item_id"], item["size"], w["at"]))
+            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 3, names=["item_id", "size", "at"])
+
+    return run
+
+
+def _late_windows(items: DataFrame, share: float, common: int) -> DataFrame:
+    """Those of _late(), among the windows that more than common items have. Items that share an id count as one."""
+    often = items.groupBy("window").agg(F.count_distinct("item_id").alias("items")).where(F.col("items") > common)
+    held = items.join(often, "window").groupBy("item_id", "size").agg(F.min("n").alias("n"), F.sort_array(F.collect_set(F.struct("items", "at")), asc=False).alias("held"))
+    return held.mapInArrow(_late(share), "item_id long, size long, at long")
+
+
 def _reading(windows: list[dict]) -> tuple[list[int], int]:
     """Of an alignment's windows: the places in the item of those that keep the rule, and how many slot values differ.
 
@@ -217,15 +250,16 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(pa.array([bool(kept) for kept, _ in got], pa.bool_()))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, literals: int = 3, share: float = 0.5, least: int = 3) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, literals: int = 3, share: float = 0.5, least: int = 3, common: int = 16) -> DataFrame:
     """(rk, doc_id, item_id, n_tokens, n_covered, n_changed) of each document and benchmark item that it holds.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are left out. A document holds an item if windows on
     alignments, without those against the alignment's rule, cover share of the item's template tokens or more; n_changed
     is the number of slot values that differ on these alignments. Windows have size tokens, of which literals are no
     placeholders. Items without such a window are found word by word, with words for tokens; those of fewer than least
-    words, which any document may hold, and null or empty texts match nothing. Repeated rows each give their rows; rk is
-    the key of a document row.
+    words only in documents that have no other words. Texts without words and null or empty ones match nothing. Windows
+    of more than common items are joined last, which never changes the result. Repeated rows each give their rows; rk
+    is the key of a document row.
     """
     form = "long, at long, n long, size long, window long, slots array<string>, words boolean"
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").mapInArrow(_windows("item_id", size, literals, least, None, []), f"item_id {form}")
@@ -234,8 +268,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, literals: i
     exact = [r["size"] for r in items.where("words").select("size").distinct().collect()]  # size of them at most
     own = docs.select("doc_id", "text").withColumn("rk", row_key()).select("rk", "text")
     found = own.mapInArrow(_windows("rk", size, literals, least, bitmap, sorted(exact)), f"rk {form}")
-    there = items.select("item_id", F.col("at").alias("item_at"), F.col("n").alias("n_tokens"), F.col("size").alias("width"), "window", F.col("slots").alias("item_slots"))
-    met = found.select("rk", "at", "window", "slots").join(there, "window").where(F.size("slots") == F.size("item_slots"))
+    found = found.select("rk", "at", "window", "slots")
+    late = cut(_late_windows(items, share, common))
+    there = items.join(late.withColumn("late", F.lit(True)), ["item_id", "size", "at"], "left")
+    there = there.select("item_id", F.col("at").alias("item_at"), F.col("n").alias("n_tokens"), F.col("size").alias("width"), "window", F.col("slots").alias("item_slots"), F.coalesce("late", F.lit(False)).alias("late"))
+    same = F.size("slots") == F.size("item_slots")
+    if late.isEmpty():
+        met = found.join(there, "window").where(same)
+    else:
+        found = cut(found)
+        met = cut(found.join(there.where("NOT late"), "window").where(same))
+        wanted = met.select("rk", "item_id").distinct().join(there.where("late"), "item_id")
+        met = met.unionByName(found.join(wanted, ["rk", "window"]).where(same))
     window = F.struct("item_at", "item_slots", "slots")
     aligned = met.groupBy("rk", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.max("n_tokens").alias("n_tokens"), F.max("width").alias("width"), F.collect_set(window).alias("windows"))
     aligned = aligned.drop("shift").mapInArrow(_readings, "rk long, item_id long, n_tokens long, width long, places array<long>, n_changed long")
