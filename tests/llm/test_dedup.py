@@ -92,10 +92,10 @@ def near_copies(n_groups=6, size=9):
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_join_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block, grams", [(512, 1 << 22), (4, 1 << 22), (512, 300), (24, 40)])
+def test_join_equals_brute_force(spark, block, grams):
     rows = near_copies() + [(200 + i, t) for i, t in AWKWARD.items()] + [(300, "a b c d"), (301, "a b c d"), (302, "a b c")]
-    got = ngram_join.ngram_join(docs(spark, rows), block=block).collect()
+    got = ngram_join.ngram_join(docs(spark, rows), block=block, block_grams=grams).collect()
     assert sorted(map(tuple, got)) == plain_join(rows)
 
 

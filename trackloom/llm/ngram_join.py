@@ -7,8 +7,8 @@
    these edges hold every pair that shares a band, and say how the pairs are best verified.
 3. A component of few nodes is verified whole. A larger one is verified bucket by bucket, where a pair counts in the
    first band that it shares, unless its buckets hold more pairs together than the component does (groups of near copies
-   share most of their bands). Nodes of a component or bucket are dealt to blocks of about block nodes, each pair of
-   blocks is one task's work, and shared n-grams are counted in a matrix. What leaves a task is one row per node: its
+   share most of their bands). Nodes of a component or bucket are dealt to blocks of about block nodes, or fewer where
+   their sets are large (block_grams n-grams in all), each pair of blocks is one task's work, and shared n-grams are counted in a matrix. What leaves a task is one row per node: its
    number of links and a link to the first node of its class there. So a group of thousands of near copies keeps all its
    links, but they are counted and never emitted.
 """
@@ -23,7 +23,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, cut, fresh, mix, row_keys, slices, table, window_hashes
@@ -79,7 +79,7 @@ def _signatures(n: int, bands: int, rows: int):
                     for k, i in enumerate(full):
                         out[i] = named[k]
                 rows_ = {c: batch.column(c).slice(a, b - a) for c in ("doc_id", "rk", "rk2")}
-                yield pa.record_batch(rows_ | {"key": pa.array(keys, pa.binary()), "bands": pa.array(out, pa.list_(pa.int64()))})
+                yield pa.record_batch(rows_ | {"key": pa.array(keys, pa.binary()), "size": pa.array([len(s) for s in sets], pa.int64()), "bands": pa.array(out, pa.list_(pa.int64()))})
 
     return run
 
@@ -172,29 +172,32 @@ def _verify(threshold: float):
     return run
 
 
-def _jobs(nodes: DataFrame, block: int) -> DataFrame:
-    """(rep, key, n, bands, jobs) of the nodes that share a band with another one.
+def _jobs(nodes: DataFrame, block: int, block_grams: int) -> DataFrame:
+    """(rep, key, n, grams, bands, jobs) of the nodes that share a band with another one.
 
     jobs are (whole, set, blocks): the component, or the buckets, that a node is verified in, and in how many blocks.
     """
-    banded = nodes.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("size")).where("lead < last")
-    buckets = cut(buckets.select("band", "lead", "size"))
+
+    def blocks(count: str) -> Column:
+        return F.ceil(F.greatest(F.col(count) / block, F.col("held") / block_grams)).cast("long").alias("blocks")
+
+    banded = nodes.select("rep", "grams", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("size"), F.sum("grams").alias("held")).where("lead < last")
+    buckets = cut(buckets.select("band", "lead", "size", "held"))
     near = components(banded.join(buckets, "band").where("rep <> lead").select("rep", "lead"), "rep", "lead")
-    size = near.groupBy("component").agg(F.count("*").alias("m"))
+    size = near.join(nodes, near.node == nodes.rep).groupBy("component").agg(F.count("*").alias("m"), F.sum("grams").alias("held"))
     pairs = buckets.join(near, buckets.lead == near.node).groupBy("component").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
     whole = (F.col("m") <= block) | (F.col("pairs") >= F.col("m") * F.col("m"))
-    size = cut(size.join(pairs, "component").select("component", "m", whole.alias("whole")))
+    size = cut(size.join(pairs, "component").select("component", whole.alias("whole"), blocks("m")))
     held = near.join(size, "component").join(nodes, near.node == nodes.rep)
-    blocks = F.ceil(F.col("m") / block).cast("long")
-    one = held.where("whole").select("rep", "key", "n", F.lit(None).cast("array<long>").alias("bands"), F.array(F.struct(F.col("whole"), F.col("component").alias("set"), blocks.alias("blocks"))).alias("jobs"))
+    one = held.where("whole").select("rep", "key", "n", "grams", F.lit(None).cast("array<long>").alias("bands"), F.array(F.struct(F.col("whole"), F.col("component").alias("set"), F.col("blocks"))).alias("jobs"))
     apart = held.where("NOT whole").select("rep", "whole", F.explode("bands").alias("band")).join(buckets, "band")
-    job = F.struct(F.col("whole"), F.col("band").alias("set"), F.ceil(F.col("size") / block).cast("long").alias("blocks"))
+    job = F.struct(F.col("whole"), F.col("band").alias("set"), blocks("size"))
     apart = apart.groupBy("rep").agg(F.collect_list(job).alias("jobs")).join(nodes, "rep")  # a job for each band at most
     return one.unionByName(apart.select(one.columns))
 
 
-def link_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 512) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 512, block_grams: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
     """rows (doc_id, rk, rk2, key) and nodes (key, first, class_first, n_links) of docs (doc_id, text).
 
     A node stands for all rows of one n-gram set; key is NULL for rows without words. first is the node's first row by
@@ -202,20 +205,21 @@ def link_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     """
     bands, rows = plan_bands(threshold, recall)
     base = docs.select("doc_id", "text").withColumns(row_keys())
-    signed = cut(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, rk long, rk2 long, key binary, bands array<long>"))
+    signed = cut(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, rk long, rk2 long, key binary, size long, bands array<long>"))
     first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "rk", "rk2")
-    nodes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    nodes = cut(nodes.select("key", "first", F.col("first.rk").alias("rep"), "n", "bands"))
+    nodes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first("size").alias("grams"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.select("key", "first", F.col("first.rk").alias("rep"), "n", "grams", "bands"))
 
-    dealt = cut(_jobs(nodes.select("key", "rep", "n", "bands"), block))
-    few = dealt.agg(F.sum(F.size(F.filter("jobs", lambda j: j["blocks"] == 1)))).first()[0] or 0
+    dealt = cut(_jobs(nodes.select("key", "rep", "n", "grams", "bands"), block, block_grams))
+    small = F.size(F.filter("jobs", lambda j: j["blocks"] == 1))
+    few, their = (x or 0 for x in dealt.agg(F.sum(small), F.sum(small * F.col("grams"))).first())
     texts = base.join(dealt, base.rk == dealt.rep).select("text", "key", "n", "jobs", "bands")
     held = texts.mapInArrow(_sets(n), "key binary, n long, jobs array<struct<whole:boolean,set:long,blocks:long>>, bands array<long>, grams binary")
     held = held.select("key", "n", "bands", "grams", F.explode("jobs").alias("job")).select("key", "n", "bands", "grams", "job.*")
     held = held.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     held = held.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    bins = F.pmod(F.xxhash64("whole", "set"), F.lit(max(1, few // block)))  # small sets share tasks
+    bins = F.pmod(F.xxhash64("whole", "set"), F.lit(max(1, few // block, their // block_grams)))  # small sets share tasks
     task = F.when(F.col("blocks") == 1, bins).otherwise(F.xxhash64("whole", "set", "lo", "hi"))
     found = cut(held.withColumn("task", task).groupBy("task").applyInPandas(_verify(threshold), "key binary, root binary, links long"))
 
