@@ -76,12 +76,14 @@ def plain_leaks(rows, items, size=6, literals=3):
         own, width = [w for w in windows(tokens, size) if sum(not x.isupper() for x in w[1]) >= literals], size
         bare = not own
         if bare:
-            if len(words) < 3:
+            if not words:
                 continue
             width, tokens = min(size, len(words)), [(w, w) for w in words]
             own = windows(tokens, width)
         for doc, body in rows:
             theirs = plain_templates(body)[0] if not bare else [(w, w) for w in plain_templates(body)[1]]
+            if bare and len(tokens) < 3 and theirs != tokens:
+                continue
             by = defaultdict(list)
             for at, key, slots in windows(theirs, width):
                 for item_at, own_key, own_slots in own:
@@ -105,7 +107,7 @@ def test_leaks_equal_brute_force(spark):
     """Texts made of parts of items, with other names, numbers and units, against windows compared one by one."""
     import random
 
-    items = {1: ITEM, 2: "He paid 5 and 5 and again 5 for it, then another 5 was due when they met, and 5 more.", 3: "Compute 12 + 7 * 3 - 4", 4: "What is the capital?", 5: "two words", 6: "Anna Maria Schmidt met Bob in New York City for 3 hours and 20 min, then Bob left.", 7: "日本語の文章は空白なしで書かれる", 8: "7 8 9 10 11 12 13 14"}
+    items = {1: ITEM, 2: "He paid 5 and 5 and again 5 for it, then another 5 was due when they met, and 5 more.", 3: "Compute 12 + 7 * 3 - 4", 4: "What is the capital?", 5: "two words", 6: "Anna Maria Schmidt met Bob in New York City for 3 hours and 20 min, then Bob left.", 7: "日本語の文章は空白なしで書かれる", 8: "7 8 9 10 11 12 13 14", 9: "Why?", 10: "?!"}
     draw, rows = random.Random(21), {}
     swaps = [("Paris", "Oslo"), ("Marie", "Jo Ann"), ("9", "14"), ("35 km", "2 miles"), ("5", "6"), ("Bob", "Tim"), ("Anna Maria", "Eve"), ("3", "7"), ("20 min", "1 day"), ("12", "99"), ("capital", "Capital")]
     for i in range(120):
@@ -114,11 +116,34 @@ def test_leaks_equal_brute_force(spark):
             text = text.replace(a, b, draw.choice([1, 9]))
         cut_at = draw.randrange(len(text) // 3 + 1)
         rows[i] = prose(draw.randrange(9), i) + draw.choice([" ", ". ", "\n"]) + text[cut_at if draw.random() < 0.4 else 0 :] + " " + prose(draw.randrange(9), 500 + i)
-    rows |= {300 + i: t for i, t in AWKWARD.items()}
+    rows |= {300 + i: t for i, t in AWKWARD.items()} | {400: "Two words!", 401: "why", 402: "Why not", 403: "?!"}
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = decontamination.find_leaks(docs(spark, rows), bench).drop("rk").collect()
     want = plain_leaks(list(rows.items()), list(items.items()))
-    assert sorted(map(tuple, got)) == want and {k for _, k, *_ in want} == {1, 2, 3, 4, 6, 7, 8}
+    assert sorted(map(tuple, got)) == want and {k for _, k, *_ in want} == {1, 2, 3, 4, 5, 6, 7, 8, 9}
+    assert {(d, k) for d, k, *_ in want if k in (5, 9)} >= {(400, 5), (401, 9)} and 402 not in {d for d, *_ in want}
+
+
+@pytest.mark.parametrize("common", [0, 3, 100])
+def test_windows_of_many_items_are_joined_last(spark, common):
+    """An instruction above all items, of less, about half and most of their tokens: the same leaks, whatever is joined first."""
+    head = "read the question below with care and give your own answer in one short line of text"
+    items = {i: f"{head} " + prose(n, 900 + i) for i, n in enumerate([30, 25, 18, 17, 16, 12, 9, 5])} | {20: head, 21: prose(30, 907), 22: "why"}
+    rows = {i: prose(5, i) + " " + t for i, t in items.items()} | {100 + i: t[len(t) // 3 :] for i, t in items.items()} | {200: head, 201: prose(40, 5) + " " + head + " " + head, 202: None}
+    bench = spark.createDataFrame([*items.items(), (3, items[3])], "item_id long, text string")
+    got = decontamination.find_leaks(docs(spark, [*rows.items(), (200, head)]), bench, common=common).drop("rk").collect()
+    want = plain_leaks([*rows.items()], list(items.items()))
+    assert sorted(set(map(tuple, got))) == want and {k for d, k, *_ in want if d == 200} == {3, 4, 5, 6, 7, 20}
+    stored = decontamination.find_leaks(docs(spark, {}), bench.where("false"), common=common)
+    assert stored.count() == 0
+
+
+def test_common_windows_alone_never_make_a_leak(spark):
+    head = "read the question below with care and give your own answer in one short line of text"
+    bench = spark.createDataFrame([(i, f"{head} " + prose(30, 900 + i)) for i in range(40)], "item_id long, text string")
+    items = bench.mapInArrow(decontamination._windows("item_id", 6, 3, 3, None, []), "item_id long, at long, n long, size long, window long, slots array<string>, words boolean")
+    late = decontamination._late_windows(items, 0.5, 16).collect()
+    assert len(late) == 40 * 12 and {r["at"] for r in late} == set(range(12))
 
 
 def test_decontaminate_keeps_columns_and_clean_rows(spark):
@@ -275,6 +300,27 @@ def test_ids_equal_the_library(name):
         assert np.frombuffer(got, dtype=own.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_other_settings_are_not_cut_here(tmp_path):
+    """The same vocabulary with one setting changed: ids stay the library's own."""
+    import copy
+    import json
+
+    from tokenizers import Tokenizer
+
+    told = json.loads(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).to_str())
+    texts = ["The Word   and THE word " * 3, "ÉTÉ don't 12 word word"]
+    for k, (part, name, value) in enumerate([("", "truncation", {"direction": "Right", "max_length": 4, "strategy": "LongestFirst", "stride": 0}), ("", "normalizer", {"type": "NFC"}), ("", "normalizer", None), ("model", "end_of_word_suffix", None)]):
+        own = copy.deepcopy(told)
+        (own[part] if part else own)[name] = value
+        path = f"{tmp_path}/{k}.json"
+        with open(path, "w") as f:
+            json.dump(own, f)
+        mine, library = token_output.Encoder(path), Tokenizer.from_file(path)
+        assert not mine.plain
+        for text, got in zip(texts, mine.encode(texts), strict=True):
+            assert np.frombuffer(got, dtype=mine.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_ids_of_random_texts_with_a_small_cache(monkeypatch):
     """Pieces that leave the cache and come back, of letters, marks and digits in any order."""
     import random

@@ -34,6 +34,14 @@ CACHE_PIECES = 300_000
 
 #: How the pre-tokenizer of a vocabulary of words with ends cuts a text in lower case.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A tokenizer's whole description but for its vocabulary, as those cuts take it for granted.
+_DESCRIPTION = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 #: Texts of ASCII and Latin-1 letters, and the same cut for them, in lower case.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*+")
 _WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
@@ -50,8 +58,9 @@ class Encoder:
     """Encodes whole texts to what the tokenizer's own encode() gives for them.
 
     Where the tokenizer never joins pieces across a blank or line feed, and probes show it, pieces are encoded once and
-    looked up after that. Where it cuts texts as _SPLIT says, and probes show that too, texts of ASCII and Latin-1
-    letters are cut here and their words go to the tokenizer's model, once each. Other tokenizers encode whole texts.
+    looked up after that. Where its description is _DESCRIPTION and _MODEL, its special tokens begin with <| and probes
+    agree, texts of ASCII and Latin-1 letters are cut here and their words go to the tokenizer's model, once each. Other
+    tokenizers, and any that truncates, pads or draws, encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -67,9 +76,12 @@ class Encoder:
         bare = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): bare.pre_tokenize_str(c)[0][0] for c in _LETTERS}
         whole = [self._whole(a + b + c) for a in _PROBES for b in (" ", "\n", "  ") for c in _PROBES]
-        self.by_piece = whole == [self._whole(a) + self._whole(c) for a in _PROBES for _ in range(3) for c in _PROBES]
-        steps = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
-        cut_so = any(x.get("pattern") == {"Regex": _SPLIT} for x in steps)
+        told = json.loads(self.tokenizer.to_str())
+        model = {k: v for k, v in told["model"].items() if k not in ("vocab", "merges")}
+        steady = told["truncation"] is None and told["padding"] is None and not model.get("dropout")
+        self.by_piece = steady and whole == [self._whole(a) + self._whole(c) for a in _PROBES for _ in range(3) for c in _PROBES]
+        marked = all(t["content"].startswith("<|") for t in told["added_tokens"])
+        cut_so = marked and model == _MODEL and all(told[k] == v for k, v in _DESCRIPTION.items())
         self.plain = self.by_piece and cut_so and all(self._joined(p) == self._whole(p) for p in _PROBES)
 
     def _whole(self, text: str) -> bytes:
