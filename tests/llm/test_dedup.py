@@ -57,6 +57,40 @@ def test_symbols_recur_with_their_extent():
     assert common == found[1] == found[2] and common  # whatever stands around, the same extents give the same symbols
 
 
+def spelled(series, row, window, rounds):
+    at = np.flatnonzero([i + window <= len(series) and row[i] == row[i + window - 1] for i in range(len(series))])
+    found = list(substring_dedup.levels(substring_dedup.mix(series), row, rounds))
+    return at, found, *substring_dedup.spell(iter(found), len(series), at, window)
+
+
+@pytest.mark.parametrize("window, rounds", [(1, 6), (2, 3), (12, 0), (12, 4), (35, 1), (35, 6), (35, 12)])
+def test_windows_are_equal_if_spelled_alike(window, rounds):
+    """Names of spellings against the words themselves: few letters, runs, periods, repeats at all offsets, many rows."""
+    draw = np.random.Generator(np.random.PCG64(window * 100 + rounds))
+    core, parts = draw.integers(0, 30, 90), []
+    for k in range(60):
+        parts += [draw.integers(0, 3, k % 50), core[k % 40 :], np.repeat(draw.integers(0, 2, 9), draw.integers(1, 9, 9)), np.tile([1, 2, 3], k % 30), core]
+    series = np.concatenate(parts).astype(np.uint64)
+    row = np.repeat(np.arange(60), [sum(map(len, parts[5 * k : 5 * k + 5])) for k in range(60)])
+    at, _, (one, two), _ = spelled(series, row, window, rounds)
+    plain = [series[i : i + window].tobytes() for i in at]
+    pairs = set(zip(one.tolist(), two.tolist(), plain, strict=True))
+    assert len(pairs) == len(set(plain)) == len(set(one.tolist())) == len(set(two.tolist()))
+
+
+def test_high_symbols_speak_for_most_words():
+    """More rounds spell a window with fewer symbols, and what the high ones are named decides."""
+    series, row = np.arange(3000, dtype=np.uint64), np.zeros(3000, dtype=np.int64)
+    sizes = [spelled(series, row, 200, rounds)[3].mean() for rounds in (0, 2, 4, 8)]
+    assert sizes[0] == 200 and sizes == sorted(sizes, reverse=True) and sizes[-1] < 70
+    at, found, (one, _), _ = spelled(np.concatenate([series[:400], series[:50], 5000 + series[50:150], series[150:400]]), np.repeat([0, 1], 400), 200, 8)
+    same = at[:201] == at[201:] - 400
+    assert same.all() and (one[:201] == one[201:]).sum() == 51  # the windows behind the words that differ
+    blind = [(names if k < 4 else np.zeros_like(names), *rest) for k, (names, *rest) in enumerate(found)]
+    (less, _), _ = substring_dedup.spell(iter(blind), 800, at, 200)
+    assert (less[:201] == less[201:]).sum() > 51
+
+
 def test_empty_tables(spark):
     empty = docs(spark, {1: "x"}).where("false")
     assert substring_dedup.dedup_substrings(empty).count() == 0

@@ -7,8 +7,10 @@ get the same interior symbols wherever they stand. What a symbol's making depend
 fix it and the refusals of its neighbours) is carried along. Then Spark decides in two counting rounds:
 
 1. Symbols by name, over the corpus. A name that occurs once proves that no window around its extent is repeated.
-2. Windows without such a proof are verified by a 128-bit name of all their words; those whose name occurs once are
-   single, the rest are repeats.
+2. Windows without such a proof are verified by the symbols that spell them: those of the highest level in the middle,
+   and what each lower level adds at both ends, down to words. As all of them have their extents inside the window,
+   equal windows are spelled alike wherever they stand, and one 128-bit name of the spelling stands for all its words.
+   Windows whose name occurs once are single, the rest are repeats.
 
 Both rounds count with map-side combining, so a passage in a third of all documents is no hot key, and neither sends
 back more than the names that occur once. Texts meet what was found about them by a key of the row, not of the text, so
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mix, row_keys, signed, slices, table, window_hashes
+from .common import Words, cut, mix, powers, row_keys, signed, slices, table
 
 _FAR = np.int64(1) << 40
 #: Bits of what a row is sent: a word's place, a size, and above them a check of the row's second key.
@@ -34,14 +36,15 @@ _SIZE_BITS, _PLACE_BITS, _CHECK_BITS = 12, 30, 21
 _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
 
-def parse(names: np.ndarray, row: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, low, high) of the symbols after so many rounds; [low, high) is a symbol's extent in words.
+def levels(names: np.ndarray, row: np.ndarray, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(name, low, high, begin) of the words, of the symbols of round 0, and of those after each further round.
 
-    Wherever the words of an extent occur again, the symbol does too. A document's edge has no extent: what hangs on
-    it reaches beyond every window.
+    [low, high) is a symbol's extent in words, begin the first word that it stands for. Wherever the words of an extent
+    occur again, the symbol does too. A document's edge has no extent: what hangs on it reaches beyond every window.
     """
-    low = np.arange(len(names), dtype=np.int64)
-    high = low + 1
+    begin = np.arange(len(names), dtype=np.int64)
+    low, high = begin, begin + 1
+    yield names, low, high, begin
 
     def neighbours(low, high, row):
         """The extents of what stands before and behind each symbol; endless at a document's edge."""
@@ -54,14 +57,15 @@ def parse(names: np.ndarray, row: np.ndarray, rounds: int) -> tuple[np.ndarray,
         return low_b, high_b, low_a, high_a, edge
 
     if not len(names):
-        return names, low, high
+        return
     low_b, _, _, high_a, edge = neighbours(low, high, row)
     heads = np.append(True, (names[1:] != names[:-1]) | edge[:-1])
     at = np.flatnonzero(heads)
     length = np.diff(np.append(at, len(names)))
     ends = at + length - 1
     names = np.where(length > 1, mix(names[at] + mix(length.astype(np.uint64))), names[at])
-    low, high, row = low_b[at], high_a[ends], row[at]
+    low, high, row, begin = low_b[at], high_a[ends], row[at], begin[at]
+    yield names, low, high, begin
 
     for r in range(rounds):
         left = (mix(names ^ np.uint64(0xA0761D6478BD642F * (r + 1) & (2**64 - 1))) >> np.uint64(63)).astype(bool)
@@ -74,8 +78,55 @@ def parse(names: np.ndarray, row: np.ndarray, rounds: int) -> tuple[np.ndarray,
         joined = mix(names + np.uint64(0xE7037ED1A0B428DB) * mix(np.roll(names, -1) + np.uint64(r)))
         names = np.where(pair, joined, names)
         keep = ~second
-        names, low, high, row = names[keep], low[keep], high[keep], row[keep]
-    return names, low, high
+        names, low, high, row, begin = names[keep], low[keep], high[keep], row[keep], begin[keep]
+        yield names, low, high, begin
+
+
+def parse(names: np.ndarray, row: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, low, high) of the symbols of the last level."""
+    for symbols, low, high, _ in levels(names, row, rounds):
+        pass
+    return symbols, low, high
+
+
+def _below(values: np.ndarray, n: int) -> np.ndarray:
+    """How many of the values, each 0 to n, are below 0, 1, ..., n + 1."""
+    return np.append(0, np.cumsum(np.bincount(values, minlength=n + 1)))
+
+
+def spell(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n: int, at: np.ndarray, window: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Two names of each window that starts at one of the places at, by the symbols that spell it, and their number.
+
+    found: the levels() of n words. Symbols whose extent is inside a window follow each other, and those of a level
+    stand for a stretch of those beneath, as extents only grow. So a level adds the symbols before and behind the stretch
+    that the next one stands for, the last level that has any inside the window adds all of them.
+    """
+    names, size = [np.zeros(len(at), dtype=np.uint64) for _ in _BASES], np.zeros(len(at), dtype=np.int64)
+    live, first, last = np.arange(len(at)), at, at
+    sums, places = [], None
+
+    def add(upto: np.ndarray, since: np.ndarray) -> None:
+        """The symbols from first to upto, and from since to last, of the level whose sums are at hand."""
+        size[live] += upto - first + last - since
+        for k, base in enumerate(_BASES):
+            back = powers(pow(base, -1, 2**64), len(sums[k]))
+            ends = [mix((sums[k][b] - sums[k][a]) * back[a] + (b - a).astype(np.uint64)) for a, b in ((first, upto), (since, last))]
+            names[k][live] = mix(mix(names[k][live] + ends[0]) + ends[1])
+
+    for name, low, high, begin in found:
+        end = np.append(begin[1:], n)
+        held = (low >= 0) & (high <= n) & (high - low <= window)
+        name, low, high, begin, end = (x[held] for x in (name, low, high, begin, end))
+        from_, to = _below(low, n)[at[live]], _below(high, n)[at[live] + window + 1]
+        some = from_ < to
+        if places is not None:
+            upto, since = last.copy(), last.copy()  # all of this level, where the next has none
+            upto[some], since[some] = places[begin[from_[some]]], places[end[to[some] - 1]]
+            add(upto, since)
+        live, first, last, places = live[some], from_[some], to[some], _below(begin, n)
+        sums = [np.append(np.uint64(0), np.cumsum(mix(name + np.uint64(k)) * powers(base, len(name)), dtype=np.uint64)) for k, base in enumerate(_BASES, 1)]
+    add(last, last)
+    return names, size
 
 
 def _once(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +178,7 @@ def _lists(column: pa.Array) -> list:
     return [None if x is None else np.asarray(x, dtype=np.int64) for x in (column[i].values for i in range(len(column)))]
 
 
-def _windows(window: int):
+def _windows(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pc.greater(batch.column("times"), 0))
@@ -136,8 +187,7 @@ def _windows(window: int):
             for a, b in slices(text):
                 words = Words(text.slice(a, b - a))
                 at = _open(words, _lists(spans.slice(a, b - a)), window, check[a:b])
-                x = words.hashes()
-                one, two = (window_hashes(mix(x + np.uint64(k)), window, base)[at] for k, base in enumerate(_BASES, 1))
+                one, two = spell(levels(words.hashes(), words.row, rounds), len(words), at, window)[0]
                 first, n = _once(one)
                 at, one, two = at[first], one[first], two[first]
                 row = words.row[at]
@@ -181,8 +231,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, rounds: int = 6) -> Data
 
     docs: doc_id, text and any other columns (left out). A null or empty text has no words and keeps ''. Repeated rows
     are documents of their own, so their windows are repeats of each other. Windows are judged on the input. Words are
-    cut at ASCII white space alone. rounds only moves work between the two counting rounds, never the result; window
-    is at most 4,000.
+    cut at ASCII white space alone. With more rounds, longer symbols speak for more words in both counting rounds; the
+    result is the same. window is at most 4,000.
     """
     if not 1 <= window <= 4000:
         raise ValueError("window must be 1 to 4000 words")
@@ -193,7 +243,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, rounds: int = 6) -> Data
     symbols = marked.select(form).mapInArrow(_symbols(window, rounds), "name long, rk long, span long, n long")
     proofs = _singles(symbols, ["name"], "span").select("rk", F.col("span").alias("v")).groupBy("rk").agg(F.collect_list("v").alias("spans"))
     marked = marked.join(proofs, "rk", "left")
-    windows = marked.select(*form, "spans").mapInArrow(_windows(window), "one long, two long, rk long, place long, n long")
+    windows = marked.select(*form, "spans").mapInArrow(_windows(window, rounds), "one long, two long, rk long, place long, n long")
     single = _singles(windows, ["one", "two"], "place").groupBy("rk").agg(F.collect_list("place").alias("single"))
     return marked.join(single, "rk", "left").select(*form, "spans", "single").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
 
