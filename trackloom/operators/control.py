@@ -235,6 +235,37 @@ def player_influence(players: DataFrame, keys: list[str], nx: int = NX, ny: int
     return own.mapInArrow(_reaches([*keys, "player_id"], nx, ny), f"{_kinds(own, [*keys, 'player_id'])}, mean_influence double, max_influence double")
 
 
+def _weighted_sums(nx: int, ny: int, together: int = 16):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, known, total = 0, 0, np.zeros(nx * ny)
+        for batch in batches:
+            rows = np.asarray(batch.column("_rows"))
+            n += int(rows.sum())
+            batch = batch.filter(batch.column("_known"))
+            for at in range(0, batch.num_rows, together):
+                part = batch.slice(at, together)
+                weight = np.asarray(part.column("_rows"))
+                known += int(weight.sum())
+                total += (_influences({c: np.asarray(part.column(c)) for c in _ELLIPSE}, nx, ny) * weight[:, None]).sum(axis=0)
+        if n:
+            yield pa.record_batch({"point": pa.array(np.arange(nx * ny, dtype=np.int32)), "n": pa.array(np.full(nx * ny, n)), "known": pa.array(np.full(nx * ny, known)), "total": pa.array(total)})
+
+    return run
+
+
+def mean_influence(players: DataFrame, nx: int = NX, ny: int = NY) -> DataFrame:
+    """(ix, iy, gx, gy, n, mean_influence) of each grid point over all rows of players; rows without a known ellipse only count in n.
+
+    Players of the same ellipse hold the same everywhere: they are counted first, and each ellipse meets the grid once, in a
+    matrix that is summed up in its task. No row of a player and a point is made.
+    """
+    own = ellipses(players).select(*[F.col(c).cast("double").alias(c) for c in _ELLIPSE])
+    known = F.array_size(F.array_compact(F.array(*_ELLIPSE))) == len(_ELLIPSE)
+    own = own.groupBy(*_ELLIPSE).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_known", known)
+    sums = own.mapInArrow(_weighted_sums(nx, ny), "point int, n long, known long, total double").groupBy("point").agg(*[F.sum(c).alias(c) for c in ("n", "known", "total")])
+    return sums.select(*_places(nx, ny), "n", F.try_divide("total", "known").alias("mean_influence"))
+
+
 def influence_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """Frames, mean and largest influence and speed by player, the strongest first."""
     out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_frames"), F.avg("mean_influence").alias("mean_influence"), F.max("max_influence").alias("max_influence"), F.avg("speed_ms").alias("mean_speed"), F.max("speed_ms").alias("max_speed"))

@@ -139,8 +139,7 @@ def g5_points(spark, d):
 
 @query("j18_grid_cross_join", f"WITH {V.FORMATION}, {SURFACE} SELECT p // {NY} AS ix, p % {NY} AS iy, count(*) AS n, round(avg(i), 6) + 0.0 AS mean_influence FROM inf GROUP BY p")
 def j18(spark, d):
-    near = S.ellipses(_players(spark, d)).crossJoin(F.broadcast(S.grid(spark, NX, NY)))
-    return near.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(S.influence(F.col("gx"), F.col("gy"))), "mean_influence"))
+    return S.mean_influence(_players(spark, d), NX, NY).select("ix", "iy", "n", r6("mean_influence"))
 
 
 @query("a17_frame_metrics", f"WITH {V.FORMATION}, {SURFACE} SELECT frame, round(avg(pc), 6) + 0.0 AS pc_att_team, round(1 - avg(pc), 6) + 0.0 AS pc_def_team FROM pc GROUP BY frame")
