@@ -25,28 +25,28 @@ def with_directions(movements: DataFrame, directions: DataFrame) -> DataFrame:
     return df.drop("home_direction", "_dir")
 
 
-def extract_movements(track: DataFrame, directions: DataFrame, unit: float = 1.0, keys: list[str] = K, power: bool = False) -> DataFrame:
+def extract_movements(track: DataFrame, directions: DataFrame, unit: float = 1.0, keys: list[str] = K, power: bool = False, parts: int | None = None) -> DataFrame:
     """Movements of all players of all matches: speed, valleys, optional power split, summary, directions and zones.
 
-    track has keys, frame, x, y, poss. Movements without distance are left out.
+    track has keys, frame, x, y, poss; parts is the number of tasks. Movements without distance are left out.
     """
     df = series.before_start(series.speed(track, keys, unit), keys)
-    df = series.valley_segments(df, keys)
-    parts = ["segment_id"]
+    df = series.valley_segments(df, keys, parts=parts)
+    order = ["segment_id"]
     if power:
-        df, parts = series.power_split(df, keys), ["segment_id", "piece"]
-    df = series.number_movements(df, keys, parts)
+        df, order = series.spread(series.power_split(df, keys, parts=parts), parts, *keys), ["segment_id", "piece"]
+    df = series.number_movements(df, keys, order)
     return with_directions(series.movement_summary(df, keys).where("distance_m > 0"), directions)
 
 
-def movement_job(track: DataFrame, directions: DataFrame, events: DataFrame, unit: float = 1.0, keys: list[str] = K, shortest_possession: int = 25, fps: int = 25) -> DataFrame:
+def movement_job(track: DataFrame, directions: DataFrame, events: DataFrame, unit: float = 1.0, keys: list[str] = K, shortest_possession: int = 25, fps: int = 25, parts: int | None = None) -> DataFrame:
     """The whole extraction: smoothed places and possession, movements split by power, match context, and the choice of runs.
 
     track: keys, frame, x, y, poss; directions: match_id, half, home_direction; events as match_context() takes them.
     """
     df = series.low_pass(track, keys, ["x", "y"])
     df = series.absorb_short(df, keys, "poss", shortest_possession).drop("poss").withColumnRenamed("smoothed", "poss")
-    movements = extract_movements(df, directions, unit, keys, power=True)
+    movements = extract_movements(df, directions, unit, keys, power=True, parts=parts)
     return predicates.run_candidates(match_context(movements, events, fps))
 
 
