@@ -64,19 +64,36 @@ def _grid_arrays(nx: int, ny: int) -> tuple[np.ndarray, ...]:
     return ix * (LENGTH / (nx - 1)), iy * (WIDTH / (ny - 1))
 
 
+#: The largest exponent of the product of both distances that powers are multiplied up to, and a least one, whose
+#: exponential (1e-304) is no part of any sum's digits; below it exponentials are slow.
+MOST_CROSS, LEAST_EXPONENT = 300.0, -700.0
+
+
 def _influences(held: dict[str, np.ndarray], nx: int, ny: int) -> np.ndarray:
     """influence() of many ellipses on all grid points, as a matrix.
 
-    The exponent is a quadratic form of the distances along and across, which hang on a column or a row of the grid alone.
+    The exponent is a quadratic form of the distances along and across, which hang on a column or a row of the grid alone;
+    that of their product grows evenly along a row. So a row is its first point times powers of one factor, made by
+    doubling: exponentials are taken of columns and rows, not of points. Ellipses too thin for that take them of points.
     """
     col = {c: x[:, None] for c, x in held.items()}
     dx, dy = np.arange(nx) * (LENGTH / (nx - 1)) - col["mx"], np.arange(ny) * (WIDTH / (ny - 1)) - col["my"]
     along, across = 1 / (col["sx"] * col["sx"]), 1 / (col["sy"] * col["sy"])
     uu, vv, uv = col["ux"] * col["ux"], col["uy"] * col["uy"], col["ux"] * col["uy"]
-    out = ((along - across) * uv * -dx)[:, :, None] * dy[:, None, :]
-    out -= (0.5 * (uu * along + vv * across) * dx * dx)[:, :, None]
-    out += 0.5 * (col["q0"] - (vv * along + uu * across) * dy * dy)[:, None, :]
-    return np.exp(out, out=out).reshape(len(out), nx * ny)
+    cross, by_col, by_row = (across - along) * uv * dy, -0.5 * (uu * along + vv * across) * dx * dx, 0.5 * (col["q0"] - (vv * along + uu * across) * dy * dy)
+    out = np.empty((len(dx), nx, ny))
+    with np.errstate(over="ignore", invalid="ignore"):  # of the thin ones, which are made anew
+        out[:, 0] = np.exp(np.maximum(by_row + cross * dx[:, :1], LEAST_EXPONENT))
+        power, made = np.exp(cross * (LENGTH / (nx - 1))), 1
+        while made < nx:
+            more = min(made, nx - made)
+            np.multiply(out[:, :more], power[:, None, :], out=out[:, made : made + more])
+            power, made = power * power, made + more
+        out *= np.exp(np.maximum(by_col, LEAST_EXPONENT))[:, :, None]
+    thin = ~(np.abs(cross).max(axis=1) * np.abs(dx).max(axis=1) <= MOST_CROSS)
+    if thin.any():
+        out[thin] = np.exp(cross[thin][:, None, :] * dx[thin][:, :, None] + by_col[thin][:, :, None] + by_row[thin][:, None, :])
+    return out.reshape(len(out), nx * ny)
 
 
 def _kinds(df: DataFrame, names: list[str]) -> str:
@@ -84,20 +101,44 @@ def _kinds(df: DataFrame, names: list[str]) -> str:
 
 
 def _frames_of(batch: pa.RecordBatch, nx: int, ny: int, together: int = 16) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of some gathered frames at a time: their rows, who attacks, and what attackers and defenders hold at each grid point."""
-    for at in range(0, batch.num_rows, together):
-        part = batch.slice(at, together)
-        players = part.column("_players")
-        n, flat = np.asarray(pc.list_value_length(players), dtype=np.int64), players.flatten()
-        i = _influences({c: np.asarray(flat.field(c)) for c in _ELLIPSE}, nx, ny)
-        attacks = np.asarray(flat.field("attacks"))
-        first = np.cumsum(n) - n
-        a, d = (np.add.reduceat(i * side[:, None], first, axis=0) for side in (attacks.astype(float), 1.0 - attacks))
-        yield part, np.add.reduceat(attacks.astype(np.int64), first), a, d
+    """Of some gathered frames at a time: their rows, who attacks, and what attackers and defenders hold at each grid point.
 
-
-def _share(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    What they hold lies in the same memory each time, so it must be used up before the next ones are asked for.
+    """
+    players = batch.column("_players")
+    n, flat = np.asarray(pc.list_value_length(players), dtype=np.int64), players.flatten()
+    held, attacks = {c: np.asarray(flat.field(c)) for c in _ELLIPSE}, np.asarray(flat.field("attacks")).astype(np.int64)
+    ends = np.cumsum(n)
+    starts, attackers = ends - n, np.diff(np.concatenate([[0], np.cumsum(attacks)])[np.concatenate([[0], ends])])
+    splits = ends - attackers  # defenders are gathered before attackers
+    both = np.empty((2, together, nx * ny))
+    for at in range(0, batch.num_rows, together):
+        own = slice(at, at + together)
+        low, frames = starts[at], len(ends[own])
+        i = _influences({c: x[low : ends[own][-1]] for c, x in held.items()}, nx, ny)
+        a, d = both[:, :frames]
+        for f, (start, split, end) in enumerate(zip(starts[own] - low, splits[own] - low, ends[own] - low, strict=True)):
+            np.add.reduce(i[start:split], axis=0, out=d[f])
+            np.add.reduce(i[split:end], axis=0, out=a[f])
+        yield batch.slice(at, together), attackers[own], a, d
+
+
+def _share(a: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What attackers hold against defenders, in d's memory."""
+    with np.errstate(over="ignore"):
+        x = np.exp(np.subtract(d, a, out=d), out=d)
+    return np.divide(1.0, np.add(x, 1.0, out=x), out=x)
+
+
+def _shares(a: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_share() and what either side would hold alone, from one exponential of either, mostly in the memory of both."""
+    if not max(a.max(), d.max()) < MOST_CROSS:
+        nobody = np.zeros_like(a)
+        return _share(a, d.copy()), _share(a, nobody.copy()), _share(d, nobody)
+    ea, ed = np.exp(np.negative(a, out=a), out=a), np.exp(np.negative(d, out=d), out=d)
+    share = ea + ed
+    np.divide(ed, share, out=share)
+    return share, np.divide(1.0, np.add(ea, 1.0, out=ea), out=ea), np.divide(1.0, np.add(ed, 1.0, out=ed), out=ed)
 
 
 def _surfaces(keys: list[str], nx: int, ny: int):
@@ -107,16 +148,16 @@ def _surfaces(keys: list[str], nx: int, ny: int):
                 frames = len(part)
                 out = {c: part.column(c).take(pa.array(np.repeat(np.arange(frames), nx * ny))) for c in keys}
                 out["point"] = pa.array(np.tile(np.arange(nx * ny, dtype=np.int32), frames))
-                yield pa.record_batch(out | {c: pa.array(_share(x).ravel()) for c, x in (("pc", a - d), ("pc_att_only", a), ("pc_def_only", d))})
+                yield pa.record_batch(out | {c: pa.array(x.flatten()) for c, x in zip(("pc", "pc_att_only", "pc_def_only"), _shares(a, d), strict=True)})
 
     return run
 
 
 def _gathered(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None, held: list[Column] = ()) -> DataFrame:
-    """(keys, held aggregates, _players): a row for each frame that has a player with known place and velocity."""
+    """(keys, held aggregates, _players): a row for each frame that has a player with known place and velocity, defenders first."""
     own = ellipses(players.withColumn("attacks", F.coalesce(attacking, F.lit(False))), frozen)
     known = F.array_size(F.array_compact(F.array(*[F.col(c).cast("double") for c in _ELLIPSE]))) == len(_ELLIPSE)
-    one = F.when(known, F.struct(*[F.col(c).cast("double").alias(c) for c in _ELLIPSE], "attacks"))
+    one = F.when(known, F.struct("attacks", *[F.col(c).cast("double").alias(c) for c in _ELLIPSE]))
     return own.groupBy(*keys).agg(*held, F.sort_array(F.collect_list(one)).alias("_players")).where(F.size("_players") > 0)
 
 
@@ -141,10 +182,10 @@ def _point_sums(nx: int, ny: int):
         least, most = np.full(nx * ny, np.inf), np.full(nx * ny, -np.inf)
         for batch in batches:
             for part, _, a, d in _frames_of(batch, nx, ny):
-                share = _share(a - d)
+                share, own, _ = _shares(a, d)
                 n += len(part)
                 total += share.sum(axis=0)
-                alone += _share(a).sum(axis=0)
+                alone += own.sum(axis=0)
                 least, most = np.minimum(least, share.min(axis=0)), np.maximum(most, share.max(axis=0))
         if n:
             cols = {"point": np.arange(nx * ny, dtype=np.int32), "n": np.full(nx * ny, n), "total": total, "alone": alone, "least": least, "most": most}
@@ -161,48 +202,59 @@ def mean_surface(players: DataFrame, keys: list[str], attacking: Column, frozen:
     return out.select(*_places(nx, ny), "n_frames", (F.col("_t") / F.col("n_frames")).alias("mean_pc"), (F.col("_a") / F.col("n_frames")).alias("mean_att_only"), "least_pc", "most_pc")
 
 
-def _summaries(kept: list[str], zones: dict[str, float], nx: int, ny: int):
+def _summaries(kept: list[str], zones: dict[str, float], alone: bool, nx: int, ny: int):
+    shares = ["pc_att_team", "pc_def_third", "pc_mid_third", "pc_att_third", *(["mean_pc_att_only", "mean_pc_def_only"] if alone else [])]
+    names = [*shares, "n_att_players", "n_def_players", *[f"{n}_{what}" for n in zones for what in ("pc", "points")]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gx, gy = _grid_arrays(nx, ny)
-        thirds = (np.arange(nx * ny) // ny * 3 // nx)[:, None] == np.arange(3)
-        thirds = thirds / np.maximum(1, thirds.sum(axis=0))
+        gx, gy = np.arange(nx) * (LENGTH / (nx - 1)), np.arange(ny) * (WIDTH / (ny - 1))
+        thirds = (np.arange(nx) * 3 // nx)[:, None] == np.arange(3)
+        thirds = [(t, max(1, t.sum() * ny)) for t in thirds.T]
         for batch in batches:
+            made = []
             for part, attackers, a, d in _frames_of(batch, nx, ny):
-                share = _share(a - d)
-                by_third = share @ thirds
+                share, *single = _shares(a, d) if alone else (_share(a, d),)
+                columns = share.reshape(-1, nx, ny).sum(axis=2)
+                by_third = np.stack([columns[:, t].sum(axis=1) / points for t, points in thirds], axis=1)
                 turned = np.asarray(part.column("_mirrored"))
                 by_third[turned] = by_third[turned][:, ::-1]
-                out = {c: part.column(c) for c in kept}
-                out |= {"pc_att_team": share.mean(axis=1), **{f"pc_{n}_third": by_third[:, i] for i, n in enumerate(("def", "mid", "att"))}}
-                out |= {"mean_pc_att_only": _share(a).mean(axis=1), "mean_pc_def_only": _share(d).mean(axis=1)}
-                out |= {"n_att_players": attackers, "n_def_players": np.asarray(pc.list_value_length(part.column("_players")), dtype=np.int64) - attackers}
+                out = {"pc_att_team": columns.sum(axis=1) / (nx * ny), **{f"pc_{n}_third": by_third[:, i] for i, n in enumerate(("def", "mid", "att"))}}
+                out |= {f"mean_pc_{n}_only": x.mean(axis=1) for n, x in zip(("att", "def"), single, strict=False)}
+                out["n_att_players"] = attackers
                 for name, radius in zones.items():
                     cx, cy = (np.asarray(part.column(f"_{name}_{c}").fill_null(np.nan), dtype=float)[:, None] for c in "xy")
-                    near = (gx - cx) * (gx - cx) + (gy - cy) * (gy - cy) <= radius * radius
-                    points = near.sum(axis=1)
-                    out |= {f"{name}_pc": pa.array((share * near).sum(axis=1) / np.maximum(1, points), mask=points == 0), f"{name}_points": points.astype(np.int64)}
-                yield pa.record_batch({c: x if isinstance(x, pa.Array) else pa.array(x) for c, x in out.items()})
+                    near = np.flatnonzero(((gx - cx) * (gx - cx))[:, :, None] + ((gy - cy) * (gy - cy))[:, None, :] <= radius * radius)
+                    frame = near // (nx * ny)
+                    out[f"{name}_points"] = points = np.bincount(frame, minlength=len(share))
+                    out[f"{name}_pc"] = np.bincount(frame, share.reshape(-1)[near], len(share)) / np.maximum(1, points)
+                made.append(out)
+            if made:
+                out = {c: np.concatenate([m[c] for m in made]) for c in made[0]}
+                out["n_def_players"] = np.asarray(pc.list_value_length(batch.column("_players")), dtype=np.int64) - out["n_att_players"]
+                for name in zones:
+                    out[f"{name}_pc"] = pa.array(out[f"{name}_pc"], mask=out[f"{name}_points"] == 0)
+                yield pa.record_batch({c: batch.column(c) for c in kept} | {c: out[c] if isinstance(out[c], pa.Array) else pa.array(out[c]) for c in names})
 
     return run
 
 
-def frame_control(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None = None, mirrored: Column | None = None, zones: dict[str, tuple[Column, Column, float]] | None = None, held: list[Column] = (), nx: int = NX, ny: int = NY) -> DataFrame:
+def frame_control(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None = None, mirrored: Column | None = None, zones: dict[str, tuple[Column, Column, float]] | None = None, held: list[Column] = (), alone: bool = True, nx: int = NX, ny: int = NY) -> DataFrame:
     """One row for each frame that surface() has points of, summed up where its surface is made.
 
     pc_att_team and pc_def_team, and controlling (attack or defence, who holds more); pc_def_third, pc_mid_third and
     pc_att_third over grid columns, turned where mirrored; mean_pc_att_only and mean_pc_def_only; n_att_players and
     n_def_players. zones: by name, the aggregates that give a frame's centre, and a radius; they add name_pc, the mean share
     of the attackers there, and name_points (NULL and 0 where there is no centre or no point). held: further aggregates of a
-    frame's players, which are kept under their names.
+    frame's players, which are kept under their names. alone=False leaves mean_pc_att_only and mean_pc_def_only out.
     """
     zones = zones or {}
     centres = [c.cast("double").alias(f"_{name}_{axis}") for name, (x, y, _) in zones.items() for c, axis in ((x, "x"), (y, "y"))]
     turned = F.coalesce(F.lit(False) if mirrored is None else mirrored, F.lit(False))
     frames = _gathered(players.withColumn("_turned", turned), keys, attacking, frozen, [*held, F.bool_or("_turned").alias("_mirrored"), *centres])
     kept = [c for c in frames.columns if not c.startswith("_")]
-    shares = ["pc_att_team", "pc_def_third", "pc_mid_third", "pc_att_third", "mean_pc_att_only", "mean_pc_def_only"]
+    shares = ["pc_att_team", "pc_def_third", "pc_mid_third", "pc_att_third", *(["mean_pc_att_only", "mean_pc_def_only"] if alone else [])]
     form = [_kinds(frames, kept), *[f"{c} double" for c in shares], "n_att_players long, n_def_players long", *[f"{n}_pc double, {n}_points long" for n in zones]]
-    out = frames.mapInArrow(_summaries(kept, {n: z[2] for n, z in zones.items()}, nx, ny), ", ".join(form))
+    out = frames.mapInArrow(_summaries(kept, {n: z[2] for n, z in zones.items()}, alone, nx, ny), ", ".join(form))
     return out.withColumns({"pc_def_team": 1 - F.col("pc_att_team"), "controlling": F.when(F.col("pc_att_team") >= 0.5, "attack").otherwise("defence")})
 
 
@@ -214,25 +266,41 @@ def by_side(df: DataFrame, home_attacks: Column, names: dict[str, tuple[str, Col
     return df.withColumns(new)
 
 
-def _reaches(keep: list[str], nx: int, ny: int, together: int = 256):
+#: Ellipses whose mean and largest influence a task remembers.
+MOST_KNOWN = 100_000
+
+
+def _reaches(keep: list[str], nx: int, ny: int, together: int = 32):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, together):
-                part = batch.slice(at, together)
-                i = _influences({c: np.asarray(part.column(c)) for c in _ELLIPSE}, nx, ny)
-                yield pa.record_batch({c: part.column(c) for c in keep} | {"mean_influence": pa.array(i.sum(axis=1) / (nx * ny)), "max_influence": pa.array(i.max(axis=1))})
+            held = np.column_stack([np.asarray(batch.column(c)) for c in _ELLIPSE])
+            finite = ~np.isnan(held).any(axis=1)  # an infinite speed has no direction
+            batch, held = batch.filter(pa.array(finite)), held[finite]
+            rows = held.view(f"V{held.itemsize * len(_ELLIPSE)}").ravel().tolist()
+            known = known if len(known) < MOST_KNOWN else {}
+            new = list({x: None for x in rows if x not in known})
+            fresh = np.frombuffer(b"".join(new)).reshape(-1, len(_ELLIPSE))
+            for at in range(0, len(new), together):
+                i = _influences(dict(zip(_ELLIPSE, fresh[at : at + together].T, strict=True)), nx, ny)
+                known.update(zip(new[at : at + together], zip((i.sum(axis=1) / (nx * ny)).tolist(), i.max(axis=1).tolist(), strict=True), strict=True))
+            means, most = np.array([known[x] for x in rows]).reshape(-1, 2).T
+            yield pa.record_batch({c: batch.column(c) for c in keep} | {"mean_influence": pa.array(means), "max_influence": pa.array(most)})
 
     return run
 
 
-def player_influence(players: DataFrame, keys: list[str], nx: int = NX, ny: int = NY) -> DataFrame:
+def player_influence(players: DataFrame, keys: list[str], nx: int = NX, ny: int = NY, held: list[Column] = ()) -> DataFrame:
     """Mean and largest influence of each player in each frame; the surface's radius freeze doesn't apply here.
 
-    A row for each row of players with known place and velocity; nothing is shuffled.
+    A row for each row of players with known place and velocity, with the columns held under their names; nothing is
+    shuffled. An ellipse meets the grid once while its task remembers it.
     """
-    own = ellipses(players).dropna(subset=list(_ELLIPSE))
-    own = own.select(*keys, "player_id", *[F.col(c).cast("double").alias(c) for c in _ELLIPSE])
-    return own.mapInArrow(_reaches([*keys, "player_id"], nx, ny), f"{_kinds(own, [*keys, 'player_id'])}, mean_influence double, max_influence double")
+    # the filter asks for what an ellipse is made of: one on the ellipse would be pushed down with all its formulas, many times over
+    own = ellipses(players.dropna(subset=["x", "y", "vx", "vy", "ball_x", "ball_y"]))
+    own = own.select(*keys, "player_id", *held, *[F.col(c).cast("double").alias(f"_{c}") for c in _ELLIPSE])
+    keep = own.columns[: -len(_ELLIPSE)]
+    return own.withColumnsRenamed({f"_{c}": c for c in _ELLIPSE}).mapInArrow(_reaches(keep, nx, ny), f"{_kinds(own, keep)}, mean_influence double, max_influence double")
 
 
 def _weighted_sums(nx: int, ny: int, together: int = 16):

@@ -144,24 +144,24 @@ def j18(spark, d):
 
 @query("a17_frame_metrics", f"WITH {V.FORMATION}, {SURFACE} SELECT frame, round(avg(pc), 6) + 0.0 AS pc_att_team, round(1 - avg(pc), 6) + 0.0 AS pc_def_team FROM pc GROUP BY frame")
 def a17(spark, d):
-    return S.frame_control(_players(spark, d), FR, _home()).select("frame", r6("pc_att_team"), r6("pc_def_team"))
+    return S.frame_control(_players(spark, d), FR, _home(), alone=False).select("frame", r6("pc_att_team"), r6("pc_def_team"))
 
 
 @query("a18_third_means", f"WITH {V.FORMATION}, {SURFACE} SELECT frame, " + ", ".join(f"round(avg(CASE WHEN floor(ix * 3 / {NX}::DOUBLE) = {i} THEN pc END), 6) + 0.0 AS pc_{n}_third" for i, n in enumerate(("def", "mid", "att"))) + " FROM pc GROUP BY frame")
 def a18(spark, d):
-    return S.frame_control(_players(spark, d), FR, _home()).select("frame", *[r6(f"pc_{n}_third") for n in ("def", "mid", "att")])
+    return S.frame_control(_players(spark, d), FR, _home(), alone=False).select("frame", *[r6(f"pc_{n}_third") for n in ("def", "mid", "att")])
 
 
 @query("a19_zone_control", f"WITH {V.FORMATION}, {SURFACE}, c AS (SELECT frame, min(x) AS cx, min(y) AS cy FROM pl GROUP BY frame), z AS (SELECT *, (gx - cx) * (gx - cx) + (gy - cy) * (gy - cy) <= 225 AS near FROM pc JOIN c USING (frame)) SELECT frame, round(avg(CASE WHEN near THEN pc END), 6) + 0.0 AS zone_pc, count(*) FILTER (WHERE near) AS n_points FROM z GROUP BY frame")
 def a19(spark, d):
-    got = S.frame_control(_players(spark, d), FR, _home(), zones={"zone": (F.min("x"), F.min("y"), 15.0)})
+    got = S.frame_control(_players(spark, d), FR, _home(), zones={"zone": (F.min("x"), F.min("y"), 15.0)}, alone=False)
     return got.select("frame", r6("zone_pc"), F.col("zone_points").alias("n_points"))
 
 
 @query("a20_influence_summary", f"WITH {V.FORMATION}, {SURFACE}, p AS (SELECT frame, player_id, any_value(s) AS s, sum(i) / {NX * NY} AS m, max(i) AS t FROM inf GROUP BY ALL) SELECT player_id, count(*) AS n_frames, round(avg(m), 6) + 0.0 AS mean_influence, round(max(t), 6) + 0.0 AS max_influence, round(avg(s), 6) + 0.0 AS mean_speed, round(max(s), 6) + 0.0 AS max_speed FROM p GROUP BY player_id")
 def a20(spark, d):
     players = _players(spark, d)
-    rows = S.player_influence(players, FR).join(players.select("frame", "player_id", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).alias("speed_ms")), ["frame", "player_id"])
+    rows = S.player_influence(players, FR, held=[F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).alias("speed_ms")])
     s = S.influence_summary(rows, ["player_id"])
     return s.select("player_id", "n_frames", r6("mean_influence"), r6("max_influence"), r6("mean_speed"), r6("max_speed"))
 

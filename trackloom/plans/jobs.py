@@ -191,7 +191,7 @@ def control_report(players: DataFrame, keys: list[str], attacking, radius: float
         first = F.min(F.when(target & F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("player_id", "x", "y")))
         zones["player_zone"] = (first["x"], first["y"], target_radius)
         held.append(first["player_id"].alias("target_id"))
-    frames = control.frame_control(players, at, attacking, fast, mirrored, zones, held, nx, ny)
+    frames = control.frame_control(players, at, attacking, fast, mirrored, zones, held, nx=nx, ny=ny)
     other = F.when(F.col("attackers") == "Home", "Away").when(F.col("attackers") == "Away", "Home")
     frames = frames.withColumns({"att_team": F.coalesce("attackers", F.when(F.col("defenders") == "Home", "Away").otherwise("Home")), "def_team": F.coalesce("defenders", other)})
     frames = frames.withColumn("controlling_team", F.when(F.col("controlling") == "attack", F.col("att_team")).otherwise(F.col("def_team")))
@@ -200,7 +200,7 @@ def control_report(players: DataFrame, keys: list[str], attacking, radius: float
     frames = checkpointed(control.by_side(frames, F.col("att_team") == "Home", shares))
 
     speed = F.sqrt((F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).cast("double"))
-    rows = control.player_influence(players, at, nx, ny).join(players.select(*at, "player_id", "team", "x", "y", speed.alias("speed_ms")), [*at, "player_id"])
+    rows = control.player_influence(players, at, nx, ny, [F.col("team"), F.col("x"), F.col("y"), speed.alias("speed_ms")])
     whole = ["possessing_team", "att_team", "pc_att_team", "pc_def_team", "controlling_team", "pc_def_third", "pc_mid_third", "pc_att_third"]
     rows = rows.join(frames.select(*at, *whole), at).withColumn("team_pc_mean", F.when(F.col("team") == F.col("att_team"), F.col("pc_att_team")).otherwise(F.col("pc_def_team")))
     return {"frames": frames, "players": rows, "snapshots": series.snapshots(frames, keys), "summary": control.influence_summary(rows, [*keys, "team", "player_id"])}
