@@ -143,19 +143,19 @@ def evaluate(predicted: DataFrame, truth: DataFrame, keys: list[str], by: list[s
     return {"matches": matches, "scores": matching.evaluation(predicted, truth, matches, by, total), "surplus": matching.unmatched(predicted, matches, keys), "missed": matching.unmatched(truth, turned, keys)}
 
 
-def enrich(annotations: DataFrame, movements: DataFrame, track: DataFrame, people: DataFrame, events: DataFrame, keys: list[str], half: list[str], fps: int = 25) -> DataFrame:
+def enrich(annotations: DataFrame, movements: DataFrame, track: DataFrame, people: DataFrame, events: DataFrame, keys: list[str], half: list[str], fps: int = 25, parts: int | None = None) -> DataFrame:
     """Annotations with the measures of their best matching movement, or else of their own interval, and their context.
 
     annotations: segment_id, keys, half, match_id, half, team, jid, start_frame, end_frame, play_direction and further
     columns, which stay behind the others; movements: keys, movement_id, start_frame, end_frame, distance_m, duration_s,
     peak_speed_kmh, avg_velocity_kmh; track and half as interval_indicators() takes them; people: person_id, team, jid,
-    position; events as match_context() takes them. The measures are all of one origin, which duration_source names.
+    position; events as match_context() takes them; parts as for interval_indicators(). The measures are all of one origin, which duration_source names.
     """
     found = matching.best_iou_match(matching.intervals(annotations, keys), matching.intervals(movements, keys, "movement_id"), keys)
     found = found.select(*keys, F.col("a_id").alias("segment_id"), F.col("b_id").alias("movement_id"), "iou")
     kmh = 3.6
     matched = movements.select(*keys, "movement_id", F.struct(F.col("distance_m").alias("distance_m"), F.col("duration_s").alias("duration_s"), (F.col("peak_speed_kmh") / kmh).alias("peak_vel_ms"), (F.col("avg_velocity_kmh") / kmh).alias("mean_vel_ms")).alias("_m"))
-    own = indicators.interval_indicators(annotations, track, keys, half, fps=fps)
+    own = indicators.interval_indicators(annotations, track, keys, half, fps=fps, parts=parts)
     names = ["distance_m", "duration_s", "peak_vel_ms", "mean_vel_ms"]
     ids = indicators.interval_ids(keys, half)
     rest = [c for c in own.columns if c not in (*ids, *names)]
