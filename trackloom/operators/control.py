@@ -3,12 +3,13 @@
 A frame's players are gathered into one row, with what its summary needs to know (ball, target player, direction): a shuffle
 of players, not of players times grid points. Behind it each frame gives its surface in its own task, as sums over a small
 matrix of players by grid points, and is summed up there: thirds and zones are masks over the matrix, and one row a frame
-leaves the task. Only surface() gives out the points themselves.
+leaves the task, with its players' own means if they are asked for. Only surface() gives out the points themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,8 @@ def influence(gx: Column, gy: Column) -> Column:
 
 
 _ELLIPSE = ("mx", "my", "ux", "uy", "sx", "sy", "q0")
+#: What an ellipse is made of, and what of it hangs on the radius.
+_PLACES, _FREE = ("x", "y", "vx", "vy", "ball_x", "ball_y"), ("sx", "sy", "q0")
 
 
 def _grid_arrays(nx: int, ny: int) -> tuple[np.ndarray, ...]:
@@ -100,11 +103,16 @@ def _kinds(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
 
-def _frames_of(batch: pa.RecordBatch, nx: int, ny: int, together: int = 16) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of some gathered frames at a time: their rows, who attacks, and what attackers and defenders hold at each grid point.
+#: Fixed value: grid points of the frames that are summed up at a time, so that their matrices stay in a processor's cache.
+TOGETHER = 16 * NX * NY
+
+
+def _frames_of(batch: pa.RecordBatch, nx: int, ny: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some gathered frames at a time: their rows, who attacks, what attackers and defenders hold at each grid point, and each player.
 
     What they hold lies in the same memory each time, so it must be used up before the next ones are asked for.
     """
+    together = max(1, TOGETHER // (nx * ny))
     players = batch.column("_players")
     n, flat = np.asarray(pc.list_value_length(players), dtype=np.int64), players.flatten()
     held, attacks = {c: np.asarray(flat.field(c)) for c in _ELLIPSE}, np.asarray(flat.field("attacks")).astype(np.int64)
@@ -120,7 +128,7 @@ def _frames_of(batch: pa.RecordBatch, nx: int, ny: int, together: int = 16) -> I
         for f, (start, split, end) in enumerate(zip(starts[own] - low, splits[own] - low, ends[own] - low, strict=True)):
             np.add.reduce(i[start:split], axis=0, out=d[f])
             np.add.reduce(i[split:end], axis=0, out=a[f])
-        yield batch.slice(at, together), attackers[own], a, d
+        yield batch.slice(at, together), attackers[own], a, d, i
 
 
 def _share(a: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -144,7 +152,7 @@ def _shares(a: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 def _surfaces(keys: list[str], nx: int, ny: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _, a, d in _frames_of(batch, nx, ny):
+            for part, _, a, d, _ in _frames_of(batch, nx, ny):
                 frames = len(part)
                 out = {c: part.column(c).take(pa.array(np.repeat(np.arange(frames), nx * ny))) for c in keys}
                 out["point"] = pa.array(np.tile(np.arange(nx * ny, dtype=np.int32), frames))
@@ -153,11 +161,25 @@ def _surfaces(keys: list[str], nx: int, ny: int):
     return run
 
 
-def _gathered(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None, held: list[Column] = ()) -> DataFrame:
-    """(keys, held aggregates, _players): a row for each frame that has a player with known place and velocity, defenders first."""
-    own = ellipses(players.withColumn("attacks", F.coalesce(attacking, F.lit(False))), frozen)
+def _gathered(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None, held: list[Column] = (), rows: list[Column] = ()) -> DataFrame:
+    """(keys, held aggregates, _players): a row for each frame that has a player with known place and velocity, defenders first.
+
+    With rows, each player has them in a struct shown, which is NULL if player_influence() has no row of it, and in free the
+    half-axes and level that it has there, where a frozen radius gives it others.
+    """
+    players = players.withColumn("attacks", F.coalesce(attacking, F.lit(False)))
+    shown = []
+    if rows:
+        places = [F.col(c).cast("double") for c in _PLACES]
+        told = reduce(Column.__and__, [c.isNotNull() & ~F.isnan(c) for c in places])
+        shown = [F.when(told, F.struct(*rows)).alias("shown")]
+        if frozen is not None:
+            free = [F.col(c).cast("double").alias(c) for c in _FREE]
+            players = ellipses(players).withColumn("_free", F.when(frozen, F.struct(*free))).drop(*_ELLIPSE)
+            shown.append(F.col("_free").alias("free"))
+    own = ellipses(players, frozen)
     known = F.array_size(F.array_compact(F.array(*[F.col(c).cast("double") for c in _ELLIPSE]))) == len(_ELLIPSE)
-    one = F.when(known, F.struct("attacks", *[F.col(c).cast("double").alias(c) for c in _ELLIPSE]))
+    one = F.when(known, F.struct("attacks", *[F.col(c).cast("double").alias(c) for c in _ELLIPSE], *shown))
     return own.groupBy(*keys).agg(*held, F.sort_array(F.collect_list(one)).alias("_players")).where(F.size("_players") > 0)
 
 
@@ -181,7 +203,7 @@ def _point_sums(nx: int, ny: int):
         n, total, alone = 0, np.zeros(nx * ny), np.zeros(nx * ny)
         least, most = np.full(nx * ny, np.inf), np.full(nx * ny, -np.inf)
         for batch in batches:
-            for part, _, a, d in _frames_of(batch, nx, ny):
+            for part, _, a, d, _ in _frames_of(batch, nx, ny):
                 share, own, _ = _shares(a, d)
                 n += len(part)
                 total += share.sum(axis=0)
@@ -202,7 +224,25 @@ def mean_surface(players: DataFrame, keys: list[str], attacking: Column, frozen:
     return out.select(*_places(nx, ny), "n_frames", (F.col("_t") / F.col("n_frames")).alias("mean_pc"), (F.col("_a") / F.col("n_frames")).alias("mean_att_only"), "least_pc", "most_pc")
 
 
-def _summaries(kept: list[str], zones: dict[str, float], alone: bool, nx: int, ny: int):
+def _player_rows(players: pa.ListArray, means: np.ndarray, most: np.ndarray, nx: int, ny: int, together: int = 32) -> pa.ListArray:
+    """What the players of each frame show, with their mean and largest influence; NULL for those that show nothing."""
+    flat = players.flatten()
+    shown = flat.field("shown")
+    kind = players.type.value_type
+    if kind.get_field_index("free") >= 0:
+        free = flat.field("free")
+        other = np.flatnonzero(np.asarray(free.is_valid()))
+        for at in range(0, len(other), together):
+            own = other[at : at + together]
+            i = _influences({c: np.asarray(flat.field(c))[own] for c in _ELLIPSE} | {c: np.asarray(free.field(c).fill_null(np.nan))[own] for c in _FREE}, nx, ny)
+            means[own], most[own] = i.sum(axis=1) / (nx * ny), i.max(axis=1)
+    unknown = ~np.asarray(shown.is_valid()) | np.isnan(np.column_stack([np.asarray(flat.field(c)) for c in _ELLIPSE])).any(axis=1)
+    fields = {f.name: shown.field(f.name) for f in shown.type} | {"mean_influence": pa.array(means, mask=unknown), "max_influence": pa.array(most, mask=unknown)}
+    ends = np.cumsum(np.asarray(pc.list_value_length(players), dtype=np.int32), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+def _summaries(kept: list[str], zones: dict[str, float], alone: bool, nx: int, ny: int, rows: bool = False):
     shares = ["pc_att_team", "pc_def_third", "pc_mid_third", "pc_att_third", *(["mean_pc_att_only", "mean_pc_def_only"] if alone else [])]
     names = [*shares, "n_att_players", "n_def_players", *[f"{n}_{what}" for n in zones for what in ("pc", "points")]]
 
@@ -211,8 +251,11 @@ def _summaries(kept: list[str], zones: dict[str, float], alone: bool, nx: int, n
         thirds = (np.arange(nx) * 3 // nx)[:, None] == np.arange(3)
         thirds = [(t, max(1, t.sum() * ny)) for t in thirds.T]
         for batch in batches:
-            made = []
-            for part, attackers, a, d in _frames_of(batch, nx, ny):
+            made, means, most = [], [], []
+            for part, attackers, a, d, i in _frames_of(batch, nx, ny):
+                if rows:
+                    means.append(i.sum(axis=1) / (nx * ny))
+                    most.append(i.max(axis=1))
                 share, *single = _shares(a, d) if alone else (_share(a, d),)
                 columns = share.reshape(-1, nx, ny).sum(axis=2)
                 by_third = np.stack([columns[:, t].sum(axis=1) / points for t, points in thirds], axis=1)
@@ -233,12 +276,13 @@ def _summaries(kept: list[str], zones: dict[str, float], alone: bool, nx: int, n
                 out["n_def_players"] = np.asarray(pc.list_value_length(batch.column("_players")), dtype=np.int64) - out["n_att_players"]
                 for name in zones:
                     out[f"{name}_pc"] = pa.array(out[f"{name}_pc"], mask=out[f"{name}_points"] == 0)
-                yield pa.record_batch({c: batch.column(c) for c in kept} | {c: out[c] if isinstance(out[c], pa.Array) else pa.array(out[c]) for c in names})
+                single = {"rows": _player_rows(batch.column("_players"), np.concatenate(means), np.concatenate(most), nx, ny)} if rows else {}
+                yield pa.record_batch({c: batch.column(c) for c in kept} | {c: out[c] if isinstance(out[c], pa.Array) else pa.array(out[c]) for c in names} | single)
 
     return run
 
 
-def frame_control(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None = None, mirrored: Column | None = None, zones: dict[str, tuple[Column, Column, float]] | None = None, held: list[Column] = (), alone: bool = True, nx: int = NX, ny: int = NY) -> DataFrame:
+def frame_control(players: DataFrame, keys: list[str], attacking: Column, frozen: Column | None = None, mirrored: Column | None = None, zones: dict[str, tuple[Column, Column, float]] | None = None, held: list[Column] = (), alone: bool = True, nx: int = NX, ny: int = NY, rows: list[Column] = ()) -> DataFrame:
     """One row for each frame that surface() has points of, summed up where its surface is made.
 
     pc_att_team and pc_def_team, and controlling (attack or defence, who holds more); pc_def_third, pc_mid_third and
@@ -246,15 +290,20 @@ def frame_control(players: DataFrame, keys: list[str], attacking: Column, frozen
     n_def_players. zones: by name, the aggregates that give a frame's centre, and a radius; they add name_pc, the mean share
     of the attackers there, and name_points (NULL and 0 where there is no centre or no point). held: further aggregates of a
     frame's players, which are kept under their names. alone=False leaves mean_pc_att_only and mean_pc_def_only out.
+    rows: columns of players; they add rows, an array of each player's with the mean_influence and max_influence that
+    player_influence() has of it, which are NULL where it has no row.
     """
     zones = zones or {}
     centres = [c.cast("double").alias(f"_{name}_{axis}") for name, (x, y, _) in zones.items() for c, axis in ((x, "x"), (y, "y"))]
     turned = F.coalesce(F.lit(False) if mirrored is None else mirrored, F.lit(False))
-    frames = _gathered(players.withColumn("_turned", turned), keys, attacking, frozen, [*held, F.bool_or("_turned").alias("_mirrored"), *centres])
+    frames = _gathered(players.withColumn("_turned", turned), keys, attacking, frozen, [*held, F.bool_or("_turned").alias("_mirrored"), *centres], rows)
     kept = [c for c in frames.columns if not c.startswith("_")]
     shares = ["pc_att_team", "pc_def_third", "pc_mid_third", "pc_att_third", *(["mean_pc_att_only", "mean_pc_def_only"] if alone else [])]
     form = [_kinds(frames, kept), *[f"{c} double" for c in shares], "n_att_players long, n_def_players long", *[f"{n}_pc double, {n}_points long" for n in zones]]
-    out = frames.mapInArrow(_summaries(kept, {n: z[2] for n, z in zones.items()}, alone, nx, ny), ", ".join(form))
+    if rows:
+        shown = frames.schema["_players"].dataType.elementType["shown"].dataType
+        form.append(f"rows array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in shown)}, mean_influence: double, max_influence: double>>")
+    out = frames.mapInArrow(_summaries(kept, {n: z[2] for n, z in zones.items()}, alone, nx, ny, bool(rows)), ", ".join(form))
     return out.withColumns({"pc_def_team": 1 - F.col("pc_att_team"), "controlling": F.when(F.col("pc_att_team") >= 0.5, "attack").otherwise("defence")})
 
 
@@ -297,7 +346,7 @@ def player_influence(players: DataFrame, keys: list[str], nx: int = NX, ny: int
     shuffled. An ellipse meets the grid once while its task remembers it.
     """
     # the filter asks for what an ellipse is made of: one on the ellipse would be pushed down with all its formulas, many times over
-    own = ellipses(players.dropna(subset=["x", "y", "vx", "vy", "ball_x", "ball_y"]))
+    own = ellipses(players.dropna(subset=list(_PLACES)))
     own = own.select(*keys, "player_id", *held, *[F.col(c).cast("double").alias(f"_{c}") for c in _ELLIPSE])
     keep = own.columns[: -len(_ELLIPSE)]
     return own.withColumnsRenamed({f"_{c}": c for c in _ELLIPSE}).mapInArrow(_reaches(keep, nx, ny), f"{_kinds(own, keep)}, mean_influence double, max_influence double")

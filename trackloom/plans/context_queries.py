@@ -174,7 +174,7 @@ def g6(spark, d):
     """Snapshots of the whole job, over windows of a thousand frames."""
     players = _players(spark, d).withColumns({"match_id": F.lit(1), "ball_speed_kmh": F.lit(0.0)})
     windows = players.select("match_id", F.floor(F.col("frame") / 1000).alias("window_id")).distinct().withColumns({"start_frame": F.col("window_id") * 1000, "end_frame": F.col("window_id") * 1000 + 999})
-    got = jobs.control_report(players, ["match_id"], _home(), windows=windows)["snapshots"]
+    got = jobs.control_report(players, ["match_id"], _home(), windows=windows, tables=("snapshots",))["snapshots"]
     return got.select("window_id", "frame", "snapshot", r6("pc_att_team"), "controlling", *[r6(f"pc_{n}_third") for n in ("def", "mid", "att")], r6("ball_zone_pc", "zone_pc"), r6("mean_pc_att_only"))
 
 
@@ -186,10 +186,10 @@ sides AS (SELECT frame, home, any_value(target_id) AS target_id, avg(pc) AS h, a
 MOVED = _surface_sql(FEW_X, FEW_Y).replace("sqrt((x - 52.5) * (x - 52.5) + (y - 34) * (y - 34))", "sqrt((x - 37.5 - frame % 30) * (x - 37.5 - frame % 30) + (y - 24 - frame % 20) * (y - 24 - frame % 20))").replace("1 / (1 + exp(-a)) AS pa", "1 / (1 + exp(-a)) AS pa, 1 / (1 + exp(-d)) AS pd")
 
 
-def _sides(spark, d):
+def _sides(spark, d, name):
     ball = {"ball_x": F.lit(37.5) + F.col("frame") % 30, "ball_y": F.lit(24.0) + F.col("frame") % 20, "ball_speed_kmh": F.lit(0.0), "possession_team": F.when(F.col("frame") % 3 > 0, F.when(F.col("frame") % 2 == 0, "Home").otherwise("Away"))}
     players, side = _players(spark, d).withColumns(ball), F.when(F.col("frame") % 2 == 0, "Home").otherwise("Away")
-    return jobs.control_report(players, [], F.col("team") == side, mirrored=F.col("frame") % 4 >= 2, target=F.col("player_id") % 10 == 3, target_radius=10.0, nx=FEW_X, ny=FEW_Y)
+    return jobs.control_report(players, [], F.col("team") == side, mirrored=F.col("frame") % 4 >= 2, target=F.col("player_id") % 10 == 3, target_radius=10.0, nx=FEW_X, ny=FEW_Y, tables=(name,))[name]
 
 
 @query("g6_home_and_away", f"""WITH {V.FORMATION}, {MOVED}, {SIDES.format(n=FEW_X)} SELECT frame, CASE WHEN home THEN 'Home' ELSE 'Away' END AS att_team, CASE WHEN frame % 3 > 0 THEN CASE WHEN home THEN 'Home' ELSE 'Away' END ELSE 'unknown' END AS possessing_team,
@@ -202,16 +202,16 @@ def g6_sides(spark, d):
     """
     shares = ["pc_combined_home", "pc_combined_away", "pc_only_home", "pc_only_away", "pc_def_third", "pc_att_third", "ball_zone_home", "ball_zone_away", "player_zone_home", "player_zone_away"]
     told = F.when(F.abs(F.col("pc_att_team") - 0.5) >= 1e-9, F.col("controlling_team")).alias("controlling_team")
-    return _sides(spark, d)["frames"].select("frame", "att_team", "possessing_team", told, "target_id", *[r6(c) for c in shares])
+    return _sides(spark, d, "frames").select("frame", "att_team", "possessing_team", told, "target_id", *[r6(c) for c in shares])
 
 
 @query("g6_player_rows", f"""WITH {V.FORMATION}, {MOVED}, {SIDES.format(n=FEW_X)}, p AS (SELECT frame, team, player_id, any_value(s) AS s, avg(i) AS m, max(i) AS t FROM inf GROUP BY ALL)
 SELECT p.frame, player_id, team, round(s, 6) + 0.0 AS speed_ms, round(m, 6) + 0.0 AS mean_influence, round(t, 6) + 0.0 AS max_influence, round(CASE WHEN (team = 'Home') = home THEN att ELSE 1 - att END, 6) + 0.0 AS team_pc_mean, round(att, 6) + 0.0 AS pc_att_team, round(t0, 6) + 0.0 AS pc_def_third FROM p JOIN sides USING (frame)""")
 def g6_players(spark, d):
-    return _sides(spark, d)["players"].select("frame", "player_id", "team", *[r6(c) for c in ("speed_ms", "mean_influence", "max_influence", "team_pc_mean", "pc_att_team", "pc_def_third")])
+    return _sides(spark, d, "players").select("frame", "player_id", "team", *[r6(c) for c in ("speed_ms", "mean_influence", "max_influence", "team_pc_mean", "pc_att_team", "pc_def_third")])
 
 
 @query("g6_frozen_radii", f"""WITH {V.FORMATION}, {SURFACE.replace("least(greatest(4 + 6 *", "CASE WHEN frame % 3 = 0 THEN 10 ELSE least(greatest(4 + 6 *").replace("4), 10) AS r", "4), 10) END AS r")} SELECT frame, round(avg(pc), 6) + 0.0 AS pc_att_team FROM pc GROUP BY frame""")
 def g6_frozen(spark, d):
     players = _players(spark, d).withColumn("ball_speed_kmh", F.when(F.col("frame") % 3 == 0, 40.0).otherwise(10.0))
-    return jobs.control_report(players, [], F.col("team") == "Home")["frames"].select("frame", r6("pc_att_team"))
+    return jobs.control_report(players, [], F.col("team") == "Home", tables=("frames",))["frames"].select("frame", r6("pc_att_team"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -167,14 +169,15 @@ def enrich(annotations: DataFrame, movements: DataFrame, track: DataFrame, peopl
     return predicates.ordered_columns(df, ["match_id", "half", "segment_id", "team", "jid", "person_id", "position", "start_frame", "end_frame", "movement_id", "iou", "duration_source", *names, "scoreline", "goal_indicator", "shot_within"])
 
 
-def control_report(players: DataFrame, keys: list[str], attacking, radius: float = 15.0, mirrored=None, windows: DataFrame | None = None, freeze_above: float = control.FREEZE_KMH, target=None, target_radius: float = 15.0, nx: int = control.NX, ny: int = control.NY) -> dict[str, DataFrame]:
-    """Tables of control by frame, player, snapshot and player summary.
+def control_report(players: DataFrame, keys: list[str], attacking, radius: float = 15.0, mirrored=None, windows: DataFrame | None = None, freeze_above: float = control.FREEZE_KMH, target=None, target_radius: float = 15.0, nx: int = control.NX, ny: int = control.NY, tables: tuple[str, ...] = ("frames", "players", "snapshots", "summary")) -> dict[str, DataFrame]:
+    """Tables of control by frame, player, snapshot and player summary, or those of them that tables names.
 
     players: keys, frame, team (Home or Away), player_id, x, y, vx, vy, ball_x, ball_y, ball_speed_kmh and, where it is
     known, possession_team. windows (keys, window_id, start_frame, end_frame) chooses frames and is a key of all tables
     then, all windows in one job; without it all frames are one window for each key. Radii are frozen where the ball is
     faster than freeze_above. ball_zone lies around the ball, player_zone around the player that target marks (the first by
-    id, where there is one). Shares are given for attackers and others, and as home and away; frames are summed up once.
+    id, where there is one). Shares are given for attackers and others, and as home and away; frames are summed up once,
+    with the means of their players, and stored if more than one table is made of them.
     """
     if windows is None:
         players, keys = players.withColumn("window_id", F.lit(0)), [*keys, "window_id"]
@@ -191,16 +194,23 @@ def control_report(players: DataFrame, keys: list[str], attacking, radius: float
         first = F.min(F.when(target & F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("player_id", "x", "y")))
         zones["player_zone"] = (first["x"], first["y"], target_radius)
         held.append(first["player_id"].alias("target_id"))
-    frames = control.frame_control(players, at, attacking, fast, mirrored, zones, held, nx=nx, ny=ny)
+    speed = F.sqrt((F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).cast("double"))
+    shown = [*[F.col(c) for c in ("player_id", "team", "x", "y")], speed.alias("speed_ms")] if {"players", "summary"} & set(tables) else []
+    frames = control.frame_control(players, at, attacking, fast, mirrored, zones, held, nx=nx, ny=ny, rows=shown)
     other = F.when(F.col("attackers") == "Home", "Away").when(F.col("attackers") == "Away", "Home")
     frames = frames.withColumns({"att_team": F.coalesce("attackers", F.when(F.col("defenders") == "Home", "Away").otherwise("Home")), "def_team": F.coalesce("defenders", other)})
     frames = frames.withColumn("controlling_team", F.when(F.col("controlling") == "attack", F.col("att_team")).otherwise(F.col("def_team")))
     frames = frames.withColumn("possessing_team", F.coalesce("possessing", F.lit("unknown")) if "possession_team" in players.columns else F.lit("unknown")).drop("attackers", "defenders", "possessing")
     shares = {"pc_combined": ("pc_att_team", F.col("pc_def_team")), "pc_only": ("mean_pc_att_only", F.col("mean_pc_def_only")), **{n: (f"{n}_pc", 1 - F.col(f"{n}_pc")) for n in zones}}
-    frames = checkpointed(control.by_side(frames, F.col("att_team") == "Home", shares))
-
-    speed = F.sqrt((F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).cast("double"))
-    rows = control.player_influence(players, at, nx, ny, [F.col("team"), F.col("x"), F.col("y"), speed.alias("speed_ms")])
-    whole = ["possessing_team", "att_team", "pc_att_team", "pc_def_team", "controlling_team", "pc_def_third", "pc_mid_third", "pc_att_third"]
-    rows = rows.join(frames.select(*at, *whole), at).withColumn("team_pc_mean", F.when(F.col("team") == F.col("att_team"), F.col("pc_att_team")).otherwise(F.col("pc_def_team")))
-    return {"frames": frames, "players": rows, "snapshots": series.snapshots(frames, keys), "summary": control.influence_summary(rows, [*keys, "team", "player_id"])}
+    made = control.by_side(frames, F.col("att_team") == "Home", shares)
+    made = checkpointed(made) if len(tables) > 1 else made
+    frames, out = made.drop("rows"), {}
+    out |= {"frames": frames} if "frames" in tables else {}
+    if shown:
+        whole = ["possessing_team", "att_team", "pc_att_team", "pc_def_team", "controlling_team", "pc_def_third", "pc_mid_third", "pc_att_third"]
+        named = reduce(Column.__and__, [F.col(c).isNotNull() for c in at])
+        rows = made.where(named).select(*at, F.explode("rows").alias("_row"), *whole).where("_row.mean_influence IS NOT NULL").select(*at, "_row.*", *whole)
+        rows = rows.withColumn("team_pc_mean", F.when(F.col("team") == F.col("att_team"), F.col("pc_att_team")).otherwise(F.col("pc_def_team")))
+        out |= {"players": rows} if "players" in tables else {}
+    out |= {"snapshots": series.snapshots(frames, keys)} if "snapshots" in tables else {}
+    return out | ({"summary": control.influence_summary(rows, [*keys, "team", "player_id"])} if "summary" in tables else {})
