@@ -13,6 +13,7 @@ from ..functions.scalar import frames_to_timecode, overlap, temporal_iou
 from .intervals import range_join
 from .lineage import checkpointed
 from .profiles import with_quantiles
+from .series import spread
 
 
 def _sides(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -27,18 +28,19 @@ def _starts_in(points: DataFrame, spans: DataFrame, keys: list[str], names: str,
     return range_join(points, spans, keys, F.col(f"{p}_start"), F.col(f"{s}_start") - reach, F.col(f"{s}_end") + reach, width)
 
 
-def _touching(a: DataFrame, b: DataFrame, keys: list[str], reach: int = 0, width: int = 256) -> DataFrame:
+def _touching(a: DataFrame, b: DataFrame, keys: list[str], reach: int = 0, width: int = 256, parts: int | None = None) -> DataFrame:
     """Pairs of _sides() that overlap or lie at most reach apart, by one join.
 
     Both go to the buckets that they and the reach behind them cover; a pair counts in the bucket of its later start.
     """
     a, b = (df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(f"{n}_start") / width), F.floor((F.col(f"{n}_end") + reach) / width)))) for df, n in ((a.where("a_start <= a_end"), "a"), (b.where("b_start <= b_end"), "b")))
+    a, b = (spread(df, parts, *keys, "_bucket") for df in (a, b))
     near = (F.col("a_start") <= F.col("b_end") + reach) & (F.col("b_start") <= F.col("a_end") + reach)
     return a.join(b, [*keys, "_bucket"]).where(near & (F.col("_bucket") == F.floor(F.greatest("a_start", "b_start") / width))).drop("_bucket")
 
 
-def intervals(df: DataFrame, keys: list[str], id_: str = "segment_id") -> DataFrame:
-    return df.select(*keys, F.col(id_).alias("id"), F.col("start_frame").alias("start"), F.col("end_frame").alias("end"))
+def intervals(df: DataFrame, keys: list[str], id_: str = "segment_id", held: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(*keys, F.col(id_).alias("id"), F.col("start_frame").alias("start"), F.col("end_frame").alias("end"), *held)
 
 
 def _take_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +87,19 @@ def overlap_match(left: DataFrame, right: DataFrame, keys: list[str], tolerance:
 
 def best_iou_match(annotations: DataFrame, segments: DataFrame, keys: list[str], least: float = 0.01) -> DataFrame:
     """Each annotation's segment of largest IoU, the smallest id on ties; NULL where none reaches least."""
+    top = best_iou_segments(annotations, segments, keys, least)
+    return annotations.select(*keys, F.col("id").alias("a_id")).join(top, [*keys, "a_id"], "left").select(*keys, "a_id", "b_id", "iou")
+
+
+def best_iou_segments(annotations: DataFrame, segments: DataFrame, keys: list[str], least: float = 0.01, held: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """(keys, a_id, b_id, iou, held) of best_iou_match() where there is one; held are further columns of segments, parts the number of tasks."""
     a, b = _sides(annotations, segments, keys)
-    both = _touching(a, b, keys).where((F.col("b_start") < F.col("a_end")) & (F.col("b_end") > F.col("a_start")))
+    b = b if not held else segments.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("id", "start", "end")], *held)
+    both = _touching(a, b, keys, parts=parts).where((F.col("b_start") < F.col("a_end")) & (F.col("b_end") > F.col("a_start")))
     both = both.withColumn("iou", temporal_iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))).where(F.col("iou") >= least)
-    top = both.groupBy(*keys, "a_id").agg(F.max_by(F.struct("b_id", "iou"), F.struct("iou", -F.col("b_id"))).alias("m"))
-    return a.join(top, [*keys, "a_id"], "left").select(*keys, "a_id", F.col("m.b_id").alias("b_id"), F.col("m.iou").alias("iou"))
+    both = spread(both.select(*keys, "a_id", "b_id", "iou", *held), parts, *keys, "a_id")
+    top = both.groupBy(*keys, "a_id").agg(F.max_by(F.struct("b_id", "iou", *held), F.struct("iou", -F.col("b_id"))).alias("m"))
+    return top.select(*keys, "a_id", *[F.col(f"m.{c}").alias(c) for c in ("b_id", "iou", *held)])
 
 
 def _listed(rows: DataFrame, own: list[str], found: DataFrame, named: int | None) -> DataFrame:

@@ -58,13 +58,13 @@ def directions_of(track: DataFrame) -> DataFrame:
     return track.select("match_id", "half").distinct().withColumn("home_direction", F.when(right, predicates.RIGHT).otherwise(predicates.LEFT))
 
 
-def with_score_and_shots(movements: DataFrame, events: DataFrame, fps: int = 25) -> DataFrame:
+def with_score_and_shots(movements: DataFrame, events: DataFrame, fps: int = 25, parts: int | None = None) -> DataFrame:
     """The score at each movement's start, its goal indicator, and whether a shot follows its end."""
     goals = intervals.cumulative_score(events.where("kind = 'goal'"), ["match_id"])
     df = movements.withColumns({"elapsed": F.col("start_frame") / fps, "end_s": F.col("end_frame") / fps})
-    df = intervals.score_at(df, goals.withColumn("elapsed", F.col("elapsed").cast("double")))
+    df = intervals.score_at(df, goals.withColumn("elapsed", F.col("elapsed").cast("double")), parts=parts)
     df = df.withColumn("goal_indicator", predicates.goal_indicator(F.col("team"), F.col("home"), F.col("away")))
-    return intervals.shot_follows(df, events.where("kind = 'shot'").withColumn("elapsed", F.col("elapsed").cast("double")))
+    return intervals.shot_follows(df, events.where("kind = 'shot'").withColumn("elapsed", F.col("elapsed").cast("double")), parts=parts)
 
 
 def match_context(movements: DataFrame, events: DataFrame, fps: int = 25) -> DataFrame:
@@ -145,27 +145,29 @@ def evaluate(predicted: DataFrame, truth: DataFrame, keys: list[str], by: list[s
     return {"matches": matches, "scores": matching.evaluation(predicted, truth, matches, by, total), "surplus": matching.unmatched(predicted, matches, keys), "missed": matching.unmatched(truth, turned, keys)}
 
 
-def enrich(annotations: DataFrame, movements: DataFrame, track: DataFrame, people: DataFrame, events: DataFrame, keys: list[str], half: list[str], fps: int = 25, parts: int | None = None) -> DataFrame:
+def enrich(annotations: DataFrame, movements: DataFrame, track: DataFrame, people: DataFrame, events: DataFrame, keys: list[str], half: list[str], fps: int = 25, parts: int | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Annotations with the measures of their best matching movement, or else of their own interval, and their context.
 
     annotations: segment_id, keys, half, match_id, half, team, jid, start_frame, end_frame, play_direction and further
     columns, which stay behind the others; movements: keys, movement_id, start_frame, end_frame, distance_m, duration_s,
     peak_speed_kmh, avg_velocity_kmh; track and half as interval_indicators() takes them; people: person_id, team, jid,
-    position; events as match_context() takes them; parts as for interval_indicators(). The measures are all of one origin, which duration_source names.
+    position; events as match_context() takes them; parts and ends as for interval_indicators(): matches, joins and context
+    are dealt to parts tasks, too. The measures are all of one origin, which duration_source names.
     """
-    found = matching.best_iou_match(matching.intervals(annotations, keys), matching.intervals(movements, keys, "movement_id"), keys)
-    found = found.select(*keys, F.col("a_id").alias("segment_id"), F.col("b_id").alias("movement_id"), "iou")
-    kmh = 3.6
-    matched = movements.select(*keys, "movement_id", F.struct(F.col("distance_m").alias("distance_m"), F.col("duration_s").alias("duration_s"), (F.col("peak_speed_kmh") / kmh).alias("peak_vel_ms"), (F.col("avg_velocity_kmh") / kmh).alias("mean_vel_ms")).alias("_m"))
-    own = indicators.interval_indicators(annotations, track, keys, half, fps=fps, parts=parts)
-    names = ["distance_m", "duration_s", "peak_vel_ms", "mean_vel_ms"]
-    ids = indicators.interval_ids(keys, half)
-    rest = [c for c in own.columns if c not in (*ids, *names)]
-    df = annotations.join(found, [*keys, "segment_id"], "left").join(matched, [*keys, "movement_id"], "left")
-    df = df.join(own.select(*ids, F.struct(*names).alias("_r"), *[c for c in rest if c not in df.columns]), ids, "left")
+    kmh, names = 3.6, ["distance_m", "duration_s", "peak_vel_ms", "mean_vel_ms"]
+    ids, at = indicators.interval_ids(keys, half), [*keys, "segment_id"]
+    measures = F.struct("distance_m", "duration_s", (F.col("peak_speed_kmh") / kmh).alias("peak_vel_ms"), (F.col("avg_velocity_kmh") / kmh).alias("mean_vel_ms"))
+    moves = matching.intervals(movements.withColumn("_m", measures), keys, "movement_id", ("_m",))
+    found = matching.best_iou_segments(matching.intervals(annotations, keys), moves, keys, held=("_m",), parts=parts).withColumnsRenamed({"a_id": "segment_id", "b_id": "movement_id"})
+    own = indicators.interval_indicators(annotations, track, keys, half, fps=fps, parts=parts, ends=ends)
+    rest = [c for c in own.columns if c not in (*ids, *names, *annotations.columns)]
+    own = own.select(*ids, F.struct(*names).alias("_r"), *rest)
+    df = with_score_and_shots(annotations, events, fps, parts)
+    late = [c for c in df.columns if c not in annotations.columns]
+    df = series.spread(df, parts, *at).join(found, at, "left").join(series.spread(own, parts, *ids), ids, "left")
     df = predicates.with_provenance(df, {c: (F.col(f"_m.{c}"), F.col(f"_r.{c}")) for c in names}).drop("_m", "_r")
     df = people_.position_of(people_.person_by_shirt(df, people), people)
-    df = with_score_and_shots(df, events, fps)
+    df = df.select(*[c for c in df.columns if c not in late], *late)
     return predicates.ordered_columns(df, ["match_id", "half", "segment_id", "team", "jid", "person_id", "position", "start_frame", "end_frame", "movement_id", "iou", "duration_source", *names, "scoreline", "goal_indicator", "shot_within"])
 
 

@@ -266,9 +266,10 @@ FROM sc a LEFT JOIN eb b USING (segment_id) LEFT JOIN indicators i USING (segmen
 def g9(spark, d):
     turn = F.when(F.col("segment_id") % 3 == 0, "left_to_right").when(F.col("segment_id") % 3 == 1, "right_to_left")
     notes = V.owned(spark, d).withColumns({"play_direction": turn, "jid": F.col("jid") % 30, "match_id": F.floor(F.col("player_id") / 22)})
-    moves, track = _movements(spark, d), series.speed(V.track(spark, d), V.K, unit=0.1 / 25)
+    on = ["player_id", "half"]
+    moves, track = _movements(spark, d), series.speed(V.track(spark, d, on, V.INTERVAL_PARTS), V.K, unit=0.1 / 25)
     position = F.when(F.col("s_suppkey") % 11 == 0, "TW").otherwise("FP")
     people = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("person_id"), F.when(F.col("s_suppkey") % 2 == 0, "Home").otherwise("Away").alias("team"), (F.col("s_suppkey") % 23).alias("jid"), position.alias("position"))
-    got = jobs.enrich(notes, moves, track, people, _match_frames(spark, d), ["player_id", "half"], ["half"], parts=V.INTERVAL_PARTS * V.parts(spark, d))
+    got = jobs.enrich(notes, moves, track, people, _match_frames(spark, d), on, ["half"], parts=V.INTERVAL_PARTS * V.parts(spark, d), ends=V.last_frames(spark, d))
     rounded = [(F.round(c, 4) + 0.0).alias(c) for c in ("distance_m", "duration_s", "peak_vel_ms", "mean_vel_ms")]
     return got.select("segment_id", "movement_id", r6("iou"), "duration_source", *rounded, "person_id", "position", "scoreline", "goal_indicator", "shot_within", "zone_start", "peak_frame", "possession")
